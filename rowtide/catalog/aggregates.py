@@ -64,7 +64,7 @@ def regex_max(t):
 
 
 @query("agg_object", """WITH p AS (SELECT *, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) - 1) // 30 AS part FROM customer)
-    SELECT c_nationkey, part, CAST(json_group_object(c_name, c_custkey ORDER BY c_name) AS VARCHAR) AS object FROM p GROUP BY ALL""")
+    SELECT c_nationkey, part, '{' || string_agg('"' || c_name || '":' || c_custkey, ',' ORDER BY c_name) || '}' AS object FROM p GROUP BY ALL""")
 def agg_object(t):
     return a.objects(t.customer, ["c_nationkey"], "c_name", "c_custkey", 30).withColumn("object", F.to_json("object"))
 

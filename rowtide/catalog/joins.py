@@ -58,7 +58,7 @@ def embed_nested(t):
     return r.read(lookup(t), "region", ["r_name"], embeds=[nations]).withColumn("nations", F.to_json("nations"))
 
 
-@query("join_computed", """SELECT o_orderkey, CAST(to_json(CASE WHEN o_totalprice > 200000 THEN {band: o_totalprice // 100000, urgent: o_orderpriority = '1-URGENT'} END) AS VARCHAR) AS grade FROM orders""")
+@query("join_computed", """SELECT o_orderkey, CAST(to_json(CASE WHEN o_totalprice > 200000 THEN {band: floor(o_totalprice / 100000), urgent: o_orderpriority = '1-URGENT'} END) AS VARCHAR) AS grade FROM orders""")
 def computed(t):
     fields = {"band": F.floor(F.col("o_totalprice") / 100000).cast("double"), "urgent": F.col("o_orderpriority") == "1-URGENT"}
     out = j.computed(t.orders, "grade", fields, F.col("o_totalprice") > 200000)
