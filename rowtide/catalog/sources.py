@@ -73,7 +73,8 @@ def heartbeat(t):
     stream = feeds.with_heartbeat(t.stream("events").select("ts", "event_type"), t.spark.readStream.schema("timestamp timestamp_ntz").parquet(beats),
                                   "ts", event_type=F.lit("heartbeat"))
     hours = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
-    hours = hours.where("event_type <> 'heartbeat' OR event_type IS NULL").groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n"))
+    real = F.count_if(F.col("event_type") != "heartbeat")
+    hours = hours.groupBy(F.window("ts", "1 hour")).agg(real.alias("n")).where("n > 0")
     return drain(hours.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "n"))
 
 

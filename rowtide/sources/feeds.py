@@ -35,7 +35,8 @@ def unwrap_envelope(df: DataFrame, schema: str, key: str = "id", column: str = "
 def with_heartbeat(stream: DataFrame, beats: DataFrame, at: str, **fixed: Column) -> DataFrame:
     """Union generated records (column `timestamp`) into a stream so that event time moves when input is idle.
 
-    Columns not given in `fixed` are null in a heartbeat. Put it before the watermark.
+    Columns not given in `fixed` are null in a heartbeat. Put it before the watermark, and leave beats
+    out inside the aggregate: a filter on them would be pushed below the watermark and stop it.
     """
     kinds = {f.name: f.dataType for f in stream.schema.fields}
     made = {at: F.col("timestamp").cast(kinds[at]), **fixed}
