@@ -20,12 +20,12 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return running(df, keys, order, name, "sum", value, hot_rows)
 
 
-def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], marker: Column, trace: Column, name: str = "trace", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows between markers take the last marker's trace; '' before the first. Marker rows are dropped."""
+def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], marker: Column, trace: Column, name: str = "trace", hot_rows: int = HOT_ROWS, unknown: str | None = "") -> DataFrame:
+    """Rows between markers take the last marker's trace, `unknown` before the first. Marker rows are dropped."""
     marked = df.withColumn("__is", F.coalesce(marker, F.lit(False)))
     marked = marked.withColumn("__trace", F.when(F.col("__is"), F.coalesce(trace, F.lit(""))))
     filled = running(marked, keys, order, name, "last", "__trace", hot_rows)
-    return filled.where(~F.col("__is")).withColumn(name, F.coalesce(name, F.lit(""))).drop("__is", "__trace")
+    return filled.where(~F.col("__is")).withColumn(name, F.coalesce(name, F.lit(unknown))).drop("__is", "__trace")
 
 
 def first_trace(df: DataFrame, keys: Sequence[str], position: str, trace: str, name: str = "trace") -> DataFrame:
