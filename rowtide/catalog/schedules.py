@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rowtide.catalog.registry import Tables, query
 from rowtide.operators import schedule as s, writes
+from rowtide.session import stored
 
 CRONS = ("*/10 * * * *", "30 2 * * *", "0,30 1-23/2 * * 1-5", "15 */6 1,10,20 * *", "0 0 13 * FRI", "45 5 * FEB,MAR *")
 ZONES = ("UTC", "America/New_York", "America/Sao_Paulo", "Asia/Kolkata")
@@ -67,7 +68,7 @@ def due(t: Tables):
 @query("sch_cron_match", f"SELECT event_id, {MATCH} AS matches FROM (SELECT event_id, event_id % 6 AS p, ts AS l FROM events)")
 def cron_match(t):
     df = s.compiled(t.events.withColumn("cron", pick(CRONS, F.col("event_id"))))
-    return df.select("event_id", s.cron_matches(F.col("ts"), F.col("fields")).alias("matches"))
+    return df.select("event_id", s.cron_matches(F.col("ts"), s.fields()).alias("matches"))
 
 
 DST = "2026-03-08 12:00:00"
@@ -103,7 +104,7 @@ AS_ID = "d[1:8] || '-' || d[9:12] || '-5' || d[14:16] || '-' || substr('89ab89ab
 
 @query("sch_tick_rows", f"WITH {DUE}, i AS (SELECT name AS schedule, late, n, {TICK_ID % 'tick_at'} AS d FROM d) SELECT schedule, late, {AS_ID} AS id FROM i")
 def tick_rows(t):
-    rows = s.tick_rows(s.due(crons(t), NOW, cap=500))
+    rows = stored(s.tick_rows(s.due(crons(t), NOW, cap=500)), "ticks")
     half = rows.where("late")  # written by an earlier sweep; inserting again must add nothing
     return writes.ignore_duplicates(half, rows, ["id"]).select("schedule", "late", "id")
 
@@ -126,7 +127,7 @@ def judged(t: Tables, ticks):
 
 @query("sch_forbid_hold", f"WITH {HELD} SELECT name, n, late, held FROM j")
 def forbid_hold(t):
-    return judged(t, s.due(crons(t), NOW)).select("name", "n", "late", "held")
+    return judged(t, stored(s.due(crons(t), NOW), "ticks")).select("name", "n", "late", "held")
 
 
 @query("sch_report", f"""WITH {HELD}, c AS (SELECT name, count(*) FILTER (NOT held AND NOT late) AS emitted, count(*) FILTER (NOT held AND late) AS late, count(*) FILTER (held) AS held FROM j GROUP BY 1),
@@ -134,5 +135,5 @@ def forbid_hold(t):
     SELECT s.name, coalesce(emitted, 0) AS emitted, coalesce(late, 0) AS late, coalesce(held, 0) AS held, coalesce(behind, false) AS behind, NULL::VARCHAR AS error
     FROM s LEFT JOIN c USING (name) LEFT JOIN b USING (name)""")
 def report(t):
-    ticks = s.due(crons(t), NOW)
+    ticks = stored(s.due(crons(t), NOW), "ticks")
     return s.report(crons(t), ticks, judged(t, ticks))

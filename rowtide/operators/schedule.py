@@ -7,15 +7,19 @@ schedules is one projection without a shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowtide.functions.ids import uuid5
 from rowtide.functions.rows import let
+from rowtide.plans.sizes import spread
 
 # The namespace of tick ids, the ticks one sweep resolves per schedule, the days looked ahead.
 TICK_NAMESPACE = "ae72b8e0-46f3-4bba-907c-646629b08839"
 TICKS_PER_SWEEP = 64
 AHEAD_DAYS = 3000
+HALF_HOUR = "Australia/Lord_Howe"  # the one zone that shifts by 30 minutes
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 WEEKDAYS = ("SUN", "MON", "TUE", "WED", "THU", "FRI", "SAT")
 BOUNDS = {"minute": (0, 59), "hour": (0, 23), "day": (1, 31), "month": (1, 12), "weekday": (0, 7)}
@@ -48,23 +52,32 @@ def _named(text: Column, names: tuple[str, ...], base: int) -> Column:
 
 
 def compiled(df: DataFrame, cron: str = "cron") -> DataFrame:
-    """Add `fields` (the value lists of a five-field expression) and `cron_error`."""
+    """Add the value lists of each row's five-field expression (`cron_minute`, …) and `cron_error`.
+
+    Each distinct expression is parsed once and joined back by its text.
+    """
+    parsed = _parsed(df.select(F.col(cron).alias("__cron")).dropna().distinct(), "__cron")
+    return df.join(parsed, df[cron] == parsed["__cron"], "left").drop("__cron")
+
+
+def _parsed(df: DataFrame, cron: str) -> DataFrame:
     parts = F.split(F.trim(cron), r"\s+")
     text = {n: F.get(parts, F.lit(i)) for i, n in enumerate(BOUNDS)}
     text["month"], text["weekday"] = _named(text["month"], MONTHS, 1), _named(text["weekday"], WEEKDAYS, 0)
-    lists = [F.when(F.size(parts) == 5, _values(text[n], *BOUNDS[n])).alias(n) for n in BOUNDS]
-    stars = [(text[n] == "*").alias(f"any_{n}") for n in ("day", "weekday")]
+    lists = {f"cron_{n}": F.when(F.size(parts) == 5, _values(text[n], *BOUNDS[n])) for n in BOUNDS}
+    stars = {f"cron_any_{n}": text[n] == "*" for n in ("day", "weekday")}
     # wild: the hour follows the clock, so a repeated hour fires twice
-    fields = F.struct(*lists, *stars, text["hour"].startswith("*").alias("wild"))
-    out = df.withColumn("fields", fields)
-    bad = F.lit(False)
-    for n in BOUNDS:
-        bad = bad | F.col(f"fields.{n}").isNull()
-    error = F.when(F.col(cron).isNotNull() & bad, F.concat(F.lit("bad cron: "), F.col(cron)))
-    return out.withColumn("cron_error", error)
+    out = df.withColumns({**lists, **stars, "cron_wild": text["hour"].startswith("*")})
+    bad = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in lists])
+    return out.withColumn("cron_error", F.when(bad, F.concat(F.lit("bad cron: "), F.col(cron))))
 
 
-def _day_matches(day: Column, f: Column) -> Column:
+def fields() -> dict[str, Column]:
+    """The compiled columns by name."""
+    return {n: F.col(f"cron_{n}") for n in [*BOUNDS, "any_day", "any_weekday", "wild"]}
+
+
+def _day_matches(day: Column, f: dict[str, Column]) -> Column:
     """Month, and day of month or weekday: when both are restricted either one is enough."""
     dom = F.array_contains(f["day"], F.dayofmonth(day))
     number = F.dayofweek(day) - 1
@@ -73,7 +86,7 @@ def _day_matches(day: Column, f: Column) -> Column:
     return F.array_contains(f["month"], F.month(day)) & either
 
 
-def cron_matches(local: Column, fields: Column) -> Column:
+def cron_matches(local: Column, fields: dict[str, Column]) -> Column:
     """Whether a local wall time is one the expression names."""
     clock = F.array_contains(fields["minute"], F.minute(local)) & F.array_contains(fields["hour"], F.hour(local))
     return clock & _day_matches(F.to_date(local), fields)
@@ -87,7 +100,7 @@ def _local(utc: Column, zone: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), zone, utc)
 
 
-def _occurrences(days: Column, f: Column, zone: Column) -> Column:
+def _occurrences(days: Column, f: dict[str, Column], zone: Column) -> Column:
     """structs (utc, real) of every time the matching days name.
 
     A skipped wall time comes back shifted by the gap and is `real` only if the expression names the
@@ -101,19 +114,23 @@ def _occurrences(days: Column, f: Column, zone: Column) -> Column:
         def instants(p: Column) -> Column:
             back = _local(p["utc"], zone)
             real = F.array_contains(f["hour"], F.hour(back)) & F.array_contains(f["minute"], F.minute(back))
-            again = [
-                F.when(f["wild"] & (_local(p["utc"] + later, zone) == p["local"]), F.struct((p["utc"] + later).alias("utc"), F.lit(True).alias("real")))
-                for later in (F.expr("INTERVAL 30 MINUTE"), F.expr("INTERVAL 60 MINUTE"))
-            ]
-            return F.array_compact(F.array(F.struct(p["utc"].alias("utc"), real.alias("real")), *again))
+            later = p["utc"] + F.make_dt_interval(F.lit(0), F.lit(0), F.when(zone == HALF_HOUR, 30).otherwise(60))
+            again = F.when(f["wild"], F.when(_local(later, zone) == p["local"], F.struct(later.alias("utc"), F.lit(True).alias("real"))))
+            return F.array_compact(F.array(F.struct(p["utc"].alias("utc"), real.alias("real")), again))
 
         return let(F.struct(local.alias("local"), _utc(local, zone).alias("utc")), instants)
 
     times = F.transform(days, lambda d: F.flatten(F.transform(f["hour"], lambda h: F.flatten(F.transform(f["minute"], lambda m: at(d, h, m))))))
-    return F.array_sort(F.array_distinct(F.flatten(times)))
+    return F.flatten(times)
+
+
+def _real(occurrences: Column, after: Column) -> Column:
+    """The sorted instants behind `after` that the calendar has."""
+    kept = F.filter(occurrences, lambda x: x["real"] & (x["utc"] > after))
+    return F.sort_array(F.array_distinct(F.transform(kept, lambda x: x["utc"])))
 
 
-def _days(start: Column, end: Column, f: Column, zone: Column) -> Column:
+def _days(start: Column, end: Column, f: dict[str, Column], zone: Column) -> Column:
     span = F.sequence(F.to_date(_local(start, zone)), F.greatest(F.to_date(_local(end, zone)), F.to_date(_local(start, zone))))
     return F.filter(span, lambda d: _day_matches(d, f))
 
@@ -126,22 +143,22 @@ def due(schedules: DataFrame, now: str, cap: int = TICKS_PER_SWEEP) -> DataFrame
     watermark starts at the horizon. Schedules whose expression is malformed owe nothing here.
     """
     at = F.lit(now).cast("timestamp_ntz")
-    df = compiled(schedules)
-    f, zone, mark = F.col("fields"), F.col("time_zone"), F.col("last_tick_at")
+    df = spread(compiled(schedules), "name")
+    f, zone, mark = fields(), F.col("time_zone"), F.col("last_tick_at")
     horizon = at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("max_lateness_seconds").cast("decimal(18,6)"))
     df = df.withColumn("__horizon", horizon).withColumn("__start", F.greatest(F.col("__horizon"), F.coalesce(mark, F.col("__horizon"))))
     cron = F.col("cron").isNotNull() & F.col("cron_error").isNull()
-    wanted = _occurrences(_days(F.col("__start"), at, f, zone), f, zone)
-    on_time = F.filter(wanted, lambda x: x["real"] & (x["utc"] > F.col("__start")) & (x["utc"] <= at))
+    on_time = _real(_occurrences(_days(F.col("__start"), at, f, zone), f, zone), F.col("__start"))
     # the first occurrence behind the mark lies within the first few matching days
-    early = F.slice(_days(mark, F.col("__horizon"), f, zone), 1, 4)
-    first = F.get(F.filter(_occurrences(early, f, zone), lambda x: x["utc"] > mark), F.lit(0))
-    lost = F.when((mark < F.col("__horizon")) & (first["utc"] < F.col("__horizon")) & first["real"], F.array(first["utc"]))
+    early = F.when(mark < F.col("__horizon"), F.slice(_days(mark, F.col("__horizon"), f, zone), 1, 3))
+    df = df.withColumn("__first", F.array_min(F.filter(_occurrences(early, f, zone), lambda x: x["utc"] > mark)))
+    first = F.col("__first")
+    lost = F.when((first["utc"] < F.col("__horizon")) & first["real"], F.array(first["utc"]))
     owed = (F.col("due_at") <= at) & (mark.isNull() | (mark < F.col("due_at")))
     tick = lambda late: lambda x: F.struct(x.alias("tick_at"), F.lit(late).alias("late"))
     none = F.array().cast("array<struct<tick_at:timestamp_ntz,late:boolean>>")
     by_cron = F.concat(F.coalesce(F.transform(lost, tick(True)), none),
-                       F.transform(F.slice(F.transform(on_time, lambda x: x["utc"]), 1, cap + 1), tick(False)))
+                       F.transform(F.slice(F.filter(on_time, lambda x: x <= at), 1, cap + 1), tick(False)))
     one_shot = F.when(owed, F.transform(F.array("due_at"), tick(False))).otherwise(none)
     ticks = F.when(cron, by_cron).when(F.col("cron").isNull(), one_shot).otherwise(none)
     return df.select("name", F.posexplode(ticks).alias("n", "t")).select("name", "t.tick_at", "t.late", (F.col("n") + 1).alias("n"))
@@ -150,12 +167,14 @@ def due(schedules: DataFrame, now: str, cap: int = TICKS_PER_SWEEP) -> DataFrame
 def next_owed(schedules: DataFrame, now: str) -> DataFrame:
     """(name, next_at): the next instant each schedule owes a runnable tick; null when it owes none."""
     at = F.lit(now).cast("timestamp_ntz")
-    df = compiled(schedules)
-    f, zone, mark = F.col("fields"), F.col("time_zone"), F.col("last_tick_at")
+    df = spread(compiled(schedules), "name")
+    f, zone, mark = fields(), F.col("time_zone"), F.col("last_tick_at")
     horizon = at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("max_lateness_seconds").cast("decimal(18,6)"))
     df = df.withColumn("__from", F.greatest(horizon, F.coalesce(mark, horizon)))
-    ahead = F.slice(_days(F.col("__from"), F.col("__from") + F.make_dt_interval(F.lit(AHEAD_DAYS)), f, zone), 1, 4)
-    found = F.get(F.filter(_occurrences(ahead, f, zone), lambda x: x["real"] & (x["utc"] > F.col("__from"))), F.lit(0))["utc"]
+    until = lambda days: F.slice(_days(F.col("__from"), F.col("__from") + F.make_dt_interval(F.lit(days)), f, zone), 1, 4)
+    # few expressions need a look further than a month ahead
+    df = df.withColumn("__near", until(40)).withColumn("__ahead", F.when(F.size("__near") == 4, F.col("__near")).otherwise(until(AHEAD_DAYS)))
+    found = F.get(_real(_occurrences(F.col("__ahead"), f, zone), F.col("__from")), F.lit(0))
     single = F.when(mark.isNull() | (mark < F.col("due_at")), F.col("due_at"))
     return df.select("name", F.when(F.col("cron").isNull(), single).when(F.col("cron_error").isNull(), found).alias("next_at"))
 

@@ -15,3 +15,11 @@ def rows_within(df: DataFrame, limit: int) -> bool:
 def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; beyond the limit the optimizer shuffles as usual."""
     return F.broadcast(df) if rows_within(df, limit) else df
+
+
+def spread(df: DataFrame, key: str, per_core: int = 4) -> DataFrame:
+    """Deal out rows whose work is far heavier than their bytes: a few tasks per core, whatever the file layout.
+
+    The partition count is explicit, so adaptive execution does not merge the small partitions again.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * per_core, key)
