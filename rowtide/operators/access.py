@@ -62,3 +62,23 @@ def keyed_reach(df: DataFrame, link: str, parents: DataFrame, parent_key: str, s
         .where(F.coalesce(F.col("__seen"), F.lit(False)) | F.coalesce(subject, F.lit(False)))
         .drop("__parent", "__seen")
     )
+
+
+def granted(rows: DataFrame, key: str, owner: Column, user: int, user_grants: DataFrame, group_grants: DataFrame, members: DataFrame, folder: Column | None = None) -> DataFrame:
+    """Rows one user sees, with `ways`: as owner, by an own grant, by a group's grant, or through the folder.
+
+    `user_grants` is (user, key), `group_grants` (grp, key), `members` (user, grp). Grants also name
+    folders; the user's own keys are found first, so no grant of another user is joined with a row.
+    """
+    mine = user_grants.where(F.col("user") == user).select("key", F.lit("user").alias("way"))
+    groups = members.where(F.col("user") == user).select("grp").distinct()
+    shared = group_grants.join(groups, "grp").select("key", F.lit("group").alias("way"))
+    reach = mine.unionByName(shared).distinct()
+    own = rows.where(owner).select(key, F.lit("owner").alias("way"))
+    direct = rows.join(reach, rows[key] == reach["key"]).select(rows[key], "way")
+    ways = own.unionByName(direct)
+    if folder is not None:
+        inside = rows.withColumn("__folder", folder).join(reach, F.col("__folder") == reach["key"])
+        ways = ways.unionByName(inside.select(rows[key], F.lit("folder").alias("way")))
+    counted = ways.distinct().groupBy(key).agg(F.count(F.lit(1)).alias("ways"))
+    return rows.join(counted, key)
