@@ -91,7 +91,7 @@ def by_partition(
     numbered = number_rows(df, [partition], order, "__rn", hot_rows)
     pieces = numbered.withColumn("__piece", F.floor((F.col("__rn") - 1) / rows)).drop("__rn")
 
-    def piece(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def piece(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return partial(pdf.drop(columns="__piece"))
 
     halves = pieces.groupBy(partition, "__piece").applyInPandas(piece, schema)

@@ -63,9 +63,19 @@ def change_log(log: DataFrame, after: int, target: int, pruned: int = 0, limit:
     return entries if limit is None or rows_within(entries, limit) else None
 
 
-def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """Rows of a query the database runs; pass partition options to read in parallel."""
-    return spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
+def jdbc(spark: SparkSession, url: str, query: str, split: tuple[str, str, str, int] | None = None, **options: str) -> DataFrame:
+    """Rows of a query the database runs; `split` (column, lower, upper, parts) reads it in parallel."""
+    reader = spark.read.format("jdbc").options(**jdbc_options(url, query, split), **options)
+    return reader.load()
+
+
+def jdbc_options(url: str, query: str, split: tuple[str, str, str, int] | None = None) -> dict[str, str]:
+    """Reader options: a split read names the query as a derived table, since `query` cannot be split."""
+    if split is None:
+        return {"url": url, "query": query}
+    column, lower, upper, parts = split
+    return {"url": url, "dbtable": f"({query}) AS q", "partitionColumn": column, "lowerBound": lower, "upperBound": upper,
+            "numPartitions": str(parts)}
 
 
 def objects(spark: SparkSession, path: str, glob: str = "*", content: bool = False) -> DataFrame:
