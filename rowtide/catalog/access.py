@@ -31,12 +31,6 @@ def acc_filter(t):
     return r.read(see, "orders", ["o_orderkey"], embeds=[spec]).withColumn("customer", F.to_json("customer"))
 
 
-@query("acc_filter_readers", f"""WITH {SCOPED} SELECT n_name AS reader, c_custkey FROM s JOIN nation ON scope_id IN ('public:', 'nation:' || n_nationkey)""")
-def acc_filter_readers(t):
-    readers = t.nation.withColumn("g", F.array(F.concat(F.lit("nation:"), "n_nationkey")))
-    return a.visible_to_each(scoped(t), a.reader_scopes(readers, "n_name", "g")).select("reader", "c_custkey")
-
-
 @query("acc_write_check", f"WITH {SCOPED} SELECT c_custkey, coalesce(NULLIF(scope_id, 'nation:9') IN ('public:', 'user:7', 'nation:3', 'nation:5'), false) AS accepted FROM s")
 def write_check(t):
     rows = scoped(t).withColumn("scope_id", F.nullif("scope_id", F.lit("nation:9")))

@@ -38,12 +38,6 @@ def scoped_lookup(lookup, scopes: Sequence[str], column: str = "scope_id"):
     return see
 
 
-def visible_to_each(df: DataFrame, scopes: DataFrame, column: str = "scope_id") -> DataFrame:
-    """(reader, row) for many readers: rows joined with each reader's scopes on the scope name."""
-    each = scopes.select("reader", F.explode("scopes").alias("__scope"))
-    return df.join(each, df[column] == each["__scope"]).drop("__scope")
-
-
 def check_write(df: DataFrame, scopes: Sequence[str], column: str = "scope_id") -> DataFrame:
     """Mark each written row `accepted` by the same predicate that reads use; a null scope is refused."""
     return df.withColumn("accepted", F.coalesce(in_reach(scopes, column), F.lit(False)))

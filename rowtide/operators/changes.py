@@ -66,8 +66,8 @@ def apply_no_key(base: DataFrame, log: DataFrame, hot_rows: int = HOT_ROWS) -> D
     same = reduce(lambda a, b: a & b, [F.col(f"b.{c}").eqNullSafe(F.col(f"t.{c}")) for c in cols])
     start = _unless_truncated(base, log)
     untouched = start.alias("b").join(net.select(*cols).alias("t"), same, "left_anti")
-    # every row counts at most once per side, so the shuffle carries distinct rows
-    had = start.groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
+    # copies of touched rows only; a small log is broadcast and the table is not shuffled at all
+    had = start.alias("b").join(net.select(*cols).alias("t"), same, "left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
     joined = net.alias("b").join(had.alias("t"), same, "left").select("b.*", F.coalesce("t.__c", F.lit(0)).alias("__c"))
     left = F.col("__c") + F.col("__s") + F.greatest(F.lit(0), -(F.col("__c") + F.col("__m")))
     changed = joined.select(*cols, left.cast("bigint").alias("__n")).where("__n > 0")

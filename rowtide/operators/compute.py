@@ -114,16 +114,16 @@ def iterate(plan: Callable[[DataFrame], DataFrame], work: Callable[[DataFrame],
 
     spark = SparkSession.getActiveSession()
     answers = spark.createDataFrame([], schema)
-    ran = spark.createDataFrame([], "key string, input string")
+    ran = spark.createDataFrame([], "key string, __input string")
     for _ in range(rounds):
-        jobs = stored(plan(answers), "jobs")
-        if ran.join(jobs, ["key", "input"], "left_anti").take(1):
+        jobs = stored(plan(answers).withColumn("__input", F.sha2("input", 256)), "jobs")
+        if ran.join(jobs.select("key", "__input"), ["key", "__input"], "left_anti").take(1):
             raise ValueError("the plan changed the jobs it was answered")
         fresh = jobs.join(ran.select("key"), "key", "left_anti")
         if not fresh.take(1):
             return finish(answers)
-        answers = stored(answers.unionByName(work(fresh)), "answers")
-        ran = jobs
+        answers = stored(answers.unionByName(work(fresh.drop("__input"))), "answers")
+        ran = jobs.select("key", "__input")
     raise RuntimeError(f"no end after {rounds} rounds")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowtide.functions.rows import canonical_json
 from rowtide.operators.changes import expand, final_ops
-from rowtide.operators.publish import ACTION, actions
+from rowtide.operators.publish import merged
 from rowtide.sources import versions
 
 GLOBAL = ""  # the partition of relations that are not partitioned
@@ -84,14 +84,10 @@ def carry(carrier: DataFrame, log: DataFrame, key: str, projection: Mapping[str,
     written; a truncate removes what the log does not insert again.
     """
     ends = final_ops(log, [key])
-    now = ends.where("op = 'I'").select(F.col(key).cast("string").alias("__key"), *[c.alias(n) for n, c in projection.items()])
-    touched = ends.select(F.col(key).cast("string").alias("__key"), F.lit(True).alias("__touched"))
+    gone = F.col("op") != "I"
+    changes = ends.select(F.col(key).cast("string").alias("__key"), *[F.when(~gone, c).alias(n) for n, c in projection.items()], gone.alias("__gone"))
     cleared = log.where("op = 'T'").agg(F.count(F.lit(1)).alias("n")).scalar() > 0
-    acted = actions(carrier, now, "__key", keep_omitted=True).join(touched, "__key", "left")
-    inserted = now.select("__key", F.lit(True).alias("__now"))
-    acted = acted.join(inserted, "__key", "left")
-    gone = F.col("__now").isNull() & (F.col("__touched").isNotNull() | cleared)
-    return acted.withColumn(ACTION, F.when(gone, "delete").otherwise(F.col(ACTION))).drop("__touched", "__now")
+    return merged(carrier, changes, "__key", F.when(cleared, "delete").otherwise("keep"))
 
 
 def refresh_groups(view: DataFrame, touched: DataFrame, key: Sequence[str], recomputed: DataFrame) -> DataFrame:
@@ -115,14 +111,15 @@ def maintain(view: DataFrame, delta: DataFrame, key: Sequence[str], sums: Mappin
         F.max(F.when(w > 0, F.col(value))).alias("__in"),
         F.max(F.when(w < 0, F.col(value))).alias("__out"),
     )
-    joined = view.join(moved, list(key), "full")
+    # groups that may have lost their maximum: only they are looked up, and only touched groups can be
+    held = view.select(*key, F.col(highest).alias("__held"))
+    lost = moved.join(held, list(key)).where(F.col("__out") >= F.col("__held")).select(*key)
+    found = rows.join(lost, list(key), "left_semi").groupBy(*key).agg(F.max(value).alias("__found"))
+    lost = lost.join(found, list(key), "left").withColumn("__lost", F.lit(True))
+    joined = view.join(moved.join(lost, list(key), "left"), list(key), "full")
     added = {n: F.coalesce(n, F.lit(0)) + F.coalesce(f"__{n}", F.lit(0)) for n in ["total", *sums]}
-    lost = F.coalesce(F.col("__out") >= F.col(highest), F.lit(False))
-    after = joined.withColumns({**added, "__lost": lost, highest: F.greatest(highest, "__in")}).where("total > 0")
-    shape = [*key, "total", *sums, highest]
-    stale = after.where("__lost").drop(highest)
-    found = rows.join(stale.select(*key), list(key), "left_semi").groupBy(*key).agg(F.max(value).alias(highest))
-    return after.where("NOT __lost").select(*shape).unionByName(stale.join(found, list(key)).select(*shape))
+    top = F.when(F.col("__lost"), F.col("__found")).otherwise(F.greatest(highest, "__in"))
+    return joined.withColumns({**added, highest: top}).where("total > 0").select(*key, "total", *sums, highest)
 
 
 def apply_step(state: DataFrame, step: DataFrame, partition: str | None) -> tuple[DataFrame, DataFrame]:

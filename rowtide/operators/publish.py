@@ -49,38 +49,47 @@ def delta_violations(upserts: DataFrame, deletes: DataFrame, key: str = "id") ->
     return ids.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("id").isNull() | (F.col("n") > 1))
 
 
-def actions(sink: DataFrame, output: DataFrame, key: str = "id", keep_omitted: bool = False) -> DataFrame:
-    """Every key with its next row and `action`: insert, update, delete, or keep for an equal or untouched row.
+def merged(sink: DataFrame, changes: DataFrame, key: str, absent: str | Column) -> DataFrame:
+    """Every key with its next row and `action`, by one full outer join of the sink with a change set.
 
-    One full outer join on the key. Columns the output does not supply keep their stored value.
-    `keep_omitted` keeps stored keys the output leaves out (upsert); otherwise they are deleted.
+    `changes` has the key, any of the sink's columns and `__gone`: such a key is deleted if stored.
+    Columns it does not supply keep their stored value, and a stored row equal to its change is kept.
+    `absent` is the action of stored keys without a change.
     """
-    given = [c for c in output.columns if c != key]
+    given = [c for c in changes.columns if c not in (key, "__gone")]
     old = sink.select(F.col(key), *[F.col(c).alias(f"__o_{c}") for c in sink.columns if c != key], F.lit(True).alias("__old"))
-    new = output.select(F.col(key), *[F.col(c).alias(f"__n_{c}") for c in given], F.lit(True).alias("__new"))
+    new = changes.select(F.col(key), *[F.col(c).alias(f"__n_{c}") for c in given], "__gone")
     same = same_values([f"__o_{c}" for c in given], [f"__n_{c}" for c in given])
     what = (
-        F.when(F.col("__old").isNull(), "insert")
-        .when(F.col("__new").isNull(), "keep" if keep_omitted else "delete")
+        F.when(F.col("__gone").isNull(), absent)
+        .when(F.col("__gone"), "delete")
+        .when(F.col("__old").isNull(), "insert")
         .when(same, "keep")
         .otherwise("update")
     )
+    written_ = F.col("__gone").isNotNull() & ~F.col("__gone")
 
     def value(c: str) -> Column:
-        if c not in given:
-            return F.col(f"__o_{c}")
-        return F.when(F.col("__new"), F.col(f"__n_{c}")).otherwise(F.col(f"__o_{c}"))
+        return F.when(written_, F.col(f"__n_{c}")).otherwise(F.col(f"__o_{c}")) if c in given else F.col(f"__o_{c}")
 
     cols = [F.col(key) if c == key else value(c).alias(c) for c in sink.columns]
-    return old.join(new, key, "full").select(*cols, what.alias(ACTION))
+    known = F.col("__old").isNotNull() | ~F.col("__gone")
+    return old.join(new, key, "full").where(known).select(*cols, what.alias(ACTION))
+
+
+def actions(sink: DataFrame, output: DataFrame, key: str = "id", keep_omitted: bool = False) -> DataFrame:
+    """The actions of an output: insert, update, delete, or keep for an equal or untouched row.
+
+    `keep_omitted` keeps stored keys the output leaves out (upsert); otherwise they are deleted.
+    """
+    return merged(sink, output.withColumn("__gone", F.lit(False)), key, F.lit("keep" if keep_omitted else "delete"))
 
 
 def delta_actions(sink: DataFrame, upserts: DataFrame, deletes: DataFrame, key: str = "id") -> DataFrame:
-    """`actions` of a delta: upserts are written, exactly the deleted keys go, the rest stays."""
-    gone = deletes.select(key, F.lit(True).alias("__gone")).distinct()
-    merged = actions(sink, upserts, key, keep_omitted=True).join(gone, key, "left")
-    hit = F.coalesce(F.col("__gone"), F.lit(False)) & (F.col(ACTION) == "keep")
-    return merged.withColumn(ACTION, F.when(hit, "delete").otherwise(F.col(ACTION))).drop("__gone")
+    """The actions of a delta: upserts are written, exactly the deleted keys go, the rest stays."""
+    gone = deletes.select(key).distinct().withColumn("__gone", F.lit(True))
+    changes = upserts.withColumn("__gone", F.lit(False)).unionByName(gone, allowMissingColumns=True)
+    return merged(sink, changes, key, F.lit("keep"))
 
 
 def next_state(acted: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from rowtide.plans.groups import collect_parts
-from rowtide.session import cut
+from rowtide.session import stored
 
 
 def union_all(*parts: DataFrame) -> DataFrame:
@@ -66,11 +66,11 @@ def closure(edges: DataFrame, seeds: DataFrame, source: str = "src", target: str
     Each round follows the edges of newly reached nodes only and stops when none is new, so cycles
     and diamonds end. Rounds are bounded by the longest shortest path.
     """
-    links = edges.select(source, target).dropna().distinct()
-    seen = frontier = cut(seeds.select("node").distinct())
+    links = stored(edges.select(source, target).dropna().distinct())
+    seen = frontier = stored(seeds.select("node").distinct())
     while True:
         reached = frontier.join(links, frontier["node"] == links[source]).select(F.col(target).alias("node")).distinct()
-        frontier = cut(reached.join(seen, "node", "left_anti"))
+        frontier = stored(reached.join(seen, "node", "left_anti"))
         if not frontier.take(1):
             return seen
-        seen = cut(seen.unionByName(frontier))
+        seen = stored(seen.unionByName(frontier))

@@ -169,13 +169,16 @@ def _decimal(c: Column, f: Field) -> Column:
     if f.precision is None or f.scale is None or not (1 <= f.precision <= 38 and 0 <= f.scale <= f.precision):
         raise ValueError("a decimal field has a precision of 1..38 and a scale of 0..precision")
 
-    def text(p: Column) -> Column:
-        plain = F.concat_ws(".", p["whole"], F.nullif(p["fraction"], F.lit("")))
-        digits = F.when(p["whole"] == "0", 0).otherwise(F.length(p["whole"]))
-        fits = (F.length(p["fraction"]) <= f.scale) & (digits <= f.precision - f.scale)
-        return F.when(p["ok"] & fits, F.concat(F.when(p["negative"] & (plain != "0"), "-").otherwise(""), plain))
-
-    return let(_decimal_parts(c), text)
+    def spelled_out(p: Column) -> Column:
+        digits = F.concat_ws(".", p["whole"], F.nullif(p["fraction"], F.lit("")))
+        return F.when(p["ok"], F.concat(F.when(p["negative"], "-").otherwise(""), digits))
+
+    # most values are plain digits and need no placing of the point
+    trimmed = F.regexp_replace(F.regexp_replace(c, r"^(?:\+|(-)?)0*(?=\d)", "$1"), r"\.0*$|(\.\d*[1-9])0+$", "$1")
+    digits = F.when(c.rlike(r"^[+-]?\d+(\.\d*)?$"), trimmed).when(c.rlike(DECIMAL), let(_decimal_parts(c), spelled_out))
+    whole = rf"[1-9]\d{{0,{f.precision - f.scale - 1}}}|0" if f.precision > f.scale else "0"
+    fraction = rf"(\.\d{{1,{f.scale}}})?" if f.scale else ""
+    return let(digits, lambda x: F.when(x == "-0", "0").when(x.rlike(rf"^-?({whole}){fraction}$"), x))
 
 
 def _json(c: Column) -> Column:

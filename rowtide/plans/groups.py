@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rowtide.session import cut
+from rowtide.session import stored
 
 # Rows of one group that a single task may order; the window operator spills well past this.
 HOT_ROWS = 2_000_000
@@ -24,7 +24,7 @@ _SLICE, _CARRY, _HITS = "__slice", "__carry", "__rows"
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
     """(keys, __rows) of the groups above `hot_rows`, or None. At most count(df)/hot_rows rows."""
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_HITS)).where(F.col(_HITS) > hot_rows)
-    return cut(counted) if counted.take(1) else None
+    return stored(counted) if counted.take(1) else None
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -49,7 +49,7 @@ def _slices(rows: DataFrame, keys: Sequence[str], order: Sequence[str], hot: Dat
     spark = rows.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / hot_rows))
     spread = rows.repartitionByRange(width, *[F.col(c) for c in [*keys, *order]])
-    return cut(spread.withColumn(_SLICE, F.spark_partition_id()))
+    return stored(spread.withColumn(_SLICE, F.spark_partition_id()))
 
 
 def running(

@@ -49,14 +49,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` durably and drop its lineage; the result survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write `df` as a parquet table in the shared folder and read it back (columnar, prunable)."""
+    """Write `df` as a parquet table in the shared folder and read it back.
+
+    This drops the lineage and survives lost executors like a checkpoint, but computes the rows only
+    once and keeps them columnar, so later readers take only the columns they need.
+    """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
