@@ -22,7 +22,7 @@ def fenced(log: DataFrame, after: int, target: int) -> DataFrame:
 def _after_truncate(log: DataFrame) -> DataFrame:
     """Row entries behind the last truncate; its position is a scalar subquery."""
     cleared = log.where("op = 'T'").agg(F.max("seq").alias("t")).scalar()
-    return log.where("op <> 'T'").where(cleared.isNull() | (F.col("seq") > cleared))
+    return log.where("op <> 'T'").where(F.col("seq") > F.coalesce(cleared, F.lit(-(2**63))))
 
 
 def _unless_truncated(base: DataFrame, log: DataFrame) -> DataFrame:

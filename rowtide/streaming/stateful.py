@@ -25,6 +25,7 @@ def trace_batches(base: str, reader: str, order: Sequence[str], marker: Column,
     """
 
     def apply(rows: DataFrame, batch: int) -> None:
+        rows = rows.persist()
         kind = rows.schema[reader].dataType.simpleString()
         before = _state(rows, base, batch, f"{reader} {kind}, trace string")
         filled = forward_fill(rows, [reader], order, marker, trace, "trace", hot_rows, unknown=None)
@@ -38,6 +39,7 @@ def trace_batches(base: str, reader: str, order: Sequence[str], marker: Column,
             marks = marks.withColumnRenamed("__new", "trace")
         versions.write_batch(filled.fillna({"trace": ""}), f"{base}/out", batch)
         versions.write_batch(marks, f"{base}/state", batch)
+        rows.unpersist()
 
     return apply
 

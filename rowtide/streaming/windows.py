@@ -40,7 +40,9 @@ def emit(stream: DataFrame, base: str, checkpoint: str, least: int = 2, first_ba
     """
 
     def write(closed: DataFrame, batch: int) -> None:
+        closed = closed.persist()  # read twice below; the stateful stages behind it should run once
         versions.write_batch(keyed_by_window(at_least(closed, least)), base, first_batch + batch)
+        closed.unpersist()
 
     writer = stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
