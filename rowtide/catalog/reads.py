@@ -127,8 +127,8 @@ def prj_defaults(t):
 
 
 @query("prj_query_page", """WITH nxt AS (SELECT * FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 500),
-    sized AS (SELECT *, sum(octet_length(encode(CAST(to_json({o_custkey: o_custkey, o_orderkey: o_orderkey, o_orderpriority: o_orderpriority,
-        o_orderstatus: o_orderstatus}) AS VARCHAR)))) OVER (ORDER BY o_orderkey) AS b FROM nxt)
+    sized AS (SELECT *, 1 + sum(octet_length(encode(CAST(to_json({o_orderkey: o_orderkey, o_custkey: o_custkey, o_orderstatus: o_orderstatus,
+        o_orderpriority: o_orderpriority}) AS VARCHAR))) + 1) OVER (ORDER BY o_orderkey) AS b FROM nxt)
     SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM sized WHERE b <= 20000""")
 def prj_query_page(t):
     return r.key_page(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey", 100, 500, 20000)

@@ -10,8 +10,9 @@ PUBLIC = "public:"
 
 
 def reader_scopes(readers: DataFrame, user: str, granted: str | None = None) -> DataFrame:
-    """(reader, scopes): the public scope, the reader's own and the granted ones; empty names dropped."""
-    own = F.array(F.lit(PUBLIC), F.concat(F.lit("user:"), F.col(user).cast("string")))
+    """(reader, scopes): the public scope, a named reader's own and the granted ones; empty names dropped."""
+    name = F.col(user).cast("string")
+    own = F.array(F.lit(PUBLIC), F.when(name != "", F.concat(F.lit("user:"), name)))
     every = F.array_union(own, F.coalesce(F.col(granted), F.array().cast("array<string>"))) if granted else own
     kept = F.array_distinct(F.filter(every, lambda s: s.isNotNull() & (F.length(s) > 0)))
     return readers.select(F.col(user).alias("reader"), kept.alias("scopes"))

@@ -114,13 +114,15 @@ def missing(child: DataFrame, parent: DataFrame, on: Sequence[tuple[str, str]])
 
 
 def scope_from_parent(child: DataFrame, parent: DataFrame, on: Sequence[tuple[str, str]], scope: str = "scope_id", derived: bool = False) -> DataFrame:
-    """Children take their parent's scope. A row without a parent is dropped when `derived`, else marked a violation."""
+    """Children take their parent's scope, whatever they carried. Without a parent or a scope there a row
+    is dropped when `derived`, else marked a `violation`."""
     cols = [f"__p{i}" for i in range(len(on))]
     scopes = parent.select(*[F.col(p).alias(n) for n, (_, p) in zip(cols, on)], F.col(scope).alias("__scope"))
     match = reduce(lambda a, b: a & b, [child[c] == F.col(n) for n, (c, _) in zip(cols, on)])
-    joined = child.join(scopes, match, "inner" if derived else "left")
-    if not derived:
-        joined = joined.withColumn("violation", F.col(cols[0]).isNull())
+    if derived:
+        joined = child.join(scopes.dropna(subset=["__scope"]), match)
+    else:
+        joined = child.join(scopes, match, "left").withColumn("violation", F.col("__scope").isNull())
     return joined.withColumn(scope, F.col("__scope")).drop(*cols, "__scope")
 
 

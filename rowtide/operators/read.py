@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowtide.plans.groups import collect_parts
 
@@ -250,16 +250,28 @@ def with_defaults(df: DataFrame, defaults: Mapping[str, tuple[str, Any]]) -> Dat
 
 
 def key_page(df: DataFrame, key: str, after: int, rows: int, budget: int) -> DataFrame:
-    """The next rows by unique key after `after`: at most `rows`, and at most `budget` bytes of JSON.
+    """The rows behind `after` by their key: at most `rows`, and at most `budget` bytes as one JSON array.
 
-    The page is cut to `rows` before the byte total is run, so that total covers one page only.
+    Keys are unique whole numbers from 0 to 2^53 - 1. Only the page itself is ordered and sized: it is
+    cut to `rows` + 2 before any byte is counted, the last key delivered included so that a copy of it
+    cannot hide behind a page's end.
     """
-    from pyspark.sql import Window
-
-    nxt = df.where(F.col(key) > after).orderBy(key).limit(rows)
-    text = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    sized = nxt.withColumn("__bytes", F.sum(F.octet_length(text)).over(Window.orderBy(key)))
-    return sized.where(F.col("__bytes") <= budget).drop("__bytes")
+    c = F.col(key)
+    if after < 0 and df.where(c.isNull() | (c < 0) | (c > 2**53 - 1) | (c != F.floor(c))).take(1):
+        raise ValueError(f"{key} must be a non-negative whole number")
+    near = df.where(c >= after).orderBy(key).limit(rows + 2)
+    if near.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
+        raise ValueError(f"{key} must strictly increase")
+    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    so_far = Window.orderBy(key)
+    sized = near.where(c > after).withColumns({
+        "__n": F.row_number().over(so_far),
+        "__bytes": F.lit(1) + F.sum(F.octet_length(text) + 1).over(so_far),
+    })
+    # a first row over the budget cannot be delivered at all
+    over = F.raise_error(F.lit("a row exceeds the page's bytes"))
+    sized = sized.withColumn("__bytes", F.when((F.col("__n") == 1) & (F.col("__bytes") > budget), over).otherwise(F.col("__bytes")))
+    return sized.where((F.col("__n") <= rows) & (F.col("__bytes") <= budget)).drop("__n", "__bytes")
 
 
 def capture_text(df: DataFrame, limit: int = 1 << 20, name: str = "text") -> DataFrame:

@@ -140,3 +140,32 @@ def test_symmetric_difference_counts_copies(spark):
     bag = lambda *v: spark.createDataFrame([(x,) for x in v], "v string")
     assert [tuple(x) for x in sets.symmetric_difference(bag("a", "a", "b"), bag("a", "b")).collect()] == [("a", 1, "left")]
     assert sets.bag_difference(bag("a", "b"), bag("a").where("false")).count() == 2
+
+
+def test_key_pages(spark):
+    df = spark.createDataFrame([(i, "x" * i) for i in (0, 1, 2, 5, 9)], "k long, v string")
+    page = lambda *a: ids(r.key_page(df, "k", *a), "k")
+    assert page(-1, 2, 1000) == [0, 1] and page(1, 10, 1000) == [2, 5, 9]
+    one = len('{"k":0,"v":""}')  # brackets and a comma count too
+    assert page(-1, 5, 2 * one + 1 + 3) == [0, 1] and page(-1, 5, 2 * one + 1 + 2) == [0]
+    with pytest.raises(Exception, match="exceeds"):
+        page(5, 5, 10)
+    with pytest.raises(ValueError, match="increase"):
+        r.key_page(df.unionByName(df), "k", 1, 2, 1000)
+    with pytest.raises(ValueError, match="whole"):
+        r.key_page(df.withColumn("k", F.col("k") - 1), "k", -1, 2, 1000)
+
+
+def test_scopes_come_from_the_parent(spark):
+    from rowtide.operators.joins import scope_from_parent
+
+    parent = spark.createDataFrame([(1, "s1"), (2, None)], "pid int, scope_id string")
+    child = spark.createDataFrame([(10, 1, "own"), (11, 2, None), (12, 3, None)], "id int, p int, scope_id string")
+    out = scope_from_parent(child, parent, [("p", "pid")])
+    assert sorted((x["id"], x["scope_id"], x["violation"]) for x in out.collect()) == [(10, "s1", False), (11, None, True), (12, None, True)]
+    assert ids(scope_from_parent(child, parent, [("p", "pid")], derived=True)) == [10]
+
+
+def test_a_reader_without_a_name_has_only_public_rows(spark):
+    readers = spark.createDataFrame([("u",), ("",), (None,)], "name string")
+    assert sorted((x["scopes"] for x in access.reader_scopes(readers, "name").collect()), key=len) == [["public:"], ["public:"], ["public:", "user:u"]]
