@@ -30,6 +30,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def interval_micros(text: str) -> Column:
+    """A day-time interval, given as SQL text, as whole microseconds."""
+    text = f"CAST({text} AS INTERVAL DAY TO SECOND)"
+    parts = (("DAY", 86_400_000_000), ("HOUR", 3_600_000_000), ("MINUTE", 60_000_000))
+    whole = " + ".join(f"extract({unit} FROM {text}) * {size}L" for unit, size in parts)
+    return F.expr(f"{whole} + CAST(extract(SECOND FROM {text}) * 1000000 AS BIGINT)")
+
+
+def micros(df: DataFrame, column: str) -> Column:
+    """A timestamp column as whole microseconds, in an order no session time zone changes."""
+    if df.schema[column].dataType.simpleString() == "timestamp_ntz":
+        return interval_micros(f"(`{column}` - TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    return F.unix_micros(column)
+
+
 def canonical_json(columns: Sequence[str]) -> Column:
     """A row's JSON with its fields in name order, nulls kept."""
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from rowtide.functions.ids import content_key
+from rowtide.functions.rows import micros
 from rowtide.operators import publish
-from rowtide.plans.groups import HOT_ROWS, collect_parts, number_rows, running
+from rowtide.plans.groups import HOT_ROWS, collect_parts, hot_groups, number_rows, running, split_hot
 from rowtide.session import stored
 
 Tables = Mapping[str, DataFrame]
@@ -84,18 +85,24 @@ def by_partition(
     rows: int = 1_000_000,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """A pure calculation per partition: `partial` over up to `rows` ordered rows, then `merge` over its results.
+    """A pure calculation per partition. A partition of up to `rows` rows is one call of `partial`.
 
-    Both give `schema`. A partition of more rows than fit a task is calculated piece by piece.
+    A larger one is cut into ordered pieces of `rows`, and `merge` combines its pieces' results. Both
+    give `schema`, and merging one result gives that result.
     """
-    numbered = number_rows(df, [partition], order, "__rn", hot_rows)
+    large = hot_groups(df, [partition], rows)
+    if large is None:
+        return df.groupBy(partition).applyInPandas(partial, schema)
+    small, big = split_hot(df, [partition], large)
+    numbered = number_rows(big, [partition], order, "__rn", hot_rows)
     pieces = numbered.withColumn("__piece", F.floor((F.col("__rn") - 1) / rows)).drop("__rn")
 
     def piece(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return partial(pdf.drop(columns="__piece"))
 
     halves = pieces.groupBy(partition, "__piece").applyInPandas(piece, schema)
-    return halves.groupBy(partition).applyInPandas(merge, schema)
+    merged = halves.groupBy(partition).applyInPandas(merge, schema)
+    return small.groupBy(partition).applyInPandas(partial, schema).unionByName(merged)
 
 
 def changed_only(df: DataFrame, partition: Column, changed: DataFrame, name: str = "__partition") -> DataFrame:
@@ -149,7 +156,7 @@ def conflicts(answers: DataFrame) -> DataFrame:
 
 def evicted(cache: DataFrame, entries: int = CACHE_ENTRIES, size: int = CACHE_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The cache cut to its most recently used answers within both limits."""
-    aged = cache.withColumns({"__age": -F.unix_micros(F.col("accessed").cast("timestamp")), "__bytes": F.octet_length("answer").cast("bigint") + 128})
+    aged = cache.withColumns({"__age": -micros(cache, "accessed"), "__bytes": F.octet_length("answer").cast("bigint") + 128})
     aged = aged.withColumn("__back", F.reverse("key"))  # a tie-break that is fixed and spreads over slices
     ranked = running(aged, [], ["__age", "__back"], "__n", "count", hot_rows=hot_rows)
     sized = running(ranked, [], ["__age", "__back"], "__total", "sum", "__bytes", hot_rows)

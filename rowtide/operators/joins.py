@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rowtide.functions.rows import micros
 from rowtide.plans.groups import HOT_ROWS, running
 
 
@@ -71,13 +72,13 @@ def in_interval(points: DataFrame, at: str, intervals: DataFrame, start: str, en
     An interval is copied once per bucket it touches; choose a width near the usual interval length.
     """
 
-    def bucket(c: Column) -> Column:
-        return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(width_seconds * 1_000_000)).cast("bigint")
+    def bucket(df: DataFrame, column: str) -> Column:
+        return F.floor(micros(df, column) / F.lit(width_seconds * 1_000_000)).cast("bigint")
 
     spread = intervals.where(F.col(start) < F.col(end)).withColumn(
-        "__bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end))))
+        "__bucket", F.explode(F.sequence(bucket(intervals, start), bucket(intervals, end)))
     )
-    keyed = points.withColumn("__at_bucket", bucket(F.col(at)))
+    keyed = points.withColumn("__at_bucket", bucket(points, at))
     match = (keyed["__at_bucket"] == spread["__bucket"]) & (keyed[at] >= spread[start]) & (keyed[at] < spread[end])
     return keyed.join(spread, match).drop("__bucket", "__at_bucket")
 

@@ -143,7 +143,7 @@ def due(schedules: DataFrame, now: str, cap: int = TICKS_PER_SWEEP) -> DataFrame
     watermark starts at the horizon. Schedules whose expression is malformed owe nothing here.
     """
     at = F.lit(now).cast("timestamp_ntz")
-    df = spread(compiled(schedules), "name")
+    df = spread(compiled(schedules), "name", schedules.count())
     f, zone, mark = fields(), F.col("time_zone"), F.col("last_tick_at")
     horizon = at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("max_lateness_seconds").cast("decimal(18,6)"))
     df = df.withColumn("__horizon", horizon).withColumn("__start", F.greatest(F.col("__horizon"), F.coalesce(mark, F.col("__horizon"))))
@@ -167,7 +167,7 @@ def due(schedules: DataFrame, now: str, cap: int = TICKS_PER_SWEEP) -> DataFrame
 def next_owed(schedules: DataFrame, now: str) -> DataFrame:
     """(name, next_at): the next instant each schedule owes a runnable tick; null when it owes none."""
     at = F.lit(now).cast("timestamp_ntz")
-    df = spread(compiled(schedules), "name")
+    df = spread(compiled(schedules), "name", schedules.count())
     f, zone, mark = fields(), F.col("time_zone"), F.col("last_tick_at")
     horizon = at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("max_lateness_seconds").cast("decimal(18,6)"))
     df = df.withColumn("__from", F.greatest(horizon, F.coalesce(mark, horizon)))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType, StructType
 
-from rowtide.functions.rows import let
+from rowtide.functions.rows import interval_micros, let
 
 ERRORS = "_errors"
 
@@ -307,7 +307,7 @@ def project_lossless(df: DataFrame, fields: Mapping[str, str]) -> DataFrame:
         if kind == "duration":
             if "year" in physical or "month" in physical:
                 raise TypeError(f"{name}: a duration cannot contain calendar months or years")
-            micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2000-01-01', TIMESTAMP_NTZ'2000-01-01' + `{name}`)")
+            micros = interval_micros(f"`{name}`")
             seconds = (micros.cast("decimal(20,0)") / 1_000_000).cast("decimal(38,6)")
             return F.when(micros < 0, F.raise_error(F.lit("duration cannot be negative"))).otherwise(duration_text(seconds))
         return None

@@ -107,3 +107,15 @@ def test_eviction_hot(spark):
 def test_size_checks_read_no_more_than_they_need(spark):
     df = spark.range(100)
     assert rows_within(df, 100) and not rows_within(df, 99)
+
+
+def test_intervals_do_not_depend_on_the_session_zone(spark):
+    points = spark.range(0, 24 * 4).select(F.expr("TIMESTAMP_NTZ'2026-03-08 00:00:00' + make_dt_interval(0, 0, id * 15)").alias("at"), "id")
+    spans = spark.range(0, 12).select(F.expr("TIMESTAMP_NTZ'2026-03-08 00:00:00' + make_dt_interval(0, id * 2, 30)").alias("lo"))
+    spans = spans.withColumn("hi", F.expr("lo + INTERVAL 100 MINUTE"))
+    want = rows(points.join(spans, (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert rows(joins.in_interval(points, "at", spans, "lo", "hi", 1800)) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
