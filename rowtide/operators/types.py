@@ -100,7 +100,9 @@ def _stamp(c: Column) -> Column:
         whole = F.concat(F.substring(at, 1, 10), F.lit("T"), F.substring(at, 12, 8), F.lit("."), p["micros"], F.lit("Z"))
         return F.when(F.year(p["utc"]).between(1, 9999), whole)
 
-    return F.when(c.rlike(STAMP), let(let(read, shifted), text))
+    # a canonical value only needs its date checked
+    ready = c.rlike(r"^\d{4}-\d\d-\d\dT([01]\d|2[0-3]):[0-5]\d:[0-5]\d\.\d{6}Z$")
+    return F.when(ready, F.when(_date(F.substring(c, 1, 10)).isNotNull(), c)).when(c.rlike(STAMP), let(let(read, shifted), text))
 
 
 def stamp_text(c: Column) -> Column:
@@ -137,7 +139,9 @@ def duration_text(seconds: Column) -> Column:
 def _duration(c: Column, source: str) -> Column:
     if source == "protojson":
         c = F.regexp_replace(c, "^([0-9.]+)s$", "PT$1S")
-    return let(duration_seconds(c), lambda s: F.when(s <= MAX_DURATION_SECONDS, duration_text(s)))
+    ready = c.rlike(r"^PT(0|[1-9]\d{0,10})(\.\d{0,5}[1-9])?S$")  # canonical and below the limit
+    read = let(duration_seconds(c), lambda s: F.when(s <= MAX_DURATION_SECONDS, duration_text(s)))
+    return F.when(ready, c).otherwise(read)
 
 
 def _decimal_parts(c: Column) -> Column:
@@ -341,7 +345,9 @@ def compare(a: Column, b: Column, kind: str) -> Column:
     if kind in ("json", "geojson"):
         raise TypeError(f"{kind} has no order")
     if kind == "decimal":
-        return let(F.struct(_decimal_parts(a).alias("a"), _decimal_parts(b).alias("b")), lambda p: _by_value(p["a"], p["b"]))
+        short, exact = r"^-?\d{1,20}(\.\d{1,18})?$", "decimal(38,18)"  # text a decimal holds exactly
+        digits = let(F.struct(_decimal_parts(a).alias("a"), _decimal_parts(b).alias("b")), lambda p: _by_value(p["a"], p["b"]))
+        return F.when(a.rlike(short) & b.rlike(short), _three_way(a.try_cast(exact), b.try_cast(exact))).otherwise(digits)
     if kind == "duration":
         return _three_way(duration_seconds(a), duration_seconds(b))
     typed = {"int64": "bigint", "int32": "int", "double": "double", "bool": "boolean"}.get(kind, "string")
