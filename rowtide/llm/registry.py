@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import decontamination
+from rowtide.llm import decontamination, packing, tokencounts
+
+#: The rank file of byte_bpe_50k.json: the same vocabulary and ids.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,6 +34,17 @@ def op1_decontamination(spark, sf_dir):
     )
 
 
+@query
+def op3_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), RANKS)
+
+
+@query
+def op5_token_counts(spark, sf_dir):
+    counts = tokencounts.count_tokens(table(spark, sf_dir, "documents"), RANKS)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
