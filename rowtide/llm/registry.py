@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import decontamination, packing, tokencounts
+from rowtide.llm import decontamination, languages, packing, tokencounts, toxicity
 
 #: The rank file of byte_bpe_50k.json: the same vocabulary and ids.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,6 +39,25 @@ def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), RANKS)
 
 
+def fold(n: int, id: str = "doc_id"):
+    """crc32 of the id as text, modulo n; 0 for a null id."""
+    return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % n, F.lit(0))
+
+
+@query
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = languages.fit(docs.where(fold(4) != 2))
+    return languages.identify(docs, model).withColumn("held_out", fold(4) == 2)
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
+    return toxicity.detect(docs, model).withColumn("held_out", fold(5) == 0)
+
+
 @query
 def op5_token_counts(spark, sf_dir):
     counts = tokencounts.count_tokens(table(spark, sf_dir, "documents"), RANKS)
