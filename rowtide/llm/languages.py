@@ -90,18 +90,22 @@ def margins(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.nd
 
 
 def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a logistic curve through margins x and signs y, by Newton steps with a small penalty."""
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g, h = weight * (p - (y > 0)), weight * p * (1 - p)
-        grad = np.array([g @ x + 1e-3 * a, g.sum() + 1e-3 * b])
-        hess = np.array([[h @ (x * x) + 1e-3, h @ x], [h @ x, h.sum() + 1e-3]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-6:
+    """Scale and shift of a logistic curve through margins x and signs y, by damped Newton steps with a small penalty."""
+    design = np.stack([x, np.ones(len(x))], 1)
+    sign = np.where(y > 0, 1.0, -1.0)
+    loss = lambda w: weight @ np.logaddexp(0, -sign * (design @ w)) + 0.05 * (w @ w)
+    w = np.zeros(2)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        grad = design.T @ (weight * (p - (sign > 0))) + 0.1 * w
+        hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(2)
+        step, size, now = np.linalg.solve(hess, grad), 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-6:
             break
-    return float(a), float(b)
+    return float(w[0]), float(w[1])
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:

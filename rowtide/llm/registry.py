@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import decontamination, languages, packing, tokencounts, toxicity
+from rowtide.llm import decontamination, languages, licenses, packing, tokencounts, toxicity
 
 #: The rank file of byte_bpe_50k.json: the same vocabulary and ids.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -34,6 +34,20 @@ def op1_decontamination(spark, sf_dir):
     )
 
 
+@query
+def op2_license_scan(spark, sf_dir):
+    found = licenses.detect(table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["rule"].startswith("phrase "))
+    every = F.concat(F.transform("base", lambda m: m["label"]), F.transform("licenses", lambda m: m["label"]))
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.withColumn("base", base).select(
+        "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(F.transform("base", lambda m: m["first_word"])).alias("first_word"), F.array_max(F.transform("base", lambda m: m["first_word"])).alias("last_word"),
+        joined(F.transform("base", lambda m: m["label"])).alias("base_labels"), joined(every).alias("labels"),
+        F.coalesce(F.array_max(F.transform("licenses", lambda m: m["confidence"])), F.lit(0.0)).alias("score"),
+    )
+
+
 @query
 def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), RANKS)

@@ -1,7 +1,8 @@
 """Toxic passages by maximum-scoring segments.
 
-Learning: in a bounded sample of labelled documents each word and each word beginning of 4, 5 and 6 bytes is counted
-by the number of toxic and clean documents that have it. Its score is the log-odds ratio under a Dirichlet prior in proportion to
+Learning: in a bounded sample of labelled documents each word is counted by the number of toxic and clean documents that
+have it, and each word beginning of 4, 5 and 6 bytes by the sums of its words without the most toxic one, so that
+a beginning counts only where it is a stem of several. The score is the log-odds ratio under a Dirichlet prior in proportion to
 the corpus; it enters the lexicon if the ratio and its z-value are large. A word scores as its best entry, any other word
 costs `DRIFT`, so that a text's expected score falls.
 
@@ -125,18 +126,12 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             coded = found.dictionary_encode()
             codes = coded.indices.to_numpy()
             doc = np.repeat(np.arange(block.num_rows), np.diff(first))
-            for kind in _entries(coded.dictionary):
-                own = kind.dictionary_encode()
-                size = len(own.dictionary)
-                if not size:
-                    continue
-                of = pc.fill_null(own.indices, -1).to_numpy().astype(np.int64)[codes]
-                pairs = np.unique((doc * size + of)[of >= 0])
-                d, e = np.divmod(pairs, size)
-                n1 = np.bincount(e, weights=y[d], minlength=size).astype(np.int64)
-                n = np.bincount(e, minlength=size)
-                pending.append(pa.table({"w": own.dictionary, "n1": n1, "n0": n - n1}))
-                rows_ += size
+            size = max(1, len(coded.dictionary))
+            d, e = np.divmod(np.unique(doc * size + codes), size)
+            n1 = np.bincount(e, weights=y[d], minlength=len(coded.dictionary)).astype(np.int64)
+            n = np.bincount(e, minlength=len(coded.dictionary))
+            pending.append(pa.table({"w": coded.dictionary, "n1": n1, "n0": n - n1}))
+            rows_ += size
             if rows_ > 400_000:
                 table = flush()
                 pending, rows_ = [table], len(table)
@@ -147,12 +142,18 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             yield from flush().to_batches()
 
     n1, n0 = min(have.get(1, 0), sample[1]), min(have.get(0, 0), sample[0])
-    lexicon = rows.mapInArrow(count, "w binary, n1 bigint, n0 bigint").groupBy("w").agg(F.sum("n1").cast("double").alias("n1"), F.sum("n0").cast("double").alias("n0"))
+    words = stored(rows.mapInArrow(count, "w binary, n1 bigint, n0 bigint").groupBy("w").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "toxic-words")
+    lexicon = words
+    for k in PREFIXES:  # a beginning counts what it adds to its most toxic word
+        start = F.concat(F.substring("w", 1, k), F.lit(b"*")).alias("w")
+        rest = [(F.sum(n) - F.max_by(n, F.struct("n1", "w"))).alias(n) for n in ("n1", "n0")]
+        lexicon = lexicon.unionByName(words.where(F.octet_length("w") > k).groupBy(start).agg(*rest))
     a = PRIOR * (F.col("n1") + F.col("n0"))
     total = PRIOR * (n1 + n0)
-    odds = lambda y, n: F.log((y + a) / F.greatest(F.lit(n + total) - y - a, F.lit(0.5)))
+    lexicon = lexicon.where("n1 > 0")
+    rate = lambda y, n: F.log((y + a) / F.lit(n + total))
     z = F.col("s") / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-    lexicon = lexicon.withColumn("s", odds(F.col("n1"), n1) - odds(F.col("n0"), n0)).where((F.col("s") >= LEAST_RATIO) & (z >= LEAST_Z))
+    lexicon = lexicon.withColumn("s", rate(F.col("n1"), n1) - rate(F.col("n0"), n0)).where((F.col("s") >= LEAST_RATIO) & (z >= LEAST_Z))
     table = lexicon.select("w", "s").toArrow()  # words of at least 10 or so documents of the sample
     entries, scores = pa.array(table["w"].to_pylist(), pa.binary()), table["s"].to_numpy()
 
