@@ -117,6 +117,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
         return Model([], codewords(0), np.zeros((_SIZE + 1, 0)), *(np.zeros(0),) * 3)
     share = sizes.select("l", (F.lit(float(sample)) / k / F.col("n")).alias("share"))
     place = F.pmod(F.xxhash64("t", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    if k <= 10_000:  # a row for each language
+        share = F.broadcast(share)
     chosen = rows.join(share, "l").where(place < F.col("share")).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
