@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import decontamination, languages, licenses, packing, simhash, tokencounts, toxicity
+from rowtide.llm import decontamination, html, languages, licenses, packing, simhash, tokencounts, toxicity
 
 #: The rank file of byte_bpe_50k.json: the same vocabulary and ids.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -84,6 +84,11 @@ def op9_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op10_html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"), keep=["url"])
+
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
