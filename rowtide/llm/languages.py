@@ -6,8 +6,8 @@ all bits come from one count table. Decoding adds, for every language, the bits'
 codeword, weighted by how well each bit does on the training sample; the smallest sum wins. A runner-up that is
 close marks the text as ambiguous.
 
-Training takes a sample of at most about `sample` rows, the same number from each language where there are as many, by a
-hash of their text; whole texts are counted in tasks and only (language, n-gram bucket) sums come to the driver.
+Training takes a sample of at most about `sample` rows, the same number from each language where there are as many, drawn
+with a fixed seed; whole texts are counted in tasks and only (language, n-gram bucket) sums come to the driver.
 Prediction is one pass without a shuffle.
 """
 
@@ -116,10 +116,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     if not k:
         return Model([], codewords(0), np.zeros((_SIZE + 1, 0)), *(np.zeros(0),) * 3)
     share = sizes.select("l", (F.lit(float(sample)) / k / F.col("n")).alias("share"))
-    place = F.pmod(F.xxhash64("t", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     if k <= 10_000:  # a row for each language
         share = F.broadcast(share)
-    chosen = rows.join(share, "l").where(place < F.col("share")).select("l", "t")
+    chosen = rows.join(share, "l").where(F.rand(17) < F.col("share")).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -29,9 +29,9 @@ SHARD_ROWS, QUERY_BLOCK = 8192, 4096
 class Shape:
     """Out-edges of a point, beam widths of building and search, pruning factor, points expanded in one step."""
 
-    degree: int = 24
-    build_beam: int = 48
-    search_beam: int = 160
+    degree: int = 32
+    build_beam: int = 64
+    search_beam: int = 200
     alpha: float = 1.2
     expand: int = 4
     seed: int = 11

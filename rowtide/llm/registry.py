@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import decontamination, html, languages, licenses, neighbours, packing, simhash, tokencounts, toxicity
+from rowtide.llm import decontamination, html, languages, licenses, logbilinear, neighbours, packing, simhash, tokencounts, toxicity
 
 #: The rank file of byte_bpe_50k.json: the same vocabulary and ids.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,6 +70,12 @@ def op6_nearest_neighbours(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+@query
+def op7_logbilinear_lm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return logbilinear.score(docs, fold(10) != 0).withColumn("held_out", fold(10) == 0)
+
+
 @query
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
