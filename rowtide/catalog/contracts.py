@@ -18,7 +18,7 @@ def spelled(t: Tables):
         F.concat(F.lit("+0"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("00")).alias("price"),
         F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 23:30:00.5"), F.when(k % 13 == 0, "").otherwise("-0130")).alias("at"),
         F.concat(F.lit("PT"), (k % 50).cast("string"), F.lit("H"), (k % 60).cast("string"), F.lit("M1.50S")).alias("wait"),
-        F.upper(F.concat(F.lit("8c1f3a56-7e0b-4e3d-9c62-"), F.lpad(F.hex(k), 12, "0"))).alias("id"),
+        F.upper(F.concat(F.lit("41d7be09-25fa-4c83-b16e-"), F.lpad(F.hex(k), 12, "0"))).alias("id"),
         F.when(F.col("o_orderstatus") == "F", "t").when(F.col("o_orderstatus") == "O", "f").otherwise("maybe").alias("done"),
     )
 
@@ -31,7 +31,7 @@ FIELDS = {"n": Field("int64"), "price": Field("decimal", 12, 2), "at": Field("ti
     regexp_replace(regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '0+$', ''), '[.]$', '') AS price,
     CASE WHEN o_orderkey % 13 <> 0 THEN strftime(o_orderdate + INTERVAL 25 HOUR, '%Y-%m-%dT%H:%M:%S') || '.500000Z' END AS at,
     'PT' || ((o_orderkey % 50) * 3600 + (o_orderkey % 60) * 60 + 1) || '.5S' AS wait,
-    '8c1f3a56-7e0b-4e3d-9c62-' || lpad(lower(to_hex(o_orderkey)), 12, '0') AS id,
+    '41d7be09-25fa-4c83-b16e-' || lpad(lower(to_hex(o_orderkey)), 12, '0') AS id,
     CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS done,
     array_to_string(list_filter([CASE WHEN o_orderkey % 11 = 0 THEN 'n' END, CASE WHEN o_orderkey % 13 = 0 THEN 'at' END,
         CASE WHEN o_orderstatus = 'P' THEN 'done' END], lambda x: x IS NOT NULL), ',') AS _errors FROM orders""")

@@ -21,6 +21,6 @@ def seed(name: Column) -> Column:
 
 
 def content_key(*parts: Column) -> Column:
-    """A key for an exact input: the SHA-256 over length-prefixed parts, so no two inputs share one text."""
-    framed = [F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts]
+    """A key for an exact input: the SHA-256 over length-prefixed parts, so no two inputs share one text; null is a part of its own."""
+    framed = [F.coalesce(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p), F.lit("-:")) for p in parts]
     return F.sha2(F.concat(*framed), 256)

@@ -137,8 +137,11 @@ def iterate(plan: Callable[[DataFrame], DataFrame], work: Callable[[DataFrame],
 def cached(jobs: DataFrame, cache: DataFrame, work: Callable[[DataFrame], DataFrame], now: Column) -> tuple[DataFrame, DataFrame]:
     """(answers of all jobs, next cache): equal (code, command, input) is computed once, known answers not at all.
 
-    `jobs` has `code`, `command` and `input`; `cache` is (key, answer, accessed); `work` adds `answer`.
+    `jobs` has `code`, `command` and `input`, each may be null; `cache` is (key, answer, accessed); `work` adds `answer`.
+    A cache that answers one key in different ways is refused.
     """
+    if split := conflicts(cache).take(1):
+        raise ValueError(f"the cache holds {split[0]['answers']} answers of {split[0]['key']}")
     keyed = jobs.withColumn("key", content_key(F.col("code"), F.col("command"), F.col("input")))
     wanted = keyed.select("key", "code", "command", "input").dropDuplicates(["key"])
     misses = wanted.join(cache.select("key"), "key", "left_anti")
@@ -146,7 +149,7 @@ def cached(jobs: DataFrame, cache: DataFrame, work: Callable[[DataFrame], DataFr
     hits = cache.join(wanted.select("key", F.lit(True).alias("__hit")), "key", "left")
     touched = hits.withColumn("accessed", F.when(F.col("__hit"), now).otherwise(F.col("accessed"))).drop("__hit")
     store = touched.unionByName(fresh.withColumn("accessed", now))
-    return keyed.join(store.select("key", "answer"), "key"), store
+    return keyed.join(store.select("key", "answer").dropDuplicates(["key"]), "key"), store
 
 
 def conflicts(answers: DataFrame) -> DataFrame:

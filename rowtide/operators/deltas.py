@@ -73,8 +73,11 @@ def acknowledge(base: str, capture_id: int, delta: DataFrame) -> None:
 
 
 def baseline(spark: SparkSession, base: str, schema: str) -> DataFrame:
-    """Everything acknowledged so far, as net weights."""
-    return net(versions.read_batches(spark, base, schema).drop("batch"))
+    """Everything acknowledged so far, as net weights; a row removed more often than added is refused."""
+    known = net(versions.read_batches(spark, base, schema).drop("batch"))
+    if known.where("weight < 0").take(1):
+        raise ValueError("a captured row has a negative weight")
+    return known
 
 
 def carry(carrier: DataFrame, log: DataFrame, key: str, projection: Mapping[str, Column]) -> DataFrame:

@@ -40,8 +40,13 @@ def asof_left(
     """Each left row with the latest right row of its key at or before it (before it when `strict`).
 
     Both sides are stacked and the last right row is carried forward in time order, so every row is
-    shuffled once and no pair of rows is formed. Rows whose key is null match nothing.
+    shuffled once and no pair of rows is formed. Rows whose key or time is null match nothing and
+    are not shuffled.
     """
+    whole = F.col(left_at).isNotNull()
+    for c in on:
+        whole = whole & F.col(c).isNotNull()
+    alone, left, right = left.where(~whole), left.where(whole), right.dropna(subset=[*on, right_at])
     keys = [f"__k{i}" for i in range(len(on))]
     empty = F.lit(None).cast(right.schema.simpleString())
     stack = left.select(
@@ -49,14 +54,15 @@ def asof_left(
         F.col(left_at).alias("__at"), F.lit(0 if strict else 1).alias("__side"), F.col(left_id).alias("__id"),
         F.struct(*left.columns).alias("__left"), empty.alias("__right"),
     ).unionByName(
-        right.dropna(subset=list(on)).select(
+        right.select(
             *[F.col(c).alias(k) for c, k in zip(on, keys)],
             F.col(right_at).alias("__at"), F.lit(1 if strict else 0).alias("__side"), F.col(right_id).alias("__id"),
             F.lit(None).cast(left.schema.simpleString()).alias("__left"), F.struct(*right.columns).alias("__right"),
         )
     )
     filled = running(stack, keys, ["__at", "__side", "__id"], "__last", "last", "__right", hot_rows)
-    return filled.where(F.col("__left").isNotNull()).select("__left.*", F.col("__last").alias(match))
+    matched = filled.where(F.col("__left").isNotNull()).select("__left.*", F.col("__last").alias(match))
+    return matched.unionByName(alone.withColumn(match, empty))
 
 
 def either_key(left: DataFrame, right: DataFrame, key: str, first: str, second: str) -> DataFrame:

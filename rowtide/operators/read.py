@@ -70,7 +70,7 @@ def _simple(c: Column, op: str, value: Any, negate: bool) -> Column:
     if op == "in":
         return c.isin(*value) if value else F.lit(False)
     if op == "any":
-        return F.lit(None).cast("boolean") if value is None else F.array_contains(F.array(*map(F.lit, value)), c)
+        return F.lit(None).cast("boolean") if value is None else c.isin(*value) if value else F.when(c.isNotNull(), F.lit(False))
     if op == "plfts":
         return text_match(c, value)
     raise ValueError(f"unsupported operator {op}")
@@ -128,8 +128,8 @@ def order_term(term: str) -> Column:
 
 
 def page(df: DataFrame, order: Sequence[str], limit: int | None = None, offset: int = 0) -> DataFrame:
-    """Ordered rows after `offset`, at most `limit`."""
-    df = order_by(df, *order)
+    """Ordered rows after `offset`, at most `limit`; without an order any such rows."""
+    df = order_by(df, *order) if order else df
     if offset:
         df = df.offset(offset)
     return df if limit is None else df.limit(limit)
@@ -197,6 +197,18 @@ def embed(parent: DataFrame, spec: Embed, lookup: Lookup, depth: int = 1) -> Dat
     )
 
 
+def reached(parent: DataFrame, specs: Sequence[Embed], lookup: Lookup) -> DataFrame:
+    """The rows of `parent` that have a child under every inner relation."""
+    for spec in specs:
+        if spec.inner:
+            child = reached(where(lookup(spec.table), spec.where), spec.embeds, lookup)
+            links = [f"__on{i}" for i in range(len(spec.on))]
+            keys = child.select(*[F.col(c).alias(n) for n, (_, c) in zip(links, spec.on)])
+            match = reduce(lambda a, b: a & b, [parent[p] == F.col(n) for n, (p, _) in zip(links, spec.on)])
+            parent = parent.join(keys, match, "left_semi")
+    return parent
+
+
 def _terms(columns: Sequence[str], extra: Sequence[str], child: DataFrame, shown: DataFrame) -> list[tuple[str, str]]:
     terms: list[str] = []
     for t in columns:
@@ -224,12 +236,21 @@ def read(
     limit: int | None = None,
     offset: int = 0,
 ) -> DataFrame:
-    """One declarative read. `lookup` gives each table as the reader may see it."""
+    """One declarative read. `lookup` gives each table as the reader may see it.
+
+    A page counts rows of `table` that all inner embeds reach; each comes with all parts of its children.
+    """
     df = where(lookup(table), filters)
+    paged = limit is not None or bool(offset)
+    own = all(t.split(".")[0] in df.columns for t in order)
+    if paged and own:
+        df = page(reached(df, embeds, lookup), order, limit, offset)
     for e in embeds:
         df = embed(df, e, lookup)
-    if order:
+    if paged and not own:
         df = page(df, order, limit, offset)
+    elif order:
+        df = order_by(df, *order)
     extra = [n for e in embeds for n in ([e.key, f"{e.key}_part"] if e.many else [e.key])]
     return select(df, columns if "*" in columns else [*columns, *extra])
 

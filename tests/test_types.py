@@ -5,17 +5,17 @@ from rowtide.operators import types as ty, validate as v
 from rowtide.operators.types import Field
 
 ROW = {
-    "string": "São Paulo 🌎", "bool": "true", "int32": "-2147483648", "int64": "9223372036854775807", "double": "1.5", "bytes": "AP+AQQ==",
-    "uuid": "8c1f3a56-7e0b-4e3d-9c62-6a6fcb7b4a5e", "timestamp": "2026-09-21T11:00:00.123456Z", "date": "0001-01-01", "time": "23:59:59.123456",
-    "timezone": "America/Sao_Paulo", "duration": "PT262923.123456S", "decimal": "12345678901234567890123456789012.123456",
-    "json": '{"a":[1,"x",null,true]}', "geojson": '{"type":"Polygon","coordinates":[[[-46,-23],[-45,-23],[-45,-22],[-46,-23]]]}',
+    "string": "Zürich ⛰ north", "bool": "false", "int32": "-77001", "int64": "-5120000000000000003", "double": "-0.03125", "bytes": "3q2+7wo=",
+    "uuid": "41d7be09-25fa-4c83-b16e-90d3c5a1f27e", "timestamp": "1987-02-11T04:05:06.000700Z", "date": "1969-07-20", "time": "03:14:15.926535",
+    "timezone": "Asia/Kathmandu", "duration": "PT90061.25S", "decimal": "-90071992547409930000001.000251",
+    "json": '{"k":{"n":-2.5},"list":[false,"y"]}', "geojson": '{"type":"LineString","coordinates":[[7.5,47.25],[8.5,46],[9,46.5]]}',
 }
 # (type, source, given, canonical or None when refused)
 CASES = [
     ("bool", "postgres", "t", True), ("bool", "canonical", "t", None), ("int32", "canonical", "2147483648", None), ("int32", "canonical", "1.0", None),
     ("int64", "canonical", "-0007", "-7"), ("int64", "canonical", "9223372036854775808", None), ("double", "duckdb", "-0", 0.0), ("double", "duckdb", "1e400", None),
-    ("bytes", "postgres", "\\x00ff8041", "AP+AQQ=="), ("bytes", "canonical", "\\x00ff", None), ("bytes", "canonical", "AP+AQQ", None),
-    ("uuid", "canonical", "8C1F3A56-7E0B-4E3D-9C62-6A6FCB7B4A5E", ROW["uuid"]), ("uuid", "canonical", "8c1f", None),
+    ("bytes", "postgres", "\\xdeadbeef0a", "3q2+7wo="), ("bytes", "canonical", "\\x00ff", None), ("bytes", "canonical", "3q2+7wo", None),
+    ("uuid", "canonical", "41D7BE09-25FA-4C83-B16E-90D3C5A1F27E", ROW["uuid"]), ("uuid", "canonical", "41d7", None),
     ("timestamp", "canonical", "2026-09-21 08:00:00.1234560-03", "2026-09-21T11:00:00.123456Z"), ("timestamp", "canonical", "2026-09-21T08:00:00", None),
     ("timestamp", "canonical", "2026-09-21T08:00:00.1234567Z", None), ("timestamp", "canonical", "2026-02-30T08:00:00Z", None),
     ("timestamp", "canonical", "2024-12-31T23:30:00-23:59", "2025-01-01T23:29:00.000000Z"), ("timestamp", "canonical", "0001-01-01T00:00:00+01", None),
@@ -23,7 +23,7 @@ CASES = [
     ("date", "canonical", "2023-02-29", None), ("date", "canonical", "0000-01-01", None), ("date", "canonical", "2024-2-1", None),
     ("time", "canonical", "08:00:00", "08:00:00.000000"), ("time", "canonical", "24:00:00", None), ("time", "canonical", "08:00:00.1234567", None),
     ("timezone", "canonical", "UTC+3", None), ("timezone", "canonical", "Mars/Olympus", None),
-    ("duration", "canonical", "73:02:03.5", "PT262923.5S"), ("duration", "canonical", "02:03", "PT123S"), ("duration", "canonical", "PT1H0.5M2S", "PT3632S"),
+    ("duration", "canonical", "41:07:09.5", "PT148029.5S"), ("duration", "canonical", "02:03", "PT123S"), ("duration", "canonical", "PT1H0.5M2S", "PT3632S"),
     ("duration", "protojson", "30s", "PT30S"), ("duration", "canonical", "-PT3S", None), ("duration", "canonical", "P1M", None), ("duration", "canonical", "PT", None),
     ("duration", "canonical", "PT0S", "PT0S"), ("duration", "canonical", "PT100S", "PT100S"), ("duration", "canonical", "PT315576000000S", "PT315576000000S"),
     ("duration", "canonical", "PT315576000000.000001S", None), ("duration", "canonical", "PT1.0000001S", None),
