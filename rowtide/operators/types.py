@@ -145,28 +145,30 @@ def _duration(c: Column, source: str) -> Column:
 
 
 def _decimal_parts(c: Column) -> Column:
-    """struct(ok, negative, whole, fraction): digits without leading or trailing zeros."""
-    read = F.struct(
-        (c.rlike(DECIMAL) & _group(c, DECIMAL, 5).rlike(r"^([+-]?0*\d{1,5})?$")).alias("ok"),
-        (_group(c, DECIMAL, 1) == "-").alias("negative"), _group(c, DECIMAL, 2).alias("whole"),
-        F.concat(_group(c, DECIMAL, 3), _group(c, DECIMAL, 4)).alias("fraction"),
-        F.coalesce(_group(c, DECIMAL, 5).try_cast("int"), F.lit(0)).alias("exponent"),
-    )
-    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
-
-    def placed(p: Column) -> Column:
-        ok = p["ok"] & (F.abs(p["exponent"]) <= 10_000)
-        point = F.when(ok, F.length(p["whole"]) + p["exponent"]).otherwise(0)
-        digits = F.concat(p["whole"], p["fraction"])
-        padded = F.concat(zeros(-point), digits, zeros(point - F.length(digits)))
-        return F.struct(ok.alias("ok"), p["negative"].alias("negative"), padded.alias("digits"), F.greatest(point, F.lit(0)).alias("at"))
-
-    def split(p: Column) -> Column:
-        whole = F.regexp_replace(F.concat(F.lit("0"), F.substring(p["digits"], F.lit(1), p["at"])), r"^0+(?=\d)", "")
-        fraction = F.rtrim(F.substring(p["digits"], p["at"] + 1, F.length(p["digits"])), F.lit("0"))
-        return F.struct(p["ok"].alias("ok"), p["negative"].alias("negative"), whole.alias("whole"), fraction.alias("fraction"))
-
-    return let(let(read, placed), split)
+    """struct(ok, negative, whole, fraction) of a number, read as an integer without end zeros times a power of ten.
+
+    A decimal has 38 digits at most, so a number that would need more than 100 is not ok.
+    """
+    mantissa, power = F.get(F.split(F.lower(c), "e"), F.lit(0)), F.get(F.split(F.lower(c), "e"), F.lit(1))
+    written = F.ltrim(F.regexp_replace(mantissa, "[^0-9]", ""), F.lit("0"))
+    digits = F.rtrim(written, F.lit("0"))
+    behind = F.length(F.regexp_extract(mantissa, r"[.](.*)$", 1))
+    shift = F.when(power.isNull(), 0).otherwise(power.try_cast("int")) - behind + F.length(written) - F.length(digits)
+    number = F.struct(c.rlike(DECIMAL).alias("form"), mantissa.startswith("-").alias("negative"), digits.alias("digits"), shift.alias("shift"))
+
+    def bounded(n: Column) -> Column:
+        zero = n["digits"] == ""
+        ok = F.coalesce(n["form"] & (zero & n["shift"].isNotNull() | (F.abs(n["shift"]) + F.length(n["digits"]) <= 100)), F.lit(False))
+        return F.struct(ok.alias("ok"), n["negative"].alias("negative"), n["digits"].alias("digits"), F.when(ok & ~zero, n["shift"]).otherwise(0).alias("shift"))
+
+    def written_out(n: Column) -> Column:
+        size, back = F.length(n["digits"]), -n["shift"]
+        zeros = lambda k: F.repeat(F.lit("0"), F.greatest(k, F.lit(0)))
+        whole = F.when(back <= 0, F.concat(n["digits"], zeros(-back))).otherwise(F.substring(n["digits"], F.lit(1), F.greatest(size - back, F.lit(0))))
+        fraction = F.when(back <= 0, "").otherwise(F.concat(zeros(back - size), F.right(n["digits"], back)))
+        return F.struct(n["ok"].alias("ok"), n["negative"].alias("negative"), F.when(whole == "", "0").otherwise(whole).alias("whole"), fraction.alias("fraction"))
+
+    return let(let(number, bounded), written_out)
 
 
 def _decimal(c: Column, f: Field) -> Column:
