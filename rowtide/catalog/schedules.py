@@ -81,7 +81,7 @@ def dst(t):
 
 @query("sch_one_shot", """SELECT CAST(o_orderkey AS VARCHAR) AS name, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS tick_at FROM orders WHERE o_orderdate <= TIMESTAMP '1999-01-01' AND o_orderkey % 3 <> 0""")
 def one_shot(t):
-    return text(s.due(one_shots(t), "1999-01-01 00:00:00").select("name", "tick_at"), "tick_at")
+    return text(s.due(one_shots(t), "1999-01-01 00:00:00", s.TICKS_PER_SWEEP).select("name", "tick_at"), "tick_at")
 
 
 @query("sch_next_owed", f"""WITH {sweep_sql("2026-05-01 00:00:00", 130, "[300, 3600, 86400]")},
@@ -93,7 +93,7 @@ def next_owed(t):
 
 @query("sch_watermark", f"WITH {DUE} SELECT s.name, strftime(greatest(max(s.mark), max(d.tick_at)), '%Y-%m-%d %H:%M:%S') AS last_tick_at FROM s LEFT JOIN d ON d.name = s.name AND d.n <= 64 GROUP BY 1")
 def watermark(t):
-    ticks = s.due(crons(t), NOW).where(F.col("n") <= s.TICKS_PER_SWEEP)
+    ticks = s.due(crons(t), NOW, s.TICKS_PER_SWEEP).where(F.col("n") <= s.TICKS_PER_SWEEP)
     return text(s.advance(crons(t), ticks).select("name", "last_tick_at"), "last_tick_at")
 
 
@@ -122,12 +122,12 @@ def judged(t: Tables, ticks):
     fifth = sched.where("k % 5 = 0")
     done = fifth.where("last_tick_at IS NOT NULL").select(s.tick_id(F.col("name"), F.col("last_tick_at")).alias("id")).unionByName(
         s.tick_rows(ticks.join(fifth.select("name"), "name", "left_semi")).select("id"))
-    return s.hold(ticks, sched, written, done)
+    return s.hold(ticks, sched, written, done, s.TICKS_PER_SWEEP)
 
 
 @query("sch_forbid_hold", f"WITH {HELD} SELECT name, n, late, held FROM j")
 def forbid_hold(t):
-    return judged(t, stored(s.due(crons(t), NOW), "ticks")).select("name", "n", "late", "held")
+    return judged(t, stored(s.due(crons(t), NOW, s.TICKS_PER_SWEEP), "ticks")).select("name", "n", "late", "held")
 
 
 @query("sch_report", f"""WITH {HELD}, c AS (SELECT name, count(*) FILTER (NOT held AND NOT late) AS emitted, count(*) FILTER (NOT held AND late) AS late, count(*) FILTER (held) AS held FROM j GROUP BY 1),
@@ -135,5 +135,5 @@ def forbid_hold(t):
     SELECT s.name, coalesce(emitted, 0) AS emitted, coalesce(late, 0) AS late, coalesce(held, 0) AS held, coalesce(behind, false) AS behind, NULL::VARCHAR AS error
     FROM s LEFT JOIN c USING (name) LEFT JOIN b USING (name)""")
 def report(t):
-    ticks = stored(s.due(crons(t), NOW), "ticks")
-    return s.report(crons(t), ticks, judged(t, ticks))
+    ticks = stored(s.due(crons(t), NOW, s.TICKS_PER_SWEEP), "ticks")
+    return s.report(crons(t), ticks, judged(t, ticks), s.TICKS_PER_SWEEP)

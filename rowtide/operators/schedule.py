@@ -1,8 +1,8 @@
 """Tables of schedules and the ticks they owe; nothing here waits or runs anything.
 
 A schedule is (name, cron | due_at, time_zone, max_lateness_seconds, last_tick_at); instants are
-zone-free timestamps in UTC. Every rule is an expression over one schedule's row, so any number of
-schedules is one projection without a shuffle.
+zone-free timestamps in UTC. The instants of each distinct (expression, zone) are rows, made once and
+joined with the schedules by date, however many schedules share them.
 """
 
 from __future__ import annotations
@@ -12,14 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowtide.functions.ids import uuid5
-from rowtide.functions.rows import let
-from rowtide.plans.sizes import spread
 
-# The namespace of tick ids, the ticks one sweep resolves per schedule, the days looked ahead.
+# The namespace of tick ids, the ticks one sweep resolves per schedule.
 TICK_NAMESPACE = "ae72b8e0-46f3-4bba-907c-646629b08839"
 TICKS_PER_SWEEP = 64
-AHEAD_DAYS = 3000
-HALF_HOUR = "Australia/Lord_Howe"  # the one zone that shifts by 30 minutes
+LONGEST_WAIT_DAYS = 3000  # any date of the calendar comes again within eight years
+PAIR = ("cron", "time_zone")
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 WEEKDAYS = ("SUN", "MON", "TUE", "WED", "THU", "FRI", "SAT")
 BOUNDS = {"minute": (0, 59), "hour": (0, 23), "day": (1, 31), "month": (1, 12), "weekday": (0, 7)}
@@ -100,83 +98,104 @@ def _local(utc: Column, zone: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), zone, utc)
 
 
-def _occurrences(days: Column, f: dict[str, Column], zone: Column) -> Column:
-    """structs (utc, real) of every time the matching days name.
+def _instants(days: DataFrame) -> DataFrame:
+    """(cron, time_zone, day, utc, real): every instant the expressions name on the local dates of `days`.
 
-    A skipped wall time comes back shifted by the gap and is `real` only if the expression names the
-    shifted time too. A repeated one is its earlier instant; where the hour is not pinned the later
-    one is an occurrence as well.
+    A wall time the zone skips comes back shifted by the gap and is `real` only if the expression names the
+    shifted time too. A repeated one is its earlier instant; where the hour is not pinned the later one, by the
+    offset that holds a day on, is an instant as well.
     """
+    zone, f = F.col("time_zone"), fields()
+    df = compiled(days).withColumn("__hour", F.explode("cron_hour")).withColumn("__minute", F.explode("cron_minute"))
+    df = df.withColumn("__local", F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("__hour"), F.col("__minute")))
+    df = df.withColumn("__utc", _utc(F.col("__local"), zone)).withColumn("__next", F.col("__utc") + F.make_dt_interval(F.lit(1)))
+    df = df.withColumn("__back", _local(F.col("__utc"), zone))
+    df = df.withColumn("__later", F.col("__local") - (_local(F.col("__next"), zone) - F.col("__next")))
+    real = F.array_contains(f["hour"], F.hour("__back")) & F.array_contains(f["minute"], F.minute("__back"))
+    again = f["wild"] & (F.col("__later") > F.col("__utc")) & (_local(F.col("__later"), zone) == F.col("__local"))
+    first, second = F.struct(F.col("__utc").alias("utc"), real.alias("real")), F.struct(F.col("__later").alias("utc"), F.lit(True).alias("real"))
+    return df.select(*PAIR, "day", F.inline(F.when(again, F.array(first, second)).otherwise(F.array(first)))).distinct()
+
+
+def _matching_days(points: DataFrame, last: Column, take: int) -> DataFrame:
+    """(cron, time_zone, from, day): the first `take` matching dates of each (cron, time_zone, from) point.
+
+    Each pair's calendar is walked once, from its first point up to `last`, which may use the compiled columns and
+    the last point `__hi`. A window holds one pair's dates, which no number of schedules makes longer.
+    """
+    pairs = compiled(points.groupBy(*PAIR).agg(F.min("from").alias("__lo"), F.max("from").alias("__hi"))).where("cron_error IS NULL")
+    days = pairs.withColumn("day", F.explode(F.sequence("__lo", F.greatest(last, "__lo")))).where(_day_matches(F.col("day"), fields()))
+    w = Window.partitionBy(*PAIR).orderBy("day")
+    listed = days.select(*PAIR, "day", F.coalesce(F.date_add(F.lag("day").over(w), 1), "__lo").alias("__since"),
+                         F.array_compact(F.array(*[F.lead("day", i).over(w) for i in range(take)])).alias("__days"))
+    reach = listed.select(*PAIR, "__days", F.explode(F.sequence("__since", "day")).alias("from"))
+    return points.join(reach, [*PAIR, "from"]).select(*PAIR, "from", F.explode("__days").alias("day"))
 
-    def at(day: Column, hour: Column, minute: Column) -> Column:
-        local = day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hour, minute)
-
-        def instants(p: Column) -> Column:
-            back = _local(p["utc"], zone)
-            real = F.array_contains(f["hour"], F.hour(back)) & F.array_contains(f["minute"], F.minute(back))
-            later = p["utc"] + F.make_dt_interval(F.lit(0), F.lit(0), F.when(zone == HALF_HOUR, 30).otherwise(60))
-            again = F.when(f["wild"], F.when(_local(later, zone) == p["local"], F.struct(later.alias("utc"), F.lit(True).alias("real"))))
-            return F.array_compact(F.array(F.struct(p["utc"].alias("utc"), real.alias("real")), again))
-
-        return let(F.struct(local.alias("local"), _utc(local, zone).alias("utc")), instants)
-
-    times = F.transform(days, lambda d: F.flatten(F.transform(f["hour"], lambda h: F.flatten(F.transform(f["minute"], lambda m: at(d, h, m))))))
-    return F.flatten(times)
-
-
-def _real(occurrences: Column, after: Column) -> Column:
-    """The sorted instants behind `after` that the calendar has."""
-    kept = F.filter(occurrences, lambda x: x["real"] & (x["utc"] > after))
-    return F.sort_array(F.array_distinct(F.transform(kept, lambda x: x["utc"])))
 
+def _first_after(df: DataFrame, at: str, last: Column, take: int, real: bool) -> DataFrame:
+    """(name, first): the first instant behind `at` of each row, as struct (utc, real), among `take` matching dates.
 
-def _days(start: Column, end: Column, f: dict[str, Column], zone: Column) -> Column:
-    span = F.sequence(F.to_date(_local(start, zone)), F.greatest(F.to_date(_local(end, zone)), F.to_date(_local(start, zone))))
-    return F.filter(span, lambda d: _day_matches(d, f))
+    An instant is joined only where the one before it on its date is not behind `at`, so a row meets one per date.
+    """
+    df = df.select("name", *PAIR, at, F.to_date(_local(F.col(at), F.col("time_zone"))).alias("from"))
+    near = _matching_days(df.select(*PAIR, "from").dropna().distinct(), last, take)
+    instants = _instants(near.select(*PAIR, "day").distinct())
+    instants = instants.where("real") if real else instants
+    before = F.lag("utc").over(Window.partitionBy(*PAIR, "day").orderBy("utc"))
+    met = df.join(near, [*PAIR, "from"]).join(instants.withColumn("__before", before), [*PAIR, "day"])
+    met = met.where((F.col("utc") > F.col(at)) & (F.col("__before").isNull() | (F.col("__before") <= F.col(at))))
+    return met.groupBy("name").agg(F.min(F.struct("utc", "real")).alias("first"))
+
+
+def _horizon(schedules: DataFrame, at: Column) -> DataFrame:
+    """The columns a sweep needs, with the lateness horizon and `__start`: the later of horizon and watermark."""
+    horizon = at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("max_lateness_seconds").cast("decimal(18,6)"))
+    df = schedules.select("name", *PAIR, "due_at", "last_tick_at", horizon.alias("__horizon"))
+    return df.withColumn("__start", F.greatest("__horizon", "last_tick_at"))
 
 
-def due(schedules: DataFrame, now: str, cap: int = TICKS_PER_SWEEP) -> DataFrame:
+def due(schedules: DataFrame, now: str, cap: int) -> DataFrame:
     """(name, tick_at, late, n) of the ticks owed at `now`, `n` counting from 1, oldest first.
 
     From the lateness horizon on every tick is owed, up to `cap` + 1 so that a caller can tell there
     are more. Of an older span only the first missed tick is given, marked late; a schedule without a
     watermark starts at the horizon. Schedules whose expression is malformed owe nothing here.
+
+    Instants are made once per (expression, zone) and joined with the schedules by date.
     """
     at = F.lit(now).cast("timestamp_ntz")
-    df = spread(compiled(schedules), "name", schedules.count())
-    f, zone, mark = fields(), F.col("time_zone"), F.col("last_tick_at")
-    horizon = at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("max_lateness_seconds").cast("decimal(18,6)"))
-    df = df.withColumn("__horizon", horizon).withColumn("__start", F.greatest(F.col("__horizon"), F.coalesce(mark, F.col("__horizon"))))
-    cron = F.col("cron").isNotNull() & F.col("cron_error").isNull()
-    on_time = _real(_occurrences(_days(F.col("__start"), at, f, zone), f, zone), F.col("__start"))
-    # the first occurrence behind the mark lies within the first few matching days
-    early = F.when(mark < F.col("__horizon"), F.slice(_days(mark, F.col("__horizon"), f, zone), 1, 3))
-    df = df.withColumn("__first", F.array_min(F.filter(_occurrences(early, f, zone), lambda x: x["utc"] > mark)))
-    first = F.col("__first")
-    lost = F.when((first["utc"] < F.col("__horizon")) & first["real"], F.array(first["utc"]))
-    owed = (F.col("due_at") <= at) & (mark.isNull() | (mark < F.col("due_at")))
-    tick = lambda late: lambda x: F.struct(x.alias("tick_at"), F.lit(late).alias("late"))
-    none = F.array().cast("array<struct<tick_at:timestamp_ntz,late:boolean>>")
-    by_cron = F.concat(F.coalesce(F.transform(lost, tick(True)), none),
-                       F.transform(F.slice(F.filter(on_time, lambda x: x <= at), 1, cap + 1), tick(False)))
-    one_shot = F.when(owed, F.transform(F.array("due_at"), tick(False))).otherwise(none)
-    ticks = F.when(cron, by_cron).when(F.col("cron").isNull(), one_shot).otherwise(none)
-    return df.select("name", F.posexplode(ticks).alias("n", "t")).select("name", "t.tick_at", "t.late", (F.col("n") + 1).alias("n"))
+    df = _horizon(schedules, at)
+    by_cron = df.where("cron IS NOT NULL")
+    old = _first_after(by_cron.where("last_tick_at < __horizon"), "last_tick_at", F.date_add(F.to_date(at), 1), 3, real=False)
+    lost = old.select("name", F.when(F.col("first.real"), F.col("first.utc")).alias("__lost"))
+    by_cron = by_cron.join(lost, "name", "left").withColumn("__lost", F.when(F.col("__lost") < F.col("__horizon"), F.col("__lost")))
+
+    # local dates lie within a day of UTC dates
+    first_day, last_day = F.date_sub(F.to_date(F.min("__start")), 1), F.date_add(F.to_date(at), 1)
+    spans = compiled(by_cron.groupBy(*PAIR).agg(first_day.alias("__lo"))).where("cron_error IS NULL")
+    days = spans.withColumn("day", F.explode(F.sequence("__lo", F.greatest(last_day, "__lo")))).where(_day_matches(F.col("day"), fields()))
+    instants = _instants(days.select(*PAIR, "day")).where(F.col("real") & (F.col("utc") <= at))
+    instants = instants.select(*PAIR, "utc", F.to_date("utc").alias("date")).distinct()
+    dated = by_cron.where(F.col("__start") < at).withColumn("date", F.explode(F.sequence(F.to_date("__start"), F.to_date(at))))
+    met = dated.join(instants, [*PAIR, "date"]).where(F.col("utc") > F.col("__start"))
+    counted = met.withColumn("__n", F.row_number().over(Window.partitionBy("name").orderBy("utc"))).where(F.col("__n") <= cap + 1)
+    on_time = counted.select("name", F.col("utc").alias("tick_at"), F.lit(False).alias("late"), (F.col("__n") + F.col("__lost").isNotNull().cast("int")).alias("n"))
+    late = by_cron.where("__lost IS NOT NULL").select("name", F.col("__lost").alias("tick_at"), F.lit(True).alias("late"), F.lit(1).alias("n"))
+    mark = F.col("last_tick_at")
+    once = df.where(F.col("cron").isNull() & (F.col("due_at") <= at) & (mark.isNull() | (mark < F.col("due_at"))))
+    return on_time.unionByName(late).unionByName(once.select("name", F.col("due_at").alias("tick_at"), F.lit(False).alias("late"), F.lit(1).alias("n")))
 
 
 def next_owed(schedules: DataFrame, now: str) -> DataFrame:
     """(name, next_at): the next instant each schedule owes a runnable tick; null when it owes none."""
-    at = F.lit(now).cast("timestamp_ntz")
-    df = spread(compiled(schedules), "name", schedules.count())
-    f, zone, mark = fields(), F.col("time_zone"), F.col("last_tick_at")
-    horizon = at - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("max_lateness_seconds").cast("decimal(18,6)"))
-    df = df.withColumn("__from", F.greatest(horizon, F.coalesce(mark, horizon)))
-    until = lambda days: F.slice(_days(F.col("__from"), F.col("__from") + F.make_dt_interval(F.lit(days)), f, zone), 1, 4)
-    # few expressions need a look further than a month ahead
-    df = df.withColumn("__near", until(40)).withColumn("__ahead", F.when(F.size("__near") == 4, F.col("__near")).otherwise(until(AHEAD_DAYS)))
-    found = F.get(_real(_occurrences(F.col("__ahead"), f, zone), F.col("__from")), F.lit(0))
+    df = _horizon(schedules, F.lit(now).cast("timestamp_ntz"))
+    f, mark = fields(), F.col("last_tick_at")
+    # four matching dates: a week apart at most, or two months (the 31st), or the eight years between two 29ths of February
+    all_year = F.size(f["month"]) == 12
+    ahead = F.when(all_year & (f["any_day"] | ~f["any_weekday"]), 28).when(all_year, 4 * 62).otherwise(LONGEST_WAIT_DAYS)
+    found = _first_after(df.where("cron IS NOT NULL"), "__start", F.date_add(F.col("__hi"), ahead.cast("int")), 4, real=True)
     single = F.when(mark.isNull() | (mark < F.col("due_at")), F.col("due_at"))
-    return df.select("name", F.when(F.col("cron").isNull(), single).when(F.col("cron_error").isNull(), found).alias("next_at"))
+    return df.join(found, "name", "left").select("name", F.when(F.col("cron").isNull(), single).otherwise(F.col("first.utc")).alias("next_at"))
 
 
 def iso(c: Column) -> Column:
@@ -203,7 +222,7 @@ def advance(schedules: DataFrame, resolved: DataFrame) -> DataFrame:
     return joined.withColumn("last_tick_at", F.greatest("last_tick_at", "__last")).drop("__last")
 
 
-def hold(ticks: DataFrame, schedules: DataFrame, written: DataFrame, done: DataFrame, cap: int = TICKS_PER_SWEEP) -> DataFrame:
+def hold(ticks: DataFrame, schedules: DataFrame, written: DataFrame, done: DataFrame, cap: int) -> DataFrame:
     """`held` per owed tick: under `Forbid` a tick and all later ones wait until the one before has an outcome.
 
     `written` is (id, late) of ticks written before, `done` the ids with an outcome. A late tick asked
@@ -224,7 +243,7 @@ def hold(ticks: DataFrame, schedules: DataFrame, written: DataFrame, done: DataF
     return df.select("name", "tick_at", "late", "n", held.alias("held"))
 
 
-def report(schedules: DataFrame, ticks: DataFrame, judged: DataFrame, cap: int = TICKS_PER_SWEEP) -> DataFrame:
+def report(schedules: DataFrame, ticks: DataFrame, judged: DataFrame, cap: int) -> DataFrame:
     """(name, emitted, late, held, behind, error) of one sweep."""
     counted = judged.groupBy("name").agg(
         F.count_if(~F.col("held") & ~F.col("late")).alias("emitted"),

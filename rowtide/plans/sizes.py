@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 
 SMALL_ROWS = 100_000  # a change set that is broadcast
@@ -12,13 +10,3 @@ SMALL_ROWS = 100_000  # a change set that is broadcast
 def rows_within(df: DataFrame, limit: int) -> bool:
     """Whether `df` has at most `limit` rows, reading no more than `limit` + 1 of them."""
     return df.limit(limit + 1).count() <= limit
-
-
-def spread(df: DataFrame, key: str, rows: int, rows_per_task: int = 200) -> DataFrame:
-    """Deal out `rows` rows whose work is far heavier than their bytes, whatever the file layout.
-
-    The partition count is explicit, so adaptive execution does not merge the small partitions again,
-    and is no more than a few tasks per core.
-    """
-    most = df.sparkSession.sparkContext.defaultParallelism * 4
-    return df.repartition(max(1, min(most, math.ceil(rows / rows_per_task))), key)

@@ -36,6 +36,9 @@ CASES = [
     ("2026-11-01 07:00:00", ("30 * * * *", "2026-11-01T05:00:00"), dict(zone=NY, lateness=12 * 3600), ["2026-11-01T05:30:00", "2026-11-01T06:30:00"]),
     ("2026-06-01 23:00:00", ("0 3 * * *", "2026-06-01T00:00:00"), dict(zone="America/Sao_Paulo", lateness=86400), ["2026-06-01T06:00:00"]),
     ("2026-04-01 00:00:00", ("0 0 30 * *", "2026-01-31T00:00:00"), dict(lateness=90 * 86400), ["2026-03-30T00:00:00"]),
+    # shifts of two hours and of half an hour: every instant whose wall time is on the hour (at the half hour)
+    ("2025-10-26 05:30:00", ("0 * * * *", "2025-10-25T23:30:00"), dict(zone="Antarctica/Troll", lateness=86400), [f"2025-10-26T0{h}:00:00" for h in range(6)]),
+    ("2026-04-04 16:10:00", ("45 * * * *", "2026-04-04T13:00:00"), dict(zone="Australia/Lord_Howe", lateness=86400), ["2026-04-04T13:45:00", "2026-04-04T14:45:00", "2026-04-04T15:15:00"]),
     # no watermark: from the horizon
     ("2026-03-01 12:02:00", ("*/10 * * * *", None), dict(lateness=300), ["2026-03-01T12:00:00"]),
 ]
@@ -64,8 +67,8 @@ def test_bad_expressions_are_reported(spark):
     assert {k for k, e in got.items() if e} == set(bad)
     row = s.compiled(df).where("cron_error IS NULL").first()
     assert (row["cron_minute"], row["cron_month"], row["cron_weekday"]) == ([1, 3, 5, 9], [1], [0])
-    ticks = s.due(df, "2026-03-01 12:00:00")
-    rep = {r["name"]: r for r in s.report(df.withColumn("concurrency_policy", F.lit("Allow")), ticks, ticks.withColumn("held", F.lit(False))).collect()}
+    ticks = s.due(df, "2026-03-01 12:00:00", 64)
+    rep = {r["name"]: r for r in s.report(df.withColumn("concurrency_policy", F.lit("Allow")), ticks, ticks.withColumn("held", F.lit(False)), 64).collect()}
     assert rep["5/10 * * * *"]["error"] and rep["5/10 * * * *"]["emitted"] == 0
 
 
@@ -84,9 +87,9 @@ def test_tick_id_is_fixed(spark):
 
 def test_cap_and_watermark(spark):
     df = table(spark, "* * * * *", "2026-03-01T00:00:00", lateness=86400).withColumn("concurrency_policy", F.lit("Allow"))
-    ticks = s.due(df, "2026-03-01 12:00:00")
+    ticks = s.due(df, "2026-03-01 12:00:00", 64)
     assert ticks.count() == 65
     taken = ticks.where("n <= 64")
     assert s.advance(df, taken).first()["last_tick_at"] == at("2026-03-01T01:04:00")
     assert s.advance(df, taken.where("false")).first()["last_tick_at"] == at("2026-03-01T00:00:00")
-    assert s.report(df, ticks, taken.withColumn("held", F.lit(False))).first()["behind"] is True
+    assert s.report(df, ticks, taken.withColumn("held", F.lit(False)), 64).first()["behind"] is True
