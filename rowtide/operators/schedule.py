@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowtide.functions.ids import uuid5
+from rowtide.session import stored
 
 # The namespace of tick ids, the ticks one sweep resolves per schedule.
 TICK_NAMESPACE = "ae72b8e0-46f3-4bba-907c-646629b08839"
@@ -49,12 +50,14 @@ def _named(text: Column, names: tuple[str, ...], base: int) -> Column:
     return out
 
 
-def compiled(df: DataFrame, cron: str = "cron") -> DataFrame:
-    """Add the value lists of each row's five-field expression (`cron_minute`, …) and `cron_error`.
+def rules(df: DataFrame, cron: str = "cron") -> DataFrame:
+    """Each distinct expression of `df`, parsed once: (__cron, cron_minute, …, cron_error)."""
+    return _parsed(df.select(F.col(cron).alias("__cron")).dropna().distinct(), "__cron")
 
-    Each distinct expression is parsed once and joined back by its text.
-    """
-    parsed = _parsed(df.select(F.col(cron).alias("__cron")).dropna().distinct(), "__cron")
+
+def compiled(df: DataFrame, cron: str = "cron", parsed: DataFrame | None = None) -> DataFrame:
+    """Add the value lists of each row's five-field expression (`cron_minute`, …) and `cron_error`, by its text."""
+    parsed = rules(df, cron) if parsed is None else parsed
     return df.join(parsed, df[cron] == parsed["__cron"], "left").drop("__cron")
 
 
@@ -98,7 +101,7 @@ def _local(utc: Column, zone: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), zone, utc)
 
 
-def _instants(days: DataFrame) -> DataFrame:
+def _instants(days: DataFrame, parsed: DataFrame) -> DataFrame:
     """(cron, time_zone, day, utc, real): every instant the expressions name on the local dates of `days`.
 
     A wall time the zone skips comes back shifted by the gap and is `real` only if the expression names the
@@ -106,7 +109,7 @@ def _instants(days: DataFrame) -> DataFrame:
     offset that holds a day on, is an instant as well.
     """
     zone, f = F.col("time_zone"), fields()
-    df = compiled(days).withColumn("__hour", F.explode("cron_hour")).withColumn("__minute", F.explode("cron_minute"))
+    df = compiled(days, parsed=parsed).withColumn("__hour", F.explode("cron_hour")).withColumn("__minute", F.explode("cron_minute"))
     df = df.withColumn("__local", F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("__hour"), F.col("__minute")))
     df = df.withColumn("__utc", _utc(F.col("__local"), zone)).withColumn("__next", F.col("__utc") + F.make_dt_interval(F.lit(1)))
     df = df.withColumn("__back", _local(F.col("__utc"), zone))
@@ -117,13 +120,13 @@ def _instants(days: DataFrame) -> DataFrame:
     return df.select(*PAIR, "day", F.inline(F.when(again, F.array(first, second)).otherwise(F.array(first)))).distinct()
 
 
-def _matching_days(points: DataFrame, last: Column, take: int) -> DataFrame:
+def _matching_days(points: DataFrame, parsed: DataFrame, last: Column, take: int) -> DataFrame:
     """(cron, time_zone, from, day): the first `take` matching dates of each (cron, time_zone, from) point.
 
     Each pair's calendar is walked once, from its first point up to `last`, which may use the compiled columns and
     the last point `__hi`. A window holds one pair's dates, which no number of schedules makes longer.
     """
-    pairs = compiled(points.groupBy(*PAIR).agg(F.min("from").alias("__lo"), F.max("from").alias("__hi"))).where("cron_error IS NULL")
+    pairs = compiled(points.groupBy(*PAIR).agg(F.min("from").alias("__lo"), F.max("from").alias("__hi")), parsed=parsed).where("cron_error IS NULL")
     days = pairs.withColumn("day", F.explode(F.sequence("__lo", F.greatest(last, "__lo")))).where(_day_matches(F.col("day"), fields()))
     w = Window.partitionBy(*PAIR).orderBy("day")
     listed = days.select(*PAIR, "day", F.coalesce(F.date_add(F.lag("day").over(w), 1), "__lo").alias("__since"),
@@ -132,14 +135,14 @@ def _matching_days(points: DataFrame, last: Column, take: int) -> DataFrame:
     return points.join(reach, [*PAIR, "from"]).select(*PAIR, "from", F.explode("__days").alias("day"))
 
 
-def _first_after(df: DataFrame, at: str, last: Column, take: int, real: bool) -> DataFrame:
+def _first_after(df: DataFrame, parsed: DataFrame, at: str, last: Column, take: int, real: bool) -> DataFrame:
     """(name, first): the first instant behind `at` of each row, as struct (utc, real), among `take` matching dates.
 
     An instant is joined only where the one before it on its date is not behind `at`, so a row meets one per date.
     """
     df = df.select("name", *PAIR, at, F.to_date(_local(F.col(at), F.col("time_zone"))).alias("from"))
-    near = _matching_days(df.select(*PAIR, "from").dropna().distinct(), last, take)
-    instants = _instants(near.select(*PAIR, "day").distinct())
+    near = _matching_days(df.select(*PAIR, "from").dropna().distinct(), parsed, last, take)
+    instants = _instants(near.select(*PAIR, "day").distinct(), parsed)
     instants = instants.where("real") if real else instants
     before = F.lag("utc").over(Window.partitionBy(*PAIR, "day").orderBy("utc"))
     met = df.join(near, [*PAIR, "from"]).join(instants.withColumn("__before", before), [*PAIR, "day"])
@@ -161,20 +164,21 @@ def due(schedules: DataFrame, now: str, cap: int) -> DataFrame:
     are more. Of an older span only the first missed tick is given, marked late; a schedule without a
     watermark starts at the horizon. Schedules whose expression is malformed owe nothing here.
 
-    Instants are made once per (expression, zone) and joined with the schedules by date.
+    Instants are made once per (expression, zone) and joined with the schedules by date; the parsed expressions,
+    a row each, are written first.
     """
     at = F.lit(now).cast("timestamp_ntz")
-    df = _horizon(schedules, at)
+    df, parsed = _horizon(schedules, at), stored(rules(schedules), "rules")
     by_cron = df.where("cron IS NOT NULL")
-    old = _first_after(by_cron.where("last_tick_at < __horizon"), "last_tick_at", F.date_add(F.to_date(at), 1), 3, real=False)
+    old = _first_after(by_cron.where("last_tick_at < __horizon"), parsed, "last_tick_at", F.date_add(F.to_date(at), 1), 3, real=False)
     lost = old.select("name", F.when(F.col("first.real"), F.col("first.utc")).alias("__lost"))
     by_cron = by_cron.join(lost, "name", "left").withColumn("__lost", F.when(F.col("__lost") < F.col("__horizon"), F.col("__lost")))
 
     # local dates lie within a day of UTC dates
     first_day, last_day = F.date_sub(F.to_date(F.min("__start")), 1), F.date_add(F.to_date(at), 1)
-    spans = compiled(by_cron.groupBy(*PAIR).agg(first_day.alias("__lo"))).where("cron_error IS NULL")
+    spans = compiled(by_cron.groupBy(*PAIR).agg(first_day.alias("__lo")), parsed=parsed).where("cron_error IS NULL")
     days = spans.withColumn("day", F.explode(F.sequence("__lo", F.greatest(last_day, "__lo")))).where(_day_matches(F.col("day"), fields()))
-    instants = _instants(days.select(*PAIR, "day")).where(F.col("real") & (F.col("utc") <= at))
+    instants = _instants(days.select(*PAIR, "day"), parsed).where(F.col("real") & (F.col("utc") <= at))
     instants = instants.select(*PAIR, "utc", F.to_date("utc").alias("date")).distinct()
     dated = by_cron.where(F.col("__start") < at).withColumn("date", F.explode(F.sequence(F.to_date("__start"), F.to_date(at))))
     met = dated.join(instants, [*PAIR, "date"]).where(F.col("utc") > F.col("__start"))
@@ -188,12 +192,12 @@ def due(schedules: DataFrame, now: str, cap: int) -> DataFrame:
 
 def next_owed(schedules: DataFrame, now: str) -> DataFrame:
     """(name, next_at): the next instant each schedule owes a runnable tick; null when it owes none."""
-    df = _horizon(schedules, F.lit(now).cast("timestamp_ntz"))
+    df, parsed = _horizon(schedules, F.lit(now).cast("timestamp_ntz")), stored(rules(schedules), "rules")
     f, mark = fields(), F.col("last_tick_at")
     # four matching dates: a week apart at most, or two months (the 31st), or the eight years between two 29ths of February
     all_year = F.size(f["month"]) == 12
     ahead = F.when(all_year & (f["any_day"] | ~f["any_weekday"]), 28).when(all_year, 4 * 62).otherwise(LONGEST_WAIT_DAYS)
-    found = _first_after(df.where("cron IS NOT NULL"), "__start", F.date_add(F.col("__hi"), ahead.cast("int")), 4, real=True)
+    found = _first_after(df.where("cron IS NOT NULL"), parsed, "__start", F.date_add(F.col("__hi"), ahead.cast("int")), 4, real=True)
     single = F.when(mark.isNull() | (mark < F.col("due_at")), F.col("due_at"))
     return df.join(found, "name", "left").select("name", F.when(F.col("cron").isNull(), single).otherwise(F.col("first.utc")).alias("next_at"))
 
