@@ -54,7 +54,7 @@ def embed_hint(t):
 def embed_nested(t):
     customers = Embed("customers", "customer", [("n_nationkey", "c_nationkey")], many=True, select=("c_custkey",), order=("c_custkey",), size=40)
     nations = Embed("nations", "nation", [("r_regionkey", "n_regionkey")], many=True, select=("n_name",),
-                    order=("n_nationkey", "customers_part"), embeds=(customers,))
+                    order=("n_nationkey", "customers_part"), size=1000, embeds=(customers,))
     return r.read(lookup(t), "region", ["r_name"], embeds=[nations]).withColumn("nations", F.to_json("nations"))
 
 

@@ -121,7 +121,7 @@ def partition_ownership(t):
     again = before.select("partition").distinct().where(F.col("partition").isin("1-URGENT", "5-LOW"))
     outputs = after.join(again, "partition", "left_semi").select("id", "total", "partition")
     if p.ownership_conflicts(before.select("id", "partition"), again, outputs).take(1):
-        raise ValueError("overlapping partition ownership")
+        raise ValueError("a row is owned by two partitions")
     sink = p.next_state(p.partition_actions(before.select("id", "total"), before.select("id", "partition"), again, outputs))
     return sink.join(p.next_owners(before.select("id", "partition"), again, outputs), "id")
 

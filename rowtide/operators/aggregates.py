@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide.plans.groups import collect_parts
 
-PART = 10_000
-
 
 def count_exact(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """(first, last, total) of a page: the total ignores limit and offset; an empty page has null bounds."""
@@ -19,24 +17,24 @@ def count_exact(df: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return total.select(F.when(inside, F.lit(offset)).alias("first"), F.when(inside, last).alias("last"), "total")
 
 
-def json_arrays(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], size: int = PART) -> DataFrame:
+def json_arrays(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], size: int) -> DataFrame:
     """JSON arrays of each group's rows, `size` rows to a part."""
     parts = collect_parts(df, keys, order, F.struct(*columns), size, "__rows")
     return parts.withColumn("rows", F.to_json("__rows", {"ignoreNullFields": "false"})).drop("__rows")
 
 
-def strings(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, sep: str = ", ", size: int = PART) -> DataFrame:
+def strings(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, size: int, sep: str = ", ") -> DataFrame:
     """Ordered `sep`-joined text of each group's non-null values, `size` values to a part."""
     parts = collect_parts(df.dropna(subset=[value]), keys, order, F.col(value), size, "__items")
     return parts.withColumn("joined", F.array_join("__items", sep)).drop("__items")
 
 
-def arrays(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, size: int = PART) -> DataFrame:
+def arrays(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, size: int) -> DataFrame:
     """Ordered arrays of each group's values."""
     return collect_parts(df, keys, order, value, size, "items")
 
 
-def objects(df: DataFrame, keys: Sequence[str], name: str, value: str, size: int = PART) -> DataFrame:
+def objects(df: DataFrame, keys: Sequence[str], name: str, value: str, size: int) -> DataFrame:
     """Objects name → value of each group's rows, `size` members to a part; names are unique in a group."""
     parts = collect_parts(df, keys, [name], F.struct(F.col(name), F.col(value)), size, "__items")
     return parts.withColumn("object", F.map_from_entries("__items")).drop("__items")

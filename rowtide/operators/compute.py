@@ -13,8 +13,8 @@ from pyspark.sql.types import StructType
 from rowtide.functions.ids import content_key
 from rowtide.functions.rows import micros
 from rowtide.operators import publish
-from rowtide.plans.groups import HOT_ROWS, collect_parts, hot_groups, number_rows, running, split_hot
-from rowtide.session import stored
+from rowtide.plans.groups import HOT_ROWS, collect_parts, number_rows, running
+from rowtide.session import Rounds, stored
 
 Tables = Mapping[str, DataFrame]
 
@@ -81,28 +81,26 @@ def by_partition(
     order: Sequence[str],
     partial: Callable[[pd.DataFrame], pd.DataFrame],
     schema: str,
-    merge: Callable[[pd.DataFrame], pd.DataFrame],
-    rows: int = 1_000_000,
+    merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+    rows: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """A pure calculation per partition. A partition of up to `rows` rows is one call of `partial`.
+    """A pure calculation per partition, in the way the caller chooses for partitions of every size.
 
-    A larger one is cut into ordered pieces of `rows`, and `merge` combines its pieces' results. Both
-    give `schema`, and merging one result gives that result.
+    Without `merge` each partition is one call of `partial`. With it every partition is cut into ordered pieces of
+    `rows`, `partial` runs on each piece and `merge` combines the pieces' results, also where there is one piece only.
     """
-    large = hot_groups(df, [partition], rows)
-    if large is None:
+    if (merge is None) != (rows is None):
+        raise ValueError("pieces need both merge and rows")
+    if merge is None:
         return df.groupBy(partition).applyInPandas(partial, schema)
-    small, big = split_hot(df, [partition], large)
-    numbered = number_rows(big, [partition], order, "__rn", hot_rows)
+    numbered = number_rows(df, [partition], order, "__rn", hot_rows)
     pieces = numbered.withColumn("__piece", F.floor((F.col("__rn") - 1) / rows)).drop("__rn")
 
     def piece(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return partial(pdf.drop(columns="__piece"))
 
-    halves = pieces.groupBy(partition, "__piece").applyInPandas(piece, schema)
-    merged = halves.groupBy(partition).applyInPandas(merge, schema)
-    return small.groupBy(partition).applyInPandas(partial, schema).unionByName(merged)
+    return pieces.groupBy(partition, "__piece").applyInPandas(piece, schema).groupBy(partition).applyInPandas(merge, schema)
 
 
 def changed_only(df: DataFrame, partition: Column, changed: DataFrame, name: str = "__partition") -> DataFrame:
@@ -120,16 +118,17 @@ def iterate(plan: Callable[[DataFrame], DataFrame], work: Callable[[DataFrame],
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
-    answers = spark.createDataFrame([], schema)
+    known = Rounds(spark, "answers", spark.createDataFrame([], schema).schema)
     ran = spark.createDataFrame([], "key string, __input string")
     for _ in range(rounds):
+        answers = known.all()
         jobs = stored(plan(answers).withColumn("__input", F.sha2("input", 256)), "jobs")
         if ran.join(jobs.select("key", "__input"), ["key", "__input"], "left_anti").take(1):
-            raise ValueError("the plan changed the jobs it was answered")
+            raise ValueError("a later plan drops a job that has an answer, or gives it another input")
         fresh = jobs.join(ran.select("key"), "key", "left_anti")
         if not fresh.take(1):
             return finish(answers)
-        answers = stored(answers.unionByName(work(fresh.drop("__input"))), "answers")
+        known.add(work(fresh.drop("__input")))
         ran = jobs.select("key", "__input")
     raise RuntimeError(f"no end after {rounds} rounds")
 
@@ -178,7 +177,7 @@ def select_fields(answer: Column, names: Sequence[str]) -> Column:
     return F.when(F.ltrim(answer).startswith("{"), F.concat(F.lit("{"), F.concat_ws(",", *listed), F.lit("}")))
 
 
-def nest(parents: DataFrame, key: str, path: Sequence[str], rows: DataFrame, row_key: str, order: str, size: int = 10_000) -> DataFrame:
+def nest(parents: DataFrame, key: str, path: Sequence[str], rows: DataFrame, row_key: str, order: str, size: int) -> DataFrame:
     """Fill the empty array at `path` of each parent's struct column with its rows in order, the order column dropped.
 
     `path` is (struct column, field, …). A parent with more than `size` rows continues in further

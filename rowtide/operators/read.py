@@ -150,7 +150,7 @@ def aggregate(df: DataFrame, group: Sequence[str], aggs: Mapping[str, tuple[str,
 class Embed:
     """A related table under `key`: one object (`many=False`) or arrays of objects.
 
-    `on` pairs (parent column, child column). Arrays hold at most `size` children per row; a parent
+    `on` pairs (parent column, child column). Arrays hold at most `size` children per row, a number `many` requires; a parent
     with more continues in further rows, numbered by `<key>_part`.
     """
 
@@ -163,7 +163,11 @@ class Embed:
     where: Sequence[Predicate] = ()
     order: Sequence[str] = ()
     embeds: Sequence[Embed] = field(default=())
-    size: int = 10_000
+    size: int | None = None
+
+    def __post_init__(self):
+        if self.many and self.size is None:
+            raise ValueError(f"{self.key}: say how many children a row may hold")
 
 
 Lookup = Callable[[str], DataFrame]
@@ -173,7 +177,7 @@ MAX_DEPTH = 16
 def embed(parent: DataFrame, spec: Embed, lookup: Lookup, depth: int = 1) -> DataFrame:
     """Attach the relation; children are filtered before the join."""
     if depth > MAX_DEPTH:
-        raise ValueError(f"select nesting exceeds {MAX_DEPTH} levels")
+        raise ValueError(f"embeds go {MAX_DEPTH} levels deep, not further")
     child = where(lookup(spec.table), spec.where)
     for inner in spec.embeds:
         child = embed(child, inner, lookup, depth + 1)
@@ -258,7 +262,7 @@ def read(
 def tagged_reads(df: DataFrame, reads: Mapping[str, Sequence[Predicate]], name: str = "request") -> DataFrame:
     """Many pending reads of one table as a single scan: their OR, each row tagged with the reads it answers."""
     if len(reads) > 64:
-        raise ValueError("at most 64 reads are answered together")
+        raise ValueError("one call takes up to 64 reads")
     conds = {k: reduce(lambda a, b: a & b, [condition(p) for p in ps]) for k, ps in reads.items()}
     tags = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in conds.items()]), lambda x: x.isNotNull())
     return df.where(reduce(lambda a, b: a | b, conds.values())).withColumn(name, F.explode(tags))

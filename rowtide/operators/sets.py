@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from rowtide.plans.groups import collect_parts
-from rowtide.session import stored
+from rowtide.session import Rounds, stored
 
 
 def union_all(*parts: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def union(*parts: DataFrame) -> DataFrame:
     return union_all(*parts).distinct()
 
 
-def batch_reads(reads: Sequence[DataFrame], order: Sequence[Sequence[str]], size: int = 10_000) -> DataFrame:
+def batch_reads(reads: Sequence[DataFrame], order: Sequence[Sequence[str]], size: int) -> DataFrame:
     """2 to 32 reads answered together: (read, part, rows) with JSON arrays of up to `size` rows, `[]` for none."""
     if not 2 <= len(reads) <= 32:
         raise ValueError("a batch holds 2 to 32 reads")
@@ -64,13 +64,12 @@ def closure(edges: DataFrame, seeds: DataFrame, source: str = "src", target: str
     """Every node reachable from `seeds` (a single column `node`), the seeds included.
 
     Each round follows the edges of newly reached nodes only and stops when none is new, so cycles
-    and diamonds end. Rounds are bounded by the longest shortest path.
+    and diamonds end. Rounds are bounded by the longest shortest path; each writes its new nodes only.
     """
     links = stored(edges.select(source, target).dropna().distinct())
-    seen = frontier = stored(seeds.select("node").distinct())
-    while True:
+    rounds = Rounds(seeds.sparkSession, "reached", seeds.select("node").schema)
+    frontier = rounds.add(seeds.select("node").distinct())
+    while frontier.take(1):
         reached = frontier.join(links, frontier["node"] == links[source]).select(F.col(target).alias("node")).distinct()
-        frontier = stored(reached.join(seen, "node", "left_anti"))
-        if not frontier.take(1):
-            return seen
-        seen = stored(seen.unionByName(frontier))
+        frontier = rounds.add(reached.join(rounds.all(), "node", "left_anti"))
+    return rounds.all()

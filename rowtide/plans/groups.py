@@ -13,6 +13,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from rowtide.session import stored
 
@@ -63,11 +64,13 @@ def running(
 ) -> DataFrame:
     """Add a running `count`, `sum` or `last` (last non-null) of `value` per group in `order`.
 
-    `order` lists ascending columns that identify a row within its group.
+    `order` lists ascending columns that identify a row within its group. Floating sums are refused.
     """
     if kind == "count":
         local, total, zero = F.count(F.lit(1)), F.count(F.lit(1)), F.lit(0)
     elif kind == "sum":
+        if isinstance(df.schema[value].dataType, (FloatType, DoubleType)):
+            raise TypeError(f"{value}: floating sums depend on how a group is cut; cast to a decimal first")
         local, total, zero = F.sum(value), F.sum(value), F.lit(0)
     elif kind == "last":
         local = F.last(value, ignorenulls=True)

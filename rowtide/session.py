@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Adaptive execution re-plans joins from measured sizes and splits skewed join partitions.
 SETTINGS = {
@@ -58,3 +59,23 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """A table that grows by rounds: each writes its new rows into a folder of its own below one shared path."""
+
+    def __init__(self, spark: SparkSession, label: str, schema: StructType):
+        self.spark, self.schema, self.path, self.number = spark, schema, fresh_path(spark, label), 0
+
+    def add(self, new: DataFrame) -> DataFrame:
+        """Write a round's rows and read them back."""
+        path = f"{self.path}/round-{self.number:06d}"
+        new.select(*self.schema.fieldNames()).write.parquet(path)
+        self.number += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        """The rows of all rounds so far."""
+        if not self.number:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)

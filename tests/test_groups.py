@@ -1,5 +1,6 @@
 """Ordered group work must give the same rows whether or not a group is hot."""
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from rowtide.operators import joins, windows
@@ -93,7 +94,16 @@ def test_partition_calculation_in_pieces(spark):
     one = lambda pdf: pdf.groupby("p", as_index=False).agg(n=("id", "size"), s=("id", "sum"))
     add = lambda pdf: pdf.groupby("p", as_index=False).agg({"n": "sum", "s": "sum"})
     got = by_partition(df, "p", ["id"], one, "p string, n long, s long", add, rows=16, hot_rows=20)
-    assert rows(got) == rows(df.groupBy("p").agg(F.count("*"), F.sum("id")))
+    want = rows(df.groupBy("p").agg(F.count("*"), F.sum("id")))
+    assert rows(got) == want
+    for size in (1, 10**6):
+        assert rows(by_partition(df, "p", ["id"], one, "p string, n long, s long", add, rows=size)) == want
+    assert rows(by_partition(df, "p", ["id"], one, "p string, n long, s long")) == want
+
+
+def test_floating_sums_are_refused(spark):
+    with pytest.raises(TypeError, match="decimal"):
+        g.running(skewed(spark).withColumn("v", F.col("v").cast("double")), ["k"], ["at", "id"], "r", "sum", "v")
 
 
 def test_eviction_hot(spark):

@@ -22,9 +22,14 @@ def test_a_page_counts_parents(spark):
     children = lambda **more: Embed("c", "c", [("id", "pid")], many=True, order=("v",), **more)
     got = read.read(tables.get, "p", embeds=[children(size=2)], order=["id"], limit=2).collect()
     assert [(r["id"], r["c_part"]) for r in sorted(got, key=lambda r: (r["id"], r["c_part"]))] == [(1, 0), (1, 1), (1, 2), (2, 0)]
-    inner = read.read(tables.get, "p", embeds=[children(inner=True)], order=["id"], offset=1, limit=1).collect()
+    inner = read.read(tables.get, "p", embeds=[children(inner=True, size=9)], order=["id"], offset=1, limit=1).collect()
     assert [r["id"] for r in inner] == [3]
     assert read.read(tables.get, "p", limit=1).count() == 1
+    with pytest.raises(ValueError, match="how many"):
+        children()
+    for size in (1, 2, 100):  # the parts of any size, put together, are the same rows
+        parts = read.read(tables.get, "p", embeds=[children(size=size)]).select("id", F.posexplode_outer("c"), "c_part")
+        assert [(r["id"], r["col"] and r["col"]["v"]) for r in parts.orderBy("id", "c_part", "pos").collect()] == [*[(1, i) for i in range(5)], (2, None), (3, 9)]
 
 
 def test_null_inputs_are_jobs_and_split_caches_are_refused(spark):
