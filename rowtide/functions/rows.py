@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -25,9 +26,34 @@ def non_finite(df: DataFrame) -> Column:
     return reduce(lambda a, b: a | b, bad, F.lit(False))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with `value` evaluated once per row, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
+class Stages:
+    """Values that several expressions use, each a column of its own that is computed once per row.
+
+    What one result keeps later may use what it kept before, so every value lies one projection further on.
+    """
+
+    def __init__(self):
+        self._steps: list[dict[str, Column]] = []
+
+    def keeper(self) -> Callable[[Column], Column]:
+        """A function for one result: it names a value and gives back the column to use in its place."""
+        depth = count()
+
+        def keep(value: Column) -> Column:
+            level = next(depth)
+            if level == len(self._steps):
+                self._steps.append({})
+            name = f"__s{level}_{len(self._steps[level])}"
+            self._steps[level][name] = value
+            return F.col(name)
+
+        return keep
+
+    def names(self) -> list[str]:
+        return [name for step in self._steps for name in step]
+
+    def add_to(self, df: DataFrame) -> DataFrame:
+        return reduce(lambda d, step: d.withColumns(step), self._steps, df)
 
 
 def interval_micros(text: str) -> Column:

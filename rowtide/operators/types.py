@@ -1,20 +1,20 @@
 """The fifteen portable types: canonical forms, checks, order, and lossless projections.
 
 Every rule is a column expression over text (or native) columns, so a whole table is normalised in
-one projection. An invalid value gives null plus the column's name in `_errors`.
+one scan. An invalid value gives null plus the column's name in `_errors`.
 """
 
 from __future__ import annotations
 
 import zoneinfo
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType, StructType
 
-from rowtide.functions.rows import interval_micros, let
+from rowtide.functions.rows import Stages, interval_micros
 
 ERRORS = "_errors"
 
@@ -25,8 +25,8 @@ UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 INTEGER = r"^-?\d+$"
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 TIME = r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d{1,6}0*)?$"
-STAMP = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})(?:\.(\d+))?(Z|[+-]\d{2}(?::?\d{2})?)$"
-DECIMAL = r"^([+-]?)(?:(\d+)(?:\.(\d*))?|\.(\d+))(?:[eE]([+-]?\d+))?$"
+CLOCK = r"([01]\d|2[0-3]):[0-5]\d:[0-5]\d"
+STAMP = rf"^\d{{4}}-\d\d-\d\d[T ]{CLOCK}(?:\.(\d+))?(Z|[+-]([01]\d|2[0-3])(?::?[0-5]\d)?)$"
 
 # The physical column types each portable type may come from.
 WHOLE = ("tinyint", "smallint", "int", "bigint")
@@ -49,6 +49,14 @@ PHYSICAL = {
 }
 
 
+Keep = Callable[[Column], Column]
+
+
+def _inline(value: Column) -> Column:
+    """A value used several times is written out each time; code generation evaluates equal parts once."""
+    return value
+
+
 @dataclass(frozen=True)
 class Field:
     type: str
@@ -66,7 +74,7 @@ def _all(*conds: Column) -> Column:
 
 def _six(fraction: Column) -> Column:
     """A fraction's digits as exactly six; null when digits beyond the sixth matter."""
-    return F.when(~fraction.rlike(r"^\d{6}\d*[1-9]"), F.rpad(F.substring(fraction, 1, 6), 6, "0"))
+    return F.when(F.length(F.rtrim(fraction, F.lit("0"))) <= 6, F.rpad(F.substring(fraction, 1, 6), 6, "0"))
 
 
 def _date(c: Column) -> Column:
@@ -80,29 +88,16 @@ def _time(c: Column) -> Column:
                   F.concat(_group(c, parts, 1), F.lit("."), _six(_group(c, parts, 2))))
 
 
-def _stamp(c: Column) -> Column:
+def _stamp(c: Column, keep: Keep = _inline) -> Column:
     """UTC text with six fraction digits from text with an offset of up to 23:59."""
-    read = F.struct(
-        _group(c, STAMP, 1).alias("day"), _group(c, STAMP, 2).alias("clock"), _six(_group(c, STAMP, 3)).alias("micros"),
-        F.regexp_replace(_group(c, STAMP, 4), ":", "").alias("zone"),
-    )
-
-    def shifted(p: Column) -> Column:
-        hours = F.coalesce(F.substring(p["zone"], 2, 2).try_cast("int"), F.lit(0))
-        minutes = F.coalesce(F.substring(p["zone"], 4, 2).try_cast("int"), F.lit(0))
-        signed = F.when(p["zone"].startswith("-"), -1).otherwise(1)
-        local = F.concat(_date(p["day"]), F.lit(" "), _time(p["clock"])).try_cast("timestamp_ntz")
-        utc = local - F.make_dt_interval(F.lit(0), F.lit(0), signed * (hours * 60 + minutes))
-        return F.struct(F.when((hours <= 23) & (minutes <= 59), utc).alias("utc"), p["micros"].alias("micros"))
-
-    def text(p: Column) -> Column:
-        at = p["utc"].cast("string")
-        whole = F.concat(F.substring(at, 1, 10), F.lit("T"), F.substring(at, 12, 8), F.lit("."), p["micros"], F.lit("Z"))
-        return F.when(F.year(p["utc"]).between(1, 9999), whole)
-
-    # a canonical value only needs its date checked
-    ready = c.rlike(r"^\d{4}-\d\d-\d\dT([01]\d|2[0-3]):[0-5]\d:[0-5]\d\.\d{6}Z$")
-    return F.when(ready, F.when(_date(F.substring(c, 1, 10)).isNotNull(), c)).when(c.rlike(STAMP), let(let(read, shifted), text))
+    zone, fraction = keep(F.translate(F.regexp_extract(c, STAMP, 3), ":", "")), keep(F.regexp_extract(c, STAMP, 2))
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.coalesce(F.substring(zone, 4, 2).try_cast("int"), F.lit(0))
+    behind = F.when(zone == "Z", 0).when(zone.startswith("-"), -minutes).otherwise(minutes)
+    local = F.concat(F.substring(c, 1, 10), F.lit(" "), F.substring(c, 12, 8)).try_cast("timestamp_ntz")
+    utc = keep(F.when((zone != "") & ~c.startswith("0000"), local - F.make_dt_interval(F.lit(0), F.lit(0), behind)))
+    at, micros = keep(utc.cast("string")), _six(fraction)
+    whole = F.concat(F.substring(at, 1, 10), F.lit("T"), F.substring(at, 12, 8), F.lit("."), micros, F.lit("Z"))
+    return F.when(F.year(utc).between(1, 9999), whole)
 
 
 def stamp_text(c: Column) -> Column:
@@ -112,79 +107,57 @@ def stamp_text(c: Column) -> Column:
                     F.rpad(F.substring(text, 21, 6), 6, "0"), F.lit("Z"))
 
 
-def duration_seconds(c: Column) -> Column:
+def duration_seconds(c: Column, keep: Keep = _inline) -> Column:
     """Seconds of `PT…S`, `[H:]MM:SS[.f]` or `PT…H…M…S` text as decimal(38,6); null when malformed."""
-    number = r"\d{1,18}(?:\.\d+)?"
+    number = r"\d{1,18}(?:\.\d{1,6}0*)?"
     iso = rf"(?i)^PT(?=\d)(?:{number}H)?(?:{number}M)?(?:{number}S)?$"
-    clock = r"^(?:(\d{1,18}):)?([0-5]\d):([0-5]\d(?:\.\d+)?)$"
-    spelled = F.regexp_replace(F.regexp_replace(c, clock, "PT$1H$2M$3S"), "^PTH", "PT")
-    ok = spelled.rlike(iso) & ~c.rlike(r"\.\d{6}\d*[1-9]")
+    clock = r"^(?:(\d{1,18}):)?([0-5]\d):([0-5]\d(?:\.\d{1,6}0*)?)$"
+    from_clock = F.replace(F.regexp_replace(c, clock, "PT$1H$2M$3S"), F.lit("PTH"), F.lit("PT"))
+    spelled = keep(F.when(c.rlike(iso), F.upper(c)).when(c.rlike(clock), from_clock))
+    total, rest = F.lit(0).cast("decimal(38,6)"), F.substring(spelled, 3, 1 << 30)
+    for unit, size in (("H", 3600), ("M", 60), ("S", 1)):
+        amount = F.when(F.contains(rest, F.lit(unit)), F.split_part(rest, F.lit(unit), F.lit(1))).try_cast("decimal(24,6)")
+        total = (total + (F.coalesce(amount, F.lit(0)) * size).cast("decimal(38,6)")).cast("decimal(38,6)")
+        rest = F.split_part(rest, F.lit(unit), F.lit(-1))  # all of it where the unit is missing
+    return F.when(spelled.isNotNull(), total)
 
-    def total(text: Column) -> Column:
-        units = [
-            (F.coalesce(F.regexp_extract(text, f"(?i)({number}){u}", 1).try_cast("decimal(24,6)"), F.lit(0)) * n).cast("decimal(38,6)")
-            for u, n in (("H", 3600), ("M", 60), ("S", 1))
-        ]
-        return (units[0] + units[1] + units[2]).cast("decimal(38,6)")
 
-    return let(F.when(ok, spelled), lambda x: F.when(x.isNotNull(), total(x)))
+def _plain(number: Column) -> Column:
+    """A decimal's text without end zeros behind the point."""
+    text = number.cast("string")
+    return F.when(F.contains(text, F.lit(".")), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
 
 
 def duration_text(seconds: Column) -> Column:
     """`PT<seconds>[.<fraction>]S` of a non-negative decimal number of seconds."""
-    plain = F.regexp_replace(seconds.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
-    return F.concat(F.lit("PT"), F.when(seconds == 0, "0").otherwise(plain), F.lit("S"))
+    return F.concat(F.lit("PT"), _plain(seconds.cast("decimal(38,6)")), F.lit("S"))
 
 
-def _duration(c: Column, source: str) -> Column:
+def _duration(c: Column, source: str, keep: Keep = _inline) -> Column:
     if source == "protojson":
         c = F.regexp_replace(c, "^([0-9.]+)s$", "PT$1S")
-    ready = c.rlike(r"^PT(0|[1-9]\d{0,10})(\.\d{0,5}[1-9])?S$")  # canonical and below the limit
-    read = let(duration_seconds(c), lambda s: F.when(s <= MAX_DURATION_SECONDS, duration_text(s)))
-    return F.when(ready, c).otherwise(read)
+    seconds = keep(duration_seconds(c, keep))
+    return F.when(seconds <= MAX_DURATION_SECONDS, duration_text(seconds))
 
 
-def _decimal_parts(c: Column) -> Column:
-    """struct(ok, negative, whole, fraction) of a number, read as an integer without end zeros times a power of ten.
+def _digits(c: Column, keep: Keep = _inline) -> tuple[Column, Column]:
+    """A number's text as its digits without outer zeros and the power of ten of the last one; zero is ("", 0)."""
+    mantissa, power = F.split_part(F.lower(c), F.lit("e"), F.lit(1)), F.split_part(F.lower(c), F.lit("e"), F.lit(2))
+    written = F.ltrim(F.translate(mantissa, "+-.", ""), F.lit("0"))
+    digits = keep(F.rtrim(written, F.lit("0")))
+    behind = F.length(F.split_part(mantissa, F.lit("."), F.lit(2)))
+    last = F.when(power == "", 0).otherwise(power.try_cast("int")) - behind + F.length(written) - F.length(digits)
+    return digits, keep(F.when(digits == "", 0).otherwise(last))
 
-    A decimal has 38 digits at most, so a number that would need more than 100 is not ok.
-    """
-    mantissa, power = F.get(F.split(F.lower(c), "e"), F.lit(0)), F.get(F.split(F.lower(c), "e"), F.lit(1))
-    written = F.ltrim(F.regexp_replace(mantissa, "[^0-9]", ""), F.lit("0"))
-    digits = F.rtrim(written, F.lit("0"))
-    behind = F.length(F.regexp_extract(mantissa, r"[.](.*)$", 1))
-    shift = F.when(power.isNull(), 0).otherwise(power.try_cast("int")) - behind + F.length(written) - F.length(digits)
-    number = F.struct(c.rlike(DECIMAL).alias("form"), mantissa.startswith("-").alias("negative"), digits.alias("digits"), shift.alias("shift"))
-
-    def bounded(n: Column) -> Column:
-        zero = n["digits"] == ""
-        ok = F.coalesce(n["form"] & (zero & n["shift"].isNotNull() | (F.abs(n["shift"]) + F.length(n["digits"]) <= 100)), F.lit(False))
-        return F.struct(ok.alias("ok"), n["negative"].alias("negative"), n["digits"].alias("digits"), F.when(ok & ~zero, n["shift"]).otherwise(0).alias("shift"))
-
-    def written_out(n: Column) -> Column:
-        size, back = F.length(n["digits"]), -n["shift"]
-        zeros = lambda k: F.repeat(F.lit("0"), F.greatest(k, F.lit(0)))
-        whole = F.when(back <= 0, F.concat(n["digits"], zeros(-back))).otherwise(F.substring(n["digits"], F.lit(1), F.greatest(size - back, F.lit(0))))
-        fraction = F.when(back <= 0, "").otherwise(F.concat(zeros(back - size), F.right(n["digits"], back)))
-        return F.struct(n["ok"].alias("ok"), n["negative"].alias("negative"), F.when(whole == "", "0").otherwise(whole).alias("whole"), fraction.alias("fraction"))
-
-    return let(let(number, bounded), written_out)
 
-
-def _decimal(c: Column, f: Field) -> Column:
+def _decimal(c: Column, f: Field, keep: Keep = _inline) -> Column:
+    """The cast decides the value; it is exact if the first and the last digit lie within the field."""
     if f.precision is None or f.scale is None or not (1 <= f.precision <= 38 and 0 <= f.scale <= f.precision):
         raise ValueError("a decimal field has a precision of 1..38 and a scale of 0..precision")
-
-    def spelled_out(p: Column) -> Column:
-        digits = F.concat_ws(".", p["whole"], F.nullif(p["fraction"], F.lit("")))
-        return F.when(p["ok"], F.concat(F.when(p["negative"], "-").otherwise(""), digits))
-
-    # most values are plain digits and need no placing of the point
-    trimmed = F.regexp_replace(F.regexp_replace(c, r"^(?:\+|(-)?)0*(?=\d)", "$1"), r"\.0*$|(\.\d*[1-9])0+$", "$1")
-    digits = F.when(c.rlike(r"^[+-]?\d+(\.\d*)?$"), trimmed).when(c.rlike(DECIMAL), let(_decimal_parts(c), spelled_out))
-    whole = rf"[1-9]\d{{0,{f.precision - f.scale - 1}}}|0" if f.precision > f.scale else "0"
-    fraction = rf"(\.\d{{1,{f.scale}}})?" if f.scale else ""
-    return let(digits, lambda x: F.when(x == "-0", "0").when(x.rlike(rf"^-?({whole}){fraction}$"), x))
+    digits, last = _digits(c, keep)
+    fits = (last >= -f.scale) & (F.length(digits) + last <= f.precision - f.scale)
+    value = F.when(digits == "", F.lit(0).cast(f"decimal(38,{f.scale})")).when(fits, c.try_cast(f"decimal(38,{f.scale})"))
+    return F.when(c.rlike(NUMBER), _plain(keep(value)))
 
 
 def _json(c: Column) -> Column:
@@ -204,7 +177,32 @@ def _positions(c: Column, at_least: int, closed: bool = False) -> Column:
     return F.coalesce(ok & (F.element_at(c, 1) == F.element_at(c, -1)) if closed else ok, F.lit(False))
 
 
-def _geometry(c: Column, depth: int = 2) -> Column:
+def _shapes(c: Column) -> Column:
+    """The shapes of a geometry, every collection replaced by its members however deep; null for a broken collection.
+
+    No geometry is nested deeper than its text has braces. Rounds that find nothing to open cost one look at a flag.
+    """
+    kind = lambda g: F.get_json_object(g, "$.type") == "GeometryCollection"
+    members = lambda g: F.from_json(F.get_json_object(g, "$.geometries"), "array<string>")
+
+    def opened(g: Column) -> Column:
+        return F.when(kind(g), F.coalesce(members(g), F.array(F.lit(None).cast("string")))).otherwise(F.array(g))
+
+    def step(state: Column, _: Column) -> Column:
+        more = F.exists(state["shapes"], lambda g: F.coalesce(kind(g), F.lit(False)))
+        shapes = F.when(state["open"] & more, F.flatten(F.transform(state["shapes"], opened))).otherwise(state["shapes"])
+        return F.struct(shapes.alias("shapes"), (state["open"] & more).alias("open"))
+
+    start = F.struct(F.array(c).alias("shapes"), F.lit(True).alias("open"))
+    rounds = F.sequence(F.lit(0), F.length(c) - F.length(F.replace(c, F.lit("{"))))
+    return F.aggregate(rounds, start, step, lambda state: state["shapes"])
+
+
+def _geometry(c: Column) -> Column:
+    return F.coalesce(F.forall(_shapes(c), _shape), F.lit(False))
+
+
+def _shape(c: Column) -> Column:
     kind, spots = F.get_json_object(c, "$.type"), F.get_json_object(c, "$.coordinates")
 
     def parsed(nesting: int) -> Column:
@@ -222,9 +220,6 @@ def _geometry(c: Column, depth: int = 2) -> Column:
         .when(kind == "Polygon", every(parsed(3), ring))
         .when(kind == "MultiPolygon", every(parsed(4), lambda p: every(p, ring)))
     )
-    if depth:
-        members = F.from_json(F.get_json_object(c, "$.geometries"), "array<string>")
-        ok = ok.when(kind == "GeometryCollection", F.coalesce(F.forall(members, lambda m: _geometry(m, depth - 1)), F.lit(False)))
     return F.coalesce(ok.otherwise(F.lit(False)), F.lit(False))
 
 
@@ -245,8 +240,11 @@ def geojson_ok(c: Column) -> Column:
     )
 
 
-def canonical(c: Column, f: Field, source: str = "canonical") -> Column:
-    """A text column's canonical value for its field; null where the value is not admitted."""
+def canonical(c: Column, f: Field, source: str = "canonical", keep: Keep = _inline) -> Column:
+    """A text column's canonical value for its field; null where the value is not admitted.
+
+    `keep` may put a value that is used several times into a column of its own, see `normalize`.
+    """
     kind = f.type
     if kind == "string":
         return F.when(~F.contains(c, F.lit("\0")), c)
@@ -270,24 +268,27 @@ def canonical(c: Column, f: Field, source: str = "canonical") -> Column:
     if kind == "timezone":
         return F.when(c.isin(sorted(zoneinfo.available_timezones())) & ~c.rlike(r"^([+-]|UTC[+-]|GMT[+-])"), c)
     if kind == "decimal":
-        return _decimal(c, f)
+        return _decimal(c, f, keep)
     if kind == "geojson":
         return F.when(geojson_ok(c), _json(c))
-    simple = {"timestamp": _stamp, "date": _date, "time": _time, "json": _json}
+    if kind == "timestamp":
+        return _stamp(c, keep)
+    simple = {"date": _date, "time": _time, "json": _json}
     if kind in simple:
         return simple[kind](c)
     if kind == "duration":
-        return _duration(c, source)
+        return _duration(c, source, keep)
     raise ValueError(f"unknown type {kind}")
 
 
 def normalize(df: DataFrame, fields: Mapping[str, Field], source: str = "canonical") -> DataFrame:
     """Declared columns in canonical form, and `_errors`: the names of columns whose value is refused."""
-    made = {n: canonical(F.col(n).cast("string"), f, source) for n, f in fields.items()}
-    staged = df.withColumns({f"__c_{n}": c for n, c in made.items()})
+    stages = Stages()
+    made = {n: canonical(F.col(n).cast("string"), f, source, stages.keeper()) for n, f in fields.items()}
+    staged = stages.add_to(df).withColumns({f"__c_{n}": c for n, c in made.items()})
     wrong = F.array_compact(F.array(*[F.when(F.col(n).isNotNull() & F.col(f"__c_{n}").isNull(), F.lit(n)) for n in fields]))
     out = staged.withColumn(ERRORS, wrong).withColumns({n: F.col(f"__c_{n}") for n in fields})
-    return out.drop(*[f"__c_{n}" for n in fields])
+    return out.drop(*stages.names(), *[f"__c_{n}" for n in fields])
 
 
 def refuse_errors(df: DataFrame) -> DataFrame:
@@ -347,9 +348,8 @@ def compare(a: Column, b: Column, kind: str) -> Column:
     if kind in ("json", "geojson"):
         raise TypeError(f"{kind} has no order")
     if kind == "decimal":
-        short, exact = r"^-?\d{1,20}(\.\d{1,18})?$", "decimal(38,18)"  # text a decimal holds exactly
-        digits = let(F.struct(_decimal_parts(a).alias("a"), _decimal_parts(b).alias("b")), lambda p: _by_value(p["a"], p["b"]))
-        return F.when(a.rlike(short) & b.rlike(short), _three_way(a.try_cast(exact), b.try_cast(exact))).otherwise(digits)
+        short, exact = r"^-?(\d{1,20}(\.\d{1,18})?|\d{1,11}(\.\d{1,9})?[eE][+-]?\d)$", "decimal(38,18)"  # text a decimal holds exactly
+        return F.when(a.rlike(short) & b.rlike(short), _three_way(a.try_cast(exact), b.try_cast(exact))).otherwise(_by_value(a, b))
     if kind == "duration":
         return _three_way(duration_seconds(a), duration_seconds(b))
     typed = {"int64": "bigint", "int32": "int", "double": "double", "bool": "boolean"}.get(kind, "string")
@@ -357,10 +357,19 @@ def compare(a: Column, b: Column, kind: str) -> Column:
 
 
 def _by_value(a: Column, b: Column) -> Column:
-    """Signs decide first, then the count of whole digits, then the digits themselves."""
-    sign = lambda p: F.when((p["whole"] == "0") & (p["fraction"] == ""), 0).when(p["negative"], -1).otherwise(1)
-    size = lambda p: F.struct(F.length(p["whole"]).alias("n"), p["whole"].alias("w"), p["fraction"].alias("f"))
-    return F.when(sign(a) != sign(b), _three_way(sign(a), sign(b))).otherwise(sign(a) * _three_way(size(a), size(b)))
+    """Signs decide first, then the place of the first digit, then the digits themselves; null for what is no number."""
+
+    def order(c: Column) -> Column:
+        digits, last = _digits(c)
+        top = F.when(c.rlike(NUMBER), F.length(digits) + last)  # the place of the first digit
+        return F.when(top.isNotNull(), F.struct(F.when(digits == "", 0).when(c.startswith("-"), -1).otherwise(1).alias("sign"), top.alias("top"), digits.alias("digits")))
+
+    return F.transform(F.array(F.struct(order(a).alias("a"), order(b).alias("b"))), lambda p: _by_order(p["a"], p["b"]))[0]
+
+
+def _by_order(a: Column, b: Column) -> Column:
+    size = _three_way(F.struct(a["top"], a["digits"]), F.struct(b["top"], b["digits"]))
+    return F.when(a["sign"] != b["sign"], _three_way(a["sign"], b["sign"])).otherwise(a["sign"] * size)
 
 
 def _three_way(a: Column, b: Column) -> Column:
