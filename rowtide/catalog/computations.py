@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from rowtide.catalog.registry import ORDERS_V2, Tables, query
+from rowtide.catalog.registry import ORDERS_LOG, ORDERS_V2, Tables, query
 from rowtide.operators import compute as c, publish, read
 from rowtide.session import fresh_path, stored
 from rowtide.sources import versions
@@ -61,11 +62,11 @@ def combine(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.groupby("__partition", as_index=False).agg({"n": "sum", "cents": "sum", "top": "max"})
 
 
-@query("cmp_partitioned", f"""WITH {ORDERS_V2}, k AS (SELECT *, left(o_orderpriority, 1) || '/' || strftime(o_orderdate, '%Y-%m') AS p FROM orders_v2),
-    ch AS (SELECT DISTINCT left(o_orderpriority, 1) || '/' || strftime(o_orderdate, '%Y-%m') AS p FROM orders WHERE o_orderkey % 7 = 0 AND o_orderstatus = 'F' AND o_totalprice > 400000)
+@query("cmp_partitioned", f"""WITH {ORDERS_LOG}, k AS (SELECT *, left(o_orderpriority, 1) || '/' || strftime(o_orderdate, '%Y-%m') AS p FROM orders_v2),
+    ch AS (SELECT DISTINCT left(o_orderpriority, 1) || '/' || strftime(o_orderdate, '%Y-%m') AS p FROM orders_log)
     SELECT p AS __partition, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, max(o_totalprice) AS top FROM k WHERE p IN (SELECT p FROM ch) GROUP BY 1""")
 def cmp_partitioned(t):
-    touched = by_month(t.orders.where("o_orderkey % 7 = 0 AND o_orderstatus = 'F' AND o_totalprice > 400000")).select(F.col("p").alias("key"))
+    touched = by_month(t.orders_log).select(F.col("p").alias("key"))
     rows = c.changed_only(by_month(t.orders_v2), F.col("p"), touched)
     return c.by_partition(rows.select("__partition", "o_orderkey", "o_totalprice"), "__partition", ["o_orderkey"], partial, SCHEMA, combine, rows=1000)
 
@@ -154,10 +155,25 @@ def cmp_stages(t):
     ])
 
 
-@query("udf_on_complete", f"WITH {ORDERS_V2} SELECT o_orderkey, o_totalprice, 1 AS completed FROM orders_v2")
+@query("udf_on_complete", f"""WITH {ORDERS_V2} SELECT o_orderkey, o_totalprice, greatest(c_acctbal, 0) AS c_acctbal, 1 AS completed, 0 AS torn
+    FROM orders_v2 JOIN customer ON o_custkey = c_custkey""")
 def on_complete(t):
-    base, done = fresh_path(t.spark, "sink"), []
-    cols = ["o_orderkey", "o_totalprice"]
-    acted = publish.actions(t.orders.select(cols), t.orders_v2.select(cols), "o_orderkey")
-    publish.publish({"orders": acted}, lambda name, df: versions.write_version(df, base), lambda: done.append(1))
-    return versions.read_version(t.spark, base, "o_orderkey bigint, o_totalprice double").withColumn("completed", F.lit(len(done)))
+    base, done = fresh_path(t.spark, "sinks"), []
+    sinks = {"orders": "o_orderkey bigint, o_custkey bigint, o_totalprice double", "customer": "c_custkey bigint, c_acctbal double"}
+    orders, customers = t.orders_v2.select("o_orderkey", "o_custkey", "o_totalprice"), t.customer.select("c_custkey", F.greatest("c_acctbal", F.lit(0.0)).alias("c_acctbal"))
+    versions.commit({"orders": t.orders.select(*orders.columns), "customer": t.customer.select(*customers.columns)}, base)
+
+    def step(customer):
+        now = versions.capture(t.spark, base, sinks)
+        acted = {"orders": publish.actions(now["orders"], orders, "o_orderkey"), "customer": publish.actions(now["customer"], customer, "c_custkey")}
+        publish.publish(acted, lambda tables: versions.commit(tables, base), lambda: done.append(1))
+
+    try:  # the second sink fails after the first is written: neither may change
+        step(customers.withColumn("c_acctbal", F.when(F.col("c_custkey") > 0, F.raise_error(F.lit("failed"))).cast("double")))
+    except PySparkException:
+        pass
+    torn = versions.capture(t.spark, base, sinks)["orders"].exceptAll(t.orders.select(*orders.columns)).count()
+    step(customers)
+    now = versions.capture(t.spark, base, sinks)
+    return now["orders"].join(now["customer"], F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", "o_totalprice", "c_acctbal", F.lit(len(done)).alias("completed"), F.lit(torn).cast("int").alias("torn"))

@@ -13,11 +13,10 @@ from rowtide.streaming.runs import drain
 
 @query("src_snapshot", """SELECT o_orderkey, o_totalprice, c_name FROM orders JOIN customer ON o_custkey = c_custkey""")
 def snapshot(t: Tables):
-    at = {n: (fresh_path(t.spark, n), SCHEMAS[n]) for n in ("orders", "customer")}
-    for name, (base, _) in at.items():
-        versions.write_version(getattr(t, name), base)
-    seen = versions.capture(t.spark, at)
-    versions.write_version(t.orders_v2, at["orders"][0])  # a later publication the capture must not show
+    base = fresh_path(t.spark, "tables")
+    versions.commit({"orders": t.orders, "customer": t.customer}, base)
+    seen = versions.capture(t.spark, base, {n: SCHEMAS[n] for n in ("orders", "customer")})
+    versions.commit({"orders": t.orders_v2, "customer": t.customer.where("c_custkey % 2 = 0")}, base)  # the capture must not show it
     joined = seen["orders"].join(seen["customer"], F.col("o_custkey") == F.col("c_custkey"))
     return joined.select("o_orderkey", "o_totalprice", "c_name")
 

@@ -140,9 +140,11 @@ def drifted_partitions(sink: DataFrame, owners: DataFrame, desired: DataFrame, k
     return off.join(owners.select(key, "partition"), key).groupBy("partition").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def publish(acted: Mapping[str, DataFrame], store: Callable[[str, DataFrame], None], on_complete: Callable[[], None] | None = None) -> None:
-    """Store every sink's next state, then run the completion hook once."""
-    for name, df in acted.items():
-        store(name, next_state(df))
+def publish(acted: Mapping[str, DataFrame], store: Callable[[Mapping[str, DataFrame]], object], on_complete: Callable[[], None] | None = None) -> None:
+    """Store the next state of all sinks in one call, such as one commit, then run the completion hook once.
+
+    The hook does not run after a failure.
+    """
+    store({name: next_state(df) for name, df in acted.items()})
     if on_complete:
         on_complete()

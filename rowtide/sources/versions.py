@@ -1,7 +1,7 @@
-"""Tables kept as whole parquet versions, and tables kept as per-batch change files merged on read.
+"""Tables published together as whole versions, and tables kept as per-batch change files merged on read.
 
-A version becomes current when its line is committed to the pointer, after its data is. Where a
-table format with row-level merges is available, `DataFrame.mergeInto` replaces both.
+A commit is one row that names the path of every table; it is written last, so readers see all tables of
+a commit or none. Where a table format with row-level merges is available, `DataFrame.mergeInto` replaces both.
 """
 
 from __future__ import annotations
@@ -9,43 +9,58 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+COMMIT = "claim string, tables map<string,string>"
+
 
+class VersionTaken(RuntimeError):
+    """Another writer has published the version this one was about to."""
 
-def _pointer(spark: SparkSession, base: str) -> tuple[int, str] | None:
+
+def newest(spark: SparkSession, base: str) -> tuple[int, str | None, dict[str, str]]:
+    """(version, claim, path of each table) of the newest commit below `base`; version 0 before the first."""
     try:
-        lines = spark.read.schema("version int, path string").csv(f"{base}/pointer")
-        newest = lines.agg(F.max(F.struct("version", "path")).alias("p")).first()["p"]
+        commits = spark.read.schema(f"{COMMIT}, version int").parquet(f"{base}/commits")
     except AnalysisException:  # nothing published yet
-        return None
-    return (newest["version"], newest["path"]) if newest else None
-
-
-def write_version(df: DataFrame, base: str, partition_by: Sequence[str] = ()) -> int:
-    """Write the next whole version and make it current; returns its number."""
-    spark = df.sparkSession
-    at = _pointer(spark, base)
-    number = at[0] + 1 if at else 1
-    path = f"{base}/v{number}-{uuid.uuid4().hex[:8]}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    spark.createDataFrame([(number, path)], "version int, path string").coalesce(1).write.mode("append").csv(f"{base}/pointer")
+        return 0, None, {}
+    last = commits.agg(F.max_by(F.struct("version", "claim", "tables"), F.struct("version", "claim")).alias("last")).first()["last"]
+    return (last["version"], last["claim"], last["tables"]) if last else (0, None, {})
+
+
+def commit(tables: Mapping[str, DataFrame], base: str, onto: int | None = None) -> int:
+    """Publish the next state of several tables at once; tables not named keep theirs. Returns the version.
+
+    A failure before the last write leaves the current version as it was. `onto` is the version the tables
+    were made from: if another has been published since, or is at the same time, `VersionTaken` is raised.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version, _, paths = newest(spark, base)
+    if onto not in (None, version):
+        raise VersionTaken(f"made from version {onto}, but {version} is current")
+    claim, number = uuid.uuid4().hex, version + 1
+    new = {name: f"{base}/data/{name}/v{number}-{claim}" for name in tables}
+    for name, df in tables.items():
+        df.write.parquet(new[name])
+    line = spark.createDataFrame([(claim, {**paths, **new})], COMMIT).coalesce(1)
+    try:
+        line.write.mode("error").parquet(f"{base}/commits/version={number}")
+    except AnalysisException as e:
+        raise VersionTaken(f"version {number} is published") from e
+    at, held, _ = newest(spark, base)
+    if at == number and held != claim:  # two writers passed the check above at once: one claim stands
+        raise VersionTaken(f"version {number} has two claims")
     return number
 
 
-def read_version(spark: SparkSession, base: str, schema) -> DataFrame:
-    """The current version, resolved now; later publications do not show through."""
-    at = _pointer(spark, base)
-    return spark.read.schema(schema).parquet(at[1]) if at else spark.createDataFrame([], schema)
-
-
-def capture(spark: SparkSession, reads: Mapping[str, tuple[str, object]]) -> dict[str, DataFrame]:
-    """Every declared table {name: (base, schema)}, all resolved up front to one set of versions."""
-    at = {name: _pointer(spark, base) for name, (base, _) in reads.items()}
-    missing = sorted(n for n, p in at.items() if p is None)
+def capture(spark: SparkSession, base: str, schemas: Mapping[str, object]) -> dict[str, DataFrame]:
+    """The tables named in `schemas`, all of one commit; later publications do not show through."""
+    _, _, paths = newest(spark, base)
+    missing = sorted(set(schemas) - set(paths))
     if missing:
         raise LookupError(f"no published version of {missing}")
-    return {name: spark.read.schema(schema).parquet(at[name][1]) for name, (_, schema) in reads.items()}
+    return {name: spark.read.schema(schema).parquet(paths[name]) for name, schema in schemas.items()}
 
 
 def write_batch(df: DataFrame, base: str, batch_id: int) -> None:

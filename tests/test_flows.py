@@ -2,6 +2,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from rowtide.functions import ids, text
@@ -140,11 +141,33 @@ def test_lake_shows_only_listed_files(spark):
 
 
 def test_versions(spark):
-    base = fresh_path(spark, "v")
+    base, schemas = fresh_path(spark, "v"), {"a": "id long", "b": "id long"}
     with pytest.raises(LookupError):
-        versions.capture(spark, {"t": (base, "id long")})
-    assert [versions.write_version(spark.range(n), base) for n in (1, 2)] == [1, 2]
-    assert versions.read_version(spark, base, "id long").count() == 2
+        versions.capture(spark, base, schemas)
+    assert versions.commit({"a": spark.range(1), "b": spark.range(10)}, base) == 1
+    before = versions.capture(spark, base, schemas)
+    assert versions.commit({"a": spark.range(2)}, base, onto=1) == 2  # b keeps its rows
+    with pytest.raises(versions.VersionTaken):
+        versions.commit({"a": spark.range(3)}, base, onto=1)
+    failing = spark.range(3).select(F.when(F.col("id") < 9, F.raise_error(F.lit("no"))).cast("long").alias("id"))
+    with pytest.raises(PySparkException):
+        versions.commit({"a": spark.range(4), "b": failing}, base)
+    counts = lambda tables: {n: df.count() for n, df in tables.items()}
+    assert counts(before) == {"a": 1, "b": 10}
+    assert counts(versions.capture(spark, base, schemas)) == {"a": 2, "b": 10}
+
+
+def test_a_version_is_published_once(spark, monkeypatch):
+    """A writer that read the pointer before another one committed is refused."""
+    base = fresh_path(spark, "v")
+    versions.commit({"a": spark.range(1)}, base)
+    old = versions.newest(spark, base)
+    versions.commit({"a": spark.range(2)}, base)
+    monkeypatch.setattr(versions, "newest", lambda *_: old)
+    with pytest.raises(versions.VersionTaken):
+        versions.commit({"a": spark.range(3)}, base)
+    monkeypatch.undo()
+    assert versions.capture(spark, base, {"a": "id long"})["a"].count() == 2
 
 
 def test_objects_and_content(spark):

@@ -133,12 +133,12 @@ def test_geometry_collections_of_any_depth(spark):
     cases = [(str(n), wrapped(x, n), x is good) for n in (0, 1, 3, 4, 9) for x in (good, bad)]
     cases += [("mixed", wrapped(f"{good},{wrapped(bad, 4)}", 2), False), ("empty", wrapped("", 5), True), ("null", wrapped("null", 3), False),
               ("feature", f'{{"type":"Feature","geometry":{wrapped(good, 6)}}}', True), ("no list", '{"type":"GeometryCollection","geometries":5}', False)]
-    df = spark.createDataFrame(cases, "name string, text string, ok boolean").withColumn("got", canonical(F.col("text"), Field("geojson")).isNotNull())
+    df = spark.createDataFrame(cases, "name string, text string, ok boolean").withColumn("got", ty.canonical(F.col("text"), Field("geojson")).isNotNull())
     assert [r["name"] for r in df.where("got <> ok").collect()] == []
 
 
 def test_decimals_are_exact_or_refused(spark):
     cases = [("1e-7", "0.0000001"), ("1E3", "1000"), ("5.", "5"), ("0e999999999999", "0"), ("1e99999999999", None), ("12345.6", "12345.6"), ("123456", None),
              ("1.23456789", None), ("-1.50e-3", "-0.0015"), ("", None), (None, None)]
-    df = spark.createDataFrame(cases, "text string, expected string").withColumn("got", canonical(F.col("text"), Field("decimal", 12, 7)))
+    df = spark.createDataFrame(cases, "text string, expected string").withColumn("got", ty.canonical(F.col("text"), Field("decimal", 12, 7)))
     assert df.where(~F.col("got").eqNullSafe(F.col("expected"))).collect() == []
