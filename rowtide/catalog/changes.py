@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowtide.catalog.registry import ORDERS_LOG, ORDERS_V2, Tables, query
+from rowtide.catalog.registry import ORDERS_LOG, ORDERS_V2, Tables, query, refused
 from rowtide.operators import changes as c, deltas as d, publish
 from rowtide.session import fresh_path
 
@@ -113,10 +113,13 @@ def ivm_capture(t):
     return d.capture({"orders": pending(t)}, {"no_price": t.orders_v2.where("o_totalprice IS NULL"), "no_key": t.orders_v2.where("o_orderkey IS NULL")})
 
 
-@query("ivm_checks", "SELECT CAST(count(*) AS BIGINT) AS passed FROM orders WHERE o_totalprice IS NOT NULL AND o_custkey IS NOT NULL")
+@query("ivm_checks", """SELECT o_orderstatus, count(*) AS n, (SELECT min(o_totalprice) < 0 OR count(*) > count(o_custkey) FROM orders) AS sound,
+    (SELECT max(o_totalprice) > 490000 FROM orders) AS dear FROM orders GROUP BY 1""")
 def ivm_checks(t):
-    d.require_empty({"price": t.orders.where("o_totalprice < 0"), "customer": t.orders.where("o_custkey IS NULL")})
-    return t.orders.agg(F.count_if(F.col("o_totalprice").isNotNull() & F.col("o_custkey").isNotNull()).alias("passed"))
+    checks = {"sound": {"price": t.orders.where("o_totalprice < 0"), "customer": t.orders.where("o_custkey IS NULL")},
+              "dear": {"price": t.orders.where("o_totalprice < 0"), "dear": t.orders.where("o_totalprice > 490000")}}
+    counted = t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumns({n: refused(d.require_empty, c) for n, c in checks.items()})
 
 
 @query("ivm_ack", f"WITH {ORDERS_V2} SELECT {PICK}, CAST(1 AS BIGINT) AS weight FROM orders_v2")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowtide.catalog.registry import Tables, query
+from rowtide.catalog.registry import Tables, query, refused
 from rowtide.operators import types as ty, validate as v
 from rowtide.operators.types import Field
 
@@ -65,18 +65,22 @@ def project_lossless(t):
 ADMITTED = {"o_orderkey": "int64", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderstatus": "string"}
 
 
-@query("typ_physical_admission", "SELECT o_orderkey, o_totalprice, o_orderdate, o_orderstatus FROM orders")
+@query("typ_physical_admission", """SELECT o_orderkey, o_totalprice, o_orderdate, o_orderstatus, false AS as_declared, true AS whole_from_double, true AS date_from_timestamp,
+    true AS number_from_text, false AS decimal_from_text, false AS from_nothing FROM orders""")
 def physical_admission(t):
     df = t.orders.select(*ADMITTED)
-    ty.admit_physical(df.schema, ADMITTED)
-    return df
+    cases = {"as_declared": ADMITTED, "whole_from_double": {"o_totalprice": "int64"}, "date_from_timestamp": {"o_orderdate": "date"},
+             "number_from_text": {"o_orderstatus": "double"}, "decimal_from_text": {"o_orderstatus": "decimal"}}
+    no = {n: refused(ty.admit_physical, df.schema, fields) for n, fields in cases.items()}
+    empty = df.where("false").withColumn("o_totalprice", F.lit(None))  # no type yet, so any type
+    return df.withColumns(no | {"from_nothing": refused(ty.admit_physical, empty.schema, ADMITTED)})
 
 
-@query("typ_boundary", "SELECT c_custkey, c_name FROM customer")
+@query("typ_boundary", "SELECT c_custkey, c_name, false AS exact, true AS missing, true AS extra, true AS twice, false AS no_rows FROM customer")
 def boundary(t):
-    df = t.customer.select("c_custkey", "c_name")
-    ty.check_boundary(df.where("false").schema, ["c_custkey", "c_name"])
-    return df
+    df, fields = t.customer.select("c_custkey", "c_name"), ["c_custkey", "c_name"]
+    cases = {"exact": df, "missing": df.select("c_name"), "extra": t.customer, "twice": df.select("*", "c_name"), "no_rows": df.where("false")}
+    return df.withColumns({n: refused(ty.check_boundary, case.schema, fields) for n, case in cases.items()})
 
 
 @query("typ_compare", """SELECT o_orderkey, sign(o_totalprice - 99999.5)::INT AS price, sign(o_orderkey - 900)::INT AS k, sign(o_custkey * 60 - 5400)::INT AS wait FROM orders""")

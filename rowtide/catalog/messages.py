@@ -76,9 +76,12 @@ def pipe_http_enrich(t):
     return m.enrich(t.events.select("event_id", "event_type"), "event_type", lambda x: f"seen:{x}").select("event_id", "response")
 
 
-@query("pipe_log", "SELECT event_id FROM events")
+@query("pipe_log", "SELECT count(*) AS n, max(event_id) AS last, count(DISTINCT event_id) AS passed FROM events")
 def pipe_log(t):
-    return m.log(t.events.select("event_id"), "events", n=F.count(F.lit(1)))[0]
+    passed, seen = m.log(t.events.select("event_id"), "events", n=F.count(F.lit(1)), last=F.max("event_id"))
+    through = stored(passed)
+    metrics = seen.get
+    return through.agg(F.lit(metrics["n"]).cast("bigint").alias("n"), F.lit(metrics["last"]).cast("bigint").alias("last"), F.count_distinct("event_id").alias("passed"))
 
 
 @query("pipe_retry", "SELECT event_id, value FROM events")

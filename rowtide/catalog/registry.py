@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Declared schemas of the shared tables; nothing is inferred on read.
 SCHEMAS = {
@@ -95,6 +95,15 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
+def refused(check: Callable, *args, **named) -> Column:
+    """Whether a check turns its input down, as a column beside the rows it is about."""
+    try:
+        check(*args, **named)
+    except (TypeError, ValueError):
+        return F.lit(True)
+    return F.lit(False)
+
+
 def query(name: str, sql: str | None = None):
     """Register `fn(tables)` under `name`, with the SQL that gives the same rows when there is one."""
 

@@ -87,9 +87,12 @@ def start_sweep(t):
     return versions.merged(versions.read_batches(t.spark, base, "o_orderkey bigint, o_custkey bigint, o_totalprice double"), ["o_orderkey"])
 
 
-@query("src_objects")
+@query("src_objects", "SELECT page_id % 20 AS shelf, CAST(sum(octet_length(encode(coalesce(html, ''))) + 1) AS BIGINT) AS length FROM pages GROUP BY 1")
 def objects(t):
-    return feeds.objects(t.spark, t.dir, "*.parquet").withColumn("path", F.regexp_extract("path", "([^/]+)$", 1))
+    base, shelf = fresh_path(t.spark, "objects"), (F.col("page_id") % 20).alias("shelf")
+    t.pages.select(shelf, F.coalesce("html", F.lit("")).alias("value")).repartition("shelf").write.partitionBy("shelf").text(base)
+    found = feeds.objects(t.spark, base, "*.txt")
+    return found.groupBy(F.regexp_extract("path", "shelf=([0-9]+)/", 1).cast("bigint").alias("shelf")).agg(F.sum("length").alias("length"))
 
 
 @query("src_content_check", """SELECT page_id, (CASE WHEN page_id % 5 = 0 THEN sha256(url) ELSE sha256(html) END) = sha256(html) AS matches FROM pages""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowtide.catalog.registry import NEW_KEY, ORDERS_V2, Tables, query
+from rowtide.catalog.registry import NEW_KEY, ORDERS_V2, Tables, query, refused
 from rowtide.operators import publish as p, writes as w
 from rowtide.session import fresh_path, stored
 
@@ -70,12 +70,13 @@ def validate_delta(t):
     return p.delta_violations(ups, t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("id")))
 
 
-@query("pub_check_columns", """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name FROM customer""")
+@query("pub_check_columns", """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, false AS sound, true AS no_id, true AS unknown, true AS read_only, true AS short FROM customer""")
 def check_columns(t):
     sink = t.customer.select(F.col("c_custkey").cast("string").alias("id"), "c_name", "c_acctbal")
     out = sink.select("id", "c_name")
-    p.check_columns(sink.schema, out.schema, required=["c_name"])
-    return out
+    cases = {"sound": out, "no_id": out.drop("id"), "unknown": out.withColumn("c_other", F.lit(1)), "read_only": sink, "short": out.select("id")}
+    no = {n: refused(p.check_columns, sink.schema, df.schema, read_only=["c_acctbal"], required=["c_name"]) for n, df in cases.items()}
+    return out.withColumns(no)
 
 
 DIFF = f"""{ORDERS_V2}, a AS (SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey,

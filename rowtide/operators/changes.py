@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from rowtide.plans.groups import HOT_ROWS, running, top_per_group
 
-# Fixed value: log entries kept per table.
-RETAINED = 4096
 _CHUNK = 100_000
 
 
@@ -83,7 +81,7 @@ def update_entries(updates: DataFrame, old: str, new: str, seq: str) -> DataFram
     return updates.select(F.explode(pair).alias("e")).select("e.seq", "e.op", "e.row.*")
 
 
-def newest_entries(log: DataFrame, table: str = "table", keep: int = RETAINED) -> DataFrame:
+def newest_entries(log: DataFrame, keep: int, table: str = "table") -> DataFrame:
     """The newest `keep` entries of each table."""
     return top_per_group(log, [table], [F.desc("seq")], keep, ["seq"])
 

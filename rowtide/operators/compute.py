@@ -18,11 +18,6 @@ from rowtide.session import Rounds, stored
 
 Tables = Mapping[str, DataFrame]
 
-# What a job cache holds at most.
-CACHE_ENTRIES = 100_000
-CACHE_BYTES = 512 * 1024 * 1024
-
-
 @dataclass(frozen=True)
 class Computation:
     """Named queries over `reads`, a calculation from their results to `{sink: rows}`, and its sinks."""
@@ -156,7 +151,7 @@ def conflicts(answers: DataFrame) -> DataFrame:
     return answers.groupBy("key").agg(F.count_distinct("answer").alias("answers")).where("answers > 1")
 
 
-def evicted(cache: DataFrame, entries: int = CACHE_ENTRIES, size: int = CACHE_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
+def evicted(cache: DataFrame, entries: int, size: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The cache cut to its most recently used answers within both limits."""
     aged = cache.withColumns({"__age": -micros(cache, "accessed"), "__bytes": F.octet_length("answer").cast("bigint") + 128})
     aged = aged.withColumn("__back", F.reverse("key"))  # a tie-break that is fixed and spreads over slices

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide.plans.groups import number_rows
 
-# Deliveries before a record is set aside, the backlog a reader may have, the entries kept.
+# Deliveries before a record is set aside, the backlog a reader may have.
 MAX_DELIVERIES = 5
 GROUP_BUDGET = 100_000
-RETAINED = 10_000
 
 
 def enriched(rows: DataFrame, now: Column, source: str, key: str = "id") -> DataFrame:
@@ -63,7 +62,7 @@ def consumer_lag(log: DataFrame, position: str, groups: Sequence[tuple[str, int,
     return flat.select("grp", F.when(cleared, 0).otherwise(F.col("lag")).alias("lag"), F.when(cleared, 0).otherwise(F.col("pending")).alias("pending"), "state")
 
 
-def retained(log: DataFrame, position: str, acked: DataFrame, declared: Sequence[str], keep: int = RETAINED) -> DataFrame:
+def retained(log: DataFrame, position: str, acked: DataFrame, declared: Sequence[str], keep: int) -> DataFrame:
     """Entries some reader has not acknowledged, and in any case the newest `keep`.
 
     `acked` is (grp, position). Nothing is trimmed until every declared reader is in it.

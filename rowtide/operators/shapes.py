@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowtide.operators import changes, read
 from rowtide.plans.groups import HOT_ROWS, running
 
-# Fixed value: log entries a shape's feed keeps.
-RETAINED = 1000
-
 
 def visibility(transactions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What a snapshot taken now has seen, over transactions (txid, open): one row (xmin, xmax) and the open ones (txid)."""
@@ -44,7 +41,7 @@ def merge(snap: DataFrame, log: DataFrame, key: Sequence[str], xmax: int, unfini
     return changes.compact(snap, unseen.drop("__open"), key)
 
 
-def expired(readers: DataFrame, log: DataFrame, keep: int = RETAINED) -> DataFrame:
+def expired(readers: DataFrame, log: DataFrame, keep: int) -> DataFrame:
     """`expired`: readers (reader, offset) who have missed entries outside the newest `keep`, or a reset."""
     oldest = log.select("offset").orderBy(F.desc("offset")).limit(keep).agg(F.min("offset").alias("o")).scalar()
     reset = log.where("op = 'T'").agg(F.max("offset").alias("o")).scalar()

@@ -6,17 +6,20 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowtide.plans.sizes import SMALL_ROWS, rows_within
+from rowtide.plans.sizes import SMALL_BYTES, row_bytes
 
 
 class DuplicateKey(ValueError):
     """A written key is repeated, or already present where it must not be."""
 
 
-def _check_unique(rows: DataFrame, key: Sequence[str]) -> None:
-    repeated = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
-    if repeated:
-        raise DuplicateKey(f"written twice: {repeated[0]}")
+def _check_unique(rows: DataFrame, key: Sequence[str]) -> int:
+    """Refuse a repeated key; the rows' size in bytes comes from the same aggregate."""
+    keys = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(rows.columns)).alias("bytes"))
+    seen = keys.agg(F.max("n").alias("n"), F.max_by(F.struct(*key), "n").alias("key"), F.sum("bytes").alias("bytes")).first()
+    if (seen["n"] or 0) > 1:
+        raise DuplicateKey(f"written twice: {seen['key']}")
+    return seen["bytes"] or 0
 
 
 def insert(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -44,13 +47,13 @@ def _present(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame
     return table.select(*key).join(rows.select(*key), list(key), "left_semi")
 
 
-def merge_duplicates(table: DataFrame, rows: DataFrame, key: Sequence[str], small: int = SMALL_ROWS) -> DataFrame:
+def merge_duplicates(table: DataFrame, rows: DataFrame, key: Sequence[str], small: int = SMALL_BYTES) -> DataFrame:
     """Upsert: a row's supplied columns replace the stored ones, nulls included; new keys are appended.
 
-    A change set of up to `small` rows is broadcast and the table is not shuffled; a larger one is
+    A change set of up to `small` bytes is broadcast and the table is not shuffled; a larger one is
     merged by one full outer join.
     """
-    _check_unique(rows, key)
+    size = _check_unique(rows, key)
     supplied = [c for c in rows.columns if c not in key]
     marked = rows.select(*key, *[F.col(c).alias(f"__n_{c}") for c in supplied], F.lit(True).alias("__new"))
 
@@ -58,7 +61,7 @@ def merge_duplicates(table: DataFrame, rows: DataFrame, key: Sequence[str], smal
         picked = {c: F.when(F.col("__new"), F.col(f"__n_{c}")).otherwise(F.col(c)) for c in supplied}
         return joined.withColumns(picked).select(*table.columns)
 
-    if not rows_within(rows, small):
+    if size > small:
         return merge(table.join(marked, list(key), "full"))
     updated = merge(table.join(F.broadcast(marked), list(key), "left"))
     touched = table.select(*key).join(F.broadcast(rows.select(*key)), list(key), "left_semi")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
 
-SMALL_ROWS = 100_000  # a change set that is broadcast
+from pyspark.sql import Column, DataFrame, functions as F
+
+SMALL_BYTES = 10 * 1024 * 1024  # a change set that is broadcast
 
 
 def rows_within(df: DataFrame, limit: int) -> bool:
-    """Whether `df` has at most `limit` rows, reading no more than `limit` + 1 of them."""
-    return df.limit(limit + 1).count() <= limit
+    """Whether `df` has at most `limit` rows; tasks count before anything moves."""
+    return df.count() <= limit
+
+
+def row_bytes(columns: Sequence[str]) -> Column:
+    """About what a row takes in memory: its text and a fixed width per column."""
+    return F.octet_length(F.to_json(F.struct(*columns))) + F.lit(16 * len(columns))
