@@ -50,7 +50,7 @@ def expand(counted: DataFrame, copies: str) -> DataFrame:
     return spread.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__inside")))).drop("__i", "__inside", "__chunk")
 
 
-def apply_no_key(base: DataFrame, log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def apply_no_key(base: DataFrame, log: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """A table without a key: each D removes exactly one equal row if there is one, each I adds one.
 
     Rows the log does not name stay untouched. For the others only counts are needed: with c copies

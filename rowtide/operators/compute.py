@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from rowtide.functions.ids import content_key
 from rowtide.functions.rows import micros
 from rowtide.operators import publish
-from rowtide.plans.groups import HOT_ROWS, collect_parts, number_rows, running
+from rowtide.plans.groups import HOT_ROWS, collect_parts, hot_groups, number_rows, running
 from rowtide.session import Rounds, stored
 
 Tables = Mapping[str, DataFrame]
@@ -78,7 +78,7 @@ def by_partition(
     schema: str,
     merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
     rows: int | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """A pure calculation per partition, in the way the caller chooses for partitions of every size.
 
@@ -151,12 +151,14 @@ def conflicts(answers: DataFrame) -> DataFrame:
     return answers.groupBy("key").agg(F.count_distinct("answer").alias("answers")).where("answers > 1")
 
 
-def evicted(cache: DataFrame, entries: int, size: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+def evicted(cache: DataFrame, entries: int, size: int, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The cache cut to its most recently used answers within both limits."""
     aged = cache.withColumns({"__age": -micros(cache, "accessed"), "__bytes": F.octet_length("answer").cast("bigint") + 128})
     aged = aged.withColumn("__back", F.reverse("key"))  # a tie-break that is fixed and spreads over slices
-    ranked = running(aged, [], ["__age", "__back"], "__n", "count", hot_rows=hot_rows)
-    sized = running(ranked, [], ["__age", "__back"], "__total", "sum", "__bytes", hot_rows)
+    hot = hot_groups(aged, [], hot_rows)  # counted once for both
+    plain = hot_rows if hot is not None else None
+    ranked = running(aged, [], ["__age", "__back"], "__n", "count", hot_rows=plain, hot=hot)
+    sized = running(ranked, [], ["__age", "__back"], "__total", "sum", "__bytes", plain, hot)
     return sized.where((F.col("__n") <= entries) & (F.col("__total") <= size)).select(*cache.columns)
 
 

@@ -35,7 +35,7 @@ def asof_left(
     right_id: str,
     match: str = "match",
     strict: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Each left row with the latest right row of its key at or before it (before it when `strict`).
 

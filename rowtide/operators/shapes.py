@@ -67,7 +67,7 @@ def compact_store(ops: DataFrame, shape: Sequence[str], key: str, value: str) ->
     return held.select(*shape, key, F.col(f"__e.{value}").alias(value)).join(placed, [*shape, key])
 
 
-def idempotent_ops(ops: DataFrame, shape: Sequence[str], key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def idempotent_ops(ops: DataFrame, shape: Sequence[str], key: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """An insert of a key delivered before is an update. A truncate clears that memory, a delete does not."""
     marked = ops.withColumn("__t", F.when(F.col("op") == "truncate", 1).otherwise(0))
     timed = running(marked, shape, ["seq"], "__epoch", "sum", "__t", hot_rows).drop("__t")

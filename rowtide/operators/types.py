@@ -163,7 +163,10 @@ def _decimal(c: Column, f: Field, keep: Keep = _inline) -> Column:
 def _json(c: Column) -> Column:
     lone = r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F][0-9a-fA-F]{2}"
     plain = ~c.rlike(r"(?<!\\)(?:\\\\)*\\u0000") & ~c.rlike(lone)
-    return F.when(plain, F.to_json(F.try_parse_json(c)))
+    # the parser stops behind the first value; what follows it cannot be sound in an array and an object alike
+    listed, named = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))), F.json_object_keys(F.concat(F.lit('{"x":'), c, F.lit("}")))
+    single = (listed == 1) & (F.size(named) == 1)
+    return F.when(plain & single, F.to_json(F.try_parse_json(c)))
 
 
 def _positions(c: Column, at_least: int, closed: bool = False) -> Column:

@@ -15,12 +15,12 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("__row")).select(*keys, "__row.*")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "total", hot_rows: int = HOT_ROWS) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "total", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Sum of `value` up to each row of its group."""
     return running(df, keys, order, name, "sum", value, hot_rows)
 
 
-def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], marker: Column, trace: Column, name: str = "trace", hot_rows: int = HOT_ROWS, unknown: str | None = "") -> DataFrame:
+def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], marker: Column, trace: Column, name: str = "trace", hot_rows: int | None = HOT_ROWS, unknown: str | None = "") -> DataFrame:
     """Rows between markers take the last marker's trace, `unknown` before the first. Marker rows are dropped."""
     marked = df.withColumn("__is", F.coalesce(marker, F.lit(False)))
     marked = marked.withColumn("__trace", F.when(F.col("__is"), F.coalesce(trace, F.lit(""))))

@@ -22,8 +22,10 @@ HOT_ROWS = 2_000_000
 _SLICE, _CARRY, _HITS = "__slice", "__carry", "__rows"
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """(keys, __rows) of the groups above `hot_rows`, or None. At most count(df)/hot_rows rows."""
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS) -> DataFrame | None:
+    """(keys, __rows) of the groups above `hot_rows`, or None; nothing is counted without a number. At most count(df)/hot_rows rows."""
+    if hot_rows is None:
+        return None
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_HITS)).where(F.col(_HITS) > hot_rows)
     return stored(counted) if counted.take(1) else None
 
@@ -44,11 +46,11 @@ def _all(conds: Sequence[Column]) -> Column:
     return out
 
 
-def _slices(rows: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame, hot_rows: int) -> DataFrame:
+def _slices(rows: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame, hot_rows: int | None) -> DataFrame:
     """Range-partition on (keys, order) and pin each row's slice number durably."""
     total = hot.agg(F.sum(_HITS)).first()[0]
     spark = rows.sparkSession
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / hot_rows))
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (hot_rows or HOT_ROWS)))
     spread = rows.repartitionByRange(width, *[F.col(c) for c in [*keys, *order]])
     return stored(spread.withColumn(_SLICE, F.spark_partition_id()))
 
@@ -60,11 +62,14 @@ def running(
     name: str,
     kind: str = "count",
     value: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add a running `count`, `sum` or `last` (last non-null) of `value` per group in `order`.
 
     `order` lists ascending columns that identify a row within its group. Floating sums are refused.
+    A caller who knows the groups to be small takes the plain window by `hot_rows=None`, and one who knows the hot
+    groups hands them in as `hot`, in the form `hot_groups` gives; in both cases nothing runs while the plan is built.
     """
     if kind == "count":
         local, total, zero = F.count(F.lit(1)), F.count(F.lit(1)), F.lit(0)
@@ -83,7 +88,7 @@ def running(
         w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumn(name, local.over(w))
 
-    hot = hot_groups(df, keys, hot_rows)
+    hot = hot_groups(df, keys, hot_rows) if hot is None else hot
     if hot is None:
         return over(df, keys)
     cold, big = split_hot(df, keys, hot)
@@ -106,9 +111,9 @@ def running(
     return over(cold, keys).unionByName(done)
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", hot_rows: int = HOT_ROWS) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", hot_rows: int | None = HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
     """1-based position of each row in its group."""
-    return running(df, keys, order, name, "count", hot_rows=hot_rows)
+    return running(df, keys, order, name, "count", hot_rows=hot_rows, hot=hot)
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, salt_on: Sequence[str], salts: int = 64) -> DataFrame:
@@ -131,7 +136,7 @@ def collect_parts(
     size: int,
     name: str = "items",
     part: str = "part",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Ordered arrays of each group's items, `size` per row: part 0, 1, 2 … hold the whole group.
 

@@ -16,7 +16,7 @@ def _state(rows: DataFrame, base: str, batch: int, schema: str) -> DataFrame | N
     return None if batch == 0 else rows.sparkSession.read.schema(schema).parquet(f"{base}/state/batch={batch - 1}")
 
 
-def trace_batches(base: str, reader: str, order: Sequence[str], marker: Column, trace: Column, hot_rows: int = HOT_ROWS) -> Callable[[DataFrame, int], None]:
+def trace_batches(base: str, reader: str, order: Sequence[str], marker: Column, trace: Column, hot_rows: int | None = HOT_ROWS) -> Callable[[DataFrame, int], None]:
     """`foreachBatch` form of the forward fill: markers carry over from earlier batches, per reader.
 
     Each batch is filled in parallel, however many of its rows belong to one reader; only a reader's

@@ -129,3 +129,15 @@ def test_intervals_do_not_depend_on_the_session_zone(spark):
         assert rows(joins.in_interval(points, "at", spans, "lo", "hi", 1800)) == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_the_caller_may_know_the_hot_groups(spark):
+    """The plain window runs no job while the plan is built, and hot groups handed in give the same rows."""
+    df = spark.range(600).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 20).alias("k"), "id", (F.col("id") * 7).alias("v"))
+    tracker, counted = spark.sparkContext.statusTracker(), g.hot_groups(df, ["k"], 100)
+    spark.sparkContext.setJobGroup("plain", "no job")
+    plain = g.running(df, ["k"], ["id"], "total", "sum", "v", None)
+    assert not tracker.getJobIdsForGroup("plain")
+    spark.sparkContext.setJobGroup("rest", "")
+    given = g.running(df, ["k"], ["id"], "total", "sum", "v", 100, counted)
+    assert counted is not None and plain.exceptAll(given).count() == given.exceptAll(plain).count() == 0

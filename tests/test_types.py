@@ -142,3 +142,12 @@ def test_decimals_are_exact_or_refused(spark):
              ("1.23456789", None), ("-1.50e-3", "-0.0015"), ("", None), (None, None)]
     df = spark.createDataFrame(cases, "text string, expected string").withColumn("got", ty.canonical(F.col("text"), Field("decimal", 12, 7)))
     assert df.where(~F.col("got").eqNullSafe(F.col("expected"))).collect() == []
+
+
+def test_json_is_one_value(spark):
+    """Text behind the first value is refused, whatever it tries to close."""
+    bad = ['{"a":1},{"b":2}', '{"a":1} {"b":2}', '{"a":1}}', '{"a":1}],[{"b":2}', '{"a":1}]],[[2', '{"a":1},"y":2', '{"a":1}},{"x":2', "1 2", ""]
+    good = ['{"a":[1,2]}', "[]", "null", '"x, y"', '{"a":{"b":"]},{"}}', "1.5"]
+    df = spark.createDataFrame([(x, False) for x in bad] + [(x, True) for x in good], "text string, ok boolean")
+    got = df.withColumn("got", ty.canonical(F.col("text"), Field("json")).isNotNull())
+    assert [r["text"] for r in got.where("got <> ok").collect()] == []
