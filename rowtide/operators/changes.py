@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide.plans.groups import HOT_ROWS, running, top_per_group
+from rowtide.session import stored
 
 _CHUNK = 100_000
 
@@ -17,14 +18,18 @@ def fenced(log: DataFrame, after: int, target: int) -> DataFrame:
     return log.where((F.col("seq") > after) & (F.col("seq") <= target))
 
 
+def _cleared(log: DataFrame) -> Column:
+    """The position of the last truncate, null without one: a scalar subquery, which a plan computes once."""
+    return log.where("op = 'T'").agg(F.max("seq").alias("t")).scalar()
+
+
 def _after_truncate(log: DataFrame) -> DataFrame:
-    """Row entries behind the last truncate; its position is a scalar subquery."""
-    cleared = log.where("op = 'T'").agg(F.max("seq").alias("t")).scalar()
-    return log.where("op <> 'T'").where(F.col("seq") > F.coalesce(cleared, F.lit(-(2**63))))
+    """Row entries behind the last truncate."""
+    return log.where("op <> 'T'").where(F.col("seq") > F.coalesce(_cleared(log), F.lit(-(2**63))))
 
 
 def _unless_truncated(base: DataFrame, log: DataFrame) -> DataFrame:
-    return base.where(log.where("op = 'T'").agg(F.count(F.lit(1)).alias("n")).scalar() == 0)
+    return base.where(_cleared(log).isNull())
 
 
 def final_ops(log: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -60,7 +65,7 @@ def apply_no_key(base: DataFrame, log: DataFrame, hot_rows: int | None = HOT_ROW
     cols = base.columns
     live = _after_truncate(log).select(*cols, "seq", F.when(F.col("op") == "I", 1).otherwise(-1).alias("__w"))
     steps = running(live, cols, ["seq"], "__run", "sum", "__w", hot_rows)
-    net = steps.groupBy(*cols).agg(F.sum("__w").alias("__s"), F.min("__run").alias("__m"))
+    net = stored(steps.groupBy(*cols).agg(F.sum("__w").alias("__s"), F.min("__run").alias("__m")), "net")  # read three times below
     same = reduce(lambda a, b: a & b, [F.col(f"b.{c}").eqNullSafe(F.col(f"t.{c}")) for c in cols])
     start = _unless_truncated(base, log)
     untouched = start.alias("b").join(net.select(*cols).alias("t"), same, "left_anti")
