@@ -12,17 +12,20 @@ from rowtide.session import fresh_path, stored
 from rowtide.sources import versions
 
 
-@query("cmp_coverage", """WITH now AS (SELECT c_custkey AS name, list({t: o_orderpriority, r: n} ORDER BY o_orderpriority) AS cover FROM
-      (SELECT o_custkey AS c_custkey, o_orderpriority, max(o_orderkey) AS n FROM orders GROUP BY ALL) GROUP BY 1)
-    SELECT c_custkey AS name, cover IS NULL OR c_custkey % 4 = 0 OR c_custkey % 10 = 3 AS stale FROM customer LEFT JOIN now ON name = c_custkey""")
+@query("cmp_coverage", """SELECT c_custkey AS name, c_nationkey % 5 = 0 OR c_custkey % 4 = 0 OR c_custkey % 10 = 7
+    OR (c_custkey % 10 = 3 AND c_custkey IN (SELECT o_custkey FROM orders)) AS stale FROM customer""")
 def cmp_coverage(t: Tables):
-    # each customer is a computation that reads one source per order priority
-    k = F.col("name")
+    # each customer is a computation that reads a source per order priority, writes to its segment and waits for its nation
+    k, named, segment, nation = F.col("name"), F.col("c_custkey").alias("name"), F.concat(F.lit("to/"), "c_mktsegment"), F.concat(F.lit("of/"), "c_nationkey")
     reads = t.orders.select(F.col("o_custkey").alias("name"), F.concat_ws("/", "o_custkey", "o_orderpriority").alias("table")).distinct()
     sources = t.orders.groupBy(F.concat_ws("/", "o_custkey", "o_orderpriority").alias("table")).agg(F.max("o_orderkey").alias("revision"))
-    covers = c.coverage(reads, sources)
-    specs = t.customer.select(F.col("c_custkey").alias("name"), F.lit(2).alias("version"))
-    done = covers.select("name", F.when(k % 4 == 0, 1).otherwise(2).alias("version"), F.when(k % 10 == 3, F.reverse(F.transform("cover", lambda x: x.withField("revision", x["revision"] + 1)))).otherwise(F.col("cover")).alias("cover"))
+    sources = sources.unionByName(t.customer.groupBy(segment.alias("table")).agg(F.max("c_custkey").alias("revision")))
+    runs = t.nation.select(F.concat(F.lit("of/"), "n_nationkey").alias("table"), (F.col("n_nationkey") % 5).cast("bigint").alias("revision"))
+    covers = c.coverage(reads, sources, t.customer.select(named, segment.alias("table")), t.customer.select(named, nation.alias("table")), runs)
+    specs = t.customer.select(named, F.lit(2).alias("version"))
+    moved = lambda x: ((k % 10 == 3) & (x["role"] == "reads") | (k % 10 == 7) & (x["role"] == "to")).cast("int")
+    before = F.transform("cover", lambda x: x.withField("revision", x["revision"] - moved(x)))
+    done = covers.select("name", F.when(k % 4 == 0, 1).otherwise(2).alias("version"), before.alias("cover"))
     return c.stale(specs, covers, done)
 
 

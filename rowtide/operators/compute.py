@@ -44,16 +44,24 @@ def run(spec: Computation, lookup: Callable[[str], DataFrame], sinks: Tables) ->
     return {n: publish.actions(sinks[n], rows, keep_omitted=spec.sink_writes.get(n) == "upsert") for n, rows in outputs.items()}
 
 
-def coverage(reads: DataFrame, sources: DataFrame) -> DataFrame:
-    """(name, cover): the revisions each computation reads, as sorted (table, revision) pairs.
+def coverage(reads: DataFrame, sources: DataFrame, sinks: DataFrame | None = None, parents: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """(name, cover): all a computation depends on and writes to, as sorted (role, table, revision) of `reads`, `to` and `parent`.
 
-    `reads` is (name, table), `sources` (table, revision). A computation with an unknown table has no
-    cover. A computation declares its tables, so the list is as long as that declaration.
+    `reads` and `sinks` are (name, table), `sources` (table, revision); `parents` is (name, table) of the computations
+    a computation waits for and `runs` (table, revision) how often each has completed. There is no cover where a table is
+    unknown, a parent has not completed, or parents are all there is. The list is as long as the declaration.
     """
-    joined = reads.join(sources, "table", "left")
-    pairs = F.sort_array(F.collect_list(F.struct("table", "revision")))
-    listed = joined.groupBy("name").agg(pairs.alias("cover"), F.bool_or(F.col("revision").isNull()).alias("__unknown"))
-    return listed.select("name", F.when(~F.col("__unknown"), F.col("cover")).alias("cover"))
+    used = reads.select("name", F.lit("reads").alias("role"), "table")
+    if sinks is not None:
+        used = used.unionByName(sinks.select("name", F.lit("to").alias("role"), "table"))
+    joined = used.join(sources, "table", "left")
+    if parents is not None:
+        done = parents.join(runs.where("revision > 0"), "table", "left")
+        joined = joined.unionByName(done.select("table", "name", F.lit("parent").alias("role"), "revision"))
+    pairs = F.sort_array(F.collect_list(F.struct("role", "table", "revision")))
+    known = F.bool_and(F.col("revision").isNotNull()) & F.bool_or(F.col("role") != "parent")
+    listed = joined.groupBy("name").agg(pairs.alias("cover"), known.alias("__known"))
+    return listed.select("name", F.when(F.col("__known"), F.col("cover")).alias("cover"))
 
 
 def stale(specs: DataFrame, covers: DataFrame, completed: DataFrame) -> DataFrame:

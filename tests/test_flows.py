@@ -170,6 +170,16 @@ def test_a_version_is_published_once(spark, monkeypatch):
     assert versions.capture(spark, base, {"a": "id long"})["a"].count() == 2
 
 
+def test_covers_name_sinks_and_parents(spark):
+    frame = spark.createDataFrame
+    reads = frame([("a", "t"), ("b", "t"), ("c", "gone")], "name string, table string")
+    sinks = frame([("a", "s"), ("d", "s")], "name string, table string")
+    parents = frame([("b", "p"), ("d", "q"), ("e", "p")], "name string, table string")
+    sources, runs = frame([("t", 4), ("s", 9)], "table string, revision long"), frame([("p", 2), ("q", 0)], "table string, revision long")
+    got = {r["name"]: r["cover"] and [tuple(x) for x in r["cover"]] for r in c.coverage(reads, sources, sinks, parents, runs).collect()}
+    assert got == {"a": [("reads", "t", 4), ("to", "s", 9)], "b": [("parent", "p", 2), ("reads", "t", 4)], "c": None, "d": None, "e": None}
+
+
 def test_objects_and_content(spark):
     folder = fresh_path(spark, "objects")
     spark.createDataFrame([("x",)], "v string").write.text(folder)
