@@ -1,16 +1,20 @@
-"""A log-bilinear language model trained with noise-contrastive estimation, over corpus word counts.
-
-Counts: every word of the training documents is counted over the corpus; the table stays distributed. Words that make up at least
-1 / `vocabulary` of all tokens are items of the neural model (so there are `vocabulary` of them at most); any other word belongs to one
-of `classes` items by its last two bytes, and within its class follows the smoothed counts. The end is an item too.
-
-Model: the vector of an item's context is the sum of the vectors of the two items before it, each times a vector of its position; its
-score with an item's output vector and bias is a log-probability. Training is one pass of numpy batches, the true item against noise
-items that the batch shares: first on a bounded sample for a common start, then in every task over all its training
-documents from there, and the parameters are averaged by the tokens seen. A task's batches are matrix products.
-
-Scoring: a block's distinct contexts are multiplied with all items and normalised, so the item probabilities are exact. Words too rare
-to be known in every task are joined to the count table by word; those that make up 1 / `hot` of the corpus, the hot keys, are not.
+"""A class-factored log-bilinear language model trained with noise-contrastive estimation, over corpus word counts.
+
+Counts: every word of the training documents is counted over the corpus; the table stays distributed. Words counted at least
+sqrt(tokens / `vocabulary`) times, and twice, are items of the neural model, so their number grows with the corpus (as its root where counts
+follow Zipf's law). Any other word belongs to one of `GROUPS` items by its last two bytes, and within its group follows the smoothed
+counts. The end is an item too.
+
+Model: the vector of an item's context is the sum of the vectors of the two items before it, each times a vector of its position. Items
+are dealt to classes by their counts, of equal sums of root counts. The vector's score with a class's vector and bias is the
+log-probability of the class, its score with an item's own vector and bias that of the item inside its class. Training is one pass
+of numpy batches, the true class against noise classes and the true item against items of its class: first in one task
+on a bounded sample for a common start, then in every task over all its training documents from there. A row of the parameters is
+averaged over the tasks that changed it, by what it learned there. A task's batches are matrix products.
+
+Scoring: a block's distinct contexts are multiplied with all classes, and its distinct (context, class) pairs with the class's items; both
+are normalised, so the item probabilities are exact. Words too rare to be known in every task are joined to the count table by
+word; items and those that make up 1 / `hot` of the corpus, the hot keys, are not.
 """
 
 from __future__ import annotations
@@ -28,19 +32,20 @@ from rowtide.llm import texts as X
 from rowtide.llm.tokencounts import frequencies, rare
 from rowtide.session import stored
 
-VOCABULARY, CLASSES, HOT, SAMPLE = 2048, 64, 1 << 17, 2000
-DIMENSIONS, CONTEXT, NOISE, BATCH, RATE = 24, 2, 96, 4096, 0.08
+VOCABULARY, GROUPS, HOT, SAMPLE = 25_000, 64, 1 << 17, 2000
+DIMENSIONS, CONTEXT, NOISE, INNER, BATCH, RATE, CHUNK = 24, 2, 96, 64, 4096, 0.2, 512
+SCORED, SCAN_BYTES = 1024, 1 << 20  # rows of a score matrix, and bytes of a block of texts: a task holds these besides the model
 
 
 @dataclass
 class Counts:
-    """What tasks know of the corpus: hot words with numbers, model words, class sums, and the totals."""
+    """What tasks know of the corpus: hot words with numbers, model words, group sums, and the totals."""
 
     hot: pa.Array
     hot_n: np.ndarray
     words: pa.Array
-    class_n: np.ndarray
-    class_v: np.ndarray
+    group_n: np.ndarray
+    group_v: np.ndarray
     item_n: np.ndarray
     tokens: int
     distinct: int
@@ -51,19 +56,19 @@ class Counts:
         return float(np.log10(self.tokens + 0.1 * (self.distinct + 1)))
 
 
-def classes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Class of each word by its last two bytes, lower-cased."""
+def groups_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Group of each word by its last two bytes, lower-cased."""
     low = X.LOWER[data].astype(np.int64)
     last = low[end - 1] if len(end) else np.zeros(0, np.int64)
     before = np.where(end - start > 1, low[np.maximum(end - 2, 0)], 0) if len(end) else last
-    return (before * 31 + last * 7) % CLASSES
+    return (before * 31 + last * 7) % GROUPS
 
 
 def items_of(column: pa.Array, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, item of each word, class of each, number of the first of each text)."""
+    """(words, item of each word, group of each, number of the first of each text)."""
     data, offsets = X.utf8(column)
     found, start, end, first = X.words(data, offsets, X.SOLID)
-    kind = classes_of(data, start, end)
+    kind = groups_of(data, start, end)
     known = pc.fill_null(pc.index_in(found, words), -1).to_numpy() if len(words) else np.full(len(found), -1)
     return found, np.where(known >= 0, known, len(words) + kind), kind, first
 
@@ -85,84 +90,193 @@ def sequences(items: np.ndarray, first: np.ndarray, n_items: int) -> tuple[np.nd
     return out, context, begin
 
 
+def classes_of(prior: np.ndarray) -> np.ndarray:
+    """Class of each item: by falling count, in classes of equal sums of root counts; numbered from 0, none empty."""
+    n = len(prior)
+    order = np.argsort(-prior, kind="stable")
+    mass = np.sqrt(prior[order])
+    wanted = max(1, round(2 * np.sqrt(n / np.log(n + 2))))
+    cut = ((np.cumsum(mass) - mass / 2) / mass.sum() * wanted).astype(np.int64)
+    out = np.empty(n, np.int64)
+    out[order] = np.unique(cut, return_inverse=True)[1]
+    return out
+
+
+def log_sum(score: np.ndarray) -> np.ndarray:
+    """Logarithm of each row's sum of exponentials; `score` is overwritten."""
+    top = score.max(1)
+    score -= top[:, None]
+    return top + np.log(np.exp(score, out=score).sum(1))
+
+
+def by_row(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, the sum of each row's values)."""
+    order = np.argsort(at.astype(np.int32), kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], np.add.reduceat(value[order], first, axis=0)
+
+
 class Model:
-    """Parameters in one flat array: context vectors, position vectors, output vectors, biases."""
+    """Parameters in one table, a vector and a bias a row: contexts, positions, items in the order of their classes, classes."""
 
     def __init__(self, n_items: int, flat: np.ndarray | None = None, prior: np.ndarray | None = None):
-        self.n = n_items
-        sizes = [(n_items + 1) * DIMENSIONS, CONTEXT * DIMENSIONS, n_items * DIMENSIONS, n_items]
+        self.n, self.prior = n_items, prior
+        self.group = classes_of(prior)
+        order = np.argsort(self.group, kind="stable")
+        self.row = np.empty(n_items, np.int64)
+        self.row[order] = np.arange(n_items)
+        self.size = np.bincount(self.group)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        self.noise = prior[order]
+        self.group_noise = np.add.reduceat(self.noise, self.first[:-1])
+        a, b, c, d = np.cumsum([n_items + 1, CONTEXT, n_items, len(self.size)])
         if flat is None:
-            rng = np.random.default_rng(5)
-            flat = rng.normal(0, 0.1, sum(sizes)).astype(np.float32)
-            flat[sizes[0] : sizes[0] + sizes[1]] = 1.0 / CONTEXT
-            flat[-n_items:] = np.log(prior)
-        self.flat = flat.astype(np.float32)
-        a, b, c = np.cumsum(sizes)[:3]
-        self.context = self.flat[:a].reshape(-1, DIMENSIONS)
-        self.position = self.flat[a:b].reshape(CONTEXT, DIMENSIONS)
-        self.output = self.flat[b:c].reshape(-1, DIMENSIONS)
-        self.bias = self.flat[c:]
+            flat = np.random.default_rng(5).normal(0, 0.1, (d, DIMENSIONS + 1)).astype(np.float32)
+            flat[a:b] = 1.0 / CONTEXT
+            flat[:b, DIMENSIONS] = 0
+            flat[b:c, DIMENSIONS] = np.log(self.noise / np.repeat(self.group_noise, self.size))
+            flat[c:, DIMENSIONS] = np.log(self.group_noise)
+        self.flat, self.places = flat, (0, a, b, c)
+        self.context, self.position = flat[:a, :DIMENSIONS], flat[a:b, :DIMENSIONS]
+        self.output, self.bias = flat[b:c, :DIMENSIONS], flat[b:c, DIMENSIONS]
+        self.class_output, self.class_bias = flat[c:, :DIMENSIONS], flat[c:, DIMENSIONS]
+
+    def __reduce__(self):
+        return Model, (self.n, self.flat, self.prior)  # the other arrays are views of these or made of them
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
-        return np.einsum("bjd,jd->bd", self.context[context], self.position)
+        out = self.context[context[:, 0]] * self.position[0]
+        for j in range(1, CONTEXT):
+            out += self.context[context[:, j]] * self.position[j]
+        return out
+
+    def by_class(self, group: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first row, row after the last, places) of each class of two items or more that is in `group`."""
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=len(self.size)))
+        for c in np.flatnonzero((np.diff(ends, prepend=0) > 0) & (self.size > 1)).tolist():
+            yield int(self.first[c]), int(self.first[c + 1]), order[ends[c - 1] if c else 0 : ends[c]]
 
     def log_probabilities(self, items: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities, normalised over all items."""
+        """Natural log-probabilities, normalised over all classes and over the items of each class."""
         key = context[:, 0] * (self.n + 1) + context[:, 1]
         distinct, of = np.unique(key, return_inverse=True)
-        pairs = np.stack(np.divmod(distinct, self.n + 1), 1)
-        normal = np.empty(len(pairs), np.float32)
-        for lo in range(0, len(pairs), BATCH):
-            score = self.predicted(pairs[lo : lo + BATCH]) @ self.output.T + self.bias
-            top = score.max(1)
-            normal[lo : lo + BATCH] = top + np.log(np.exp(score - top[:, None]).sum(1))
+        vectors = self.predicted(np.stack(np.divmod(distinct, self.n + 1), 1))
+        normal = np.empty(len(vectors), np.float32)
+        for lo in range(0, len(vectors), SCORED):
+            normal[lo : lo + SCORED] = log_sum(vectors[lo : lo + SCORED] @ self.class_output.T + self.class_bias)
+        group, row = self.group[items], self.row[items]
+        pairs, pair = np.unique(of * len(self.size) + group, return_inverse=True)
+        owner, kind = np.divmod(pairs, len(self.size))
+        inner = self.bias[self.first[kind]].copy()  # what is left for a class of one item: its score
+        inner += np.einsum("bd,bd->b", vectors[owner], self.output[self.first[kind]])
+        for first, last, at in self.by_class(kind):
+            for lo in range(0, len(at), SCORED):
+                part = at[lo : lo + SCORED]
+                inner[part] = log_sum(vectors[owner[part]] @ self.output[first:last].T + self.bias[first:last])
         out = np.empty(len(items), np.float64)
         for lo in range(0, len(items), 1 << 16):
-            part = slice(lo, lo + (1 << 16))
-            out[part] = np.einsum("bd,bd->b", self.predicted(context[part]), self.output[items[part]]) + self.bias[items[part]] - normal[of[part]]
+            p = slice(lo, lo + (1 << 16))
+            q = vectors[of[p]]
+            out[p] = np.einsum("bd,bd->b", q, self.class_output[group[p]]) + self.class_bias[group[p]] - normal[of[p]]
+            out[p] += np.einsum("bd,bd->b", q, self.output[row[p]]) + self.bias[row[p]] - inner[pair[p]]
         return out
 
 
 class Trainer:
-    """Noise-contrastive steps with per-parameter rates."""
+    """Noise-contrastive steps with a rate for each row of parameters."""
 
     def __init__(self, model: Model, noise: np.ndarray, seed: int):
-        self.model, self.noise, self.rng = model, noise, np.random.default_rng(seed)
-        self.log_noise = np.log(noise * NOISE).astype(np.float32)
-        self.cumulative = np.cumsum(noise)
-        self.past = np.full(len(model.flat), 1e-2, np.float32)
+        self.model, self.rng = model, np.random.default_rng(seed)
+        self.group_noise, self.class_sums = model.group_noise, np.cumsum(model.group_noise)
+        self.log_class = np.log(self.group_noise * NOISE / self.group_noise.sum()).astype(np.float32)
+        self.sums = np.concatenate([[0.0], np.cumsum(model.noise)])
+        self.log_noise = np.log(model.noise).astype(np.float32)
+        self.past = np.ones(len(model.flat), np.float32)
         self.tokens = 0
 
-    def step(self, items: np.ndarray, context: np.ndarray) -> None:
-        m, b = self.model, len(items)
-        drawn = np.minimum(np.searchsorted(self.cumulative, self.rng.random(NOISE)), m.n - 1)
-        vectors = m.context[context]
-        q = np.einsum("bjd,jd->bd", vectors, m.position)
-        true = np.einsum("bd,bd->b", q, m.output[items]) + m.bias[items] - self.log_noise[items]
-        false = q @ m.output[drawn].T + m.bias[drawn] - self.log_noise[drawn]
-        up = 1 - 1 / (1 + np.exp(-np.clip(true, -20, 20)))  # gradient of the score of the true item
-        down = -1 / (1 + np.exp(-np.clip(false, -20, 20)))
-        dq = up[:, None] * m.output[items] + down @ m.output[drawn]
-        grad = np.zeros_like(m.flat)
-        g = Model.__new__(Model)
-        g.n = m.n
-        Model.__init__(g, m.n, grad)
-        add = lambda to, at, value: np.add(to, np.stack([np.bincount(at, value[:, d], len(to)) for d in range(DIMENSIONS)], 1), out=to)
-        add(g.output, items, up[:, None] * q)
-        np.add.at(g.output, drawn, down.T @ q)
-        g.bias += np.bincount(items, up, m.n).astype(np.float32)
-        np.add.at(g.bias, drawn, down.sum(0))
-        for j in range(CONTEXT):
-            add(g.context, context[:, j], dq * m.position[j])
-            g.position[j] = (dq * vectors[:, j]).sum(0)
-        grad = g.flat / np.float32(b / 16)
-        self.past += grad * grad
-        m.flat += np.float32(RATE) * grad / np.sqrt(self.past)
-        self.tokens += b
+    def update(self, rows: np.ndarray, grad: np.ndarray) -> None:
+        """Move distinct `rows`; the bias is the last column, and rows without one have a gradient of one column less."""
+        self.past[rows] += np.einsum("bd,bd->b", grad, grad) / grad.shape[1] * 4
+        self.model.flat[rows, : grad.shape[1]] += np.float32(RATE) * grad / np.sqrt(self.past[rows])[:, None]
+
+    def contrast(self, q: np.ndarray, true: np.ndarray, drawn: np.ndarray, start: int, log_true: np.ndarray, log_drawn: np.ndarray) -> np.ndarray:
+        """One step of the true rows against the drawn rows, of the table from `start`; returns the gradient of q."""
+        m = self.model
+        own, other = m.flat[start + true], m.flat[start + drawn]
+        up = np.einsum("bd,bd->b", q, own[:, :-1]) + own[:, -1] - log_true
+        up = 1 - 1 / (1 + np.exp(-np.clip(up, -20, 20)))  # gradient of the score of the true row
+        down = -1 / (1 + np.exp(-np.clip(q @ other[:, :-1].T + other[:, -1] - log_drawn, -20, 20)))
+        dq = up[:, None] * own[:, :-1] + down @ other[:, :-1]
+        grad = np.concatenate([up[:, None] * q, up[:, None]], 1)
+        false = np.concatenate([down.T @ q, down.sum(0)[:, None]], 1)
+        rows, grad = by_row(np.concatenate([true, drawn]), np.concatenate([grad, false]))
+        self.update(start + rows, grad)
+        return dq
+
+    def back(self, context: np.ndarray, dq: np.ndarray) -> None:
+        """Hand the gradient of the predicted vectors to contexts and positions."""
+        m = self.model
+        vectors = [m.context[context[:, j]] for j in range(CONTEXT)]
+        rows, grad = by_row(context.T.ravel(), np.concatenate([dq * m.position[j] for j in range(CONTEXT)]))
+        self.update(m.places[1] + np.arange(CONTEXT), np.stack([(dq * v).sum(0) for v in vectors]))
+        self.update(rows, grad)
+
+    def classes(self, items: np.ndarray, context: np.ndarray) -> None:
+        m, kind = self.model, self.model.group[items]
+        drawn = np.minimum(np.searchsorted(self.class_sums, self.rng.random(NOISE) * self.class_sums[-1], "right"), len(m.size) - 1)
+        self.back(context, self.contrast(m.predicted(context), kind, drawn, m.places[3], self.log_class[kind], self.log_class[drawn]))
+
+    def inside(self, items: np.ndarray, context: np.ndarray) -> None:
+        """One step of all classes; only the products with a class's drawn rows go class by class."""
+        m, kind = self.model, self.model.group[items]
+        some = m.size[kind] > 1
+        items, context, kind = items[some], context[some], kind[some]
+        if not len(items):
+            return
+        order = np.argsort(kind, kind="stable")
+        items, context, kind = items[order], context[order], kind[order]
+        ends = np.append(np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(kind))
+        own_class = kind[ends - 1]
+        lo, hi = self.sums[m.first[own_class]], self.sums[m.first[own_class + 1]]
+        spot = lo[:, None] + self.rng.random((len(lo), INNER)) * (hi - lo)[:, None]
+        drawn = np.searchsorted(self.sums, spot.ravel(), "right").reshape(spot.shape) - 1
+        drawn = np.clip(drawn, m.first[own_class][:, None], m.first[own_class + 1][:, None] - 1)
+        shift = np.log(INNER / (hi - lo)).astype(np.float32)
+        true = m.row[items]
+        q = np.concatenate([m.predicted(context), np.ones((len(items), 1), np.float32)], 1)
+        own, other = m.flat[m.places[2] + true], m.flat[m.places[2] + drawn]
+        log_true = self.log_noise[true] + np.repeat(shift, np.diff(ends, prepend=0))
+        up = 1 - 1 / (1 + np.exp(-np.clip(np.einsum("bd,bd->b", q, own) - log_true, -20, 20)))
+        dq = up[:, None] * own
+        shifted, false = other.copy(), np.empty_like(other)
+        shifted[:, :, -1] -= self.log_noise[drawn] + shift[:, None]
+        begin = 0
+        for k, end in enumerate(ends.tolist()):
+            part = q[begin:end]
+            down = part @ shifted[k].T
+            np.exp(np.minimum(np.negative(down, out=down), 20, out=down), out=down)
+            down += 1
+            np.divide(-1, down, out=down)
+            dq[begin:end] += down @ other[k]
+            false[k] = down.T @ part
+            begin = end
+        rows, grad = by_row(np.concatenate([true, drawn.ravel()]), np.concatenate([up[:, None] * q, false.reshape(-1, DIMENSIONS + 1)]))
+        self.update(m.places[2] + rows, grad)
+        self.back(context, dq[:, :-1])
 
     def train(self, items: np.ndarray, context: np.ndarray) -> None:
-        for lo in range(0, len(items), BATCH):
-            self.step(items[lo : lo + BATCH], context[lo : lo + BATCH])
+        for lo in range(0, len(items), 4 * BATCH):
+            for at in range(lo, min(lo + 4 * BATCH, len(items)), BATCH):
+                self.classes(items[at : at + BATCH], context[at : at + BATCH])
+            self.inside(items[lo : lo + 4 * BATCH], context[lo : lo + 4 * BATCH])
+        self.tokens += len(items)
+
+
+def least_count(tokens: int, vocabulary: int = VOCABULARY) -> int:
+    """How often a word must be counted to be an item."""
+    return max(2, int(np.ceil(np.sqrt(tokens / vocabulary))))
 
 
 def count(docs: DataFrame, text: str, hot: int = HOT, vocabulary: int = VOCABULARY) -> tuple[DataFrame, Counts]:
@@ -180,26 +294,27 @@ def count(docs: DataFrame, text: str, hot: int = HOT, vocabulary: int = VOCABULA
     ends = docs.count()
     total, distinct = table.agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens, distinct = (total or 0) + ends, distinct + (ends > 0)
-    common = table.where(F.col("n") * hot >= tokens).toArrow()  # `hot` rows at most
+    least = least_count(tokens, vocabulary)
+    common = table.where((F.col("n") * hot >= tokens) | (F.col("n") >= least)).toArrow()  # `hot` rows at most, and the items
     hot_words, hot_n = pa.array(common["token"].to_pylist(), pa.binary()), common["n"].to_numpy()
-    model = np.flatnonzero(hot_n * vocabulary >= tokens)
+    model = np.flatnonzero(hot_n >= least)
     words = hot_words.take(pa.array(model))
 
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column("token")
             data, offsets = X.utf8(names)
-            kind = classes_of(data, offsets[:-1], offsets[1:])
+            kind = groups_of(data, offsets[:-1], offsets[1:])
             rest = pc.is_null(pc.index_in(names, words)).to_numpy(zero_copy_only=False) if len(words) else np.ones(len(names), bool)
-            n = np.bincount(kind[rest], batch.column("n").to_numpy()[rest], CLASSES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(n), pa.array(np.bincount(kind[rest], minlength=CLASSES))], ["c", "n", "v"])
+            n = np.bincount(kind[rest], batch.column("n").to_numpy()[rest], GROUPS).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(GROUPS, dtype=np.int32)), pa.array(n), pa.array(np.bincount(kind[rest], minlength=GROUPS))], ["c", "n", "v"])
 
-    sums = table.mapInArrow(by_class, "c int, n double, v bigint").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # CLASSES rows
-    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
+    sums = table.mapInArrow(by_group, "c int, n double, v bigint").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # GROUPS rows
+    group_n, group_v = np.zeros(GROUPS), np.zeros(GROUPS)
     for r in sums:
-        class_n[r["c"]], class_v[r["c"]] = r["n"], r["v"]
-    item_n = np.concatenate([hot_n[model].astype(float), class_n, [float(ends)]])
-    return table, Counts(hot_words, hot_n, words, class_n, class_v, item_n, tokens, distinct, ends)
+        group_n[r["c"]], group_v[r["c"]] = r["n"], r["v"]
+    item_n = np.concatenate([hot_n[model].astype(float), group_n, [float(ends)]])
+    return table, Counts(hot_words, hot_n, words, group_n, group_v, item_n, tokens, distinct, ends)
 
 
 def fit(docs: DataFrame, counts: Counts, text: str, sample: int = SAMPLE) -> Model:
@@ -209,35 +324,57 @@ def fit(docs: DataFrame, counts: Counts, text: str, sample: int = SAMPLE) -> Mod
     model = Model(n_items, prior=noise)
     if not counts.ends:
         return model
-    first = docs.where(F.rand(43) < sample / counts.ends).select(text)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in X.blocks(batches, text):
+    rows, width = model.flat.shape
+    names, types = ("chunk", "p", "x", "w"), (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    schema = "chunk int, p binary, x binary, w binary"
+
+    def packed(chunk: int, p: np.ndarray, x: np.ndarray, w: np.ndarray) -> list[pa.Array]:
+        value = (chunk, p.astype(np.int32).tobytes(), x.astype(np.float32).tobytes(), w.astype(np.float32).tobytes())
+        return [pa.array([v], t) for v, t in zip(value, types)]
+
+    def unpacked(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for p, x, w in zip(*(table[c].to_pylist() for c in names[1:])):
+            yield np.frombuffer(p, np.int32), np.frombuffer(x, np.float32).reshape(-1, width), np.frombuffer(w, np.float32)
+
+    def learned(own: Trainer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Train on the texts; the rows that it changed, by chunk, each with the growth of its sum of squared gradients."""
+        before = own.past.copy()
+        for block in X.blocks(batches, text, SCAN_BYTES):
             _, items, _, at = items_of(block.column(text), counts.words)
-            yield pa.RecordBatch.from_arrays([X.lists(pa.array(items.astype(np.int32)), np.diff(at))], ["items"])
+            own.train(*sequences(items, at, n_items)[:2])
+        for lo in range(0, rows, CHUNK):
+            grown = own.past[lo : lo + CHUNK] - before[lo : lo + CHUNK]
+            if len(p := np.flatnonzero(grown > 0)):
+                yield pa.RecordBatch.from_arrays(packed(lo // CHUNK, lo + p, own.model.flat[lo + p], grown[p]), names)
 
-    start = Trainer(model, noise, 1)
-    rows = [np.array(r, np.int64) for r in first.mapInArrow(encode, "items array<int>").toArrow()["items"].to_pylist()]
-    if rows:
-        at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        for _ in range(2):
-            start.train(*sequences(np.concatenate(rows), at, n_items)[:2])
-    seed, past = model.flat.copy(), start.past
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from learned(Trainer(Model(n_items, prior=noise), noise, 1), batches)
+
+    sample_rows = docs.where(F.rand(43) < sample / counts.ends).select(text).repartition(1)
+    flat, past = model.flat, np.ones(rows, np.float32)
+    for p, x, w in unpacked(sample_rows.mapInArrow(begin, schema).toArrow()):
+        flat[p] = x
+        past[p] += w
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Trainer(Model(n_items, seed.copy()), noise, 1000 + TaskContext.get().partitionId())
+        own = Trainer(Model(n_items, flat.copy(), noise), noise, 1000 + TaskContext.get().partitionId())
         own.past = past.copy()
-        for block in X.blocks(batches, text):
-            _, items, _, at = items_of(block.column(text), counts.words)
-            own.train(*sequences(items, at, n_items)[:2])
-        if own.tokens:
-            value = own.model.flat.astype(np.float64) * own.tokens
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value), pa.array(np.full(len(value), float(own.tokens)))], ["p", "x", "w"])
+        yield from learned(own, batches)
+
+    def mean(key: tuple, table: pa.Table) -> pa.Table:
+        low = key[0].as_py() * CHUNK
+        total, weight = np.zeros((CHUNK, width)), np.zeros(CHUNK)
+        for p, x, w in unpacked(table):
+            total[p - low] += x * w[:, None].astype(np.float64)
+            weight[p - low] += w
+        p = np.flatnonzero(weight > 0)
+        return pa.table(packed(key[0].as_py(), low + p, total[p] / weight[p, None], weight[p]), names)
 
-    averaged = docs.select(text).mapInArrow(local, "p int, x double, w double").groupBy("p").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()
-    flat = seed.copy()
-    flat[averaged["p"].to_numpy()] = averaged["x"].to_numpy()
-    return Model(n_items, flat)
+    averaged = docs.select(text).mapInArrow(local, schema).groupBy("chunk").applyInArrow(mean, schema).toArrow()
+    out = flat.copy()
+    for p, x, _ in unpacked(averaged):
+        out[p] = x
+    return Model(n_items, out, noise)
 
 
 def score(
@@ -255,13 +392,13 @@ def score(
     table, counts = count(learn, text, hot, vocabulary)
     model = fit(learn, counts, text)
     hot_log = np.log10(counts.hot_n + 0.1)
-    class_log = np.log10(counts.class_n + 0.1 * (counts.class_v + 1))
+    group_log = np.log10(counts.group_n + 0.1 * (counts.group_v + 1))
     n_words, n_items, denominator = len(counts.words), len(counts.item_n), counts.base()
     end_log = float(np.log10(counts.ends + 0.1))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for block in X.blocks(batches, text):
+        for block in X.blocks(batches, text, SCAN_BYTES):
             n = block.num_rows
             found, items, kind, first = items_of(block.column(text), counts.words)
             coded = found.dictionary_encode()
@@ -279,7 +416,7 @@ def score(
             columns = [
                 pa.array(np.arange(row, row + n)), *(block.column(c) for c in back), pa.array(size.astype(np.int64)),
                 pa.array(total((~cold).astype(float)).astype(np.int64) + (counts.ends > 0)), pa.array(total(logs) + end_log - size * denominator),
-                pa.array(neural + total(np.where(oov, logs - class_log[kind], 0.0))), tokens, times,
+                pa.array(neural + total(np.where(oov, logs - group_log[kind], 0.0))), tokens, times,
             ]
             yield pa.RecordBatch.from_arrays(columns, ["_row", *back, "n_tokens", "_known", "_base", "_score", "_tokens", "_times"])
             row += n

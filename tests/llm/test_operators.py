@@ -344,6 +344,33 @@ def test_item_probabilities_add_up_to_one_and_training_helps():
     assert model.log_probabilities(seq, context).mean() > before + 0.8
 
 
+def test_the_modelled_vocabulary_grows_with_the_corpus(spark):
+    rows = lambda n: spark.createDataFrame([(i, " ".join(f"w{k}x" for k in range(i % 10, n, 10)), "") for i in range(50)], DOCS)
+    for n in (300, 3000):  # every word five times; all have one end
+        _, counts = logbilinear.count(rows(n), "text")
+        assert len(counts.words) == n and counts.group_n.sum() == 0
+    assert [logbilinear.least_count(t, 25_000) for t in (10, 25_000 * 9, 25_000 * 10_000)] == [2, 3, 100]
+
+
+def test_items_have_their_own_probability_inside_their_class():
+    rng = np.random.default_rng(4)
+    prior = 1 / np.arange(1, 401)
+    group = logbilinear.classes_of(prior)
+    assert sorted(set(group.tolist())) == list(range(group.max() + 1)) and (np.diff(group) >= 0).all() and group.max() > 10
+    items = rng.integers(300, 400, 40_000)
+    items[1::2] = 699 - items[::2]  # pairs of rare items
+    model = logbilinear.Model(400, prior=prior / prior.sum())
+    seq, context, _ = logbilinear.sequences(items, np.arange(0, 40_001, 2), 400)
+    trainer = logbilinear.Trainer(model, prior, 1)
+    for _ in range(40):
+        trainer.train(seq, context)
+    every = np.arange(400)
+    for c in context[:20]:
+        assert math.isclose(np.exp(model.log_probabilities(every, np.tile(c, (400, 1)))).sum(), 1, rel_tol=1e-4)
+    second = np.arange(1, len(seq), 3)
+    assert model.log_probabilities(seq[second], context[second]).mean() > math.log(1 / 100) + 1  # better than any guess without the first item's identity
+
+
 # 8 -------------------------------------------------------------------------------------------------------------
 
 
