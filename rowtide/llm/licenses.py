@@ -37,7 +37,7 @@ class Rule:
 #: Phrases that are labels by themselves, each place of them.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-# label: (how a notice names it, the words after a license tag, a word that any of them has)
+# label: (how a notice names it, the words after a license tag, words of which any notice or name has one)
 _NAMES: dict[str, tuple[str, str, str]] = {
     "mit": (r"mit(?: x11)?|x11 mit|expat", r"mit", "mit expat"),
     "mit-0": (r"mit no attribution|mit 0", r"mit 0", "mit"),
@@ -48,13 +48,13 @@ _NAMES: dict[str, tuple[str, str, str]] = {
     "bsd-3-clause": (r"(?:new|revised|modified|3 clause|three clause) bsd|bsd (?:3 clause|three clause|new|revised)", r"bsd 3 clause", "bsd"),
     "bsd-4-clause": (r"(?:original|4 clause|four clause) bsd|bsd (?:4 clause|four clause|original)", r"bsd 4 clause", "bsd"),
     "0bsd": (r"0 ?bsd|zero clause bsd|bsd zero clause", r"0bsd", "0bsd bsd"),
-    "gpl-1": (r"(?:gnu )?(?:general public license|gpl) ?(?:version |v)?1(?: 0)?(?: or (?:any )?later)?", r"gpl 1 0(?: only| or later)?", "gpl general"),
-    "gpl-2": (r"(?:gnu )?(?:general public licen[sc]e|gpl) ?(?:version |v)?2(?: 0)?|gplv2", r"gpl 2 0(?: only| or later)?", "gpl gplv2 general"),
-    "gpl-3": (r"(?:gnu )?(?:general public licen[sc]e|gpl) ?(?:version |v)?3(?: 0)?|gplv3", r"gpl 3 0(?: only| or later)?", "gpl gplv3 general"),
-    "lgpl-2.0": (r"(?:gnu )?(?:library general public licen[sc]e|lgpl) ?(?:version |v)?2 0", r"lgpl 2 0(?: only| or later)?", "lgpl library"),
-    "lgpl-2.1": (r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl) ?(?:version |v)?2 1|lgplv2 1", r"lgpl 2 1(?: only| or later)?", "lgpl lgplv2 lesser"),
-    "lgpl-3": (r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl) ?(?:version |v)?3(?: 0)?|lgplv3", r"lgpl 3 0(?: only| or later)?", "lgpl lgplv3 lesser"),
-    "agpl-3": (r"(?:gnu )?(?:affero general public licen[sc]e|agpl) ?(?:version |v)?3(?: 0)?|agplv3", r"agpl 3 0(?: only| or later)?", "agpl agplv3 affero"),
+    "gpl-1": (r"(?:gnu )?(?:general public license|gpl) ?(?:version |v)?1(?: 0)?(?: or (?:any )?later)?", r"gpl 1 0(?: only| or later)?", "gpl gpl1 gplv1 gplversion general"),
+    "gpl-2": (r"(?:gnu )?(?:general public licen[sc]e|gpl) ?(?:version |v)?2(?: 0)?|gplv2", r"gpl 2 0(?: only| or later)?", "gpl gpl2 gplv2 gplversion general"),
+    "gpl-3": (r"(?:gnu )?(?:general public licen[sc]e|gpl) ?(?:version |v)?3(?: 0)?|gplv3", r"gpl 3 0(?: only| or later)?", "gpl gpl3 gplv3 gplversion general"),
+    "lgpl-2.0": (r"(?:gnu )?(?:library general public licen[sc]e|lgpl) ?(?:version |v)?2 0", r"lgpl 2 0(?: only| or later)?", "lgpl lgpl2 lgplv2 lgplversion library"),
+    "lgpl-2.1": (r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl) ?(?:version |v)?2 1|lgplv2 1", r"lgpl 2 1(?: only| or later)?", "lgpl lgpl2 lgplv2 lgplversion lesser"),
+    "lgpl-3": (r"(?:gnu )?(?:lesser general public licen[sc]e|lgpl) ?(?:version |v)?3(?: 0)?|lgplv3", r"lgpl 3 0(?: only| or later)?", "lgpl lgpl3 lgplv3 lgplversion lesser"),
+    "agpl-3": (r"(?:gnu )?(?:affero general public licen[sc]e|agpl) ?(?:version |v)?3(?: 0)?|agplv3", r"agpl 3 0(?: only| or later)?", "agpl agpl3 agplv3 agplversion affero"),
     "gfdl-1.1": (r"gnu free documentation licen[sc]e ?(?:version |v)?1 1", r"gfdl 1 1(?: only| or later)?", "gfdl documentation"),
     "gfdl-1.2": (r"gnu free documentation licen[sc]e ?(?:version |v)?1 2", r"gfdl 1 2(?: only| or later)?", "gfdl documentation"),
     "gfdl-1.3": (r"gnu free documentation licen[sc]e ?(?:version |v)?1 3", r"gfdl 1 3(?: only| or later)?", "gfdl documentation"),
@@ -67,8 +67,8 @@ _NAMES: dict[str, tuple[str, str, str]] = {
     "cddl-1.0": (r"common development and distribution licen[sc]e(?: version| v)?(?: 1 0)?", r"cddl 1 0", "cddl distribution"),
     "cddl-1.1": (r"common development and distribution licen[sc]e(?: version| v)? 1 1", r"cddl 1 1", "cddl distribution"),
     "cpl-1.0": (r"common public licen[sc]e(?: version| v)?(?: 1 0)?", r"cpl 1 0", "cpl common"),
-    "eupl-1.1": (r"european union public licen[sc]e(?: version| v)? ?1 1|eupl ?v?1 1", r"eupl 1 1", "eupl european"),
-    "eupl-1.2": (r"european union public licen[sc]e(?: version| v)? ?1 2|eupl ?v?1 2", r"eupl 1 2", "eupl european"),
+    "eupl-1.1": (r"european union public licen[sc]e(?: version| v)? ?1 1|eupl ?v?1 1", r"eupl 1 1", "eupl eupl1 euplv1 european"),
+    "eupl-1.2": (r"european union public licen[sc]e(?: version| v)? ?1 2|eupl ?v?1 2", r"eupl 1 2", "eupl eupl1 euplv1 european"),
     "artistic-1.0": (r"artistic licen[sc]e ?(?:version |v)?1(?: 0)?", r"artistic 1 0(?: perl)?", "artistic"),
     "artistic-2.0": (r"artistic licen[sc]e ?(?:version |v)?2(?: 0)?", r"artistic 2 0", "artistic"),
     "bsl-1.0": (r"boost software licen[sc]e(?: version| v)?(?: 1 0)?", r"bsl 1 0", "boost bsl"),
@@ -90,7 +90,7 @@ _NAMES: dict[str, tuple[str, str, str]] = {
     "odbl-1.0": (r"open (?:data commons open )?database licen[sc]e(?: version| v)?(?: 1 0)?", r"odbl 1 0", "odbl database"),
     "odc-by-1.0": (r"open data commons attribution licen[sc]e(?: version| v)?(?: 1 0)?", r"odc by 1 0", "odc commons"),
     "pddl-1.0": (r"public domain dedication (?:and|&) licen[sc]e(?: version| v)?(?: 1 0)?", r"pddl 1 0", "pddl dedication"),
-    "cecill-2.1": (r"cecill(?: free software licen[sc]e agreement)?(?: version| v)? ?2 1", r"cecill 2 1", "cecill"),
+    "cecill-2.1": (r"cecill(?: free software licen[sc]e agreement)?(?: version| v)? ?2 1", r"cecill 2 1", "cecill cecill2"),
     "cecill-b": (r"cecill b", r"cecill b", "cecill"),
     "cecill-c": (r"cecill c", r"cecill c", "cecill"),
     "ms-pl": (r"microsoft public|ms pl", r"ms pl", "microsoft pl"),
@@ -179,7 +179,7 @@ def rules() -> tuple[Rule, ...]:
             out.append(Rule(f"{kind} {label} {word}", label, pattern, (word, *also.split()), priority, confidence))
 
     for label, (name, tag, words) in _NAMES.items():
-        add("tag", label, rf"spdx licen[sc]e identifier {tag}", words.split()[0] if label not in ("0bsd", "python-2.0") else words, 90, 1.0, "spdx")
+        add("tag", label, rf"spdx licen[sc]e identifier {tag}", "psf python" if label == "python-2.0" else tag.split()[0], 90, 1.0, "spdx")
         add("notice", label, rf"{_GRANT} (?:{name})(?: licen[sc]e)?", words, 70, 0.9)
         add("name", label, rf"(?:{name}) licen[sc]e", words, 50, 0.7)
         add("name", label, rf"licen[sc]e (?:{name})", words, 45, 0.6)

@@ -151,6 +151,50 @@ def test_suppression_keeps_the_stronger():
     assert licenses.kept([(weak, 2, 3), (strong, 0, 3), (weak, 8, 9), (weak, 3, 4)]) == [(strong, 0, 3), (weak, 3, 4), (weak, 8, 9)]
 
 
+def texts_of(tree, rng):
+    """A text that a parsed pattern matches, its choices drawn."""
+    out = ""
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL":
+                out += chr(arg)
+            case "IN":
+                kind, value = rng.choice(arg)
+                out += chr(value) if str(kind) == "LITERAL" else "7" if "DIGIT" in str(value) else "z"
+            case "BRANCH":
+                out += texts_of(rng.choice(arg[1]), rng)
+            case "SUBPATTERN":
+                out += texts_of(arg[3], rng)
+            case "MAX_REPEAT":
+                out += "".join(texts_of(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+            case other:
+                assert other == "ASSERT_NOT"
+    return out
+
+
+def test_every_pattern_opens_its_own_gate():
+    rng, by = random.Random(1), collections.defaultdict(list)
+    for r in licenses.rules():
+        by[r.label, r.pattern].append(set(r.keywords))
+    for (label, pattern), gates in by.items():
+        tree, whole = re._parser.parse(pattern), re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])")
+        for _ in range(60):
+            if found := whole.search(texts_of(tree, rng).strip()):
+                assert any(g <= set(found[0].split()) for g in gates), (label, found[0])
+
+
+def test_tags_and_joined_spellings_are_found(spark):
+    want = {
+        "MPL-1.0": "mpl-1.0", "MPL-1.1": "mpl-1.1", "MPL-2.0": "mpl-2", "EPL-1.0": "epl-1.0", "EPL-2.0": "epl-2.0", "EDL-1.0": "edl-1.0", "BSL-1.0": "bsl-1.0",
+        "BUSL-1.1": "busl-1.1", "MS-PL": "ms-pl", "MS-RL": "ms-rl", "MulanPSL-2.0": "mulanpsl-2.0",
+    }
+    rows = [(f"SPDX-License-Identifier: {tag}", label) for tag, label in want.items()]
+    rows += [("license: GPL2", "gpl-2"), ("GPL3 license", "gpl-3"), ("released under GPLv1", "gpl-1"), ("LGPL3 licence", "lgpl-3"), ("licensed under the AGPL3", "agpl-3"), ("EUPLv1.2 licence", "eupl-1.2"), ("license CeCILL2.1", "cecill-2.1")]
+    got = {r["doc_id"]: {m["label"] for m in r["licenses"]} for r in licenses.detect(spark.createDataFrame([(i, t, "") for i, (t, _) in enumerate(rows)], DOCS)).collect()}
+    for i, (t, label) in enumerate(rows):
+        assert label in got[i], t
+
+
 # 3 and 5 -------------------------------------------------------------------------------------------------------
 
 
