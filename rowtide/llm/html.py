@@ -27,8 +27,11 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title svg math iframe object select canvas audio video".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_RAW = frozenset("script style textarea title iframe".split())  # hold text up to their end tag, whatever it looks like
+#: Elements of boilerplate inside running text: what they hold is left out, and they part no block.
+_EMBEDDED = frozenset("noscript template svg object select canvas audio video annotation annotation-xml".split())
+_MATH = frozenset("math semantics mrow mi mo mn ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | _MATH
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements that end one of the same kind, up to the element that holds such a list.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -53,6 +56,8 @@ class Node:
     depth: int
     bad: float = 0.0  # worst sign of boilerplate on the path
     good: float = 0.0
+    out: bool = False  # an embedded element, or inside one
+    loose: bool = False  # the next block starts outside of it
 
 
 @dataclass
@@ -85,11 +90,23 @@ def _signs(tag: str, source: str, parent: Node) -> Node:
     return Node(tag, parent, parent.depth + 1, max(bad, own), good)
 
 
+def closed(page: str, tag: str) -> set[int]:
+    """Places of the start tags `tag` that have an end tag of their own."""
+    out, open_ = set(), []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*", page, re.I):
+        if not m[1] and not m[0].endswith("/"):
+            open_.append(m.start())
+        elif m[1] and open_:
+            out.add(open_.pop())
+    return out
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order; elements that hold no running text are left out."""
     root = Node("", None, 0)
     stack, out, links = [root], [], 0
     block = Block(root)
+    ended: dict[str, set[int]] = {}
 
     def flush() -> None:
         nonlocal block
@@ -100,6 +117,8 @@ def blocks_of(page: str) -> list[Block]:
             block = Block(stack[-1])
 
     def add(text: str) -> None:
+        if stack[-1].out:
+            return
         if not block.parts and text.strip():
             block.node = next((n for n in reversed(stack) if n.tag not in _INLINE), root)
             block.heading = any(n.tag in _HEADINGS for n in stack[-4:])
@@ -111,7 +130,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links
         for n in stack[to:]:
             links -= n.tag == "a"
-        if any(n.tag not in _INLINE for n in stack[to:]):
+        if any(n.tag not in _INLINE and not n.out for n in stack[to:]):
             flush()
         del stack[to:]
         if not block.parts:
@@ -142,11 +161,29 @@ def blocks_of(page: str) -> list[Block]:
                 if tag in _INLINE and stack[i].tag not in _INLINE:
                     break  # an inline end tag closes no block
             continue
+        if tag in _CLOSES_P and stack[-1].out and not any(x.tag == "foreignobject" for x in stack):
+            for i, x in enumerate(stack):
+                if x.loose or x.out and tag in ("article", "main"):
+                    pop(i)
+                    break
+        inside = stack[-1].out
+        if inside and source.endswith("/>"):
+            continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             add(" ")
             continue
+        if tag in _EMBEDDED or inside:
+            if tag in _VOID or source.endswith("/>"):
+                continue
+            if tag in _EMBEDDED and tag not in ended:
+                ended[tag] = closed(page, tag)
+            add(" " if not tag.startswith("annotation") else "")
+            loose = tag in _EMBEDDED and (begin not in ended[tag] or tag in ("svg", "select"))  # these two hold no blocks
+            stack.append(Node(tag, stack[-1], stack[-1].depth + 1, stack[-1].bad, stack[-1].good, True, loose))
+            links += tag == "a"
+            continue
         if tag == "head":
             continue
         if tag == "body" or tag == "html":
@@ -172,7 +209,7 @@ def blocks_of(page: str) -> list[Block]:
             flush()
         elif tag == "br":
             add(" ")
-        if tag in _VOID or source.endswith("/>") and tag not in _INLINE and tag not in _CLOSES_P:
+        if tag in _VOID or source.endswith("/>") and (tag in _MATH or tag not in _INLINE and tag not in _CLOSES_P):
             continue
         stack.append(_signs(tag, source, stack[-1]))
         links += tag == "a"

@@ -559,6 +559,24 @@ def test_html(spark):
     assert got[5]["text"].startswith("A title") and got[7]["text"].count("\n\n") == 2999
 
 
+ARTICLE = "<article><h1>Title here</h1><p>A first paragraph, with enough words.</p><p>A second one ends here.</p></article>"
+
+
+@pytest.mark.parametrize("before", ['<svg viewBox="0 0 1 1"/>', "<math/>", "<svg><title/><path d='x'/></svg>", *(f"<{t}>" for t in ("select><option>One<option", "noscript", "object", "video", "audio", "canvas", "svg", "template", "math"))])
+def test_elements_left_open_or_closed_by_themselves_cut_nothing(before):
+    want = html.main_text(f"<body>{ARTICLE}</body>")
+    assert want.count("\n\n") == 2
+    assert html.main_text(f"<body><div>{before}</div>{ARTICLE}</body>") == want
+    assert html.main_text(f"<body>{before}{ARTICLE}</body>") == want
+    inner = ARTICLE.replace("<p>A second", f"{before}<p>A second")
+    assert html.main_text(f"<body>{inner}</body>") == want
+
+
+def test_embedded_elements_part_no_text_and_formulas_stay():
+    page = "<article><p>Words before <svg><svg><text>inner</text></svg><text>icon</text></svg> and <select><option>no</select>after it, <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>.</p><video><p>No video here.</p></video><p>The end of it.</p></article>"
+    assert html.main_text(page) == "Words before and after it, x=1.\n\nThe end of it."
+
+
 def test_minimum_cut_is_the_cheapest_labelling():
     rng = random.Random(6)
     for _ in range(150):
