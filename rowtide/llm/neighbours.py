@@ -4,10 +4,11 @@ Equal vectors become one point that keeps its smallest ids. Points are dealt to
 shard is bounded whatever the table, and copies of one vector meet in one shard after each batch has already kept its few
 smallest ids. A shard's graph is built in batches: a greedy beam search from the shard's middle proposes neighbours of each point, relaxed
 pruning keeps a candidate only if no kept one is closer to it by the factor `alpha`, and back edges are pruned alike. Inner
-products become distances by one more coordinate that gives all points the same norm.
+products become distances by one more coordinate that gives a shard's points the same norm. A shard's few points more than twice as long as
+99 of 100 stand outside of its graph and meet every query, so one long vector does not blur the others.
 
 The index is stored, a row a shard. Every query visits every shard: queries travel in blocks to (shard, block) tasks,
-run a beam search there, and the beam is scored again in double precision on the original vectors.
+run a beam search by inner product there, and the beam is scored again in double precision on the original vectors.
 """
 
 from __future__ import annotations
@@ -37,11 +38,14 @@ class Shape:
     seed: int = 11
 
 
-def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
-    """(points, squared distances) of each query's `beam` best found, best first; -1 and inf where there are fewer."""
+def beam_search(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, beam: int, expand: int, product: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(points, squared distances) of each query's `beam` best found, best first; -1 and inf where there are fewer.
+
+    With `product`, -2 times the inner product takes the place of the distance.
+    """
     q, n = len(queries), len(points)
-    norm = np.einsum("ij,ij->i", points, points)
-    own = np.einsum("ij,ij->i", queries, queries)
+    norm = np.einsum("ij,ij->i", points, points) if not product else np.zeros(n, np.float32)
+    own = np.einsum("ij,ij->i", queries, queries) if not product else np.zeros(q, np.float32)
     row = np.arange(q)[:, None]
     ids = np.full((q, beam), -1, np.int64)
     dist = np.full((q, beam), np.inf, np.float32)
@@ -167,17 +171,17 @@ def search(
             good = [bool(np.isfinite(v).all() and v.any()) for v in rows]
             own = [v + 0.0 for v, g in zip(rows, good) if g]  # -0.0 becomes 0.0, so equal vectors have equal bytes
             kept = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("q"), pa.array([v.tobytes() for v in own], pa.binary()), pa.array([float(v @ v) for v in own], pa.float64())], ["id", "q", "v", "norm"])
+            yield pa.RecordBatch.from_arrays([kept.column("id"), kept.column("q"), pa.array([v.tobytes() for v in own], pa.binary())], ["id", "q", "v"])
 
     given = vectors.select(F.col(id).cast("bigint").alias("id"), F.coalesce(query, F.lit(False)).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    rows = stored(given.mapInArrow(clean, "id bigint, q boolean, v binary, norm double").withColumn("size", F.octet_length("v")), "vectors")
-    sizes = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"), F.sum(F.col("q").cast("bigint")).alias("queries"))
+    rows = stored(given.mapInArrow(clean, "id bigint, q boolean, v binary").withColumn("size", F.octet_length("v")), "vectors")
+    sizes = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("bigint")).alias("queries"))
     common = sizes.orderBy(F.desc("n"), F.desc("size")).first()
     out = "query_id bigint, vec_id bigint, score double"
     if common is None:
         return vectors.sparkSession.createDataFrame([], out).withColumn("rank", F.lit(1)).select("query_id", "rank", "vec_id", "score")
     rows = rows.where(F.col("size") == common["size"])
-    shards, blocks, top, most = math.ceil(common["n"] / shard_rows), max(1, math.ceil(common["queries"] / query_block)), common["top"], k + 1
+    shards, blocks, most = math.ceil(common["n"] / shard_rows), max(1, math.ceil(common["queries"] / query_block)), k + 1
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +194,7 @@ def search(
         order, point = _least_ids(vectors, ids, most)
         at = np.searchsorted(point, np.arange(point[-1] + 2))
         own = vectors[order[at[:-1]]]
-        graph, start = build(lifted(own, top), shape)
+        graph, start = build(lifted(*bands(own)[2:]), shape)
         values = [key[0].as_py(), own.tobytes(), graph.astype(np.int32).tobytes(), start, ids[order].tobytes(), at.astype(np.int64).tobytes()]
         return pa.table({n: [v] for n, v in zip(("shard", "vectors", "graph", "start", "ids", "at"), values)}, _index_schema())
 
@@ -203,14 +207,16 @@ def search(
             one = {c: left[c][0].as_py() for c in left.column_names}
             queries, qids = _matrix(right["v"].combine_chunks()), right["id"].to_numpy()
             own = np.frombuffer(one["vectors"], np.float64).reshape(-1, queries.shape[1])
-            graph = np.frombuffer(one["graph"], np.int32).reshape(len(own) + 1, -1).astype(np.int64)
+            short, long, flat, _ = bands(own)
+            graph = np.frombuffer(one["graph"], np.int32).reshape(len(short) + 1, -1).astype(np.int64)
             ids, at = np.frombuffer(one["ids"], np.int64), np.frombuffer(one["at"], np.int64)
-            points, beam = lifted(own, top), max(shape.search_beam, 2 * most)
+            points, beam = flat.astype(np.float32), max(shape.search_beam, 2 * most)
             for lo in range(0, len(queries), 256):
                 part = queries[lo : lo + 256]
-                near, _ = beam_search(points, graph, one["start"], np.concatenate([part, np.zeros((len(part), 1))], 1).astype(np.float32), beam, shape.expand)
+                unit = part / np.abs(part).max(1, keepdims=True)
+                near, _ = beam_search(points, graph, one["start"], unit.astype(np.float32), beam, shape.expand, product=True)
                 for q, v, row in zip(qids[lo : lo + 256].tolist(), part, near):
-                    row = row[row >= 0]
+                    row = np.concatenate([short[row[row >= 0]], long])
                     size = at[row + 1] - at[row]
                     score = np.repeat(own[row] @ v, size)
                     names = ids[np.repeat(at[row] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
@@ -228,9 +234,23 @@ def search(
     return near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def bands(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(points of the graph, points too long for it, the former's vectors in units of the largest component, their largest squared norm).
+
+    Too long is more than twice as long as 99 of 100 points.
+    """
+    unit = np.abs(vectors).max()
+    scaled = vectors / unit
+    norm = np.sqrt(np.einsum("ij,ij->i", scaled, scaled))
+    fits = norm <= 2 * np.quantile(norm, 0.99, method="lower")
+    own = vectors[fits] / np.abs(vectors[fits]).max()
+    return np.flatnonzero(fits), np.flatnonzero(~fits), own, float(np.einsum("ij,ij->i", own, own).max())
+
+
 def lifted(vectors: np.ndarray, top: float) -> np.ndarray:
-    """Points of one norm, the root of `top`, whose distance to (q, 0) falls as the inner product with q grows."""
-    rest = np.sqrt(np.maximum(top - np.einsum("ij,ij->i", vectors, vectors), 0))
+    """Points of one norm but for a shift: the last coordinate is root(top - norm squared) - root(top), without their difference's loss."""
+    norm = np.einsum("ij,ij->i", vectors, vectors)
+    rest = -norm / (math.sqrt(top) + np.sqrt(np.maximum(top - norm, 0)))
     return np.concatenate([vectors, rest[:, None]], 1).astype(np.float32)
 
 

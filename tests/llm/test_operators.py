@@ -341,6 +341,26 @@ def test_neighbours(spark):
     assert neighbours.search(table.where("vec_id = 10"), F.lit(True), 20).count() == 0
 
 
+@pytest.mark.parametrize("long", [1e4, 1e9])
+def test_one_long_vector_blurs_no_query(spark, long):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(1500, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    base[77] *= long
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.search(table, F.col("vec_id") % 10 == 0, 20, shard_rows=800).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 1500, 10):
+        score = base @ base[q]
+        score[q] = -np.inf
+        best = set(np.argsort(-score)[:20].tolist())
+        assert 77 not in best or 77 in got[q]
+        hits += len(best & got[q])
+    assert hits / 3000 >= 0.95
+
+
 def test_pruning_keeps_no_covered_candidate():
     rng = np.random.default_rng(8)
     points = rng.normal(size=(200, 5)).astype(np.float32)
