@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import decontamination, html, languages, licenses, logbilinear, neighbours, packing, simhash, tokencounts, toxicity
+from rowtide.llm import decontamination, divergence, html, languages, licenses, logbilinear, neighbours, packing, simhash, tokencounts, toxicity
 
 #: The rank file of byte_bpe_50k.json: the same vocabulary and ids.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -100,6 +100,11 @@ def op10_html_extraction(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"), keep=["url"])
 
 
+@query
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -118,3 +123,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (r) LEFT JOIN own USING (r)
 """
+
+SQL["op12_source_divergence"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all({_LOW}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+size AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+cell AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+own AS (SELECT lang, source, sum(c) AS n FROM cell GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (SELECT g.lang, g.source, k.term, coalesce(cell.c, 0) AS c,
+             1 + (CAST(1000000000 AS HUGEINT) * (coalesce(cell.c, 0) + 2)) // CAST(coalesce(own.n, 0) + 2 * v AS HUGEINT) AS p,
+             1 + (CAST(1000000000 AS HUGEINT) * (k.c + 2)) // CAST(size.n + 2 * v AS HUGEINT) AS q
+      FROM g JOIN kept k USING (lang) JOIN size USING (lang) LEFT JOIN own ON own.lang = g.lang AND own.source = g.source
+      LEFT JOIN cell ON cell.lang = g.lang AND cell.source = g.source AND cell.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
