@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtide.llm import decontamination, divergence, html, languages, licenses, logbilinear, neighbours, packing, simhash, tokencounts, toxicity
+from rowtide.llm import collocations, decontamination, divergence, html, languages, licenses, logbilinear, neighbours, packing, simhash, suffixdedup, tokencounts, toxicity
 
 #: The rank file of byte_bpe_50k.json: the same vocabulary and ids.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -100,6 +100,16 @@ def op10_html_extraction(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"), keep=["url"])
 
 
+@query
+def op11_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_suffix_dedup(spark, sf_dir):
+    return suffixdedup.deduplicate(table(spark, sf_dir, "documents")).drop("removed")
+
+
 @query
 def op12_source_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -124,6 +134,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN places USING (r) LEFT JOIN own USING (r)
 """
 
+SQL["op11_collocations"] = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+s AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM w WHERE len(w) > 0),
+n AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS c
+      FROM s, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, k AS m, phrase, c AS a, string_split(phrase, ' ') AS x FROM f WHERE k > 1),
+cut AS (SELECT lang, m, phrase, a, k, array_to_string(x[1 : k], ' ') AS f1, array_to_string(x[k + 1 : m], ' ') AS f2 FROM c, (SELECT unnest([1, 2]) AS k) WHERE k < m),
+sc AS (SELECT cut.*, l.c AS l, r.c AS r, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.c AS HUGEINT) * r.c) AS score
+       FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = f1 JOIN f r ON r.lang = cut.lang AND r.phrase = f2),
+low AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, array_to_string(x[k : k + 1], ' ') AS phrase, max(a) AS b FROM c, (SELECT unnest([1, 2]) AS k) WHERE m = 3 GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN longer ON longer.lang = low.lang AND longer.phrase = low.phrase WHERE b IS NULL OR 100 * b < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 SQL["op12_source_divergence"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
                   regexp_extract_all({_LOW}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -146,3 +174,19 @@ every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(va
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM every)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+SQL["op13_suffix_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT r, i, md5(b[i : i + 399]) AS m FROM (SELECT r, b, unnest(generate_series(1, octet_length(b) - 399)) AS i FROM d WHERE octet_length(b) >= 400)),
+again AS (SELECT m FROM s GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM s SEMI JOIN again USING (m)),
+run AS (SELECT r, min(i) AS a, max(i) + 399 AS z FROM (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM hit) GROUP BY r, k),
+edge AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) + 1 AS since, lead(a) OVER (PARTITION BY r ORDER BY a) AS next FROM run),
+own AS (SELECT r, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM run GROUP BY r),
+part AS (SELECT r, a, hex(CASE WHEN a > since THEN b[since : a - 1] ELSE ''::BLOB END) || hex(CASE WHEN next IS NULL AND z < octet_length(b) THEN b[z + 1 : octet_length(b)] ELSE ''::BLOB END) AS h
+         FROM edge JOIN d USING (r)),
+kept AS (SELECT r, sha256(unhex(string_agg(h, '' ORDER BY a))) AS kept FROM part GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, coalesce(kept, sha256(b)) AS kept_sha256
+FROM d LEFT JOIN own USING (r) LEFT JOIN kept USING (r)
+"""
