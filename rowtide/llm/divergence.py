@@ -128,7 +128,7 @@ def _stripe(top: int):
         kind = pc.is_null(table["term"]).to_numpy()
         groups, cells = table.filter(pa.array(kind)), table.filter(pa.array(~kind))
         lang, terms = groups["lang"][0].as_py(), groups["terms"][0].as_py()
-        groups = groups.group_by("source").aggregate([("n", "max"), ("tile", "max")])  # a tile with itself came once, two tiles both
+        groups = groups.group_by("source").aggregate([("n", "max"), ("tile", "max")])  # once each
         names, total, tile = groups["source"].combine_chunks(), groups["n_max"].to_numpy(), groups["tile_max"].to_numpy()
         every, own_total = table["every"][0].as_py(), table["lang_n"][0].as_py()
         words = cells["term"].combine_chunks().dictionary_encode()
@@ -139,7 +139,8 @@ def _stripe(top: int):
         p = probability(count, total[row], every) if every else count
         zero = probability(np.zeros(len(total), np.int64), total, every) if every else np.zeros(len(total), np.int64)
         a, b = np.triu_indices(len(names), 1)
-        if tile.min() != tile.max():
+        own = table["t"][0] == table["u"][0]  # the stripe of one tile, not of two
+        if not own:
             across = tile[a] != tile[b]
             a, b = a[across], b[across]
         sums, step = [], max(1, _PAIRS // max(1, terms))
@@ -152,7 +153,7 @@ def _stripe(top: int):
             sums.append(out)
         sums = np.concatenate(sums) if sums else np.zeros(len(a), np.int64)
         part, source, item, value = [np.repeat("pair", len(a))], [names.take(pa.array(a))], [names.take(pa.array(b))], [sums]
-        if tile.min() == tile.max() and len(row):
+        if own and len(row):
             q = probability(cells["lang_count"].to_numpy()[tree.order], np.full(len(row), own_total), every)
             above = np.flatnonzero(p > q)
             f = gap(p[above], q[above])
