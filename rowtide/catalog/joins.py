@@ -87,10 +87,34 @@ def disjunctive(t):
 def in_range(t):
     grid = t.events.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("starts")).distinct()
     grid = grid.withColumn("ends", F.expr("starts + INTERVAL 36 HOUR"))
-    out = j.in_interval(t.events.select("event_id", "ts"), "ts", grid, "starts", "ends", 86400)
+    out = j.in_interval(t.events.select("event_id", "ts"), "ts", grid, "starts", "ends")
     return out.select("event_id", F.date_format("starts", "yyyy-MM-dd HH:mm:ss").alias("starts"))
 
 
+@query("join_range_long", """WITH s AS (SELECT o_orderkey, o_orderdate AS starts, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate + to_days(CAST(o_orderkey % 900 AS INTEGER)) END AS ends
+      FROM orders WHERE o_orderkey % 400 < 3),
+    d AS (SELECT DISTINCT o_orderdate AS day FROM orders)
+    SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n, sum(o_orderkey) AS keys FROM d JOIN s ON day >= starts AND (day < ends OR ends IS NULL) GROUP BY day""")
+def in_long_range(t):
+    o, k = t.orders.where("o_orderkey % 400 < 3"), F.col("o_orderkey")
+    ends = F.when(k % 3 > 0, F.col("o_orderdate") + F.make_dt_interval((k % 900).cast("int")))  # from no time at all to no end
+    spans = o.select(k, F.col("o_orderdate").alias("starts"), ends.alias("ends"))
+    days = t.orders.select(F.col("o_orderdate").alias("day")).distinct()
+    held = j.in_interval(days, "day", spans, "starts", "ends", open_ended=True)
+    return held.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("join_overlap", """WITH s AS (SELECT l_orderkey, l_linenumber, l_shipdate AS a, l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS b FROM lineitem WHERE l_orderkey % 50 = 0),
+    p AS (SELECT DISTINCT date_trunc('quarter', o_orderdate) AS q, date_trunc('quarter', o_orderdate) + INTERVAL 100 DAY AS z FROM orders)
+    SELECT l_orderkey, l_linenumber, strftime(q, '%Y-%m-%d') AS quarter FROM s JOIN p ON a < z AND q < b AND a < b""")
+def overlap(t):
+    line = t.lineitem.where("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("a"),
+                                                           (F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias("b"))
+    q = F.date_trunc("quarter", "o_orderdate").cast("timestamp_ntz")
+    quarters = t.orders.select(q.alias("q"), (q + F.make_dt_interval(F.lit(100))).alias("z")).distinct()
+    return j.overlapping(line, "a", "b", quarters, "q", "z").select("l_orderkey", "l_linenumber", F.date_format("q", "yyyy-MM-dd").alias("quarter"))
+
+
 @query("join_cross_scalar", "SELECT o_orderkey FROM orders WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 1456 DAY")
 def cross_scalar(t):
     return j.newer_than_latest(t.orders, "o_orderdate", 1456).select("o_orderkey")

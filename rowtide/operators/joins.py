@@ -72,21 +72,57 @@ def either_key(left: DataFrame, right: DataFrame, key: str, first: str, second:
     return by_first.unionAll(by_second)
 
 
-def in_interval(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, width_seconds: int) -> DataFrame:
-    """Points with every interval [start, end) that holds them, joined on time buckets of `width_seconds`.
+#: Microseconds that stand for an open start or end, beyond every timestamp.
+_OPEN = 1 << 59
 
-    An interval is copied once per bucket it touches; choose a width near the usual interval length.
-    """
 
-    def bucket(df: DataFrame, column: str) -> Column:
-        return F.floor(micros(df, column) / F.lit(width_seconds * 1_000_000)).cast("bigint")
+def in_interval(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, open_ended: bool = False, step: int = 2) -> DataFrame:
+    """Points with every interval [start, end) that holds them, whatever the lengths.
 
-    spread = intervals.where(F.col(start) < F.col(end)).withColumn(
-        "__bucket", F.explode(F.sequence(bucket(intervals, start), bucket(intervals, end)))
-    )
-    keyed = points.withColumn("__at_bucket", bucket(points, at))
-    match = (keyed["__at_bucket"] == spread["__bucket"]) & (keyed[at] >= spread[start]) & (keyed[at] < spread[end])
-    return keyed.join(spread, match).drop("__bucket", "__at_bucket")
+    Time is cut into blocks of 2, 4, 8, ... microseconds (each `step`-th power); an interval goes to the one or two blocks of
+    the first size that is at least its length, and a point looks into its own block of every size that occurs, at most
+    60 / `step` of them. So an interval has two rows however long it is, a point one row for each class of lengths, and a block
+    has at most 2^(`step` + 1) times as many points as its intervals hold. A block with many points is a skewed key of an inner
+    join, which adaptive execution splits. A null start or end is no interval, or with `open_ended` one without that bound.
+    """
+    spans = intervals.withColumns({"__lo": micros(intervals, start), "__hi": micros(intervals, end)})
+    if open_ended:
+        spans = spans.withColumns({"__lo": F.coalesce("__lo", F.lit(-_OPEN)), "__hi": F.coalesce("__hi", F.lit(_OPEN))})
+    spans = spans.where(F.col("__lo") < F.col("__hi"))
+    bits = F.length(F.bin(F.col("__hi") - F.col("__lo") - 1))
+    spans = spans.withColumn("__level", (F.ceil(bits / F.lit(step)) * step).cast("int"))
+    block = lambda x: F.expr(f"shiftright({x}, __level)")
+    spread = spans.withColumn("__block", F.explode(F.sequence(block("__lo"), block("__hi - 1"))))
+
+    levels = spans.agg(F.collect_set("__level").alias("levels")).scalar()  # 60 / step numbers at most
+    keyed = points.withColumn("__at", micros(points, at)).where("__at IS NOT NULL").withColumn("__levels", levels)
+    keyed = keyed.withColumn("__point_level", F.explode("__levels"))
+    keyed = keyed.withColumn("__point_block", F.expr("shiftright(__at, __point_level)")).drop("__levels")
+    match = (F.col("__point_level") == F.col("__level")) & (F.col("__point_block") == F.col("__block"))
+    within = (F.col("__at") >= F.col("__lo")) & (F.col("__at") < F.col("__hi"))
+    return keyed.join(spread, match & within).drop("__at", "__point_level", "__point_block", "__lo", "__hi", "__level", "__block")
+
+
+def overlapping(left: DataFrame, start: str, end: str, right: DataFrame, other_start: str, other_end: str, open_ended: bool = False) -> DataFrame:
+    """Pairs of [start, end) intervals that overlap: either the left one begins inside the right, or the right one later inside the left.
+
+    Both cases are joins of points with intervals, so long and open-ended intervals cost no more rows than short ones.
+    """
+    if both := sorted(set(left.columns) & set(right.columns)):
+        raise ValueError(f"both sides have {both}; rename them")
+    whole = lambda df, a, b: df.where(F.col(a) < F.col(b)) if not open_ended else df.where(F.coalesce(F.col(a) < F.col(b), F.lit(True)))
+    left, right = whole(left, start, end), whole(right, other_start, other_end)
+
+    def begins(df: DataFrame, column: str) -> DataFrame:  # an open start lies before every other start
+        kind = df.schema[column].dataType.simpleString()
+        first = F.lit("0001-01-01 00:00:00").cast(kind)
+        return df.withColumn("__begin", F.coalesce(F.col(column), first)) if open_ended else df.withColumn("__begin", F.col(column))
+
+    columns = [*left.columns, *right.columns]
+    first = in_interval(begins(left, start), "__begin", right, other_start, other_end, open_ended).select(*columns)
+    second = in_interval(begins(right, other_start), "__begin", left, start, end, open_ended)
+    later = F.col(start).isNull() & F.col(other_start).isNotNull() | (F.col(other_start) > F.col(start))
+    return first.unionByName(second.where(later).select(*columns))
 
 
 def newer_than_latest(df: DataFrame, at: str, days: int) -> DataFrame:

@@ -126,7 +126,7 @@ def test_intervals_do_not_depend_on_the_session_zone(spark):
     want = rows(points.join(spans, (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))))
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
-        assert rows(joins.in_interval(points, "at", spans, "lo", "hi", 1800)) == want
+        assert rows(joins.in_interval(points, "at", spans, "lo", "hi")) == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -141,3 +141,28 @@ def test_the_caller_may_know_the_hot_groups(spark):
     spark.sparkContext.setJobGroup("rest", "")
     given = g.running(df, ["k"], ["id"], "total", "sum", "v", 100, counted)
     assert counted is not None and plain.exceptAll(given).count() == given.exceptAll(plain).count() == 0
+
+
+def test_an_interval_takes_few_rows_however_long(spark):
+    """Lengths from none to centuries, open ends, both sides of the epoch: the plain range join's rows, two blocks an interval at most."""
+    day = lambda c: F.expr(f"TIMESTAMP_NTZ'1969-06-01 00:00:00' + make_dt_interval(CAST({c} AS INT), 0, 0, CAST(id % 3 AS DECIMAL(18,6)) / 1000000)")
+    points = spark.range(0, 400).select(day("id * 40 - 4000").alias("at"), F.col("id").alias("p")).union(spark.sql("SELECT CAST(NULL AS TIMESTAMP_NTZ), -1L"))
+    spans = spark.range(0, 60).select(day("id * 97 - 3000").alias("lo"), F.when(F.col("id") % 7 > 0, day("id * 97 - 3000 + int(pow(1.25, id))")).alias("hi"), F.col("id").alias("s"))
+    spans = spans.withColumn("lo", F.when(F.col("s") % 11 > 0, F.col("lo")))
+    plain = points.join(spans, (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
+    assert rows(joins.in_interval(points, "at", spans, "lo", "hi")) == rows(plain)
+    bounds = F.coalesce(F.col("at") >= F.col("lo"), F.lit(True)) & F.coalesce(F.col("at") < F.col("hi"), F.lit(True))
+    want = rows(points.where("at IS NOT NULL").join(spans, bounds))
+    for step in (1, 2, 5):
+        assert rows(joins.in_interval(points, "at", spans, "lo", "hi", True, step)) == want
+
+
+def test_intervals_that_overlap(spark):
+    at = lambda c: F.expr(f"TIMESTAMP'2024-01-01 00:00:00' + make_dt_interval(0, CAST({c} AS INT))")
+    a = spark.range(0, 50).select(F.col("id").alias("x"), at("id * 5").alias("a"), F.when(F.col("id") % 9 > 0, at("id * 5 + id % 4 * 30")).alias("b"))
+    c = spark.range(0, 50).select(F.col("id").alias("y"), F.when(F.col("id") % 8 > 0, at("id * 7 - 60")).alias("c"), at("id * 7 - 60 + id % 5 * 20").alias("d"))
+    inside = lambda df: rows(df.select("x", "y"))
+    plain = (F.col("a") < F.col("d")) & (F.col("c") < F.col("b")) & (F.col("a") < F.col("b")) & (F.col("c") < F.col("d"))
+    assert inside(joins.overlapping(a, "a", "b", c, "c", "d")) == inside(a.join(c, plain))
+    ok = lambda x, y: F.coalesce(F.col(x) < F.col(y), F.lit(True))
+    assert inside(joins.overlapping(a, "a", "b", c, "c", "d", True)) == inside(a.join(c, ok("a", "d") & ok("c", "b") & ok("a", "b") & ok("c", "d")))
