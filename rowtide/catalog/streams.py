@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowtide.catalog.registry import Tables, query
 from rowtide.session import fresh_path
-from rowtide.sources import versions
+from rowtide.sources import files, versions
 from rowtide.streaming import stateful, windows as w
 from rowtide.streaming.runs import drain
 
@@ -67,17 +67,13 @@ def late_replay(t):
 @query("str_trace_state", """SELECT event_id, user_id, trace FROM (SELECT *, coalesce(last_value(CASE WHEN event_type = 'signup' THEN props END IGNORE NULLS)
     OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), '') AS trace FROM events) WHERE event_type <> 'signup'""")
 def trace_state(t):
-    # two files, earlier days first, so that markers have to carry over from batch to batch
+    # files of consecutive times, so that markers have to carry over from batch to batch
     src = fresh_path(t.spark, "feed")
-    early = F.col("ts") < F.lit("2024-01-12").cast("timestamp_ntz")
-    for half in (early, ~early):
-        t.events.where(half).coalesce(1).write.mode("append").parquet(src)
-    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    base = fresh_path(t.spark, "traced")
-    apply = stateful.trace_batches(base, "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.col("props"))
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", fresh_path(t.spark, "mark")).trigger(availableNow=True).start().awaitTermination()
-    schema = f"event_id bigint, user_id bigint, trace string"
-    return versions.read_batches(t.spark, f"{base}/out", schema).drop("batch")
+    t.events.repartitionByRange(4, "ts").sortWithinPartitions("ts", "event_id").write.parquet(src)
+    files.in_order(t.spark, src)
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 2).parquet(src).select("event_id", "user_id", "ts", "event_type", "props")
+    traced = stateful.carry_trace(stream, "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.col("props"))
+    return drain(traced.select("event_id", "user_id", "trace"), start=stateful.started)
 
 
 @query("str_write_back_stream", """SELECT o_orderkey, 'rowtide' AS source, '2024-02-01' AS processed_at FROM orders WHERE o_orderstatus <> 'F'""")

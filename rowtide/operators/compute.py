@@ -163,10 +163,9 @@ def evicted(cache: DataFrame, entries: int, size: int, hot_rows: int | None = HO
     """The cache cut to its most recently used answers within both limits."""
     aged = cache.withColumns({"__age": -micros(cache, "accessed"), "__bytes": F.octet_length("answer").cast("bigint") + 128})
     aged = aged.withColumn("__back", F.reverse("key"))  # a tie-break that is fixed and spreads over slices
-    hot = hot_groups(aged, [], hot_rows)  # counted once for both
-    plain = hot_rows if hot is not None else None
-    ranked = running(aged, [], ["__age", "__back"], "__n", "count", hot_rows=plain, hot=hot)
-    sized = running(ranked, [], ["__age", "__back"], "__total", "sum", "__bytes", plain, hot)
+    hot = hot_groups(aged, [], hot_rows)
+    ranked = running(aged, [], ["__age", "__back"], "__n", "count", hot_rows=hot_rows, hot=hot)
+    sized = running(ranked, [], ["__age", "__back"], "__total", "sum", "__bytes", hot_rows, hot)
     return sized.where((F.col("__n") <= entries) & (F.col("__total") <= size)).select(*cache.columns)
 
 

@@ -68,8 +68,11 @@ def capture(relations: Mapping[str, DataFrame], checks: Mapping[str, DataFrame])
 
 
 def acknowledge(base: str, capture_id: int, delta: DataFrame) -> None:
-    """Add a captured delta to the baseline at `base`; acknowledging the same capture again adds nothing."""
-    versions.write_batch(delta, base, capture_id)
+    """Add a captured delta to the baseline at `base`; acknowledging the same capture again adds nothing.
+
+    Capture numbers grow. Older captures are folded into net weights, so a baseline of n captures is read from log n folders.
+    """
+    versions.write_batch(delta, base, capture_id, lambda rows: net(rows.drop("batch")))
 
 
 def baseline(spark: SparkSession, base: str, schema: str) -> DataFrame:

@@ -1,42 +1,44 @@
 """Ordered work inside groups that stays spread out when one group holds much of the data.
 
-A plain window sends every row of a group to one task. These helpers count the groups first (a
-map-side-combined aggregate over the key columns only). Groups of up to `hot_rows` rows take the
-plain window. Larger ones are range-partitioned on (keys, order), so one group spans many tasks;
-each slice is scanned on its own and a per-slice carry, at most one row per (hot group, slice),
-joins the slices together. The result equals the plain window's, row for row.
+A plain window sends every row of a group to one task. These helpers count the groups first, combined before the shuffle, as a
+part of the same plan: nothing runs before the caller's action, and where the count finds no hot group, adaptive execution
+drops the branch for them. Groups of up to `hot_rows` rows take the plain window. A larger one is cut into slices of the
+order at splitters drawn from its own rows by their hash, about `hot_rows` / 4 rows apart, so that a row has its slice
+whenever and wherever it is calculated; each slice is scanned on its own and a per-slice carry, one row per (hot
+group, slice), joins the slices together. The result equals the plain window's, row for row.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from rowtide.session import stored
-
 # Rows of one group that a single task may order; the window operator spills well past this.
 HOT_ROWS = 2_000_000
-_SLICE, _CARRY, _HITS = "__slice", "__carry", "__rows"
+_SLICES = 256  # of a hot group at most, about
+_SLICE, _CARRY, _HITS, _CUTS = "__slice", "__carry", "__rows", "__splitters"
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS) -> DataFrame | None:
-    """(keys, __rows) of the groups above `hot_rows`, or None; nothing is counted without a number. At most count(df)/hot_rows rows."""
+    """(keys, __rows) of the groups above `hot_rows`, at most count(df) / hot_rows rows, not yet calculated; None without a number."""
     if hot_rows is None:
         return None
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_HITS)).where(F.col(_HITS) > hot_rows)
-    return stored(counted) if counted.take(1) else None
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_HITS)).where(F.col(_HITS) > hot_rows)
+
+
+def _marked(df: DataFrame, keys: Sequence[str], marks: DataFrame, how: str) -> DataFrame:
+    """Join a small table of groups to their rows; null keys are groups too."""
+    named = F.broadcast(marks.select(*[F.col(k).alias(f"__h_{k}") for k in keys], *[c for c in marks.columns if c not in keys]))
+    same = _all([F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys]) if keys else F.lit(True)
+    return df.join(named, same, how).drop(*[f"__h_{k}" for k in keys])
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary groups, rows of hot groups); `hot` is small by construction."""
-    if not keys:
-        return df.where(F.lit(False)), df
-    marks = F.broadcast(hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys]))
-    same = _all([F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys])
-    return df.join(marks, same, "left_anti"), df.join(marks, same, "left_semi")
+    marks = hot.select(*keys, F.lit(True).alias("__hot"))
+    return _marked(df, keys, marks, "left_anti"), _marked(df, keys, marks, "inner").drop("__hot")
 
 
 def _all(conds: Sequence[Column]) -> Column:
@@ -47,12 +49,15 @@ def _all(conds: Sequence[Column]) -> Column:
 
 
 def _slices(rows: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame, hot_rows: int | None) -> DataFrame:
-    """Range-partition on (keys, order) and pin each row's slice number durably."""
-    total = hot.agg(F.sum(_HITS)).first()[0]
-    spark = rows.sparkSession
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (hot_rows or HOT_ROWS)))
-    spread = rows.repartitionByRange(width, *[F.col(c) for c in [*keys, *order]])
-    return stored(spread.withColumn(_SLICE, F.spark_partition_id()))
+    """Each row of the hot groups with its slice: how many of its group's splitters stand before it in the order."""
+    at, fine = F.struct(*order), 8  # every eighth of the values drawn is a splitter, which evens out the slices
+    pieces = F.least(F.ceil(F.col(_HITS) / F.lit((hot_rows or HOT_ROWS) / 4)), F.lit(_SLICES))
+    every = F.greatest(F.floor(F.col(_HITS) / (pieces * fine)), F.lit(1))
+    drawn = _marked(rows, keys, hot, "inner").where(F.pmod(F.xxhash64(*order), every) == 0)
+    splitters = drawn.groupBy(*keys).agg(F.sort_array(F.collect_set(at)).alias(_CUTS))  # about 8 * `_SLICES` values a group at most
+    splitters = splitters.withColumn(_CUTS, F.filter(_CUTS, lambda _, i: i % fine == fine - 1))
+    cut = _marked(rows, keys, splitters, "left")
+    return cut.withColumn(_SLICE, F.coalesce(F.size(F.filter(_CUTS, lambda s: s < at)), F.lit(0))).drop(_CUTS)
 
 
 def running(
@@ -69,7 +74,7 @@ def running(
 
     `order` lists ascending columns that identify a row within its group. Floating sums are refused.
     A caller who knows the groups to be small takes the plain window by `hot_rows=None`, and one who knows the hot
-    groups hands them in as `hot`, in the form `hot_groups` gives; in both cases nothing runs while the plan is built.
+    groups hands them in as `hot`, in the form `hot_groups` gives. Nothing runs while the plan is built.
     """
     if kind == "count":
         local, total, zero = F.count(F.lit(1)), F.count(F.lit(1)), F.lit(0)

@@ -1,79 +1,59 @@
-"""Tables published together as whole versions, and tables kept as per-batch change files merged on read.
+"""Tables published together as whole versions: a commit is one small file that names the path of every table.
 
-A commit is one row that names the path of every table; it is written last, so readers see all tables of
-a commit or none. Where a table format with row-level merges is available, `DataFrame.mergeInto` replaces both.
+The file is written last and only if no other writer has taken its version, so readers see all tables of a commit or none, and
+of two writers that start from one version one is refused. Where a table format with commits of its own is available, it
+takes the place of this.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-COMMIT = "claim string, tables map<string,string>"
+from rowtide.sources import files
+from rowtide.sources.batches import merged, read_batches, write_batch  # noqa: F401  kept under their old place
 
 
 class VersionTaken(RuntimeError):
     """Another writer has published the version this one was about to."""
 
 
-def newest(spark: SparkSession, base: str) -> tuple[int, str | None, dict[str, str]]:
-    """(version, claim, path of each table) of the newest commit below `base`; version 0 before the first."""
-    try:
-        commits = spark.read.schema(f"{COMMIT}, version int").parquet(f"{base}/commits")
-    except AnalysisException:  # nothing published yet
-        return 0, None, {}
-    last = commits.agg(F.max_by(F.struct("version", "claim", "tables"), F.struct("version", "claim")).alias("last")).first()["last"]
-    return (last["version"], last["claim"], last["tables"]) if last else (0, None, {})
+def _file(base: str, version: int) -> str:
+    return f"{base}/commits/{version:012d}.json"
+
+
+def newest(spark: SparkSession, base: str) -> tuple[int, dict[str, str]]:
+    """(version, path of each table) of the newest commit below `base`; version 0 before the first. Reads one file."""
+    found = files.names(spark, f"{base}/commits")
+    return (int(found[-1].removesuffix(".json")), json.loads(files.text(spark, f"{base}/commits/{found[-1]}"))) if found else (0, {})
 
 
 def commit(tables: Mapping[str, DataFrame], base: str, onto: int | None = None) -> int:
     """Publish the next state of several tables at once; tables not named keep theirs. Returns the version.
 
-    A failure before the last write leaves the current version as it was. `onto` is the version the tables
-    were made from: if another has been published since, or is at the same time, `VersionTaken` is raised.
+    A failure before the last step leaves the current version as it was. `onto` is the version the tables
+    were made from, the current one by default: if another has been published since, `VersionTaken` is raised and nothing changes.
     """
     spark = next(iter(tables.values())).sparkSession
-    version, _, paths = newest(spark, base)
+    version, paths = newest(spark, base)
     if onto not in (None, version):
         raise VersionTaken(f"made from version {onto}, but {version} is current")
-    claim, number = uuid.uuid4().hex, version + 1
+    number, claim = version + 1, uuid.uuid4().hex
     new = {name: f"{base}/data/{name}/v{number}-{claim}" for name in tables}
     for name, df in tables.items():
         df.write.parquet(new[name])
-    line = spark.createDataFrame([(claim, {**paths, **new})], COMMIT).coalesce(1)
-    try:
-        line.write.mode("error").parquet(f"{base}/commits/version={number}")
-    except AnalysisException as e:
-        raise VersionTaken(f"version {number} is published") from e
-    at, held, _ = newest(spark, base)
-    if at == number and held != claim:  # two writers passed the check above at once: one claim stands
-        raise VersionTaken(f"version {number} has two claims")
+    if not files.create(spark, _file(base, number), json.dumps({**paths, **new})):
+        raise VersionTaken(f"version {number} is published")
     return number
 
 
 def capture(spark: SparkSession, base: str, schemas: Mapping[str, object]) -> dict[str, DataFrame]:
     """The tables named in `schemas`, all of one commit; later publications do not show through."""
-    _, _, paths = newest(spark, base)
+    _, paths = newest(spark, base)
     missing = sorted(set(schemas) - set(paths))
     if missing:
         raise LookupError(f"no published version of {missing}")
     return {name: spark.read.schema(schema).parquet(paths[name]) for name, schema in schemas.items()}
-
-
-def write_batch(df: DataFrame, base: str, batch_id: int) -> None:
-    """Write one batch's rows; repeating the batch overwrites the same files, so replays add nothing."""
-    df.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
-
-
-def read_batches(spark: SparkSession, base: str, schema: str) -> DataFrame:
-    """All rows of all batches, with their `batch` number."""
-    return spark.read.schema(f"{schema}, batch long").option("basePath", base).parquet(f"{base}/batch=*")
-
-
-def merged(batches: DataFrame, key: Sequence[str], order: Sequence[str] = ("batch",)) -> DataFrame:
-    """The newest row of each key over all batches."""
-    rest = [c for c in batches.columns if c not in key and c != "batch"]
-    return batches.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*key, "__row.*")

@@ -1,15 +1,17 @@
-"""Batch functions that carry keyed state from one micro-batch to the next as small tables."""
+"""Keyed state of streams: a value a key in Spark's state store, or small tables that a batch function carries along."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from rowtide.operators import delivery
 from rowtide.operators.windows import forward_fill
 from rowtide.plans.groups import HOT_ROWS
-from rowtide.sources import versions
+from rowtide.sources import batches, versions
 
 
 def _state(rows: DataFrame, base: str, batch: int, schema: str) -> DataFrame | None:
@@ -44,10 +46,65 @@ def trace_batches(base: str, reader: str, order: Sequence[str], marker: Column,
     return apply
 
 
+class _Carry(StatefulProcessor):
+    """Rows of one reader in order, each with the trace of the last marker at or before it; the trace is the reader's state."""
+
+    def __init__(self, order: Sequence[str], expire_ms: int | None):
+        self.order, self.expire_ms = list(order), expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.trace = handle.getValueState("trace", "trace string", self.expire_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        before = self.trace.get()[0] if self.trace.exists() else ""
+        marks = batch["marks"].astype(bool)
+        traces = batch["trace"].where(marks).ffill()
+        if marks.any():
+            self.trace.update((traces.iloc[-1],))
+        batch["trace"] = traces.where(traces.notna(), before)
+        yield batch[~marks].drop(columns=["marks"])
+
+    def close(self) -> None:
+        pass
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def carry_trace(stream: DataFrame, reader: str, order: Sequence[str], marker: Column, trace: Column, expire_ms: int | None = None) -> DataFrame:
+    """Streaming forward fill: rows between markers take the `trace` of their reader's last marker, '' before the first.
+
+    Marker rows are dropped. The state is one value a reader, which only a batch with a marker of that reader writes; with
+    `expire_ms` it lapses that long after it was written. A reader's rows must arrive in order from batch to batch; within a
+    batch they are sorted, so a batch is what one reader's rows in memory are bounded by. Start the query with `started`.
+    """
+    plain = {c: f"c{i}" for i, c in enumerate(stream.columns)}  # Spark hands columns over by names that Python allows
+    is_marker = F.coalesce(marker, F.lit(False))
+    marked = stream.select(
+        *[F.col(c).alias(n) for c, n in plain.items()], is_marker.alias("marks"), F.when(is_marker, F.coalesce(trace, F.lit(""))).alias("trace")
+    )
+    schema = T.StructType([*[T.StructField(plain[f.name], f.dataType) for f in stream.schema.fields], T.StructField("trace", T.StringType())])
+    time = "None" if expire_ms is None else "ProcessingTime"
+    out = marked.groupBy(plain[reader]).transformWithStateInPandas(_Carry([plain[c] for c in order], expire_ms), schema, "Append", time)
+    return out.select(*[F.col(n).alias(c) for c, n in plain.items()], "trace")
+
+
+def started(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Start a query whose keyed state needs the store that keeps single values; the session's own choice is put back."""
+    held = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.unset(_STORE) if held is None else spark.conf.set(_STORE, held)
+
+
 def write_back_batches(base: str, key: str, now: Column, source: str) -> Callable[[DataFrame, int], None]:
     """`foreachBatch` form of the write-back: unprocessed rows are enriched and written by key; echoes are dropped."""
 
     def apply(rows: DataFrame, batch: int) -> None:
-        versions.write_batch(delivery.enriched(rows, now, source, key), base, batch)
+        batches.write_batch(delivery.enriched(rows, now, source, key), base, batch, batches.newest_of([key]))
 
     return apply

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowtide.sources import versions
+from rowtide.sources import batches
 
 
 def window_texts(stream: DataFrame, at: str, size: str, late: str, key: str, text: str, slide: str | None = None, part: Column | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def emit(stream: DataFrame, base: str, checkpoint: str, least: int = 2, first_ba
 
     def write(closed: DataFrame, batch: int) -> None:
         closed = closed.persist()  # read twice below; the stateful stages behind it should run once
-        versions.write_batch(keyed_by_window(at_least(closed, least)), base, first_batch + batch)
+        batches.write_batch(keyed_by_window(at_least(closed, least)), base, first_batch + batch, batches.newest_of(["id"]))
         closed.unpersist()
 
     writer = stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import threading
 
 import pytest
 from pyspark.errors import PySparkException
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from rowtide.functions import ids, text
 from rowtide.operators import compute as c, delivery as d, evolve as e, messages as m, writes
 from rowtide.session import fresh_path
-from rowtide.sources import feeds, lake, versions
+from rowtide.sources import batches, files, feeds, lake, versions
 from rowtide.streaming import stateful, windows as w
 from rowtide.streaming.runs import drain
 
@@ -242,3 +243,79 @@ def test_dedup_stream(spark):
     spark.range(50).select(F.col("id"), F.lit("2024-01-01").cast("timestamp").alias("ts")).write.parquet(src)
     stream = spark.readStream.schema("id long, ts timestamp").parquet(src)
     assert drain(w.dedup(stream.unionByName(stream), "ts", "1 hour", ["id"])).count() == 50
+
+
+def test_two_writers_stopped_before_the_last_step(spark, monkeypatch):
+    """Both have read one version and written their tables; one commit stands, whole, and the other writer is told."""
+    base = fresh_path(spark, "v")
+    versions.commit({"a": spark.range(1)}, base)
+    both, create, out = threading.Barrier(2), files.create, {}
+
+    def late(*args):
+        both.wait(60)
+        return create(*args)
+
+    monkeypatch.setattr(files, "create", late)
+
+    def write(n):
+        try:
+            out[n] = versions.commit({"a": spark.range(n)}, base, onto=1)
+        except versions.VersionTaken:
+            out[n] = None
+
+    writers = [threading.Thread(target=write, args=(n,)) for n in (5, 7)]
+    for w_ in writers:
+        w_.start()
+    for w_ in writers:
+        w_.join()
+    monkeypatch.undo()
+    won = [n for n, version in out.items() if version == 2]
+    assert len(out) == 2 and len(won) == 1 and None in out.values()
+    assert versions.capture(spark, base, {"a": "id long"})["a"].count() == won[0]
+    assert versions.commit({"a": spark.range(9)}, base) == 3 and versions.newest(spark, base)[0] == 3
+
+
+def test_a_file_is_created_once(spark):
+    path = fresh_path(spark, "claims") + "/one.json"
+    assert files.create(spark, path, "é 1") and not files.create(spark, path, "2")
+    assert files.text(spark, path) == "é 1" and files.names(spark, path.rpartition("/")[0]) == ["one.json"]
+    assert files.names(spark, path + "-none") == []
+
+
+def test_old_batches_are_folded(spark):
+    """Any number of batches reads as few folders; replays and torn folds change nothing."""
+    base, plain = fresh_path(spark, "kept"), fresh_path(spark, "plain")
+    make = lambda i: spark.createDataFrame([(i % 7, i), (100 + i, i)], "k long, v long").coalesce(1)
+    for i in range(45):
+        batches.write_batch(make(i), base, i, batches.newest_of(["k"]), fanout=3)
+        make(i).write.parquet(f"{plain}/batch={i}")
+        if i == 20:
+            spark.range(1).write.parquet(f"{base}/folds/4-0-20")
+            files.remove(spark, f"{base}/folds/4-0-20/_SUCCESS")  # a writer that was lost while it folded
+    for again in (0, 17, 38, 44):
+        batches.write_batch(make(again), base, again, batches.newest_of(["k"]), fanout=3)
+    folds, single = batches.layout(spark, base)
+    assert len(single) <= 4 and len(folds) <= 9 and folds[0][0] >= 3
+    every = spark.read.parquet(plain)
+    want = rows(batches.merged(every, ["k"]))
+    got = batches.read_batches(spark, base, "k long, v long")
+    assert rows(batches.merged(got, ["k"])) == want and got.count() < every.count()
+    assert batches.sweep(spark, base) > 30 and batches.sweep(spark, base) == 0
+    assert rows(batches.merged(batches.read_batches(spark, base, "k long, v long"), ["k"])) == want
+
+
+def test_traces_carry_over_a_restart(spark):
+    """The trace of a reader outlives the query; a reader without a marker has none, a null marker clears it."""
+    src, mark, out = (fresh_path(spark, n) for n in ("src", "mark", "out"))
+    schema = "r string, pos int, m string, on boolean"
+    data = [[("a", 2, "t1", True), ("a", 1, None, False), ("b", 1, "u", True), ("a", 3, None, False)], [("a", 4, None, None), ("b", 2, None, False), ("c", 1, None, False)],
+            [("a", 5, None, True), ("a", 6, None, False), ("b", 3, None, False), (None, 1, "n", True), (None, 2, None, False)]]
+    for k, some in enumerate(data):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        traced = stateful.carry_trace(stream, "r", ["pos"], F.col("on"), F.col("m"))
+        writer = traced.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True)
+        stateful.started(writer, spark).awaitTermination()
+    got = spark.read.schema("r string, pos int, trace string").parquet(out)
+    assert rows(got.na.fill("null", ["r"]), "r", "pos", "trace") == [
+        ("a", 1, ""), ("a", 3, "t1"), ("a", 4, "t1"), ("a", 6, ""), ("b", 2, "u"), ("b", 3, "u"), ("c", 1, ""), ("null", 2, "n")]

@@ -166,3 +166,19 @@ def test_intervals_that_overlap(spark):
     assert inside(joins.overlapping(a, "a", "b", c, "c", "d")) == inside(a.join(c, plain))
     ok = lambda x, y: F.coalesce(F.col(x) < F.col(y), F.lit(True))
     assert inside(joins.overlapping(a, "a", "b", c, "c", "d", True)) == inside(a.join(c, ok("a", "d") & ok("c", "b") & ok("a", "b") & ok("c", "d")))
+
+
+def test_no_job_runs_before_the_action(spark):
+    """One group holds nine tenths of the rows: the plan is built without a job, and gives the plain window's rows."""
+    key = F.when(F.col("id") % 10 > 0, F.lit("hot")).otherwise(F.when(F.col("id") % 20 == 0, F.col("id").cast("string")))
+    df = spark.range(4000).select(key.alias("k"), ((F.col("id") * 37) % 1009).alias("at"), "id", F.when(F.col("id") % 5 == 0, F.col("id")).alias("v"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job")
+    built = {kind: g.running(df, ["k"], ["at", "id"], "r", kind, "v", 300) for kind in ("count", "sum", "last")}
+    parts = g.collect_parts(df, ["k"], ["at", "id"], F.col("id"), 100, hot_rows=300)
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("rest", "")
+    w = Window.partitionBy("k").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)
+    for kind, agg in {"count": F.count(F.lit(1)), "sum": F.sum("v"), "last": F.last("v", ignorenulls=True)}.items():
+        assert rows(built[kind]) == rows(df.withColumn("r", agg.over(w)))
+    assert parts.agg(F.sum(F.size("items"))).first()[0] == 4000
