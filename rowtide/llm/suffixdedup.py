@@ -290,7 +290,8 @@ def spans(base: DataFrame, window: int, gram: int, group_rows: int) -> DataFrame
     width = window - gram + 1
     runs = base.select("t", "text").mapInArrow(_anchors(window, gram), "t binary, h bigint, c binary, lo bigint, starts int, column int")
     twice = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    places = runs.join(twice, "h", "left_semi").groupBy("t", "h", "c", "lo", "starts", "column").agg(F.count(F.lit(1)).alias("n"))
+    # stored, so that the join below reads two plain exchanges and a hot anchor can be split
+    places = runs.join(stored(twice, "repeated-anchors"), "h", "left_semi").groupBy("t", "h", "c", "lo", "starts", "column").agg(F.count(F.lit(1)).alias("n"))
     places = stored(places, "anchors")
     contexts = places.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("t", "lo", "starts", "column")).alias("at"))
     contexts = stored(contexts, "contexts")
