@@ -14,7 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -23,7 +23,12 @@ from pyspark.sql import DataFrame
 
 from rowtide.llm import texts as X
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*(?:>|$)", re.S)
+#: A comment ends at --> or --!>; in a tag a quote opens a value only straight after =, elsewhere it is part of a name.
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|$))|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
+    r"""|</?[a-zA-Z](?:=\s*(?:"[^"]*(?:"|$)|'[^']*(?:'|$))?|[^>=])*(?:>|$)""",
+    re.S,
+)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,9 +49,15 @@ _BAD_WORDS = frozenset(
     "toolbar comment comments commentlist reply replies respond discussion disqus share sharing social related recommended recommendations widget widgets pagination pager "
     "copyright legal disclaimer skip tags tagcloud trending popular search form hidden".split()
 )
+#: Of these the ones that name nothing but boilerplate; the others are also words for parts of an article.
+_SURE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promoted cookie cookies consent gdpr popup modal newsletter subscribe subscription "
+    "signup login sidebar nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus share sharing pagination pager".split()
+)
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _GOOD_WORDS = frozenset("article post entry story content main body text prose".split())
 ADJACENT, SIBLING = 1.2, 0.6
+UNSURE = 1.5  # the cost of an unsure word inside an article, less than a sentence there is worth
 
 
 @dataclass
@@ -78,7 +89,7 @@ def _signs(tag: str, source: str, parent: Node) -> Node:
     attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTR.finditer(source, len(tag) + 1)} if "=" in source or "hidden" in source else {}
     words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()))
     if words & _BAD_WORDS and tag not in ("body", "html", "article", "main"):
-        own = max(own, 5.0)
+        own = max(own, 5.0 if not inside or words & _SURE_WORDS else UNSURE)
     if attributes.get("role") in _BAD_ROLES:
         own = max(own, 6.0)
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
@@ -107,6 +118,11 @@ def blocks_of(page: str) -> list[Block]:
     stack, out, links = [root], [], 0
     block = Block(root)
     ended: dict[str, set[int]] = {}
+    open_: Counter[str] = Counter()  # of the elements on the stack
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        open_[node.tag] += 1
 
     def flush() -> None:
         nonlocal block
@@ -130,6 +146,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links
         for n in stack[to:]:
             links -= n.tag == "a"
+            open_[n.tag] -= 1
         if any(n.tag not in _INLINE and not n.out for n in stack[to:]):
             flush()
         del stack[to:]
@@ -152,8 +169,10 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = _NAME.match(source)[1].lower()
         if source[1] == "/":
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                flush()
+            if not open_[tag]:
+                if tag == "p":
+                    flush()
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     pop(i)
@@ -181,7 +200,7 @@ def blocks_of(page: str) -> list[Block]:
                 ended[tag] = closed(page, tag)
             add(" " if not tag.startswith("annotation") else "")
             loose = tag in _EMBEDDED and (begin not in ended[tag] or tag in ("svg", "select"))  # these two hold no blocks
-            stack.append(Node(tag, stack[-1], stack[-1].depth + 1, stack[-1].bad, stack[-1].good, True, loose))
+            push(Node(tag, stack[-1], stack[-1].depth + 1, stack[-1].bad, stack[-1].good, True, loose))
             links += tag == "a"
             continue
         if tag == "head":
@@ -211,7 +230,7 @@ def blocks_of(page: str) -> list[Block]:
             add(" ")
         if tag in _VOID or source.endswith("/>") and (tag in _MATH or tag not in _INLINE and tag not in _CLOSES_P):
             continue
-        stack.append(_signs(tag, source, stack[-1]))
+        push(_signs(tag, source, stack[-1]))
         links += tag == "a"
         if tag not in _INLINE:
             block.node = stack[-1]
@@ -225,7 +244,8 @@ def content_cost(block: Block, text: str) -> float:
     dense = block.linked / max(1, len(text))
     score = 0.6 * math.log1p(words) - 1.4 + 0.8 * block.node.good - block.node.bad
     score += 0.5 * (block.node.tag in ("p", "blockquote", "pre", "li", "td", "figcaption")) + 0.3 * (text[-1] in ".!?…:;\"'”»")
-    score -= 3.0 * (dense > 0.5) + 1.0 * (0.2 < dense <= 0.5)
+    linked = 1.0 if block.node.good >= 3.0 else 3.0  # articles hold lists of links too
+    score -= linked * (dense > 0.5) + linked / 3 * (0.2 < dense <= 0.5)
     score += 0.7 * (block.heading and block.node.good >= 3.0)
     score -= 3.0 * text.startswith("©")
     return score
@@ -251,33 +271,39 @@ def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list
         near[a][b] = near[a].get(b, 0.0) + w
         near[b][a] = near[b].get(a, 0.0) + w
     rest = list(costs)  # what a block can still send (positive) or take in (negative)
-    for s in range(n):
-        while rest[s] > 1e-9:
-            back: dict[int, int] = {s: -1}
-            queue, end = deque([s]), -1
-            while queue and end < 0:
-                x = queue.popleft()
-                for y, w in near[x].items():
-                    if w > 1e-9 and y not in back:
-                        back[y] = x
-                        if rest[y] < -1e-9:
-                            end = y
-                            break
-                        queue.append(y)
-            if end < 0:
-                break
-            flow, y = min(rest[s], -rest[end]), end
-            while back[y] >= 0:
-                flow = min(flow, near[back[y]][y])
-                y = back[y]
-            y = end
-            while back[y] >= 0:
-                x = back[y]
-                near[x][y] -= flow
-                near[y][x] += flow
-                y = x
-            rest[s] -= flow
-            rest[end] += flow
+    while True:
+        # distance to the nearest block that takes in, as far as the first ones that send: the rest of the page is not looked at
+        layer = [i for i in range(n) if rest[i] < -1e-9]
+        level, senders = dict.fromkeys(layer, 0), []
+        while layer and not senders:
+            further = []
+            for x in layer:
+                for y in near[x]:
+                    if y not in level and near[y][x] > 1e-9:
+                        level[y] = level[x] + 1
+                        (senders if rest[y] > 1e-9 else further).append(y)
+            layer = further
+        if not senders:
+            break
+        for s in senders:  # all shortest ways at once; one that leads no further is closed
+            path = [s]
+            while path and rest[s] > 1e-9:
+                x = path[-1]
+                if not level[x] and rest[x] < -1e-9:
+                    flow = min([rest[s], -rest[x], *(near[a][b] for a, b in zip(path, path[1:]))])
+                    for a, b in zip(path, path[1:]):
+                        near[a][b] -= flow
+                        near[b][a] += flow
+                    rest[s] -= flow
+                    rest[x] += flow
+                    path = [s]
+                    continue
+                on = next((y for y, w in near[x].items() if w > 1e-9 and level.get(y, -1) == level[x] - 1 and level[x]), None)
+                if on is None:
+                    level[x] = -1
+                    path.pop()
+                else:
+                    path.append(on)
     keep, queue = [r > 1e-9 for r in rest], deque(i for i in range(n) if rest[i] > 1e-9)
     while queue:  # the source's side: all that it can still reach
         x = queue.popleft()
