@@ -3,9 +3,12 @@
 Equal vectors become one point that keeps its smallest ids. Points are dealt to shards of about `shard_rows` by a hash of the vector, so a
 shard is bounded whatever the table, and copies of one vector meet in one shard after each batch has already kept its few
 smallest ids. A shard's graph is built in batches: a greedy beam search from the shard's middle proposes neighbours of each point, relaxed
-pruning keeps a candidate only if no kept one is closer to it by the factor `alpha`, and back edges are pruned alike. Inner
-products become distances by one more coordinate that gives a shard's points the same norm. A shard's few points more than twice as long as
-99 of 100 stand outside of its graph and meet every query, so one long vector does not blur the others.
+pruning keeps a candidate only if no kept one is closer to it by the factor `alpha`, and back edges are pruned alike.
+
+Inner products become distances by one more coordinate that gives points the same norm. That works where norms are alike, so a shard
+is cut into bands: points are taken from the shard's mean, which changes no query's order, and lie in one band while their norms are
+within the factor `RATIO`. Every band of more than `SMALL_BAND` points has a graph of its own, smaller ones are read whole. A
+query takes the bands from the longest points on and leaves out those that cannot hold a better product than it has.
 
 The index is stored, a row a shard. Every query visits every shard: queries travel in blocks to (shard, block) tasks,
 run a beam search by inner product there, and the beam is scored again in double precision on the original vectors.
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rowtide.session import stored
 
 SHARD_ROWS, QUERY_BLOCK = 8192, 4096
+RATIO, SMALL_BAND = 1.1, 256
 
 
 @dataclass(frozen=True)
@@ -194,12 +198,16 @@ def search(
         order, point = _least_ids(vectors, ids, most)
         at = np.searchsorted(point, np.arange(point[-1] + 2))
         own = vectors[order[at[:-1]]]
-        graph, start = build(lifted(*bands(own)[2:]), shape)
-        values = [key[0].as_py(), own.tobytes(), graph.astype(np.int32).tobytes(), start, ids[order].tobytes(), at.astype(np.int64).tobytes()]
-        return pa.table({n: [v] for n, v in zip(("shard", "vectors", "graph", "start", "ids", "at"), values)}, _index_schema())
+        graphs, starts = [], []
+        for band in bands(own):
+            graph, start = build(lifted(*band.scaled), shape) if band.wide else (np.zeros((0, shape.degree), np.int64), 0)
+            graphs.append(graph.astype(np.int32).ravel())
+            starts.append(start)
+        values = [key[0].as_py(), own.tobytes(), np.concatenate(graphs).tobytes(), starts, ids[order].tobytes(), at.astype(np.int64).tobytes()]
+        return pa.table({n: [v] for n, v in zip(("shard", "vectors", "graph", "starts", "ids", "at"), values)}, _index_schema())
 
     dealt = rows.select("id", "v").mapInArrow(least, "id bigint, v binary").withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    stored_index = stored(dealt.groupBy("shard").applyInArrow(index, "shard int, vectors binary, graph binary, start int, ids binary, at binary"), "graphs")
+    stored_index = stored(dealt.groupBy("shard").applyInArrow(index, "shard int, vectors binary, graph binary, starts array<int>, ids binary, at binary"), "graphs")
 
     def visit(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -207,16 +215,18 @@ def search(
             one = {c: left[c][0].as_py() for c in left.column_names}
             queries, qids = _matrix(right["v"].combine_chunks()), right["id"].to_numpy()
             own = np.frombuffer(one["vectors"], np.float64).reshape(-1, queries.shape[1])
-            short, long, flat, _ = bands(own)
-            graph = np.frombuffer(one["graph"], np.int32).reshape(len(short) + 1, -1).astype(np.int64)
             ids, at = np.frombuffer(one["ids"], np.int64), np.frombuffer(one["at"], np.int64)
-            points, beam = flat.astype(np.float32), max(shape.search_beam, 2 * most)
+            cut, graphs, edges = bands(own), [], np.frombuffer(one["graph"], np.int32)
+            for band in cut:
+                size = (len(band.points) + 1) * shape.degree if band.wide else 0
+                graphs.append(edges[:size].reshape(-1, shape.degree).astype(np.int64))
+                edges = edges[size:]
             for lo in range(0, len(queries), 256):
                 part = queries[lo : lo + 256]
-                unit = part / np.abs(part).max(1, keepdims=True)
-                near, _ = beam_search(points, graph, one["start"], unit.astype(np.float32), beam, shape.expand, product=True)
-                for q, v, row in zip(qids[lo : lo + 256].tolist(), part, near):
-                    row = np.concatenate([short[row[row >= 0]], long])
+                asked, points = candidates(own, cut, graphs, one["starts"], part, most, shape)
+                first = np.searchsorted(asked, np.arange(len(part) + 1))
+                for i, (q, v) in enumerate(zip(qids[lo : lo + 256].tolist(), part)):
+                    row = points[first[i] : first[i + 1]]
                     size = at[row + 1] - at[row]
                     score = np.repeat(own[row] @ v, size)
                     names = ids[np.repeat(at[row] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
@@ -234,17 +244,67 @@ def search(
     return near.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def bands(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(points of the graph, points too long for it, the former's vectors in units of the largest component, their largest squared norm).
+@dataclass(frozen=True)
+class Band:
+    """Points of a shard whose distances from its mean are alike: their numbers, their vectors from the mean, the mean, the longest."""
 
-    Too long is more than twice as long as 99 of 100 points.
-    """
+    points: np.ndarray
+    vectors: np.ndarray
+    mean: np.ndarray
+    longest: float
+
+    @property
+    def wide(self) -> bool:
+        return len(self.points) > SMALL_BAND
+
+    @property
+    def scaled(self) -> tuple[np.ndarray, float]:
+        """The vectors in units of their largest component and their largest squared norm."""
+        own = self.vectors / (np.abs(self.vectors).max() or 1.0)
+        return own, float(np.einsum("ij,ij->i", own, own).max())
+
+
+def bands(vectors: np.ndarray) -> list[Band]:
+    """A shard's points by falling distance from its mean: a band ends after the factor `RATIO`, but has `SMALL_BAND` points where there are any."""
     unit = np.abs(vectors).max()
     scaled = vectors / unit
-    norm = np.sqrt(np.einsum("ij,ij->i", scaled, scaled))
-    fits = norm <= 2 * np.quantile(norm, 0.99, method="lower")
-    own = vectors[fits] / np.abs(vectors[fits]).max()
-    return np.flatnonzero(fits), np.flatnonzero(~fits), own, float(np.einsum("ij,ij->i", own, own).max())
+    mean = scaled.mean(0)
+    own = scaled - mean
+    norm = np.sqrt(np.einsum("ij,ij->i", own, own))
+    order = np.argsort(-norm, kind="stable")
+    out, at = [], 0
+    while at < len(order):
+        to = int(np.searchsorted(-norm[order], -norm[order[at]] / RATIO, "right"))
+        to = max(to, min(len(order), at + SMALL_BAND))
+        out.append(Band(order[at:to], own[order[at:to]], mean, float(norm[order[at]])))
+        at = to
+    return out
+
+
+def candidates(
+    vectors: np.ndarray, cut: list[Band], graphs: list[np.ndarray], starts: list[int], queries: np.ndarray, most: int, shape: Shape
+) -> tuple[np.ndarray, np.ndarray]:
+    """(query number, point) pairs to score, ordered by query: what beam searches find in wide bands, and all points of narrow ones."""
+    scaled, unit = vectors / np.abs(vectors).max(), queries / np.abs(queries).max(1, keepdims=True)
+    length, beam = np.sqrt(np.einsum("ij,ij->i", unit, unit)), max(shape.search_beam, 2 * most)
+    best = np.full((len(queries), most), -np.inf)  # each query's highest products so far
+    pairs = []
+    for band, graph, start in zip(cut, graphs, starts):
+        reach = unit @ band.mean + length * band.longest
+        live = np.flatnonzero(reach >= best[:, -1] - 1e-9 * np.abs(reach))
+        if not len(live):
+            continue
+        if band.wide:
+            near, _ = beam_search(band.scaled[0].astype(np.float32), graph, start, unit[live].astype(np.float32), beam, shape.expand, product=True)
+        else:
+            near = np.broadcast_to(np.arange(len(band.points)), (len(live), len(band.points)))
+        point = band.points[np.maximum(near, 0)]
+        score = np.where(near >= 0, np.einsum("ij,ikj->ik", unit[live], scaled[point]), -np.inf)
+        pairs.append((np.repeat(live, near.shape[1])[near.ravel() >= 0], point[near >= 0]))
+        best[live] = -np.sort(-np.concatenate([best[live], score], 1), axis=1)[:, :most]
+    asked, points = (np.concatenate(x) for x in zip(*pairs))
+    order = np.argsort(asked, kind="stable")
+    return asked[order], points[order]
 
 
 def lifted(vectors: np.ndarray, top: float) -> np.ndarray:
@@ -255,4 +315,4 @@ def lifted(vectors: np.ndarray, top: float) -> np.ndarray:
 
 
 def _index_schema() -> pa.Schema:
-    return pa.schema([("shard", pa.int32()), ("vectors", pa.binary()), ("graph", pa.binary()), ("start", pa.int32()), ("ids", pa.binary()), ("at", pa.binary())])
+    return pa.schema([("shard", pa.int32()), ("vectors", pa.binary()), ("graph", pa.binary()), ("starts", pa.list_(pa.int32())), ("ids", pa.binary()), ("at", pa.binary())])
