@@ -8,6 +8,7 @@ from rowtide.catalog.registry import ORDERS_V2, Tables, query
 from rowtide.catalog.reads import lookup
 from rowtide.operators import joins as j, read as r, sets as s
 from rowtide.operators.read import Embed
+from rowtide.plans.groups import number_rows
 
 
 @query("join_embed_one", """SELECT o_orderkey, CAST(to_json({c_custkey: c_custkey, c_name: c_name, c_nationkey: c_nationkey}) AS VARCHAR) AS customer
@@ -227,3 +228,21 @@ def recursive_closure(t):
     edges = o.select(F.col("o_orderkey").alias("src"), F.floor(F.col("o_orderkey") / 4).alias("dst")).unionByName(
         o.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")))
     return s.closure(edges, o.where("o_totalprice > 480000").select(F.col("o_orderkey").alias("node")))
+
+
+@query("set_closure_open_orders", """WITH RECURSIVE e AS (SELECT o_orderkey AS src, o_orderkey // 4 AS dst FROM orders UNION ALL SELECT o_orderkey, o_custkey FROM orders),
+    r(node) AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' UNION SELECT dst FROM r JOIN e ON node = src) SELECT node FROM r""")
+def closure_open_orders(t):
+    o = t.orders
+    edges = o.select(F.col("o_orderkey").alias("src"), F.floor(F.col("o_orderkey") / 4).alias("dst")).unionByName(
+        o.select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")))
+    return s.closure(edges, o.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("node")))
+
+
+@query("set_closure_chain", """SELECT event_id AS node FROM events WHERE event_id >= (SELECT min(event_id) FROM events WHERE event_type = 'signup')""")
+def closure_chain(t):
+    """One chain through all events, followed from the first sign-up: as long as the table."""
+    ids = t.events.select(F.col("event_id").alias("src"))
+    numbered = number_rows(ids, [], ["src"], "rn")
+    edges = numbered.join(numbered.select(F.col("src").alias("dst"), (F.col("rn") - 1).alias("rn")), "rn").select("src", "dst")
+    return s.closure(edges, t.events.where("event_type = 'signup'").agg(F.min("event_id").alias("node")))

@@ -140,6 +140,17 @@ def cdc_consumer_lag(t):
     return d.consumer_lag(t.events, "event_id", READERS, budget=940)
 
 
+@query("cdc_consumer_lag_many", """WITH g AS (SELECT c_custkey, c_custkey * 7919 % 9973 AS pos, c_custkey % 5 AS pending, c_custkey % 2 = 0 AS was FROM customer),
+    l AS (SELECT g.*, (SELECT count(*) FROM orders) - coalesce(n, 0) AS lag FROM g ASOF LEFT JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) o ON pos >= o_orderkey),
+    s AS (SELECT *, CASE WHEN lag + pending > 900 AND was THEN 'to-tail' WHEN lag + pending > 900 THEN 'retired' ELSE 'reading' END AS state FROM l)
+    SELECT 'c' || c_custkey AS grp, CASE WHEN state = 'to-tail' THEN 0 ELSE lag END AS lag, CASE WHEN state = 'to-tail' THEN 0 ELSE pending END AS pending, state FROM s""")
+def cdc_consumer_lag_many(t):
+    """Every customer reads the log of orders and stands somewhere in it."""
+    k = F.col("c_custkey")
+    readers = t.customer.select(F.concat(F.lit("c"), k).alias("grp"), (k * 7919 % 9973).alias("position"), (k % 5).alias("pending"), (k % 2 == 0).alias("retired"))
+    return d.consumer_lag(t.orders, "o_orderkey", readers, budget=900)
+
+
 @query("cdc_retention_trim", """WITH a AS (SELECT event_type, max(event_id) // 2 AS p FROM events GROUP BY 1)
     SELECT event_id FROM events WHERE event_id > (SELECT min(p) FROM a) OR event_id IN (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 700)""")
 def cdc_retention_trim(t):

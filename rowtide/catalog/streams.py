@@ -86,3 +86,31 @@ def write_back_stream(t):
     both = rows.unionByName(rows).unionByName(echo)  # delivered twice, and its own updates come back
     both.writeStream.foreachBatch(apply).option("checkpointLocation", fresh_path(t.spark, "mark")).trigger(availableNow=True).start().awaitTermination()
     return versions.merged(versions.read_batches(t.spark, base, "o_orderkey bigint, processed_at string, source string"), ["o_orderkey"])
+
+
+@query("str_tumble_parts", f"""WITH {MESSAGES}, n AS (SELECT date_trunc('hour', ts) AS w, message, (row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY message IS NULL, message, event_id) - 1) // 25 AS part,
+      count(*) OVER (PARTITION BY date_trunc('hour', ts)) AS total FROM m)
+    SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, part, count(*) AS n, coalesce(string_agg(message, ', ' ORDER BY message), '') AS messages FROM n
+    WHERE w + INTERVAL 1 HOUR <= {CLOSED} AND total >= 2 GROUP BY ALL""")
+def tumble_parts(t):
+    base, mark = fresh_path(t.spark, "windows"), fresh_path(t.spark, "mark")
+    rows = w.window_rows(feed(t), "ts", "1 hour", "1 hour", "event_id", "message")
+    w.emit_parts(rows, "event_id", "message", base, mark, 25).awaitTermination()
+    out = versions.read_batches(t.spark, base, "id string, window_start timestamp, part int, n bigint, messages string")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "part", "n", "messages")
+
+
+@query("str_archive", """WITH n AS (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 150 AS part FROM events)
+    SELECT event_type, part, CAST(to_json(list({event_id: event_id, value: value} ORDER BY ts, event_id)) AS VARCHAR) AS content FROM n GROUP BY ALL""")
+def archive(t):
+    src = fresh_path(t.spark, "feed")
+    rows = t.events.withColumn("ts", F.col("ts").cast("timestamp")).select("event_type", "ts", "event_id", F.to_json(F.struct("event_id", "value")).alias("content"))
+    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts", "event_id").write.parquet(src)
+    files.in_order(t.spark, src)
+    # a heartbeat a day after the last event comes last and moves the clock on, so every key falls quiet
+    beat = rows.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    beat = beat.select(F.lit(None).cast("string").alias("event_type"), "ts", F.lit(-1).cast("bigint").alias("event_id"), F.lit("0").alias("content"))
+    beat.coalesce(1).write.mode("append").parquet(src)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(src)
+    out = stateful.archived(stream, ["event_type"], "ts", ["ts", "event_id"], "content", 150, "1 hour", 3_600_000)
+    return drain(out, start=stateful.started).where("event_type IS NOT NULL")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowtide.plans.groups import number_rows
+from rowtide.plans.groups import number_rows, running
 
 # Deliveries before a record is set aside, the backlog a reader may have.
 MAX_DELIVERIES = 5
@@ -43,23 +43,43 @@ def redrive(streams: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame
     return moved, report
 
 
-def consumer_lag(log: DataFrame, position: str, groups: Sequence[tuple[str, int, int, bool]], budget: int = GROUP_BUDGET) -> DataFrame:
-    """(grp, lag, pending, state) of declared readers (name, last read position, pending, was retired).
+def entries_after(log: DataFrame, position: str, points: DataFrame, at: str, span: int = 1 << 16) -> DataFrame:
+    """`points` with `after`: how many log entries lie behind each point's `at`.
 
-    `lag` counts log entries after the position; all readers are counted in one pass. Past the budget
-    a reader is `retired`; a retired one that is back is moved `to-tail` (lag 0) when still past it.
+    The log is counted per range of `span` positions, which combines before the shuffle. Only ranges that a point lies in are
+    looked into: their entries and the distinct points are put in one order and numbered. So the work is one pass over the log,
+    and no entry meets more than one row for a point. A null `at` has all entries behind it.
     """
-    counted = log.agg(*[F.count_if(F.col(position) > at).alias(f"c{i}") for i, (_, at, _, _) in enumerate(groups)])
-    rows = [
-        F.struct(F.lit(name).alias("grp"), F.col(f"c{i}").alias("lag"), F.lit(pending).cast("bigint").alias("pending"), F.lit(retired).alias("was"))
-        for i, (name, _, pending, retired) in enumerate(groups)
-    ]
-    flat = counted.select(F.explode(F.array(*rows)).alias("g")).select("g.*")
-    over = F.col("lag") + F.col("pending") > budget
-    state = F.when(over & F.col("was"), "to-tail").when(over, "retired").otherwise("reading")
-    flat = flat.withColumn("state", state)
+    entries = log.select(F.col(position).cast("bigint").alias("__p")).where("__p IS NOT NULL")
+    block = F.floor(F.col("__p") / F.lit(span)).alias("__b")
+    asked = points.select(F.col(at).cast("bigint").alias("__p")).where("__p IS NOT NULL").distinct().withColumn("__b", block)
+    counted = entries.groupBy(block).agg(F.count(F.lit(1)).alias("__n"))
+    held = asked.select("__b").distinct()
+    # entries up to the end of each range, ranges without entries included
+    ranges = counted.unionByName(held.withColumn("__n", F.lit(0).cast("bigint"))).groupBy("__b").agg(F.sum("__n").alias("__n"))
+    upto = running(ranges, [], ["__b"], "__upto", "sum", "__n")
+    inside = entries.withColumn("__b", block).join(held, "__b", "left_semi").withColumn("__w", F.lit(1))
+    order = inside.groupBy("__b", "__p").agg(F.sum("__w").alias("__w")).unionByName(asked.withColumn("__w", F.lit(0).cast("bigint")))
+    ranked = running(order.groupBy("__b", "__p").agg(F.sum("__w").alias("__w"), F.bool_or(F.col("__w") == 0).alias("__asked")), ["__b"], ["__p"], "__seen", "sum", "__w")
+    total = counted.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).scalar()
+    found = ranked.where("__asked").join(upto, "__b").select("__p", (total - F.col("__upto") + F.col("__n") - F.col("__seen")).cast("bigint").alias("after"))
+    return points.join(found, F.col(at) == F.col("__p"), "left").drop("__p").withColumn("after", F.coalesce("after", total).cast("bigint"))
+
+
+def consumer_lag(log: DataFrame, position: str, groups: DataFrame | Sequence[tuple[str, int, int, bool]], budget: int = GROUP_BUDGET) -> DataFrame:
+    """(grp, lag, pending, state) of declared readers, a table or a list of (grp, position: last read, pending, retired: was retired).
+
+    `lag` counts log entries after the position. Past the budget a reader is `retired`; a retired one that is back is moved
+    `to-tail` (lag 0) when still past it. Readers are rows: the plan is the same for three and for a hundred thousand.
+    """
+    if not isinstance(groups, DataFrame):
+        groups = log.sparkSession.createDataFrame(list(groups), "grp string, position bigint, pending bigint, retired boolean")
+    readers = groups.select("grp", F.col("position").alias("__at"), F.col("pending").cast("bigint").alias("pending"), F.col("retired").alias("__was"))
+    flat = entries_after(log, position, readers, "__at")
+    over = F.col("after") + F.col("pending") > budget
+    flat = flat.withColumn("state", F.when(over & F.col("__was"), "to-tail").when(over, "retired").otherwise("reading"))
     cleared = F.col("state") == "to-tail"
-    return flat.select("grp", F.when(cleared, 0).otherwise(F.col("lag")).alias("lag"), F.when(cleared, 0).otherwise(F.col("pending")).alias("pending"), "state")
+    return flat.select("grp", F.when(cleared, 0).otherwise(F.col("after")).alias("lag"), F.when(cleared, 0).otherwise(F.col("pending")).alias("pending"), "state")
 
 
 def retained(log: DataFrame, position: str, acked: DataFrame, declared: Sequence[str], keep: int) -> DataFrame:

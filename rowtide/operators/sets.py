@@ -60,16 +60,28 @@ def union_refcount(sources: Mapping[str, DataFrame], key: Sequence[str], seq: st
     return held.select(*key, "__v.*", "sources")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, source: str = "src", target: str = "dst", steps: int = 3) -> DataFrame:
     """Every node reachable from `seeds` (a single column `node`), the seeds included.
 
-    Each round follows the edges of newly reached nodes only and stops when none is new, so cycles
-    and diamonds end. Rounds are bounded by the longest shortest path; each writes its new nodes only.
+    A round takes newly reached nodes `steps` edges on and keeps what is new, so cycles and diamonds end. Nodes with one way on
+    form chains; a round also doubles the chains' shortcuts, 2, 4, 8 … edges long, and follows all of them. So the number of
+    rounds grows with the logarithm of the longest chain and with the branchings on a path, not with its length. Shortcuts
+    have at most one row for each node of a chain and length, and no other pairs of nodes are formed.
     """
-    links = stored(edges.select(source, target).dropna().distinct())
-    rounds = Rounds(seeds.sparkSession, "reached", seeds.select("node").schema)
+    links = stored(edges.select(F.col(source).alias("src"), F.col(target).alias("dst")).dropna().distinct(), "links")
+    spark, schema = seeds.sparkSession, seeds.select("node").schema
+    rounds, shortcuts = Rounds(spark, "reached", schema), Rounds(spark, "shortcuts", links.schema)
+    last = stored(links.groupBy("src").agg(F.count(F.lit(1)).alias("ways"), F.min("dst").alias("dst")).where("ways = 1").select("src", "dst"), "chains")
+    nodes, length = last.count(), 1
     frontier = rounds.add(seeds.select("node").distinct())
     while frontier.take(1):
-        reached = frontier.join(links, frontier["node"] == links[source]).select(F.col(target).alias("node")).distinct()
-        frontier = rounds.add(reached.join(rounds.all(), "node", "left_anti"))
+        ways, reached, ends = links.unionByName(shortcuts.all()), [], frontier
+        for _ in range(steps):
+            ends = ends.join(ways, ends["node"] == ways["src"]).select(F.col("dst").alias("node")).distinct()
+            reached.append(ends)
+        frontier = rounds.add(union(*reached).join(rounds.all(), "node", "left_anti"))
+        if 2 * length < nodes:  # there is no longer chain without a cycle
+            on = last.select(F.col("src").alias("dst"), F.col("dst").alias("_on"))
+            last, length = shortcuts.add(last.join(on, "dst").select("src", F.col("_on").alias("dst"))), 2 * length
+            nodes = nodes if last.take(1) else 0
     return rounds.all()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -69,6 +70,73 @@ class _Carry(StatefulProcessor):
         pass
 
 
+class _Archive(StatefulProcessor):
+    """Contents of one key in order, `size` to a part; what does not fill a part waits in the state until the key falls quiet."""
+
+    def __init__(self, keys: int, order: Sequence[str], size: int, quiet_ms: int):
+        self.keys, self.order, self.size, self.quiet_ms = keys, list(order), size, quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "contents string")
+        self.parts = handle.getValueState("parts", "n long")
+        self.until = handle.getValueState("until", "at long")
+
+    def _rows(self, key, contents: list[list[str]]) -> pd.DataFrame:
+        first = self.parts.get()[0] if self.parts.exists() else 0
+        if contents:
+            self.parts.update((first + len(contents),))
+        out = pd.DataFrame({"part": range(first, first + len(contents)), "content": pd.Series(["[" + ",".join(c) + "]" for c in contents], dtype=object)})
+        for i in range(self.keys - 1, -1, -1):
+            out.insert(0, f"k{i}", pd.Series([key[i]] * len(out), dtype=object))
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        held = (json.loads(self.held.get()[0]) if self.held.exists() else []) + batch["content"].tolist()
+        full = len(held) // self.size * self.size
+        if self.until.exists():
+            self.handle.deleteTimer(self.until.get()[0])
+        self.held.clear()
+        if full < len(held):
+            self.held.update((json.dumps(held[full:]),))
+            quiet = max(int(batch["millis"].max()), timerValues.getCurrentWatermarkInMs()) + self.quiet_ms
+            self.until.update((quiet,))
+            self.handle.registerTimer(quiet)
+        else:
+            self.until.clear()
+        yield self._rows(key, [held[i : i + self.size] for i in range(0, full, self.size)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = json.loads(self.held.get()[0])
+        self.held.clear()
+        self.until.clear()
+        yield self._rows(key, [held])
+
+    def close(self) -> None:
+        pass
+
+
+def archived(stream: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], content: str, size: int, late: str, quiet_ms: int) -> DataFrame:
+    """Messages of each key as JSON arrays of `size` in order: (keys, part, content), on a stream.
+
+    Full parts come at once. The rest of a key comes when the watermark, `late` behind the newest event, has passed the key's last
+    event by `quiet_ms`; later messages begin a new part. The state holds less than a part a key. Messages must arrive in
+    order from batch to batch; within a batch they are sorted. `content` is JSON text. Start the query with `started`.
+    """
+    order_names = {c: f"o{i}" for i, c in enumerate(order)}
+    timed = stream.withWatermark(at, late)
+    plain = timed.select(
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], *[(F.unix_micros(F.col(c)) if c == at else F.col(c)).alias(n) for c, n in order_names.items()],
+        F.unix_millis(F.col(at)).alias("millis"), F.col(content).alias("content"), F.col(at).alias("event_at"),
+    )
+    kinds = [T.StructField(f"k{i}", stream.schema[c].dataType) for i, c in enumerate(keys)]
+    schema = T.StructType([*kinds, T.StructField("part", T.IntegerType()), T.StructField("content", T.StringType())])
+    run = _Archive(len(keys), list(order_names.values()), size, quiet_ms)
+    out = plain.groupBy(*[f.name for f in kinds]).transformWithStateInPandas(run, schema, "Append", "EventTime")
+    return out.select(*[F.col(f.name).alias(c) for f, c in zip(kinds, keys)], "part", "content")
+
+
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

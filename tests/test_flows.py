@@ -1,3 +1,4 @@
+import datetime as dt
 import hashlib
 import json
 import threading
@@ -319,3 +320,48 @@ def test_traces_carry_over_a_restart(spark):
     got = spark.read.schema("r string, pos int, trace string").parquet(out)
     assert rows(got.na.fill("null", ["r"]), "r", "pos", "trace") == [
         ("a", 1, ""), ("a", 3, "t1"), ("a", 4, "t1"), ("a", 6, ""), ("b", 2, "u"), ("b", 3, "u"), ("c", 1, ""), ("null", 2, "n")]
+
+
+def test_archive_on_a_stream(spark):
+    """Full parts come at once, the rest when its key falls quiet; what comes later begins a new part."""
+    src, mark, out = (fresh_path(spark, n) for n in ("src", "mark", "out"))
+    schema = "k string, ts timestamp, i int, content string"
+    at = lambda m: dt.datetime(2030, 1, 1, 0, m)
+    batch = lambda *x: [(k, at(m), i, str(i)) for k, m, i in x]
+    data = [batch(("a", 2, 2), ("a", 1, 1), ("b", 1, 10), ("a", 2, 3)), batch(("a", 5, 4), ("a", 6, 5), (None, 6, 20)), batch(("z", 50, 0)), batch(("b", 51, 11), ("b", 52, 12), ("b", 53, 13))]
+    for some in data:
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        parts = stateful.archived(stream, ["k"], "ts", ["ts", "i"], "content", 2, "1 minute", 60_000)
+        writer = parts.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True)
+        stateful.started(writer, spark).awaitTermination()
+    got = spark.read.schema("k string, part int, content string").parquet(out).na.fill("null", ["k"])
+    assert rows(got, "k", "part", "content") == [
+        ("a", 0, "[1,2]"), ("a", 1, "[3,4]"), ("a", 2, "[5]"), ("b", 0, "[10]"), ("b", 1, "[11,12]"), ("null", 0, "[20]"), ("z", 0, "[0]")]
+
+
+def test_lag_of_many_readers(spark):
+    """Ranges with and without entries, positions before and behind the log, nulls; the plan does not know how many there are."""
+    log = spark.range(0, 500).select((F.col("id") * 3 % 701 + F.when(F.col("id") % 2 == 0, 5000).otherwise(0)).alias("pos"))
+    log = log.unionByName(spark.createDataFrame([(None,), (7,), (7,)], "pos long"))
+    points = spark.range(-50, 6000, 7).select(F.col("id").alias("at")).unionByName(spark.createDataFrame([(None,), (7,), (7,)], "at long"))
+    held = sorted(r["pos"] for r in log.collect() if r["pos"] is not None)
+    for span in (1, 64, 1 << 16):
+        for r in d.entries_after(log, "pos", points, "at", span).collect():
+            assert r["after"] == sum(r["at"] is None or p > r["at"] for p in held), (span, r)
+    assert d.entries_after(log.where("false"), "pos", points.limit(3), "at").agg(F.max("after")).first()[0] == 0
+
+
+def test_windows_of_many_texts(spark):
+    """One window of 20,000 texts in parts that are its texts in order; no part was named."""
+    src, base = fresh_path(spark, "many"), fresh_path(spark, "out")
+    text = F.when(F.col("id") % 10 > 0, F.concat(F.lit("t"), F.lpad((F.col("id") * 7919 % 20_000).cast("string"), 5, "0")))
+    made = spark.range(20_000).select("id", text.alias("message"), F.lit("2024-01-01 00:00:01").cast("timestamp").alias("ts"))
+    late = spark.createDataFrame([(-1, "x")], "id long, message string").withColumn("ts", F.lit("2024-01-02").cast("timestamp"))
+    made.unionByName(made).unionByName(late).coalesce(2).write.parquet(src)
+    stream = spark.readStream.schema("id long, message string, ts timestamp").parquet(src)
+    w.emit_parts(w.window_rows(stream, "ts", "1 hour", "1 hour", "id", "message"), "id", "message", base, fresh_path(spark, "mark"), 3000).awaitTermination()
+    got = batches.read_batches(spark, base, "part int, n long, messages string").orderBy("part").collect()
+    assert [(r["part"], r["n"]) for r in got] == [*((i, 3000) for i in range(6)), (6, 2000)]
+    want = sorted(r["message"] for r in made.where("message IS NOT NULL").collect())
+    assert ", ".join(r["messages"] for r in got if r["messages"]).split(", ") == want

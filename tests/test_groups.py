@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
-from rowtide.operators import joins, windows
+from rowtide.operators import sets, joins, windows
 from rowtide.operators.compute import by_partition, evicted
 from rowtide.plans import groups as g
 from rowtide.plans.sizes import rows_within
@@ -182,3 +182,32 @@ def test_no_job_runs_before_the_action(spark):
     for kind, agg in {"count": F.count(F.lit(1)), "sum": F.sum("v"), "last": F.last("v", ignorenulls=True)}.items():
         assert rows(built[kind]) == rows(df.withColumn("r", agg.over(w)))
     assert parts.agg(F.sum(F.size("items"))).first()[0] == 4000
+
+
+def test_closure_takes_few_rounds_on_a_long_chain(spark, monkeypatch):
+    """100,000 nodes in a row that end in a cycle: as many rounds as the logarithm of the chain at most."""
+    made, add = [], sets.Rounds.add
+    monkeypatch.setattr(sets.Rounds, "add", lambda self, new: made.append(self.path) or add(self, new))
+    edges = spark.range(100_000).select(F.col("id").alias("src"), F.when(F.col("id") == 99_999, 99_900).otherwise(F.col("id") + 1).alias("dst"))
+    apart = spark.range(200_000, 200_050).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = sets.closure(edges.unionByName(apart), spark.createDataFrame([(7,)], "node long"))
+    assert got.agg(F.count("node"), F.min("node"), F.max("node"), F.count_distinct("node")).first()[:] == (99_993, 7, 99_999, 99_993)
+    assert sum("reached" in p for p in made) <= 18
+
+
+def test_closure_through_branches_and_chains(spark):
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3):
+        n = 60
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(25)} | {(i, i + 1) for i in range(n - 1) if i % 13}
+        reached, todo = set(), [0, 20]
+        while todo:
+            x = todo.pop()
+            if x not in reached:
+                reached.add(x)
+                todo += [b for a, b in pairs if a == x]
+        edges = spark.createDataFrame([*pairs, (None, 3), (0, None), *list(pairs)[:5]], "src int, dst int")
+        got = [r["node"] for r in sets.closure(edges, spark.createDataFrame([(0,), (20,), (20,)], "node int")).collect()]
+        assert sorted(got) == sorted(reached)
