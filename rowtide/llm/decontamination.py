@@ -7,9 +7,10 @@ backward search over wavelet-matrix ranks of the Burrows-Wheeler transform, all
 sampled suffix positions (every 8th and the first of each run) by walking back. Overlapping places are merged into
 removal spans.
 
-Scale: texts never shuffle. A benchmark goes to the tasks in blocks of at most `block_bytes` of text; a larger one
-passes over the shards block by block, each pass adding to the spans and items of the one before, so what a task
-holds is bounded whatever the benchmark's size.
+Scale: texts never shuffle. A benchmark goes to the tasks in blocks of about `block_bytes` of text, in which equal rows are one and
+an item that is longer is cut into parts that overlap by a window less a word. A benchmark of several blocks passes over the
+shards once for each, and every pass but the last is written to the shared folder, with the spans and items found so far. So a
+task, the driver and a plan hold one block whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from rowtide.llm import texts as X
+from rowtide.session import stored
 
 WINDOW = 10
 BENCHMARK_BLOCK = 2 << 20
@@ -145,6 +147,27 @@ def runs_of(symbols: np.ndarray, first: np.ndarray, shortest: int) -> tuple[np.n
     return out, place
 
 
+def _parts(window: int, block_bytes: int):
+    """mapInArrow function: items (i, t) longer than a block as parts whose windows are the item's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist()):
+                parts = [t]
+                if len(t.encode()) > block_bytes:
+                    found, start, end, _ = X.words(*X.utf8(pa.array([t])), X.ALNUM)
+                    words, parts, at = [w.decode() for w in found.to_pylist()], [], 0
+                    ends = np.cumsum(end - start + 1)
+                    while not parts or at + window - 1 < len(words):
+                        base = ends[at - 1] if at else 0
+                        to = max(at + window, int(np.searchsorted(ends, base + block_bytes, "right")))
+                        parts.append(" ".join(words[at:to]))
+                        at = to - window + 1
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(parts), pa.string()), pa.array(parts, pa.string())], ["i", "t"])
+
+    return run
+
+
 def _scan(phrases: Phrases, text: str, back: list[str], carry: list[str], later: bool):
     """mapInArrow function of one pass."""
 
@@ -211,16 +234,19 @@ def decontaminate(
     rows of `docs` each come back. An empty benchmark hits nothing. Other columns of either table are not looked at.
     """
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL")
+    items = stored(items.distinct().mapInArrow(_parts(window, block_bytes), "i string, t string"), "benchmark")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = math.ceil(size / block_bytes)
-    parts = items.withColumn("p", F.pmod(F.xxhash64("i", "t"), F.lit(max(n, 1))))
+    n = max(1, math.ceil(size / block_bytes))
+    parts = items.withColumn("p", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
     base, back = X.kept(docs, id, text, keep)
-    out, later = base, False
-    for p in range(max(n, 1)):  # as many passes as the benchmark has blocks, one as a rule
+    out = base
+    for p in range(n):  # as many passes as the benchmark has blocks, one as a rule
         rows = parts.where(F.col("p") == p).orderBy("i", "t").collect()
         carry = list(dict.fromkeys([*back, text])) if p + 1 < n else back
-        out = out.mapInArrow(_scan(Phrases([r["i"] for r in rows], [r["t"] for r in rows], window), text, back, carry, later), X.struct(base, carry, _STATE))
-        later = True
+        phrases = Phrases([r["i"] for r in rows], [r["t"] for r in rows], window)
+        out = out.mapInArrow(_scan(phrases, text, back, carry, p > 0), X.struct(base, carry, _STATE))
+        if p + 1 < n:
+            out = stored(out, "searched")
     covered = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last_word"] - s["first_word"] + 1)
     return out.withColumn("n_hit", covered)
 
