@@ -12,6 +12,7 @@ One pass, no shuffle; a task holds one block of texts.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import cache
@@ -230,12 +231,26 @@ def matches(words: list[str], have: frozenset[int]) -> list[tuple[int, int, int]
 
 
 def kept(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Detections that no stronger one contains, by place."""
-    order = sorted(found, key=lambda m: (-rules()[m[0]].priority, m[1] - m[2], m[0], m[1]))
+    """Detections that no stronger one contains, by place.
+
+    In order of strength, each asks for the furthest end among those before it that begin no later; ends are kept as maxima over
+    ranges of beginnings, so a text's time grows with its detections and their logarithm.
+    """
+    begins = sorted({m[1] for m in found})
+    far = [-1] * (len(begins) + 1)
     out: list[tuple[int, int, int]] = []
-    for m in order:
-        if not any(k[1] <= m[1] and m[2] <= k[2] for k in out):
-            out.append(m)
+    for m in sorted(found, key=lambda m: (-rules()[m[0]].priority, m[1] - m[2], m[0], m[1])):
+        at = spot = bisect_right(begins, m[1])
+        end = -1
+        while at:
+            end = max(end, far[at])
+            at &= at - 1
+        if end >= m[2]:
+            continue
+        out.append(m)
+        while spot <= len(begins):
+            far[spot] = max(far[spot], m[2])
+            spot += spot & -spot
     return sorted(out, key=lambda m: (m[1], m[2], m[0]))
 
 
