@@ -109,7 +109,11 @@ def _platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Codewords and bit classifiers from rows with a language; a null language or null text teaches nothing."""
+    """Codewords and bit classifiers from rows with a language; a null language or null text teaches nothing.
+
+    The sample is drawn by a hash of the text, so it does not depend on how rows are stored, and copies of a text teach once.
+    Without such rows every text is `und`.
+    """
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
     sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
     k = sizes.count()
@@ -118,7 +122,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     share = sizes.select("l", (F.lit(float(sample)) / k / F.col("n")).alias("share"))
     if k <= 10_000:  # a row for each language
         share = F.broadcast(share)
-    chosen = rows.join(share, "l").where(F.rand(17) < F.col("share")).select("l", "t")
+    place = F.pmod(F.xxhash64("t", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    chosen = rows.join(share, "l").where(place < F.col("share")).select("l", "t").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
