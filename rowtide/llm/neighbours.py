@@ -6,7 +6,7 @@ smallest ids. A shard's graph is built in batches: a greedy beam search from the
 pruning keeps a candidate only if no kept one is closer to it by the factor `alpha`, and back edges are pruned alike.
 
 Inner products become distances by one more coordinate that gives points the same norm. That works where norms are alike, so a shard
-is cut into bands: points are taken from the shard's mean, which changes no query's order, and lie in one band while their norms are
+is cut into bands: points are taken from the shard's median, which changes no query's order, and lie in one band while their norms are
 within the factor `RATIO`. Every band of more than `SMALL_BAND` points has a graph of its own, smaller ones are read whole. A
 query takes the bands from the longest points on and leaves out those that cannot hold a better product than it has.
 
@@ -246,11 +246,11 @@ def search(
 
 @dataclass(frozen=True)
 class Band:
-    """Points of a shard whose distances from its mean are alike: their numbers, their vectors from the mean, the mean, the longest."""
+    """Points of a shard whose distances from its middle are alike: their numbers, their vectors from the middle, the middle, the longest."""
 
     points: np.ndarray
     vectors: np.ndarray
-    mean: np.ndarray
+    middle: np.ndarray
     longest: float
 
     @property
@@ -265,18 +265,18 @@ class Band:
 
 
 def bands(vectors: np.ndarray) -> list[Band]:
-    """A shard's points by falling distance from its mean: a band ends after the factor `RATIO`, but has `SMALL_BAND` points where there are any."""
+    """A shard's points by falling distance from its middle, the median of each component: a band ends after the factor `RATIO`, but has `SMALL_BAND` points where there are any."""
     unit = np.abs(vectors).max()
     scaled = vectors / unit
-    mean = scaled.mean(0)
-    own = scaled - mean
+    middle = np.median(scaled, 0)  # no few points move it
+    own = scaled - middle
     norm = np.sqrt(np.einsum("ij,ij->i", own, own))
     order = np.argsort(-norm, kind="stable")
     out, at = [], 0
     while at < len(order):
         to = int(np.searchsorted(-norm[order], -norm[order[at]] / RATIO, "right"))
         to = max(to, min(len(order), at + SMALL_BAND))
-        out.append(Band(order[at:to], own[order[at:to]], mean, float(norm[order[at]])))
+        out.append(Band(order[at:to], own[order[at:to]], middle, float(norm[order[at]])))
         at = to
     return out
 
@@ -290,7 +290,7 @@ def candidates(
     best = np.full((len(queries), most), -np.inf)  # each query's highest products so far
     pairs = []
     for band, graph, start in zip(cut, graphs, starts):
-        reach = unit @ band.mean + length * band.longest
+        reach = unit @ band.middle + length * band.longest
         live = np.flatnonzero(reach >= best[:, -1] - 1e-9 * np.abs(reach))
         if not len(live):
             continue
