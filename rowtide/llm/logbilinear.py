@@ -9,8 +9,8 @@ Model: the vector of an item's context is the sum of the vectors of the two item
 are dealt to classes by their counts, of equal sums of root counts. The vector's score with a class's vector and bias is the
 log-probability of the class, its score with an item's own vector and bias that of the item inside its class. Training is one pass
 of numpy batches, the true class against noise classes and the true item against items of its class: first in one task
-on a bounded sample for a common start, then in every task over all its training documents from there. A row of the parameters is
-averaged over the tasks that changed it, by what it learned there. A task's batches are matrix products.
+on a bounded sample of distinct texts (about `SAMPLE` of them and `SAMPLE_BYTES`, drawn by a hash) for a common start, then in every task over all its training documents from there. A row of the parameters is
+averaged over the tasks that changed it, by what it learned there, `FAN` tasks at a time. A task's batches are matrix products.
 
 Scoring: a block's distinct contexts are multiplied with all classes, and its distinct (context, class) pairs with the class's items; both
 are normalised, so the item probabilities are exact. Words too rare to be known in every task are joined to the count table by
@@ -34,6 +34,8 @@ from rowtide.session import stored
 
 VOCABULARY, GROUPS, HOT, SAMPLE = 25_000, 64, 1 << 17, 2000
 DIMENSIONS, CONTEXT, NOISE, INNER, BATCH, RATE, CHUNK = 24, 2, 96, 64, 4096, 0.2, 512
+FAN = 32  # tasks whose parameters one task averages
+SAMPLE_BYTES = 16 << 20  # texts of the common start at most, beyond one text
 SCORED, SCAN_BYTES = 1024, 1 << 20  # rows of a score matrix, and bytes of a block of texts: a task holds these besides the model
 
 
@@ -350,7 +352,10 @@ def fit(docs: DataFrame, counts: Counts, text: str, sample: int = SAMPLE) -> Mod
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from learned(Trainer(Model(n_items, prior=noise), noise, 1), batches)
 
-    sample_rows = docs.where(F.rand(43) < sample / counts.ends).select(text).repartition(1)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    share = min(sample / counts.ends, SAMPLE_BYTES / max(1, size))
+    place = F.pmod(F.xxhash64(F.col(text), F.lit(43)), F.lit(1 << 30)) / float(1 << 30)
+    sample_rows = docs.where(place < share).select(text).distinct().repartition(1)  # copies of a text begin once
     flat, past = model.flat, np.ones(rows, np.float32)
     for p, x, w in unpacked(sample_rows.mapInArrow(begin, schema).toArrow()):
         flat[p] = x
@@ -362,15 +367,23 @@ def fit(docs: DataFrame, counts: Counts, text: str, sample: int = SAMPLE) -> Mod
         yield from learned(own, batches)
 
     def mean(key: tuple, table: pa.Table) -> pa.Table:
-        low = key[0].as_py() * CHUNK
+        chunk = key[0].as_py()
         total, weight = np.zeros((CHUNK, width)), np.zeros(CHUNK)
         for p, x, w in unpacked(table):
-            total[p - low] += x * w[:, None].astype(np.float64)
-            weight[p - low] += w
+            total[p - chunk * CHUNK] += x * w[:, None].astype(np.float64)
+            weight[p - chunk * CHUNK] += w
         p = np.flatnonzero(weight > 0)
-        return pa.table(packed(key[0].as_py(), low + p, total[p] / weight[p, None], weight[p]), names)
-
-    averaged = docs.select(text).mapInArrow(local, schema).groupBy("chunk").applyInArrow(mean, schema).toArrow()
+        return pa.table([pa.array([key[1].as_py()], pa.int32()), *packed(chunk, chunk * CHUNK + p, total[p] / weight[p, None], weight[p])], ["task", *names])
+
+    # a mean of means by their weights is the mean, so tasks meet `FAN` at a time however many there are
+    learnt = docs.select(text).mapInArrow(local, schema).withColumn("task", F.spark_partition_id()).select("task", *names)
+    tasks = docs.rdd.getNumPartitions()
+    while True:
+        learnt = learnt.withColumn("task", F.expr(f"int(task / {FAN})")).groupBy("chunk", "task").applyInArrow(mean, f"task int, {schema}")
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            break
+    averaged = learnt.select(*names).toArrow()  # the model
     out = flat.copy()
     for p, x, _ in unpacked(averaged):
         out[p] = x
