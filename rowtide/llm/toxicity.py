@@ -3,12 +3,13 @@
 Learning: in a bounded sample of labelled documents each word is counted by the number of toxic and clean documents that
 have it, and each word beginning of 4, 5 and 6 bytes by the sums of its words without the most toxic one, so that
 a beginning counts only where it is a stem of several. The score is the log-odds ratio under a Dirichlet prior in proportion to
-the corpus; it enters the lexicon if the ratio and its z-value are large. A word scores as its best entry, any other word
+the corpus: to the number of all documents that have the entry, which a pass over the corpus counts for the words and beginnings of
+`CANDIDATE` toxic documents or more. It enters the lexicon if the ratio and its z-value are large. A word scores as its best entry, any other word
 costs `DRIFT`, so that a text's expected score falls.
 
 Scoring: one linear pass over a text's hits finds every maximal segment (each best passage that no extension or
 neighbour improves). Under Karlin and Altschul's limit the best score of a clean text of n words follows an extreme-value law; its
-decay rate solves sum p exp(rate * score) = 1 over the clean sample, so a segment gets a p-value that takes the
+decay rate solves sum p exp(rate * score) = 1, over the scores of all words of the clean sample, so a segment gets a p-value that takes the
 text's length into account. A document's evidence is -log10 of its best segment's p-value, and a logistic curve
 through the sample's evidence gives the score.
 
@@ -34,6 +35,7 @@ SAMPLE = {1: 20_000, 0: 60_000}  # labelled documents learned from, at most abou
 PREFIXES = (4, 5, 6)
 PRIOR = 0.25  # weight of the corpus, as a share of the sample
 LEAST_Z, LEAST_RATIO, DRIFT = 3.5, 1.0, 0.25
+CANDIDATE = 5  # toxic documents of the sample; an entry of fewer has no such z-value
 
 
 @dataclass
@@ -100,6 +102,42 @@ def _hits(column: pa.Array, entries: pa.Array, scores: np.ndarray):
     return n, hits
 
 
+def decay(gain: np.ndarray, hits: np.ndarray, words: float) -> float:
+    """The root above 0 of sum p e^(r s) = 1 over all words: `hits` of them score `gain`, the others minus `DRIFT`."""
+    p = hits / max(words, 2 * hits.sum())
+    lo, hi = 1e-6, 60.0 / float(gain.max())
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        below = p @ np.exp(mid * gain) + (1 - p.sum()) * math.exp(-mid * DRIFT) < 1
+        lo, hi = (mid, hi) if below else (lo, mid)
+    return lo
+
+
+def _corpus(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """(w, n): for the words and beginnings of `entries` and the words they leave out, the documents that have them, over all `texts`.
+
+    A beginning's number is the sum of its words'. The entries come from the bounded sample and go to every task.
+    """
+    asked = entries.select("w").unionByName(entries.where("but IS NOT NULL").select(F.col("but").alias("w"))).distinct()
+    known = pa.array(asked.toArrow()["w"].to_pylist(), pa.binary())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(known), np.int64)
+        for block in X.blocks(batches, "t"):
+            found, _, _, first = X.words(*X.utf8(block.column("t")), X.ALNUM)
+            coded = found.dictionary_encode()
+            size = max(1, len(coded.dictionary))
+            doc = np.repeat(np.arange(block.num_rows), np.diff(first))
+            n = np.bincount(np.unique(doc * size + coded.indices.to_numpy()) % size, minlength=len(coded.dictionary))
+            for kind in _entries(coded.dictionary) if len(known) and len(found) else ():
+                at = pc.fill_null(pc.index_in(kind, known, skip_nulls=True), -1).to_numpy()
+                np.add.at(sums, at[at >= 0], n[at >= 0])
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([known.take(pa.array(some)), pa.array(sums[some])], ["w", "n"])
+
+    return texts.mapInArrow(count, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: dict[int, int] = SAMPLE) -> Model:
     """Lexicon, limit law and calibration from labels 1 and 0; other values, null ids and null texts teach nothing.
 
@@ -143,14 +181,18 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
     n1, n0 = min(have.get(1, 0), sample[1]), min(have.get(0, 0), sample[0])
     words = stored(rows.mapInArrow(count, "w binary, n1 bigint, n0 bigint").groupBy("w").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "toxic-words")
-    lexicon = words
+    lexicon = words.withColumn("but", F.lit(None).cast("binary"))
     for k in PREFIXES:  # a beginning counts what it adds to its most toxic word
         start = F.concat(F.substring("w", 1, k), F.lit(b"*")).alias("w")
-        rest = [(F.sum(n) - F.max_by(n, F.struct("n1", "w"))).alias(n) for n in ("n1", "n0")]
-        lexicon = lexicon.unionByName(words.where(F.octet_length("w") > k).groupBy(start).agg(*rest))
-    a = PRIOR * (F.col("n1") + F.col("n0"))
+        most = F.struct("n1", "w")
+        rest = [(F.sum(n) - F.max_by(n, most)).alias(n) for n in ("n1", "n0")]
+        lexicon = lexicon.unionByName(words.where(F.octet_length("w") > k).groupBy(start).agg(*rest, F.max_by("w", most).alias("but")))
+    lexicon = stored(lexicon.where(F.col("n1") >= CANDIDATE), "toxic-entries")
+    every = docs.select(F.col(text).alias("t")).where("t IS NOT NULL")
+    corpus, documents = _corpus(every, lexicon), max(1, every.count())
+    lexicon = lexicon.join(corpus.select("w", F.col("n").alias("all")), "w", "left").join(corpus.select(F.col("w").alias("but"), F.col("n").alias("less")), "but", "left")
     total = PRIOR * (n1 + n0)
-    lexicon = lexicon.where("n1 > 0")
+    a = total / documents * F.greatest(F.coalesce("all", F.lit(0)) - F.coalesce("less", F.lit(0)), F.lit(1))
     rate = lambda y, n: F.log((y + a) / F.lit(n + total))
     z = F.col("s") / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
     lexicon = lexicon.withColumn("s", rate(F.col("n1"), n1) - rate(F.col("n0"), n0)).where((F.col("s") >= LEAST_RATIO) & (z >= LEAST_Z))
@@ -160,21 +202,26 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in X.blocks(batches, "t"):
             n, hits = _hits(block.column("t"), entries, scores)
-            best, gains = np.zeros(block.num_rows), [[] for _ in range(block.num_rows)]
+            best = np.zeros(block.num_rows)
             for d, at, score in hits:
-                best[d], gains[d] = max(s for _, _, s in segments(at, score, DRIFT)), score
-            yield pa.RecordBatch.from_arrays([block.column("y"), pa.array(n.astype(np.int64)), pa.array(best), pa.array([len(g) for g in gains], pa.int64())], ["y", "n", "best", "hits"])
+                best[d] = max(s for _, _, s in segments(at, score, DRIFT))
+            yield pa.RecordBatch.from_arrays([block.column("y"), pa.array(n.astype(np.int64)), pa.array(best)], ["y", "n", "best"])
+
+    def scores_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[float, int] = {}
+        for block in X.blocks(batches, "t"):
+            for _, _, score in _hits(block.column("t"), entries, scores)[1]:
+                for s in score:
+                    sums[s] = sums.get(s, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.float64()), pa.array(list(sums.values()), pa.int64())], ["s", "n"])
 
-    seen = rows.mapInArrow(scan, "y int, n bigint, best double, hits bigint").toArrow()  # a row for each of the sample
-    y, n, best, hits = (seen[c].to_numpy() for c in ("y", "n", "best", "hits"))
+    seen = rows.mapInArrow(scan, "y int, n bigint, best double").toArrow()  # a row for each of the sample
+    y, n, best = (seen[c].to_numpy() for c in ("y", "n", "best"))
     clean = y == 0
-    p = (hits[clean].sum() + 0.5) / (n[clean].sum() + 1.0)
+    found = rows.where("y = 0").mapInArrow(scores_of, "s double, n bigint").groupBy("s").agg(F.sum("n").alias("n")).orderBy("s").toArrow()  # a row an entry at most
     typical = float(np.median(scores)) if len(scores) else 1.0
-    lo, hi = 1e-6, 60.0 / typical
-    for _ in range(80):  # the root above 0 of p e^(r s) + (1 - p) e^(-r drift) = 1
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if p * math.exp(mid * typical) + (1 - p) * math.exp(-mid * DRIFT) < 1 else (lo, mid)
-    rate = lo
+    gain, hits = np.append(found["s"].to_numpy(), typical), np.append(found["n"].to_numpy(), 0.5)
+    rate = decay(gain, hits, float(n[clean].sum()) + 1.0)
     tail = n[clean] * np.exp(-rate * best[clean])
     density = (float((best[clean] > 0).sum()) + 0.5) / (float(tail[best[clean] > 0].sum()) + float(np.exp(-rate * typical) * n[clean].sum()) + 1e-9)
     x = evidence(best, n, rate, density)
