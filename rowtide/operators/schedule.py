@@ -101,15 +101,15 @@ def _local(utc: Column, zone: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), zone, utc)
 
 
-def _instants(days: DataFrame, parsed: DataFrame) -> DataFrame:
-    """(cron, time_zone, day, utc, real): every instant the expressions name on the local dates of `days`.
+def _instants(days: DataFrame) -> DataFrame:
+    """(cron, time_zone, day, utc, real): every instant the expressions name on the local dates of `days`, which has the compiled columns.
 
     A wall time the zone skips comes back shifted by the gap and is `real` only if the expression names the
     shifted time too. A repeated one is its earlier instant; where the hour is not pinned the later one, by the
     offset that holds a day on, is an instant as well.
     """
     zone, f = F.col("time_zone"), fields()
-    df = compiled(days, parsed=parsed).withColumn("__hour", F.explode("cron_hour")).withColumn("__minute", F.explode("cron_minute"))
+    df = days.withColumn("__hour", F.explode("cron_hour")).withColumn("__minute", F.explode("cron_minute"))
     df = df.withColumn("__local", F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("__hour"), F.col("__minute")))
     df = df.withColumn("__utc", _utc(F.col("__local"), zone)).withColumn("__next", F.col("__utc") + F.make_dt_interval(F.lit(1)))
     df = df.withColumn("__back", _local(F.col("__utc"), zone))
@@ -117,7 +117,7 @@ def _instants(days: DataFrame, parsed: DataFrame) -> DataFrame:
     real = F.array_contains(f["hour"], F.hour("__back")) & F.array_contains(f["minute"], F.minute("__back"))
     again = f["wild"] & (F.col("__later") > F.col("__utc")) & (_local(F.col("__later"), zone) == F.col("__local"))
     first, second = F.struct(F.col("__utc").alias("utc"), real.alias("real")), F.struct(F.col("__later").alias("utc"), F.lit(True).alias("real"))
-    return df.select(*PAIR, "day", F.inline(F.when(again, F.array(first, second)).otherwise(F.array(first)))).distinct()
+    return df.select(*PAIR, "day", F.inline(F.when(again, F.array(first, second)).otherwise(F.array(first))))
 
 
 def _matching_days(points: DataFrame, parsed: DataFrame, last: Column, take: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _first_after(df: DataFrame, parsed: DataFrame, at: str, last: Column, take:
     """
     df = df.select("name", *PAIR, at, F.to_date(_local(F.col(at), F.col("time_zone"))).alias("from"))
     near = _matching_days(df.select(*PAIR, "from").dropna().distinct(), parsed, last, take)
-    instants = _instants(near.select(*PAIR, "day").distinct(), parsed)
+    instants = _instants(compiled(near.select(*PAIR, "day").distinct(), parsed=parsed)).distinct()
     instants = instants.where("real") if real else instants
     before = F.lag("utc").over(Window.partitionBy(*PAIR, "day").orderBy("utc"))
     met = df.join(near, [*PAIR, "from"]).join(instants.withColumn("__before", before), [*PAIR, "day"])
@@ -157,6 +157,37 @@ def _horizon(schedules: DataFrame, at: Column) -> DataFrame:
     return df.withColumn("__start", F.greatest("__horizon", "last_tick_at"))
 
 
+def _daily(by_cron: DataFrame, at: Column) -> DataFrame:
+    """(cron, time_zone, date, ats, before, next): the instants of each pair on each UTC date that its schedules ask for, in order.
+
+    `ats` holds (utc, real), `before` counts the real ones of earlier dates and `next` is the first one of a later date. There are all
+    instants from the earliest start of a pair's schedules up to `at`, and for each watermark behind a horizon those of the next
+    three matching dates. A row has a date's instants; nothing in it grows with the schedules.
+    """
+    old = F.col("last_tick_at") < F.col("__horizon")
+    pairs = by_cron.groupBy(*PAIR).agg(
+        F.to_date(F.min("__start")).alias("__lo"),
+        F.collect_set(F.when(old, F.to_date(_local(F.col("last_tick_at"), F.col("time_zone"))))).alias("__froms"),
+        F.array_union(F.collect_set(F.to_date("__start")), F.collect_set(F.when(old, F.to_date("last_tick_at")))).alias("__dates"),
+    )
+    pairs = _parsed(pairs, "cron").where("cron_error IS NULL")
+    last = F.date_add(F.to_date(at), 1)  # local dates lie within a day of UTC dates
+    first = F.least(F.date_sub("__lo", 1), F.array_min("__froms"))
+    matching = F.filter(F.sequence(first, F.greatest(last, first)), lambda d: _day_matches(d, fields()))
+    pairs = pairs.withColumn("__match", matching)
+    late = F.flatten(F.transform("__froms", lambda f: F.slice(F.filter("__match", lambda d: d >= f), 1, 3)))
+    wanted = F.array_union(F.filter("__match", lambda d: d >= F.date_sub("__lo", 1)), late)
+    instants = _instants(pairs.withColumn("day", F.explode(wanted))).select(*PAIR, F.to_date("utc").alias("date"), F.struct("utc", "real").alias("at"))
+    asked = pairs.select(*PAIR, F.explode("__dates").alias("date"), F.lit(None).cast("struct<utc:timestamp_ntz,real:boolean>").alias("at"))
+    daily = instants.unionByName(asked).groupBy(*PAIR, "date").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    w = Window.partitionBy(*PAIR).orderBy("date")
+    real = F.size(F.filter("ats", lambda x: x["real"] & (x["utc"] <= at)))
+    return daily.select(
+        *PAIR, "date", "ats", F.coalesce(F.sum(real).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.first(F.get("ats", F.lit(0)), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("next"),
+    )
+
+
 def due(schedules: DataFrame, now: str, cap: int) -> DataFrame:
     """(name, tick_at, late, n) of the ticks owed at `now`, `n` counting from 1, oldest first.
 
@@ -164,27 +195,29 @@ def due(schedules: DataFrame, now: str, cap: int) -> DataFrame:
     are more. Of an older span only the first missed tick is given, marked late; a schedule without a
     watermark starts at the horizon. Schedules whose expression is malformed owe nothing here.
 
-    Instants are made once per (expression, zone) and joined with the schedules by date; the parsed expressions,
-    a row each, are written first.
+    The instants of each (expression, zone) are made once, a row a date with the number of those before it. Which tick an
+    instant is, is then a difference of two such numbers, so schedules are never sorted or numbered.
     """
     at = F.lit(now).cast("timestamp_ntz")
-    df, parsed = _horizon(schedules, at), stored(rules(schedules), "rules")
+    df = _horizon(schedules, at)
     by_cron = df.where("cron IS NOT NULL")
-    old = _first_after(by_cron.where("last_tick_at < __horizon"), parsed, "last_tick_at", F.date_add(F.to_date(at), 1), 3, real=False)
-    lost = old.select("name", F.when(F.col("first.real"), F.col("first.utc")).alias("__lost"))
-    by_cron = by_cron.join(lost, "name", "left").withColumn("__lost", F.when(F.col("__lost") < F.col("__horizon"), F.col("__lost")))
-
-    # local dates lie within a day of UTC dates
-    first_day, last_day = F.date_sub(F.to_date(F.min("__start")), 1), F.date_add(F.to_date(at), 1)
-    spans = compiled(by_cron.groupBy(*PAIR).agg(first_day.alias("__lo")), parsed=parsed).where("cron_error IS NULL")
-    days = spans.withColumn("day", F.explode(F.sequence("__lo", F.greatest(last_day, "__lo")))).where(_day_matches(F.col("day"), fields()))
-    instants = _instants(days.select(*PAIR, "day"), parsed).where(F.col("real") & (F.col("utc") <= at))
-    instants = instants.select(*PAIR, "utc", F.to_date("utc").alias("date")).distinct()
-    dated = by_cron.where(F.col("__start") < at).withColumn("date", F.explode(F.sequence(F.to_date("__start"), F.to_date(at))))
-    met = dated.join(instants, [*PAIR, "date"]).where(F.col("utc") > F.col("__start"))
-    counted = met.withColumn("__n", F.row_number().over(Window.partitionBy("name").orderBy("utc"))).where(F.col("__n") <= cap + 1)
-    on_time = counted.select("name", F.col("utc").alias("tick_at"), F.lit(False).alias("late"), (F.col("__n") + F.col("__lost").isNotNull().cast("int")).alias("n"))
-    late = by_cron.where("__lost IS NOT NULL").select("name", F.col("__lost").alias("tick_at"), F.lit(True).alias("late"), F.lit(1).alias("n"))
+    daily = stored(_daily(by_cron, at), "instants")
+
+    on = lambda column: by_cron.withColumn("date", F.to_date(column)).join(daily, [*PAIR, "date"])
+    old = on("last_tick_at").where("last_tick_at < __horizon")
+    first = F.coalesce(F.get(F.filter("ats", lambda x: x["utc"] > F.col("last_tick_at")), F.lit(0)), F.col("next"))
+    lost = old.withColumn("first", first).where(F.col("first.real") & (F.col("first.utc") < F.col("__horizon")))
+    late = lost.select("name", F.col("first.utc").alias("tick_at"), F.lit(True).alias("late"), F.lit(1).alias("n"))
+
+    passed = F.col("before") + F.size(F.filter("ats", lambda x: x["real"] & (x["utc"] <= F.col("__start"))))
+    begun = on("__start").where(F.col("__start") < at).select("name", *PAIR, "__start", passed.alias("__passed"))
+    dated = begun.withColumn("date", F.explode(F.sequence(F.to_date("__start"), F.to_date(at))))
+    met = dated.join(daily, [*PAIR, "date"]).where(F.col("before") - F.col("__passed") <= cap)
+    owed = F.filter("ats", lambda x: x["real"] & (x["utc"] <= at))
+    met = met.select("name", "__start", "__passed", "before", F.posexplode(owed).alias("__pos", "__at")).where(F.col("__at.utc") > F.col("__start"))
+    met = met.withColumn("n", (F.col("before") + F.col("__pos") + 1 - F.col("__passed")).cast("int")).where(F.col("n") <= cap + 1)
+    after = met.join(late.select("name", F.lit(1).alias("__late")), "name", "left")
+    on_time = after.select("name", F.col("__at.utc").alias("tick_at"), F.lit(False).alias("late"), (F.col("n") + F.coalesce("__late", F.lit(0))).alias("n"))
     mark = F.col("last_tick_at")
     once = df.where(F.col("cron").isNull() & (F.col("due_at") <= at) & (mark.isNull() | (mark < F.col("due_at"))))
     return on_time.unionByName(late).unionByName(once.select("name", F.col("due_at").alias("tick_at"), F.lit(False).alias("late"), F.lit(1).alias("n")))
