@@ -86,15 +86,26 @@ def pipe_log(t):
 
 @query("pipe_retry", "SELECT event_id, value FROM events")
 def pipe_retry(t):
-    failures, out = [], []
-
-    def flaky(rows, batch):
-        if len(failures) < 2:
-            failures.append(batch)
-            raise OSError("unreachable")
-        out.append(stored(rows))
-
-    m.retried(flaky, wait=0.0)(t.events.select("event_id", "value"), 0)
+    """The client fails inside the tasks of the first two attempts; an accumulator counts what it was asked."""
+    asked, attempts, out = t.spark.sparkContext.accumulator(0), [], []
+
+    def send(rows, batch):
+        attempts.append(batch)
+        down = len(attempts) < 3
+
+        def client(batches):
+            for pdf in batches:
+                asked.add(len(pdf))
+                if down:
+                    raise OSError("unreachable")
+                yield pdf
+
+        out.append(stored(rows.mapInPandas(client, rows.schema)))
+
+    m.retried(send, wait=0.0)(t.events.select("event_id", "value"), 0)
+    sent = out[0].count()
+    if len(attempts) != 3 or asked.value < sent:
+        raise AssertionError(f"{len(attempts)} attempts, {asked.value} of {sent} rows")
     return out[0]
 
 
