@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from rowtide.functions.rows import non_finite, same_values
@@ -85,9 +85,18 @@ def actions(sink: DataFrame, output: DataFrame, key: str = "id", keep_omitted: b
     return merged(sink, output.withColumn("__gone", F.lit(False)), key, F.lit("keep" if keep_omitted else "delete"))
 
 
+def _once(rows: DataFrame, key: str) -> DataFrame:
+    """Each value of `key` once, taken in its order: keys that a join put in order need nothing more, others a sort, which spills.
+
+    `distinct` holds all keys of a task in two hash tables, and adaptive execution gives a task many rows where they are short.
+    """
+    first = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    return rows.select(key, first.alias("__n")).where("__n = 1").select(key)
+
+
 def delta_actions(sink: DataFrame, upserts: DataFrame, deletes: DataFrame, key: str = "id") -> DataFrame:
     """The actions of a delta: upserts are written, exactly the deleted keys go, the rest stays."""
-    gone = deletes.select(key).distinct().withColumn("__gone", F.lit(True))
+    gone = _once(deletes, key).withColumn("__gone", F.lit(True))
     changes = upserts.withColumn("__gone", F.lit(False)).unionByName(gone, allowMissingColumns=True)
     return merged(sink, changes, key, F.lit("keep"))
 

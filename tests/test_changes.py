@@ -140,6 +140,15 @@ def test_publication(spark):
         p.check_columns(sink.schema, out.schema, read_only=["n"])
 
 
+def test_repeated_deletes_count_once_without_a_hash_table_of_keys(spark):
+    sink = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, v int")
+    ups = spark.createDataFrame([("d", 4)], "id string, v int")
+    deletes = spark.createDataFrame([("a",), ("c",), ("a",), (None,), (None,), ("x",)], "id string")
+    acted = p.delta_actions(sink, ups, deletes)
+    assert rows(acted, "id", "v", "action") == [("a", 1, "delete"), ("b", 2, "keep"), ("c", 3, "delete"), ("d", 4, "insert")]
+    assert "Aggregate" not in acted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_partitions_own_their_ids(spark):
     sink = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "id string, n int")
     owners = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "q")], "id string, partition string")
