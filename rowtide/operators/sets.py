@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from rowtide.plans.groups import collect_parts
 from rowtide.session import Rounds, stored
 
+CHAINED = 1 << 17  # nodes of chains that shortcuts are made for; of more, some are taken out first
+
 
 def union_all(*parts: DataFrame) -> DataFrame:
     """All rows of all parts, columns matched by name."""
@@ -60,20 +62,51 @@ def union_refcount(sources: Mapping[str, DataFrame], key: Sequence[str], seq: st
     return held.select(*key, "__v.*", "sources")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, source: str = "src", target: str = "dst", steps: int = 3) -> DataFrame:
+def _taken_out(links: DataFrame, chains: DataFrame, seeds: DataFrame, chained: int) -> tuple[DataFrame, int, list[DataFrame]]:
+    """Take nodes with one way on out of the graph until at most `chained` are left: (ways, chain nodes left, levels).
+
+    Ways are (src, dst, chain); a seed is a way without src. A level takes out the nodes whose coin is up and whose next node's
+    is not, so no two in a row: a quarter of them. Ways to such a node lead to its next node from there on, and `via` names it.
+    Rows of all levels together are a multiple of the links, however long the chains.
+    """
+    kind = seeds.schema["node"].dataType
+    only = chains.select("src", F.lit(True).alias("chain"))
+    ways = links.join(only, "src", "left").select(F.col("src").cast(kind), F.col("dst").cast(kind), F.coalesce("chain", F.lit(False)).alias("chain"))
+    ways = ways.unionByName(seeds.distinct().select(F.lit(None).cast(kind).alias("src"), F.col("node").alias("dst"), F.lit(False).alias("chain")))
+    proper = "src IS NULL OR src <> dst"
+    ways, levels = stored(ways.where(proper), "ways"), []
+    while (left := ways.where("chain").count()) > chained:
+        up = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(len(levels))), F.lit(2)) == 1
+        goes = F.col("chain") & up("src") & ~up("dst")
+        gone = ways.where(goes).select(F.col("src").alias("via"), F.col("dst").alias("_on"))
+        rest = ways.where(~goes)
+        moved = rest.where(up("dst")).join(gone, F.col("dst") == F.col("via"), "left").select("src", F.coalesce("_on", "dst").alias("dst"), "chain", "via")
+        levels.append(stored(rest.where(~up("dst")).withColumn("via", F.lit(None).cast(kind)).unionByName(moved), "level"))
+        ways = levels[-1].where(proper).drop("via")
+    return ways, left, levels
+
+
+def closure(edges: DataFrame, seeds: DataFrame, source: str = "src", target: str = "dst", steps: int = 3, chained: int = CHAINED) -> DataFrame:
     """Every node reachable from `seeds` (a single column `node`), the seeds included.
 
     A round takes newly reached nodes `steps` edges on and keeps what is new, so cycles and diamonds end. Nodes with one way on
     form chains; a round also doubles the chains' shortcuts, 2, 4, 8 … edges long, and follows all of them. So the number of
     rounds grows with the logarithm of the longest chain and with the branchings on a path, not with its length. Shortcuts
-    have at most one row for each node of a chain and length, and no other pairs of nodes are formed.
+    have at most one row for each node of a chain and length, and no other pairs of nodes are formed. Of more than `chained`
+    nodes in chains, a quarter at a time is taken out of the graph first, and put back, level by level, behind the reached nodes that led to it.
     """
+    seeds = seeds.select("node")
     links = stored(edges.select(F.col(source).alias("src"), F.col(target).alias("dst")).dropna().distinct(), "links")
-    spark, schema = seeds.sparkSession, seeds.select("node").schema
-    rounds, shortcuts = Rounds(spark, "reached", schema), Rounds(spark, "shortcuts", links.schema)
+    spark, schema = seeds.sparkSession, seeds.schema
     last = stored(links.groupBy("src").agg(F.count(F.lit(1)).alias("ways"), F.min("dst").alias("dst")).where("ways = 1").select("src", "dst"), "chains")
-    nodes, length = last.count(), 1
-    frontier = rounds.add(seeds.select("node").distinct())
+    nodes, length, levels = last.count(), 1, []
+    starts = seeds.distinct()
+    if nodes > chained:
+        ways, nodes, levels = _taken_out(links, last, seeds, chained)
+        links, last = ways.where("src IS NOT NULL").select("src", "dst"), ways.where("chain").select("src", "dst")
+        starts = ways.where("src IS NULL").select(F.col("dst").alias("node")).distinct()
+    rounds, shortcuts = Rounds(spark, "reached", schema), Rounds(spark, "shortcuts", links.schema)
+    frontier = rounds.add(starts)
     while frontier.take(1):
         ways, reached, ends = links.unionByName(shortcuts.all()), [], frontier
         for _ in range(steps):
@@ -84,4 +117,8 @@ def closure(edges: DataFrame, seeds: DataFrame, source: str = "src", target: str
             on = last.select(F.col("src").alias("dst"), F.col("dst").alias("_on"))
             last, length = shortcuts.add(last.join(on, "dst").select("src", F.col("_on").alias("dst"))), 2 * length
             nodes = nodes if last.take(1) else 0
+    for level in reversed(levels):  # a node taken out is reached where a way to it starts at a reached node or is a seed's
+        through = level.where("via IS NOT NULL")
+        led = through.join(rounds.all(), F.col("src") == F.col("node"), "left_semi").unionByName(through.where("src IS NULL"))
+        rounds.add(led.select(F.col("via").alias("node")).distinct())
     return rounds.all()

@@ -211,3 +211,41 @@ def test_closure_through_branches_and_chains(spark):
         edges = spark.createDataFrame([*pairs, (None, 3), (0, None), *list(pairs)[:5]], "src int, dst int")
         got = [r["node"] for r in sets.closure(edges, spark.createDataFrame([(0,), (20,), (20,)], "node int")).collect()]
         assert sorted(got) == sorted(reached)
+
+
+def test_closure_of_long_chains_stores_rows_in_proportion_to_the_links(spark, monkeypatch):
+    """Chains above the limit are shortened before shortcuts are made; the rows of all shortcuts and levels stay a multiple of the links."""
+    made, add = [], sets.Rounds.add
+
+    def counted(self, new):
+        out = add(self, new)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(sets.Rounds, "add", counted)
+    monkeypatch.setattr(sets, "stored", lambda df, label, write=sets.stored: (lambda out: made.append(out.count()) or out)(write(df, label)))
+    n = 40_000
+    edges = spark.range(n).select((F.col("id") * 7919 % n).alias("src"), ((F.col("id") + 1) * 7919 % n).alias("dst")).where(f"src <> {(n - 1) * 7919 % n}")
+    start = 100 * 7919 % n
+    got = sets.closure(edges, spark.createDataFrame([(start,), (None,)], "node long"), chained=500)
+    assert got.agg(F.count("node"), F.count_distinct("node"), F.count(F.lit(1))).first()[:] == (n - 100, n - 100, n - 99)
+    assert sum(made) < 10 * n
+
+
+def test_closure_with_nodes_taken_out_follows_branches_cycles_and_seeds(spark):
+    import random
+
+    rng = random.Random(11)
+    for chained in (0, 4):
+        n = 80
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(20)} | {(i, i + 1) for i in range(n - 1) if i % 17} | {(200, 201), (201, 200), (300, 300), (301, 300)}
+        seeds = [3, 40, 41, 201, 301, 999]
+        reached, todo = set(), list(seeds)
+        while todo:
+            x = todo.pop()
+            if x not in reached:
+                reached.add(x)
+                todo += [b for a, b in pairs if a == x]
+        edges = spark.createDataFrame([*pairs, (None, 3), (0, None), *list(pairs)[:5]], "src int, dst int")
+        got = sets.closure(edges, spark.createDataFrame([(x,) for x in [*seeds, 40]], "node int"), chained=chained)
+        assert sorted(r["node"] for r in got.collect()) == sorted(reached)
