@@ -116,23 +116,27 @@ def iterate(plan: Callable[[DataFrame], DataFrame], work: Callable[[DataFrame],
     """Plan jobs (key, input) from all answers so far, run the new ones, and finish when a round plans none.
 
     `work` maps new jobs to answers of `schema`, which starts with `key`. A plan that no longer names
-    an answered job, or gives it another input, is refused.
+    an answered job, or gives it another input, is refused. Only keys and digests of inputs are stored; a round's plan is
+    read once for them and once more, with its inputs, where there is new work.
     """
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
     known = Rounds(spark, "answers", spark.createDataFrame([], schema).schema)
-    ran = spark.createDataFrame([], "key string, __input string")
+    ran = None
     for _ in range(rounds):
         answers = known.all()
-        jobs = stored(plan(answers).withColumn("__input", F.sha2("input", 256)), "jobs")
-        if ran.join(jobs.select("key", "__input"), ["key", "__input"], "left_anti").take(1):
-            raise ValueError("a later plan drops a job that has an answer, or gives it another input")
-        fresh = jobs.join(ran.select("key"), "key", "left_anti")
+        planned = plan(answers)
+        jobs = fresh = stored(planned.select("key", F.sha2("input", 256).alias("__input")), "jobs")
+        if ran is not None:
+            if ran.join(jobs, ["key", "__input"], "left_anti").take(1):
+                raise ValueError("a later plan drops a job that has an answer, or gives it another input")
+            fresh = jobs.join(ran.select("key"), "key", "left_anti")
         if not fresh.take(1):
             return finish(answers)
-        known.add(work(fresh.drop("__input")))
-        ran = jobs.select("key", "__input")
+        # before the first answer every job is new
+        known.add(work(planned if ran is None else planned.join(fresh.select("key"), "key", "left_semi")))
+        ran = jobs
     raise RuntimeError(f"no end after {rounds} rounds")
 
 

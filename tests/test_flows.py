@@ -101,6 +101,25 @@ def test_a_plan_may_not_change_its_jobs(spark):
         c.iterate(plan, lambda jobs: jobs.select("key", F.lit(1).alias("answer")), lambda a: a, "key string, answer int")
 
 
+def test_plan_rounds_store_no_inputs(spark, monkeypatch):
+    tables, write = [], c.stored
+    monkeypatch.setattr(c, "stored", lambda df, label: tables.append(df.columns) or write(df, label))
+    first = spark.createDataFrame([("a", "xx"), ("b", "yyyy"), ("b", "yyyy")], "key string, input string")
+    given = []
+
+    def plan(answers):
+        return first.unionByName(answers.where("answer > 2 AND key = 'b'").distinct().select(F.lit("c").alias("key"), F.lit("zzz").alias("input")))
+
+    def work(jobs):
+        given.append(rows(jobs, "key", "input"))
+        return jobs.select("key", F.char_length("input").alias("answer"))
+
+    got = c.iterate(plan, work, lambda a: a, "key string, answer int")
+    assert rows(got, "key", "answer") == [("a", 2), ("b", 4), ("b", 4), ("c", 3)]
+    assert given == [[("a", "xx"), ("b", "yyyy"), ("b", "yyyy")], [("c", "zzz")]]
+    assert len(tables) == 3 and all(columns == ["key", "__input"] for columns in tables)
+
+
 def test_staleness(spark):
     reads = spark.createDataFrame([("x", "t"), ("x", "u"), ("y", "t"), ("z", "gone")], "name string, table string")
     sources = spark.createDataFrame([("t", 3), ("u", 1)], "table string, revision int")
