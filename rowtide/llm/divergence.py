@@ -30,8 +30,8 @@ from rowtide.plans.groups import top_per_group
 from rowtide.session import stored
 
 MIN_DOCS, TOP, WIDTH, TILE = 10, 10, 4096, 128
-BLOCK = 16 << 20
-_PAIRS = 1 << 21  # leaves that a traversal visits at a time, about
+BLOCK = 4 << 20
+_PAIRS = 1 << 19  # leaves that a traversal visits at a time, about
 _BYTES = np.arange(256)
 #: Bytes of terms after lower-casing A-Z: a-z and everything beyond ASCII.
 LETTERS = ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | (_BYTES >= 0x80)

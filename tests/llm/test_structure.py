@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 from itertools import pairwise
 
 import numpy as np
@@ -160,6 +161,24 @@ def test_divergence_equals_brute_force(docs, rows, min_docs, top, width, tile):
     assert len(got) == len(set(got)) and set(got) == audited(rows, min_docs, top)
 
 
+def test_divergence_counts_a_large_batch_in_little_memory():
+    """Python workers share an executor with the JVM, so an Arrow batch of 10,000 texts is worked through in small blocks."""
+    rng = np.random.default_rng(3)
+    vocabulary = np.array(["".join(chr(97 + int(d)) for d in str(n)) for n in range(50_000)])
+    texts = [" ".join(vocabulary[rng.integers(0, len(vocabulary), 350)]) for _ in range(9000)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "source": ["a", "b"] * (len(texts) // 2), "text": texts})
+    assert batch.column("text").nbytes > 16 << 20
+    tracemalloc.start()
+    places = docs = 0
+    for found in divergence._counts(iter([batch])):
+        places, docs = places + int(found.column("n").to_numpy().sum()), docs + int(found.column("docs").to_numpy().sum())
+        del found
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (places, docs) == (350 * len(texts), sum(len(set(t.split())) for t in texts))
+    assert peak < 120 << 20
+
+
 def test_k2_tree_walks_every_pair():
     rng = np.random.default_rng(2)
     for rows, columns, share in ((1, 1, 1.0), (5, 9, 0.3), (8, 8, 0.0), (3, 40, 0.05), (20, 16, 0.9)):
