@@ -36,6 +36,7 @@ VOCABULARY, GROUPS, HOT, SAMPLE = 25_000, 64, 1 << 17, 2000
 DIMENSIONS, CONTEXT, NOISE, INNER, BATCH, RATE, CHUNK = 24, 2, 96, 64, 4096, 0.2, 512
 FAN = 32  # tasks whose parameters one task averages
 SAMPLE_BYTES = 16 << 20  # texts of the common start at most, beyond one text
+SAFE = 80  # exponentials of scores up to it, and their sums, are normal numbers in single precision
 SCORED, SCAN_BYTES = 1024, 1 << 20  # rows of a score matrix, and bytes of a block of texts: a task holds these besides the model
 
 
@@ -104,19 +105,25 @@ def classes_of(prior: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_sum(score: np.ndarray) -> np.ndarray:
-    """Logarithm of each row's sum of exponentials; `score` is overwritten."""
+def log_sum(score: np.ndarray, bounded: bool = False) -> np.ndarray:
+    """Logarithm of each row's sum of exponentials; `score` is overwritten. `bounded`: no score is beyond `SAFE`, so none need be shifted."""
+    if bounded:
+        return np.log(np.exp(score, out=score) @ np.ones(score.shape[1], score.dtype))
     top = score.max(1)
     score -= top[:, None]
     return top + np.log(np.exp(score, out=score).sum(1))
 
 
-def by_row(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, the sum of each row's values)."""
-    order = np.argsort(at.astype(np.int32), kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return at[first], np.add.reduceat(value[order], first, axis=0)
+def by_row(at: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows of `n`, the sum of each row's values)."""
+    there = np.zeros(n, bool)
+    there[at] = True
+    rows, place = np.flatnonzero(there), np.empty(n, np.int64)
+    width = value.shape[1]
+    place[rows] = np.arange(0, len(rows) * width, width)
+    out = np.zeros(len(rows) * width, value.dtype)
+    np.add.at(out, (place[at][:, None] + np.arange(width)).ravel(), value.ravel())
+    return rows, out.reshape(-1, width)
 
 
 class Model:
@@ -147,15 +154,23 @@ class Model:
     def __reduce__(self):
         return Model, (self.n, self.flat, self.prior)  # the other arrays are views of these or made of them
 
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        out = self.context[context[:, 0]] * self.position[0]
+    def predicted(self, context: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(the predicted vectors, each with a 1 for the biases; the vectors of the items before, which end in a 0)."""
+        vectors = [self.flat.take(context[:, j], axis=0) for j in range(CONTEXT)]
+        place = self.flat[self.places[1] : self.places[2]]
+        out = vectors[0] * place[0]
         for j in range(1, CONTEXT):
-            out += self.context[context[:, j]] * self.position[j]
-        return out
+            out += vectors[j] * place[j]
+        out[:, -1] = 1
+        return out, vectors
+
+    def sorted_classes(self, group: np.ndarray) -> np.ndarray:
+        """Places in stable order of class; numbers of 16 bits are sorted by digits."""
+        return np.argsort(group.astype(np.uint16) if len(self.size) <= 1 << 16 else group, kind="stable")
 
     def by_class(self, group: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first row, row after the last, places) of each class of two items or more that is in `group`."""
-        order = np.argsort(group, kind="stable")
+        order = self.sorted_classes(group)
         ends = np.cumsum(np.bincount(group, minlength=len(self.size)))
         for c in np.flatnonzero((np.diff(ends, prepend=0) > 0) & (self.size > 1)).tolist():
             yield int(self.first[c]), int(self.first[c + 1]), order[ends[c - 1] if c else 0 : ends[c]]
@@ -164,28 +179,45 @@ class Model:
         """Natural log-probabilities, normalised over all classes and over the items of each class."""
         key = context[:, 0] * (self.n + 1) + context[:, 1]
         distinct, of = np.unique(key, return_inverse=True)
-        vectors = self.predicted(np.stack(np.divmod(distinct, self.n + 1), 1))
+        vectors = self.predicted(np.stack(np.divmod(distinct, self.n + 1), 1))[0]
+        output, classes = self.flat[self.places[2] : self.places[3]], self.flat[self.places[3] :]
+        longest = lambda x: float(np.sqrt(np.einsum("bd,bd->b", x, x).max(initial=0)))
+        bounded = longest(vectors) * max(longest(output), longest(classes)) < SAFE
         normal = np.empty(len(vectors), np.float32)
         for lo in range(0, len(vectors), SCORED):
-            normal[lo : lo + SCORED] = log_sum(vectors[lo : lo + SCORED] @ self.class_output.T + self.class_bias)
+            normal[lo : lo + SCORED] = log_sum(vectors[lo : lo + SCORED] @ classes.T, bounded)
         group, row = self.group[items], self.row[items]
         pairs, pair = np.unique(of * len(self.size) + group, return_inverse=True)
         owner, kind = np.divmod(pairs, len(self.size))
-        inner = self.bias[self.first[kind]].copy()  # what is left for a class of one item: its score
-        inner += np.einsum("bd,bd->b", vectors[owner], self.output[self.first[kind]])
+        inner = np.empty(len(pairs), np.float32)
+        single = np.flatnonzero(self.size[kind] == 1)  # what is left for a class of one item: its score
+        inner[single] = np.einsum("bd,bd->b", vectors.take(owner[single], axis=0), output.take(self.first[kind[single]], axis=0))
         for first, last, at in self.by_class(kind):
             for lo in range(0, len(at), SCORED):
                 part = at[lo : lo + SCORED]
-                inner[part] = log_sum(vectors[owner[part]] @ self.output[first:last].T + self.bias[first:last])
+                inner[part] = log_sum(vectors.take(owner[part], axis=0) @ output[first:last].T, bounded)
+        outer = np.empty(len(pairs), np.float32)
+        for lo in range(0, len(pairs), 1 << 14):
+            p = slice(lo, lo + (1 << 14))
+            outer[p] = np.einsum("bd,bd->b", vectors.take(owner[p], axis=0), classes.take(kind[p], axis=0)) - normal[owner[p]] - inner[p]
         out = np.empty(len(items), np.float64)
-        for lo in range(0, len(items), 1 << 16):
-            p = slice(lo, lo + (1 << 16))
-            q = vectors[of[p]]
-            out[p] = np.einsum("bd,bd->b", q, self.class_output[group[p]]) + self.class_bias[group[p]] - normal[of[p]]
-            out[p] += np.einsum("bd,bd->b", q, self.output[row[p]]) + self.bias[row[p]] - inner[pair[p]]
+        for lo in range(0, len(items), 1 << 14):
+            p = slice(lo, lo + (1 << 14))
+            out[p] = np.einsum("bd,bd->b", vectors.take(of[p], axis=0), output.take(row[p], axis=0)) + outer[pair[p]]
         return out
 
 
+def noise_gradient(q: np.ndarray, drawn: np.ndarray, log_drawn: np.ndarray) -> np.ndarray:
+    """Gradient of the score of each row of `q` with each drawn row, in single precision, of noise with these log-expectations."""
+    shifted = -drawn
+    shifted[:, -1] += log_drawn
+    out = q @ shifted.T
+    with np.errstate(over="ignore"):  # the gradient is then 0
+        np.exp(out, out=out)
+    out += 1
+    return np.divide(-1, out, out=out)
+
+
 class Trainer:
     """Noise-contrastive steps with a rate for each row of parameters."""
 
@@ -198,37 +230,47 @@ class Trainer:
         self.past = np.ones(len(model.flat), np.float32)
         self.tokens = 0
 
-    def update(self, rows: np.ndarray, grad: np.ndarray) -> None:
-        """Move distinct `rows`; the bias is the last column, and rows without one have a gradient of one column less."""
-        self.past[rows] += np.einsum("bd,bd->b", grad, grad) / grad.shape[1] * 4
-        self.model.flat[rows, : grad.shape[1]] += np.float32(RATE) * grad / np.sqrt(self.past[rows])[:, None]
+    def update(self, rows: np.ndarray, grad: np.ndarray, width: int = DIMENSIONS + 1) -> None:
+        """Move distinct `rows`; the bias is the last column, and rows without one have a 0 there and a `width` of one column less."""
+        past = self.past[rows] + np.einsum("bd,bd->b", grad, grad) / width * 4
+        self.past[rows] = past
+        self.model.flat[rows] = self.model.flat.take(rows, axis=0) + grad * (np.float32(RATE) / np.sqrt(past))[:, None]
 
     def contrast(self, q: np.ndarray, true: np.ndarray, drawn: np.ndarray, start: int, log_true: np.ndarray, log_drawn: np.ndarray) -> np.ndarray:
-        """One step of the true rows against the drawn rows, of the table from `start`; returns the gradient of q."""
-        m = self.model
-        own, other = m.flat[start + true], m.flat[start + drawn]
-        up = np.einsum("bd,bd->b", q, own[:, :-1]) + own[:, -1] - log_true
+        """One step of the true rows against the drawn rows, of the few from `start` to the last; returns the gradient of q."""
+        table = self.model.flat[start:]
+        own, other = table.take(true, axis=0), table[drawn]
+        up = np.einsum("bd,bd->b", q, own) - log_true
         up = 1 - 1 / (1 + np.exp(-np.clip(up, -20, 20)))  # gradient of the score of the true row
-        down = -1 / (1 + np.exp(-np.clip(q @ other[:, :-1].T + other[:, -1] - log_drawn, -20, 20)))
-        dq = up[:, None] * own[:, :-1] + down @ other[:, :-1]
-        grad = np.concatenate([up[:, None] * q, up[:, None]], 1)
-        false = np.concatenate([down.T @ q, down.sum(0)[:, None]], 1)
-        rows, grad = by_row(np.concatenate([true, drawn]), np.concatenate([grad, false]))
+        own *= up[:, None]
+        down = noise_gradient(q, other, log_drawn)
+        own += down @ other
+        rows, grad = by_row(np.concatenate([true, drawn]), np.concatenate([up[:, None] * q, down.T @ q]), len(table))
         self.update(start + rows, grad)
-        return dq
+        return own
 
-    def back(self, context: np.ndarray, dq: np.ndarray) -> None:
-        """Hand the gradient of the predicted vectors to contexts and positions."""
+    def back(self, context: np.ndarray, vectors: Sequence[np.ndarray], dq: np.ndarray) -> None:
+        """Hand the gradient of the predicted vectors, in the order of the text, to contexts and positions."""
         m = self.model
-        vectors = [m.context[context[:, j]] for j in range(CONTEXT)]
-        rows, grad = by_row(context.T.ravel(), np.concatenate([dq * m.position[j] for j in range(CONTEXT)]))
-        self.update(m.places[1] + np.arange(CONTEXT), np.stack([(dq * v).sum(0) for v in vectors]))
-        self.update(rows, grad)
+        dq[:, -1] = 0
+        place = m.flat[m.places[1] : m.places[2]]
+        at, grad = [context[:, 0]], [dq * place[0]]
+        for j in range(1, CONTEXT):  # mostly an item's own place after the one by which it was the last
+            value, row = dq * place[j], context[:, j]
+            rest = np.concatenate([np.arange(min(j, len(row))), np.flatnonzero(row[j:] != context[: len(row) - j, 0]) + j])
+            at.append(row[rest])
+            grad.append(value[rest])
+            value[rest] = 0
+            grad[0][: len(row) - j] += value[j:]
+        rows, grad = by_row(np.concatenate(at), np.concatenate(grad), m.places[1])
+        self.update(m.places[1] + np.arange(CONTEXT), np.stack([np.einsum("bd,bd->d", dq, v) for v in vectors]), DIMENSIONS)
+        self.update(rows, grad, DIMENSIONS)
 
     def classes(self, items: np.ndarray, context: np.ndarray) -> None:
         m, kind = self.model, self.model.group[items]
         drawn = np.minimum(np.searchsorted(self.class_sums, self.rng.random(NOISE) * self.class_sums[-1], "right"), len(m.size) - 1)
-        self.back(context, self.contrast(m.predicted(context), kind, drawn, m.places[3], self.log_class[kind], self.log_class[drawn]))
+        q, vectors = m.predicted(context)
+        self.back(context, vectors, self.contrast(q, kind, drawn, m.places[3], self.log_class[kind], self.log_class[drawn]))
 
     def inside(self, items: np.ndarray, context: np.ndarray) -> None:
         """One step of all classes; only the products with a class's drawn rows go class by class."""
@@ -237,8 +279,8 @@ class Trainer:
         items, context, kind = items[some], context[some], kind[some]
         if not len(items):
             return
-        order = np.argsort(kind, kind="stable")
-        items, context, kind = items[order], context[order], kind[order]
+        order = m.sorted_classes(kind)
+        kind = kind[order]
         ends = np.append(np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(kind))
         own_class = kind[ends - 1]
         lo, hi = self.sums[m.first[own_class]], self.sums[m.first[own_class + 1]]
@@ -246,27 +288,27 @@ class Trainer:
         drawn = np.searchsorted(self.sums, spot.ravel(), "right").reshape(spot.shape) - 1
         drawn = np.clip(drawn, m.first[own_class][:, None], m.first[own_class + 1][:, None] - 1)
         shift = np.log(INNER / (hi - lo)).astype(np.float32)
-        true = m.row[items]
-        q = np.concatenate([m.predicted(context), np.ones((len(items), 1), np.float32)], 1)
-        own, other = m.flat[m.places[2] + true], m.flat[m.places[2] + drawn]
+        true = m.row[items[order]]
+        straight, vectors = m.predicted(context)
+        q = straight.take(order, axis=0)
+        table = m.flat[m.places[2] : m.places[3]]
+        own, other = table.take(true, axis=0), table.take(drawn, axis=0)
         log_true = self.log_noise[true] + np.repeat(shift, np.diff(ends, prepend=0))
         up = 1 - 1 / (1 + np.exp(-np.clip(np.einsum("bd,bd->b", q, own) - log_true, -20, 20)))
-        dq = up[:, None] * own
-        shifted, false = other.copy(), np.empty_like(other)
-        shifted[:, :, -1] -= self.log_noise[drawn] + shift[:, None]
+        own *= up[:, None]
+        false, log_drawn = np.empty_like(other), self.log_noise[drawn] + shift[:, None]
         begin = 0
         for k, end in enumerate(ends.tolist()):
             part = q[begin:end]
-            down = part @ shifted[k].T
-            np.exp(np.minimum(np.negative(down, out=down), 20, out=down), out=down)
-            down += 1
-            np.divide(-1, down, out=down)
-            dq[begin:end] += down @ other[k]
+            down = noise_gradient(part, other[k], log_drawn[k])
+            own[begin:end] += down @ other[k]
             false[k] = down.T @ part
             begin = end
-        rows, grad = by_row(np.concatenate([true, drawn.ravel()]), np.concatenate([up[:, None] * q, false.reshape(-1, DIMENSIONS + 1)]))
+        q *= up[:, None]
+        rows, grad = by_row(np.concatenate([true, drawn.ravel()]), np.concatenate([q, false.reshape(-1, DIMENSIONS + 1)]), m.n)
         self.update(m.places[2] + rows, grad)
-        self.back(context, dq[:, :-1])
+        straight[order] = own
+        self.back(context, vectors, straight)
 
     def train(self, items: np.ndarray, context: np.ndarray) -> None:
         for lo in range(0, len(items), 4 * BATCH):

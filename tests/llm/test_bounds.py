@@ -102,3 +102,36 @@ def test_average_does_not_depend_on_the_tree(spark, monkeypatch):
         monkeypatch.setattr(logbilinear, "FAN", fan)
         models.append(logbilinear.fit(docs, counts, "text"))
     assert np.allclose(models[0].flat, models[1].flat, atol=1e-4)
+
+
+def test_a_token_hands_one_row_of_gradient_to_the_words_before_it(monkeypatch):
+    """A word's parts of both positions are added up in its place before rows are sorted out; sums are those of every single part."""
+    rng = np.random.default_rng(9)
+    n, sizes = 300, [0, 1, 2, 700, 0, 1500]
+    prior = np.arange(1, n + 1, dtype=float) / np.arange(1, n + 1).sum()
+    items, context, _ = logbilinear.sequences(rng.integers(0, n - 1, sum(sizes)), np.concatenate([[0], np.cumsum(sizes)]), n)
+    dq = np.append(rng.normal(size=(len(items), logbilinear.DIMENSIONS)), np.ones((len(items), 1)), 1).astype(np.float32)
+    trainer = logbilinear.Trainer(logbilinear.Model(n, prior=prior), prior, 1)
+    handed, moved = [], []
+    sorted_out = logbilinear.by_row
+    monkeypatch.setattr(logbilinear, "by_row", lambda at, value, *a: (handed.append(len(at)), sorted_out(at, value, *a))[1])
+    monkeypatch.setattr(trainer, "update", lambda rows, grad, width: moved.append((rows, grad)))
+    want = np.zeros((n + 1, logbilinear.DIMENSIONS + 1))
+    for j, place in enumerate(trainer.model.position):
+        np.add.at(want[:, :-1], context[:, j], dq[:, :-1] * place)
+    trainer.back(context, trainer.model.predicted(context)[1], dq)
+    assert handed[0] <= len(items) + len(sizes) + 2 < 2 * len(items)
+    got = np.zeros_like(want)
+    got[moved[1][0]] = moved[1][1]
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_probabilities_of_scores_beyond_single_precision():
+    prior = np.arange(1, 201, dtype=float)
+    model = logbilinear.Model(200, prior=prior / prior.sum())
+    for scale in (1.0, 60.0):
+        model.flat[:] = np.random.default_rng(2).normal(0, 0.3 * scale, model.flat.shape)
+        model.flat[: model.places[2], -1] = 0
+        context = np.tile([[7, 190]], (200, 1))
+        found = model.log_probabilities(np.arange(200), context)
+        assert np.isfinite(found).all() and abs(np.logaddexp.reduce(found)) < 1e-2
