@@ -23,6 +23,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -34,9 +35,12 @@ from rowtide.session import stored
 
 VOCABULARY, GROUPS, HOT, SAMPLE = 25_000, 64, 1 << 17, 2000
 DIMENSIONS, CONTEXT, NOISE, INNER, BATCH, RATE, CHUNK = 24, 2, 96, 64, 4096, 0.2, 512
+HELD = 31 << 20  # bytes; the C library does not keep blocks of 32 MB
 FAN = 32  # tasks whose parameters one task averages
 SAMPLE_BYTES = 16 << 20  # texts of the common start at most, beyond one text
+BITS = np.float32(1 / np.log(2))  # a vector times this gives scores in powers of two, which are quicker to raise
 SAFE = 80  # exponentials of scores up to it, and their sums, are normal numbers in single precision
+ADDED, TILED = 2048, 128  # rows added up or moved at a time, so that they stay in the processor's cache, and multiplied
 SCORED, SCAN_BYTES = 1024, 1 << 20  # rows of a score matrix, and bytes of a block of texts: a task holds these besides the model
 
 
@@ -47,6 +51,7 @@ class Counts:
     hot: pa.Array
     hot_n: np.ndarray
     words: pa.Array
+    item: np.ndarray  # of each hot word, or -1
     group_n: np.ndarray
     group_v: np.ndarray
     item_n: np.ndarray
@@ -59,6 +64,37 @@ class Counts:
         return float(np.log10(self.tokens + 0.1 * (self.distinct + 1)))
 
 
+def hashes(words: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+
+
+class Numbers:
+    """The number of a word in `words`, found by its hash. A task makes one of it, so looking up a block does not cost a table of all `words`."""
+
+    def __init__(self, words: pa.Array):
+        value = hashes(words)
+        self.words, self.order = words, np.argsort(value)
+        self.value = value[self.order]
+
+    def __call__(self, asked: pa.Array) -> np.ndarray:
+        """Number of each word, or -1."""
+        out = np.full(len(asked), -1, np.int64)
+        if not len(self.words) or not len(asked):
+            return out
+        value = hashes(asked)
+        place = np.minimum(np.searchsorted(self.value, value), len(self.value) - 1)
+        hit = np.flatnonzero(self.value[place] == value)
+        out[hit] = self.order[place[hit]]
+        if pc.all(pc.equal(asked.take(pa.array(hit)), self.words.take(pa.array(out[hit]))), min_count=0).as_py():
+            return out
+        return pc.fill_null(pc.index_in(asked, self.words), -1).to_numpy().astype(np.int64)  # different words with one hash
+
+
+def hold_memory() -> None:
+    """Allocate and free one large block: the C library then keeps freed blocks up to this size, not asking the system for each array's pages anew."""
+    np.empty(HELD, np.uint8)
+
+
 def groups_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Group of each word by its last two bytes, lower-cased."""
     low = X.LOWER[data].astype(np.int64)
@@ -67,13 +103,15 @@ def groups_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return (before * 31 + last * 7) % GROUPS
 
 
-def items_of(column: pa.Array, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, item of each word, group of each, number of the first of each text)."""
-    data, offsets = X.utf8(column)
-    found, start, end, first = X.words(data, offsets, X.SOLID)
-    kind = groups_of(data, start, end)
-    known = pc.fill_null(pc.index_in(found, words), -1).to_numpy() if len(words) else np.full(len(found), -1)
-    return found, np.where(known >= 0, known, len(words) + kind), kind, first
+def items_of(column: pa.Array, numbers: Numbers, item: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, item of each, hot number or -1 and group of each distinct one, number of the first of each text); `item` is that of each hot word."""
+    found, _, _, first = X.words(*X.utf8(column), X.SOLID)
+    coded = found.dictionary_encode()
+    data, offsets = X.utf8(coded.dictionary)
+    at, kind = numbers(coded.dictionary), groups_of(data, offsets[:-1], offsets[1:])
+    own = np.append(item, -1)[at]
+    own = np.where(own >= 0, own, np.count_nonzero(item >= 0) + kind)
+    return coded, own[coded.indices.to_numpy()], at, kind, first
 
 
 def sequences(items: np.ndarray, first: np.ndarray, n_items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,25 +143,47 @@ def classes_of(prior: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_sum(score: np.ndarray, bounded: bool = False) -> np.ndarray:
-    """Logarithm of each row's sum of exponentials; `score` is overwritten. `bounded`: no score is beyond `SAFE`, so none need be shifted."""
+def log_sum(bits: np.ndarray, bounded: bool = False) -> np.ndarray:
+    """Natural logarithm of each row's sum of powers of two; `bits` is overwritten. `bounded`: no score is beyond `SAFE`, so none need be shifted."""
     if bounded:
-        return np.log(np.exp(score, out=score) @ np.ones(score.shape[1], score.dtype))
-    top = score.max(1)
-    score -= top[:, None]
-    return top + np.log(np.exp(score, out=score).sum(1))
+        return np.log(np.exp2(bits, out=bits) @ np.ones(bits.shape[1], bits.dtype))
+    top = bits.max(1)
+    bits -= top[:, None]
+    return top / BITS + np.log(np.exp2(bits, out=bits).sum(1))
 
 
-def by_row(at: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows of `n`, the sum of each row's values)."""
+def by_row(at: np.ndarray, parts: Sequence[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows of `n`, the sum of each row's values); `parts` have the values, in single precision, one after the other."""
     there = np.zeros(n, bool)
     there[at] = True
     rows, place = np.flatnonzero(there), np.empty(n, np.int64)
-    width = value.shape[1]
-    place[rows] = np.arange(0, len(rows) * width, width)
-    out = np.zeros(len(rows) * width, value.dtype)
-    np.add.at(out, (place[at][:, None] + np.arange(width)).ravel(), value.ravel())
-    return rows, out.reshape(-1, width)
+    width = parts[0].shape[1]
+    pairs = (width + 1) // 2  # two columns are added up as one complex number
+    place[rows] = np.arange(0, len(rows) * pairs, pairs)
+    out = np.zeros(len(rows) * pairs, np.complex64)
+    value, columns, begin = np.zeros((ADDED, 2 * pairs), np.float32), np.arange(pairs), 0
+    for part in parts:
+        for lo in range(0, len(part), ADDED):
+            some = part[lo : lo + ADDED]
+            value[: len(some), :width] = some
+            to = place.take(at[begin + lo : begin + lo + len(some)])[:, None] + columns
+            np.add.at(out, to.ravel(), value[: len(some)].view(np.complex64).ravel())
+        begin += len(part)
+    return rows, out.view(np.float32).reshape(-1, 2 * pairs)[:, :width]
+
+
+def times(x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """x * row; many rows at a time, as a short row alone is mostly overhead."""
+    out, whole, many = np.empty_like(x), len(x) // TILED * TILED, np.tile(row, TILED)
+    np.multiply(x[:whole].reshape(-1, len(many)), many, out=out[:whole].reshape(-1, len(many)))
+    np.multiply(x[whole:], row, out=out[whole:])
+    return out
+
+
+def apart(context: np.ndarray, j: int) -> np.ndarray:
+    """Places whose item j + 1 before is not the last item of the place j before."""
+    row = context[:, j]
+    return np.concatenate([np.arange(min(j, len(row))), np.flatnonzero(row[j:] != context[: len(row) - j, 0]) + j])
 
 
 class Model:
@@ -156,11 +216,17 @@ class Model:
 
     def predicted(self, context: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """(the predicted vectors, each with a 1 for the biases; the vectors of the items before, which end in a 0)."""
-        vectors = [self.flat.take(context[:, j], axis=0) for j in range(CONTEXT)]
+        vectors = [self.flat.take(context[:, 0], axis=0)]
         place = self.flat[self.places[1] : self.places[2]]
-        out = vectors[0] * place[0]
+        out = times(vectors[0], place[0])
         for j in range(1, CONTEXT):
-            out += vectors[j] * place[j]
+            if 2 * len(rest := apart(context, j)) < len(context):  # in a text, mostly the vectors of the place before
+                vectors.append(np.empty_like(out))
+                vectors[j][j:] = vectors[0][: len(out) - j]
+                vectors[j][rest] = self.flat.take(context[rest, j], axis=0)
+            else:
+                vectors.append(self.flat.take(context[:, j], axis=0))
+            out += times(vectors[j], place[j])
         out[:, -1] = 1
         return out, vectors
 
@@ -178,24 +244,25 @@ class Model:
     def log_probabilities(self, items: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Natural log-probabilities, normalised over all classes and over the items of each class."""
         key = context[:, 0] * (self.n + 1) + context[:, 1]
-        distinct, of = np.unique(key, return_inverse=True)
+        of, distinct = pd.factorize(key)
         vectors = self.predicted(np.stack(np.divmod(distinct, self.n + 1), 1))[0]
         output, classes = self.flat[self.places[2] : self.places[3]], self.flat[self.places[3] :]
         longest = lambda x: float(np.sqrt(np.einsum("bd,bd->b", x, x).max(initial=0)))
         bounded = longest(vectors) * max(longest(output), longest(classes)) < SAFE
-        normal = np.empty(len(vectors), np.float32)
+        normal, scaled = np.empty(len(vectors), np.float32), (classes * BITS).T
         for lo in range(0, len(vectors), SCORED):
-            normal[lo : lo + SCORED] = log_sum(vectors[lo : lo + SCORED] @ classes.T, bounded)
+            normal[lo : lo + SCORED] = log_sum(vectors[lo : lo + SCORED] @ scaled, bounded)
         group, row = self.group[items], self.row[items]
-        pairs, pair = np.unique(of * len(self.size) + group, return_inverse=True)
+        pair, pairs = pd.factorize(of * len(self.size) + group)
         owner, kind = np.divmod(pairs, len(self.size))
         inner = np.empty(len(pairs), np.float32)
         single = np.flatnonzero(self.size[kind] == 1)  # what is left for a class of one item: its score
         inner[single] = np.einsum("bd,bd->b", vectors.take(owner[single], axis=0), output.take(self.first[kind[single]], axis=0))
         for first, last, at in self.by_class(kind):
+            scaled = (output[first:last] * BITS).T
             for lo in range(0, len(at), SCORED):
                 part = at[lo : lo + SCORED]
-                inner[part] = log_sum(vectors.take(owner[part], axis=0) @ output[first:last].T, bounded)
+                inner[part] = log_sum(vectors.take(owner[part], axis=0) @ scaled, bounded)
         outer = np.empty(len(pairs), np.float32)
         for lo in range(0, len(pairs), 1 << 14):
             p = slice(lo, lo + (1 << 14))
@@ -207,13 +274,17 @@ class Model:
         return out
 
 
-def noise_gradient(q: np.ndarray, drawn: np.ndarray, log_drawn: np.ndarray) -> np.ndarray:
-    """Gradient of the score of each row of `q` with each drawn row, in single precision, of noise with these log-expectations."""
-    shifted = -drawn
-    shifted[:, -1] += log_drawn
-    out = q @ shifted.T
-    with np.errstate(over="ignore"):  # the gradient is then 0
-        np.exp(out, out=out)
+def shifted(drawn: np.ndarray, log_drawn: np.ndarray) -> np.ndarray:
+    """Drawn rows, of noise with these log-expectations, as `noise_gradient` takes them."""
+    out = drawn * -BITS
+    out[..., -1] += log_drawn * BITS
+    return out
+
+
+def noise_gradient(q: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+    """Gradient of the score of each row of `q` with each of the `shifted` rows, in single precision; powers that are infinite make it 0."""
+    out = q @ drawn.T
+    np.exp2(out, out=out)
     out += 1
     return np.divide(-1, out, out=out)
 
@@ -232,9 +303,13 @@ class Trainer:
 
     def update(self, rows: np.ndarray, grad: np.ndarray, width: int = DIMENSIONS + 1) -> None:
         """Move distinct `rows`; the bias is the last column, and rows without one have a 0 there and a `width` of one column less."""
-        past = self.past[rows] + np.einsum("bd,bd->b", grad, grad) / width * 4
-        self.past[rows] = past
-        self.model.flat[rows] = self.model.flat.take(rows, axis=0) + grad * (np.float32(RATE) / np.sqrt(past))[:, None]
+        for lo in range(0, len(rows), ADDED):
+            some, step = rows[lo : lo + ADDED], grad[lo : lo + ADDED]
+            past = self.past[some] + np.einsum("bd,bd->b", step, step) / width * 4
+            self.past[some] = past
+            moved = step * (np.float32(RATE) / np.sqrt(past))[:, None]
+            moved += self.model.flat.take(some, axis=0)
+            self.model.flat[some] = moved
 
     def contrast(self, q: np.ndarray, true: np.ndarray, drawn: np.ndarray, start: int, log_true: np.ndarray, log_drawn: np.ndarray) -> np.ndarray:
         """One step of the true rows against the drawn rows, of the few from `start` to the last; returns the gradient of q."""
@@ -243,9 +318,13 @@ class Trainer:
         up = np.einsum("bd,bd->b", q, own) - log_true
         up = 1 - 1 / (1 + np.exp(-np.clip(up, -20, 20)))  # gradient of the score of the true row
         own *= up[:, None]
-        down = noise_gradient(q, other, log_drawn)
+        down = noise_gradient(q, shifted(other, log_drawn))
         own += down @ other
-        rows, grad = by_row(np.concatenate([true, drawn]), np.concatenate([up[:, None] * q, down.T @ q]), len(table))
+        order = self.model.sorted_classes(true)  # true rows are few, so most of them are added up side by side
+        kind = true[order]
+        begin = np.append(0, np.flatnonzero(kind[1:] != kind[:-1]) + 1)
+        push = np.add.reduceat(q.take(order, axis=0) * up[order][:, None], begin, axis=0)
+        rows, grad = by_row(np.concatenate([kind[begin], drawn]), [push, down.T @ q], len(table))
         self.update(start + rows, grad)
         return own
 
@@ -254,15 +333,14 @@ class Trainer:
         m = self.model
         dq[:, -1] = 0
         place = m.flat[m.places[1] : m.places[2]]
-        at, grad = [context[:, 0]], [dq * place[0]]
+        at, grad = [context[:, 0]], [times(dq, place[0])]
         for j in range(1, CONTEXT):  # mostly an item's own place after the one by which it was the last
-            value, row = dq * place[j], context[:, j]
-            rest = np.concatenate([np.arange(min(j, len(row))), np.flatnonzero(row[j:] != context[: len(row) - j, 0]) + j])
+            value, row, rest = times(dq, place[j]), context[:, j], apart(context, j)
             at.append(row[rest])
-            grad.append(value[rest])
+            grad.append(value.take(rest, axis=0))
             value[rest] = 0
             grad[0][: len(row) - j] += value[j:]
-        rows, grad = by_row(np.concatenate(at), np.concatenate(grad), m.places[1])
+        rows, grad = by_row(np.concatenate(at), grad, m.places[1])
         self.update(m.places[1] + np.arange(CONTEXT), np.stack([np.einsum("bd,bd->d", dq, v) for v in vectors]), DIMENSIONS)
         self.update(rows, grad, DIMENSIONS)
 
@@ -284,7 +362,7 @@ class Trainer:
         ends = np.append(np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(kind))
         own_class = kind[ends - 1]
         lo, hi = self.sums[m.first[own_class]], self.sums[m.first[own_class + 1]]
-        spot = lo[:, None] + self.rng.random((len(lo), INNER)) * (hi - lo)[:, None]
+        spot = np.sort(lo[:, None] + self.rng.random((len(lo), INNER)) * (hi - lo)[:, None])  # in the order of the rows, which is faster to find and add up
         drawn = np.searchsorted(self.sums, spot.ravel(), "right").reshape(spot.shape) - 1
         drawn = np.clip(drawn, m.first[own_class][:, None], m.first[own_class + 1][:, None] - 1)
         shift = np.log(INNER / (hi - lo)).astype(np.float32)
@@ -296,25 +374,28 @@ class Trainer:
         log_true = self.log_noise[true] + np.repeat(shift, np.diff(ends, prepend=0))
         up = 1 - 1 / (1 + np.exp(-np.clip(np.einsum("bd,bd->b", q, own) - log_true, -20, 20)))
         own *= up[:, None]
-        false, log_drawn = np.empty_like(other), self.log_noise[drawn] + shift[:, None]
+        false, against, pull = np.empty_like(other), shifted(other, self.log_noise[drawn] + shift[:, None]), np.empty_like(own)
         begin = 0
         for k, end in enumerate(ends.tolist()):
             part = q[begin:end]
-            down = noise_gradient(part, other[k], log_drawn[k])
-            own[begin:end] += down @ other[k]
-            false[k] = down.T @ part
+            down = noise_gradient(part, against[k])
+            np.matmul(down, other[k], out=pull[begin:end])
+            np.matmul(down.T, part, out=false[k])
             begin = end
+        own += pull
         q *= up[:, None]
-        rows, grad = by_row(np.concatenate([true, drawn.ravel()]), np.concatenate([q, false.reshape(-1, DIMENSIONS + 1)]), m.n)
+        rows, grad = by_row(np.concatenate([true, drawn.ravel()]), [q, false.reshape(-1, DIMENSIONS + 1)], m.n)
         self.update(m.places[2] + rows, grad)
-        straight[order] = own
-        self.back(context, vectors, straight)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.back(context, vectors, own.take(back, axis=0))
 
     def train(self, items: np.ndarray, context: np.ndarray) -> None:
-        for lo in range(0, len(items), 4 * BATCH):
-            for at in range(lo, min(lo + 4 * BATCH, len(items)), BATCH):
-                self.classes(items[at : at + BATCH], context[at : at + BATCH])
-            self.inside(items[lo : lo + 4 * BATCH], context[lo : lo + 4 * BATCH])
+        with np.errstate(over="ignore"):
+            for lo in range(0, len(items), 4 * BATCH):
+                for at in range(lo, min(lo + 4 * BATCH, len(items)), BATCH):
+                    self.classes(items[at : at + BATCH], context[at : at + BATCH])
+                self.inside(items[lo : lo + 4 * BATCH], context[lo : lo + 4 * BATCH])
         self.tokens += len(items)
 
 
@@ -343,13 +424,16 @@ def count(docs: DataFrame, text: str, hot: int = HOT, vocabulary: int = VOCABULA
     hot_words, hot_n = pa.array(common["token"].to_pylist(), pa.binary()), common["n"].to_numpy()
     model = np.flatnonzero(hot_n >= least)
     words = hot_words.take(pa.array(model))
+    item = np.full(len(hot_n), -1)
+    item[model] = np.arange(len(model))
 
     def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(words)
         for batch in batches:
             names = batch.column("token")
             data, offsets = X.utf8(names)
             kind = groups_of(data, offsets[:-1], offsets[1:])
-            rest = pc.is_null(pc.index_in(names, words)).to_numpy(zero_copy_only=False) if len(words) else np.ones(len(names), bool)
+            rest = numbers(names) < 0
             n = np.bincount(kind[rest], batch.column("n").to_numpy()[rest], GROUPS).astype(float)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(GROUPS, dtype=np.int32)), pa.array(n), pa.array(np.bincount(kind[rest], minlength=GROUPS))], ["c", "n", "v"])
 
@@ -358,7 +442,7 @@ def count(docs: DataFrame, text: str, hot: int = HOT, vocabulary: int = VOCABULA
     for r in sums:
         group_n[r["c"]], group_v[r["c"]] = r["n"], r["v"]
     item_n = np.concatenate([hot_n[model].astype(float), group_n, [float(ends)]])
-    return table, Counts(hot_words, hot_n, words, group_n, group_v, item_n, tokens, distinct, ends)
+    return table, Counts(hot_words, hot_n, words, item, group_n, group_v, item_n, tokens, distinct, ends)
 
 
 def fit(docs: DataFrame, counts: Counts, text: str, sample: int = SAMPLE) -> Model:
@@ -382,10 +466,11 @@ def fit(docs: DataFrame, counts: Counts, text: str, sample: int = SAMPLE) -> Mod
 
     def learned(own: Trainer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Train on the texts; the rows that it changed, by chunk, each with the growth of its sum of squared gradients."""
-        before = own.past.copy()
+        hold_memory()
+        before, numbers = own.past.copy(), Numbers(counts.hot)
         for block in X.blocks(batches, text, SCAN_BYTES):
-            _, items, _, at = items_of(block.column(text), counts.words)
-            own.train(*sequences(items, at, n_items)[:2])
+            _, items, _, _, first = items_of(block.column(text), numbers, counts.item)
+            own.train(*sequences(items, first, n_items)[:2])
         for lo in range(0, rows, CHUNK):
             grown = own.past[lo : lo + CHUNK] - before[lo : lo + CHUNK]
             if len(p := np.flatnonzero(grown > 0)):
@@ -452,15 +537,15 @@ def score(
     end_log = float(np.log10(counts.ends + 0.1))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+        hold_memory()
+        row, numbers = TaskContext.get().partitionId() << 40, Numbers(counts.hot)
         for block in X.blocks(batches, text, SCAN_BYTES):
             n = block.num_rows
-            found, items, kind, first = items_of(block.column(text), counts.words)
-            coded = found.dictionary_encode()
+            coded, items, at, kind, first = items_of(block.column(text), numbers, counts.item)
             codes = coded.indices.to_numpy()
-            at = pc.fill_null(pc.index_in(coded.dictionary, counts.hot), -1).to_numpy() if len(counts.hot) else np.full(len(coded.dictionary), -1)
-            logs = np.where(at >= 0, hot_log[at], 0.0)[codes] if len(counts.hot) else np.zeros(len(codes))
-            cold, oov = (at < 0)[codes], items >= n_words
+            logs, cold, oov = np.append(hot_log, 0.0)[at], at < 0, np.append(counts.item, -1)[at] < 0
+            group_part = np.where(oov, logs - group_log[kind], 0.0)[codes]  # of a word of a group: log10 of its share there
+            logs, cold = logs[codes], cold[codes]
             doc = np.repeat(np.arange(n), np.diff(first))
             total = lambda values: np.bincount(doc, values, n)
             seq, context, begin = sequences(items, first, n_items)
@@ -471,7 +556,7 @@ def score(
             columns = [
                 pa.array(np.arange(row, row + n)), *(block.column(c) for c in back), pa.array(size.astype(np.int64)),
                 pa.array(total((~cold).astype(float)).astype(np.int64) + (counts.ends > 0)), pa.array(total(logs) + end_log - size * denominator),
-                pa.array(neural + total(np.where(oov, logs - group_log[kind], 0.0))), tokens, times,
+                pa.array(neural + total(group_part)), tokens, times,
             ]
             yield pa.RecordBatch.from_arrays(columns, ["_row", *back, "n_tokens", "_known", "_base", "_score", "_tokens", "_times"])
             row += n

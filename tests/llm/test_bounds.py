@@ -135,3 +135,43 @@ def test_probabilities_of_scores_beyond_single_precision():
         context = np.tile([[7, 190]], (200, 1))
         found = model.log_probabilities(np.arange(200), context)
         assert np.isfinite(found).all() and abs(np.logaddexp.reduce(found)) < 1e-2
+
+
+def test_a_block_is_looked_up_without_a_table_of_all_words(monkeypatch):
+    """A task numbers the hot words once; words with one hash are still told apart."""
+    hot, item = pa.array([b"two", b"one", b"rare", b"six"], pa.binary()), np.array([1, 0, -1, 2])
+    column = pa.array(["one two  Six", None, "", "rare none\tone"])
+    numbers = logbilinear.Numbers(hot)
+    with monkeypatch.context() as m:
+        m.setattr(logbilinear.pc, "index_in", None)
+        coded, items, at, kind, first = logbilinear.items_of(column, numbers, item)
+    assert coded.to_pylist() == [b"one", b"two", b"six", b"rare", b"none", b"one"] and first.tolist() == [0, 3, 3, 3, 6]
+    assert at.tolist() == [1, 0, 3, 2, -1] and items.tolist() == [0, 1, 2, 3 + kind[3], 3 + kind[4], 0]
+    assert [g.tolist() for g in (logbilinear.Numbers(hot[:0])(hot), numbers(hot[:0]))] == [[-1] * 4, []]
+    monkeypatch.setattr(logbilinear, "hashes", lambda words: np.zeros(len(words), np.uint64))
+    assert logbilinear.Numbers(hot)(pa.array([b"six", b"none", b"two"], pa.binary())).tolist() == [3, -1, 0]
+
+
+def test_gradients_are_added_up_by_row_whatever_their_width():
+    rng = np.random.default_rng(3)
+    for width in (24, 25):
+        at = rng.integers(0, 40, logbilinear.ADDED + 700)
+        value = rng.normal(size=(len(at), width)).astype(np.float32)
+        rows, got = logbilinear.by_row(at, [value[:300], value[300:]], 50)
+        want = np.zeros((50, width))
+        np.add.at(want, at, value)
+        assert rows.tolist() == sorted(set(at.tolist())) and np.allclose(got, want[rows], atol=1e-3)
+
+
+def test_vectors_of_a_text_are_those_of_its_places():
+    """Places of a text take over the vectors of the place before; single contexts and texts of every length are as they were."""
+    rng = np.random.default_rng(7)
+    model = logbilinear.Model(90, prior=np.full(90, 1 / 90))
+    model.flat[model.places[1] : model.places[2]] = rng.normal(size=(logbilinear.CONTEXT, logbilinear.DIMENSIONS + 1))
+    sizes = [0, 1, 400, 2, 0, 3]
+    texts, alone = logbilinear.sequences(rng.integers(0, 89, sum(sizes)), np.concatenate([[0], np.cumsum(sizes)]), 90)[1], rng.integers(0, 91, (300, 2))
+    for context in (texts, alone, texts[:1], texts[:0]):
+        found, vectors = model.predicted(context)
+        assert all(np.array_equal(v, model.flat[context[:, j]]) for j, v in enumerate(vectors))
+        want = sum(model.context[context[:, j]] * model.position[j] for j in range(logbilinear.CONTEXT))
+        assert np.allclose(found[:, :-1], want, atol=1e-6) and (found[:, -1] == 1).all()
