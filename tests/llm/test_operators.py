@@ -621,7 +621,7 @@ def test_registered_queries_have_their_columns(spark):
     for start, columns in want.items():
         name = next(q for q in QUERIES if q.startswith(start))
         assert set(columns.split()) <= set(QUERIES[name](spark, "/root/testdata/sf0.001").columns)
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_decontamination_agrees_with_its_sql(spark):
